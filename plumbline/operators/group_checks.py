@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbline.functions.rows import orderable, replicated
 from plumbline.functions.text import is_blank, is_filled, literal_text, member_of
 from plumbline.functions.verdict import fraction, ignored_rows, within_bounds
 from plumbline.model import Dataset, Rule, RuleError, quoted
@@ -108,7 +109,7 @@ def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] =
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     order_names = list(dict.fromkeys([*order_by, *fields]))
-    order = F.struct(*[_orderable(n, fields[n]).alias(f"o{i}") for i, n in enumerate(order_names)])
+    order = F.struct(*[orderable(n, fields[n]).alias(f"o{i}") for i, n in enumerate(order_names)])
     rows = df.withColumn("_order", order)
     keys = [F.col(quoted(n)).alias(f"_k{i}") for i, n in enumerate(names)]
     firsts = (
@@ -129,25 +130,8 @@ def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] =
              *[F.first(quoted(n)).alias(n) for n in fields])
         .where("_n > 1")
     )
-    # Emit n - 1 copies in blocks, spread over tasks before the last expansion.
-    block = 100_000
-    blocks = tied.withColumn(
-        "_start", F.explode(F.sequence(F.lit(1), F.col("_n") - 1, F.lit(block).cast("bigint")))
-    ).repartition("_start")
-    surplus = blocks.withColumn(
-        "_copy",
-        F.explode(F.sequence(
-            F.col("_start"), F.least(F.col("_start") + F.lit(block - 1), F.col("_n") - 1)
-        )),
-    ).select(*[quoted(n) for n in fields])
-    return later.unionByName(surplus)
-
-
-def _orderable(name: str, dtype: T.DataType) -> Column:
-    col = F.col(quoted(name))
-    if isinstance(dtype, (T.MapType, T.VariantType)):
-        return F.to_json(col)
-    return col
+    surplus = replicated(tied.withColumn("_n", F.col("_n") - 1), "_n", "_copy")
+    return later.unionByName(surplus.select(*[quoted(n) for n in fields]))
 
 
 def _count_check(ctx: Context, rule: Rule, value_of: object) -> Check:

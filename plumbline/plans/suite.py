@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from plumbline.model import Dataset, Rule, RuleError, Status
 from plumbline.operators import capture
@@ -16,6 +16,8 @@ from plumbline.operators.base import Context, Options
 from plumbline.operators.registry import ALIASES, EXPECTATIONS
 from plumbline.plans import fusion
 
+# How failure tables are named.
+FAILURE_TABLE_SUFFIX = "_DQ_FAILURE"
 AUDIT_SCHEMA = (
     "dataset_run_id bigint, rule_config_id bigint, procedure_name string, step_name string, "
     "log_message string, start_timestamp timestamp, end_timestamp timestamp, status string, "
@@ -179,8 +181,8 @@ def run_suite(
         plan = fusion.isolate_errors(plan)
         frame = fusion.result_frame(plan)
         rows = frame.collect()
-    stamped = frame.schema.add("run_timestamp", "timestamp")
-    results = spark.createDataFrame([(*r, started) for r in rows], stamped)
+    schema = T.StructType([*frame.schema.fields, T.StructField("run_timestamp", T.TimestampType())])
+    results = spark.createDataFrame([_finished(r, dataset, started) for r in rows], schema)
     summary_row = summarise_counts([r["status"] for r in rows])
     for row in rows:
         trail.log("RULE", row["expectation_name"], step,
@@ -205,6 +207,21 @@ def run_suite(
     )
 
 
+def failure_table_name(dataset_name: str) -> str:
+    clean = "".join(ch if ch.isalnum() and ch.isascii() else "_" for ch in dataset_name)
+    return clean + FAILURE_TABLE_SUFFIX
+
+
+def _finished(row: Row, dataset: Dataset, started: dt.datetime) -> tuple:
+    """Result row with its time and, for a failure, the table its rows go to."""
+    values = row.asDict()
+    if values["status"] == Status.FAILURE:
+        document = json.loads(values["results"]) if values["results"] else {}
+        document["failed_records_table"] = failure_table_name(dataset.name)
+        values["results"] = json.dumps(document, ensure_ascii=False)
+    return (*values.values(), started)
+
+
 def summarise_counts(statuses: Sequence[str]) -> dict[str, object]:
     good, bad, broken = (
         sum(s == kind for s in statuses) for kind in (Status.SUCCESS, Status.FAILURE, Status.ERROR)

@@ -131,7 +131,7 @@ def failure_history(
     rows = failed.groupBy("dataset_run_id", *[quoted(c) for c in source]).agg(
         F.lit(1).alias("_one"), *[_broke(i).alias(f"bad_{i}") for i in ids]
     )
-    joined = rows.join(F.broadcast(verdicts), "dataset_run_id", "left")
+    joined = rows.join(verdicts, "dataset_run_id", "left")
     return joined.select(
         "dataset_run_id", F.lit(dataset_id).cast("bigint").alias("dataset_id"),
         F.lit(dataset_name).alias("dataset_name"), "dq_timestamp",

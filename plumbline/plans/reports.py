@@ -188,7 +188,7 @@ def microsegment_context(
     newest = details.groupBy(*key).agg(
         F.max("microsegment_profiler_snapshot_id").alias("microsegment_profiler_snapshot_id")
     )
-    current = details.join(F.broadcast(newest), [*key, "microsegment_profiler_snapshot_id"])
+    current = details.join(newest, [*key, "microsegment_profiler_snapshot_id"])
     # Attributes of a definition are its columns: a short list by nature.
     nested = attributes.groupBy("microsegment_def_id").agg(
         F.array_sort(F.collect_list(F.struct(

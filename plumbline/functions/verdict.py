@@ -15,17 +15,6 @@ def fraction(part: Column, whole: Column) -> Column:
     )
 
 
-def tolerated(bad: Column, mostly: float, *, by_success_rate: bool = False) -> Column:
-    """Does the unexpected fraction stay inside the tolerance?
-
-    Both readings are the same on paper.  They differ in the last bit of a
-    double, so every check keeps the one its definition uses.
-    """
-    if by_success_rate:
-        return (F.lit(1.0) - bad) >= F.lit(float(mostly))
-    return bad <= F.lit(1.0 - float(mostly))
-
-
 def within_bounds(
     value: Column,
     low: float | None,

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from plumbline.functions.local import local_frame
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -167,11 +168,6 @@ RESULT_SCHEMA = T.StructType(
     ]
 )
 
-OUTCOME_FIELDS = tuple(
-    f.name for f in RESULT_SCHEMA.fields[RESULT_SCHEMA.fieldNames().index("is_success"):-1]
-)
-
-
 def rule_fields(rule: Rule, dataset: Dataset, run_id: int) -> dict[str, Any]:
     """The part of a result row known before any data is read."""
     return {
@@ -187,24 +183,6 @@ def rule_fields(rule: Rule, dataset: Dataset, run_id: int) -> dict[str, Any]:
     }
 
 
-def result_struct(rule: Rule, dataset: Dataset, run_id: int, outcome: Mapping[str, Column]) -> Column:
-    """Result row as a struct column, every field present and typed."""
-    known = {k: F.lit(v) for k, v in rule_fields(rule, dataset, run_id).items()}
-    success = F.coalesce(outcome["is_success"], F.lit(False))
-    row = {
-        **known,
-        **outcome,
-        "is_success": success,
-        "status": F.when(success, F.lit(Status.SUCCESS)).otherwise(F.lit(Status.FAILURE)),
-    }
-    return F.struct(
-        *[
-            row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in RESULT_SCHEMA.fields
-        ]
-    )
-
-
 def literal_results(
     spark: SparkSession, rows: Sequence[tuple[Rule, Dataset, int, Mapping[str, Any]]]
 ) -> DataFrame:
@@ -215,7 +193,7 @@ def literal_results(
         if "status" not in record:
             record["status"] = Status.SUCCESS if record["is_success"] else Status.FAILURE
         records.append(tuple(record.get(f.name) for f in RESULT_SCHEMA.fields))
-    return spark.createDataFrame(records, RESULT_SCHEMA)
+    return local_frame(spark, records, RESULT_SCHEMA)
 
 
 def error_outcome(error: Exception) -> dict[str, Any]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F, types as T
 from plumbline.functions.verdict import fraction, within_bounds
 from plumbline.model import Rule, RuleError
 from plumbline.operators.base import (
-    Check, Context, FrameCheck, Metrics, ScanCheck, numeric, scalar_outcome,
+    WHOLE, Check, Context, FrameCheck, Metrics, ScanCheck, numeric, scalar_outcome,
 )
 from plumbline.operators.percentiles import exact_percentiles
 from plumbline.sources.datasets import estimated_bytes
@@ -38,6 +38,7 @@ def _statistic(function: Callable[[Column], Column]) -> Callable[[Context, Rule]
                 "value": function(value),
             },
             outcome=outcome,
+            judgement=WHOLE,
         )
 
     return build
@@ -68,12 +69,13 @@ def median(ctx: Context, rule: Rule) -> Check:
     counts = ctx.dataset.frame.agg(
         F.count(F.lit(1)).alias("element"), F.count_if(raw.isNull()).alias("missing")
     )
-    found = exact_percentiles(ctx.dataset.frame, value, [0.5]).agg(F.max("value")).scalar()
+    found = exact_percentiles(ctx.source(False), value, [0.5]).agg(F.max("value")).scalar()
     return FrameCheck(
         metrics=counts.withColumn("value", found),
         outcome=lambda m: scalar_outcome(
             m["element"], m["value"], within_bounds(m["value"], *bounds_of(rule)), m["missing"]
         ),
+        judgement=WHOLE,
     )
 
 
@@ -84,12 +86,10 @@ def share_non_null(ctx: Context, rule: Rule) -> Check:
         nulls = m["element"] - m["filled"]
         share = fraction(m["filled"], m["element"])
         return {
-            "element_count": m["element"],
-            "observed_value": share.cast("string"),
-            "unexpected_count": nulls,
-            "unexpected_percent": fraction(nulls, m["element"]) * 100,
-            "unexpected_percent_total": fraction(nulls, m["element"]) * 100,
-            "is_success": within_bounds(share, *bounds_of(rule)),
+            "element": m["element"],
+            "observed": share.cast("string"),
+            "unexpected": nulls,
+            "success": within_bounds(share, *bounds_of(rule)),
         }
 
     return ScanCheck({"element": F.count(F.lit(1)), "filled": F.count(col)}, outcome)
@@ -126,14 +126,12 @@ def freshness(ctx: Context, rule: Rule) -> Check:
 
     def outcome(m: Metrics) -> dict[str, Column]:
         fresh = F.coalesce(m["newest"] > threshold, F.lit(False))
-        stale = F.when(fresh, F.lit(0)).otherwise(m["element"])
+        stale = F.when(fresh, F.lit(0).cast("bigint")).otherwise(m["element"])
         return {
-            "element_count": m["element"],
-            "observed_value": m["newest"].cast("string"),
-            "unexpected_count": stale,
-            "unexpected_percent": fraction(stale, m["element"]) * 100,
-            "unexpected_percent_total": fraction(stale, m["element"]) * 100,
-            "is_success": fresh,
+            "element": m["element"],
+            "observed": m["newest"].cast("string"),
+            "unexpected": stale,
+            "success": fresh,
         }
 
     return ScanCheck({"element": F.count(F.lit(1)), "newest": newest}, outcome)
@@ -145,6 +143,7 @@ def row_count_between(ctx: Context, rule: Rule) -> Check:
         lambda m: scalar_outcome(
             m["element"], m["element"], within_bounds(m["element"], *bounds_of(rule))
         ),
+        WHOLE,
     )
 
 
@@ -153,6 +152,7 @@ def row_count_equal(ctx: Context, rule: Rule) -> Check:
     return ScanCheck(
         {"element": F.count(F.lit(1))},
         lambda m: scalar_outcome(m["element"], m["element"], m["element"] == expected),
+        WHOLE,
     )
 
 
@@ -169,4 +169,5 @@ def row_count_equals_other(ctx: Context, rule: Rule) -> Check:
             "details": F.to_json(F.struct(F.lit(other_name).alias("other_dataset_name"),
                                           other.alias("other_row_count"))),
         },
+        WHOLE,
     )

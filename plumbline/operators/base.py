@@ -15,13 +15,32 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.numerals import numeral_value
 from plumbline.functions.text import is_text
-from plumbline.functions.verdict import count_where, fraction, tolerated
-from plumbline.model import Dataset, Rule, RuleError
+from plumbline.functions.verdict import count_where
+from plumbline.model import Dataset, Rule, RuleError, quoted
 
 Metrics = Mapping[str, Column]
+# What a check says about its data: ``element``, ``missing`` and ``unexpected``
+# counts, a ``success`` that does not follow from them, and the texts
+# ``observed``, ``details`` and ``results``.
 Outcome = Mapping[str, Column]
 
 
+@dataclass(frozen=True)
+class Judgement:
+    """How percentages and verdict follow from the counts."""
+
+    mostly: float = 1.0
+    # ``1 - bad >= mostly`` instead of ``bad <= 1 - mostly``.
+    by_success_rate: bool = False
+    # The verdict looks at the non-missing rows only.
+    of_nonmissing: bool = False
+    # Missing rows are not among the evaluated ones.
+    missing_outside: bool = False
+    shows_nonmissing: bool = False
+    # Right or wrong as a whole: 0 or 100 percent.
+    whole: bool = False
+
+
 @dataclass(frozen=True)
 class Options:
     """Choices that trade a shared scan against bounded memory."""
@@ -41,9 +60,17 @@ class Context:
     datasets: Mapping[str, Dataset] = field(default_factory=dict)
     as_of: dt.datetime | str | None = None
     options: Options = field(default_factory=Options)
+    # Text columns read as numbers: parsed once per row, whatever uses them.
+    parsed: dict[str, Column] = field(default_factory=dict)
 
     def source(self, incremental: bool) -> DataFrame:
-        return self.dataset.increment() if incremental else self.dataset.frame
+        rows = self.dataset.increment() if incremental else self.dataset.frame
+        return rows.withColumns(self.parsed) if self.parsed else rows
+
+    def parsed_number(self, name: str, col: Column) -> Column:
+        alias = f"_number_of_{name}"
+        self.parsed.setdefault(alias, numeral_value(col.cast("string")))
+        return F.col(quoted(alias))
 
 
 @dataclass(frozen=True)
@@ -52,6 +79,7 @@ class ScanCheck:
 
     aggregates: Mapping[str, Column]
     outcome: Callable[[Metrics], Outcome]
+    judgement: Judgement = Judgement()
     unexpected: Column | None = None
     error_value: Column | None = None
     failed_row_limit: int | None = None
@@ -70,6 +98,7 @@ class GroupCheck:
     key_id: tuple[object, ...]
     aggregates: Callable[[list[Column], Column], Mapping[str, Column]]
     outcome: Callable[[Metrics], Outcome]
+    judgement: Judgement = Judgement()
     preview: Callable[[DataFrame], Column] | None = None
     failed_rows: Callable[[DataFrame], DataFrame] | None = None
     error_value: Column | None = None
@@ -90,6 +119,7 @@ class FrameCheck:
 
     metrics: DataFrame
     outcome: Callable[[Metrics], Outcome]
+    judgement: Judgement = Judgement()
     failed: DataFrame | None = None
 
 
@@ -106,7 +136,7 @@ def numeric(ctx: Context, name: str | None) -> Column:
     """Column as a double; text columns are read as digits or numerals."""
     col, dtype = ctx.dataset.column(name)
     if is_text(dtype):
-        return numeral_value(col.cast("string"))
+        return ctx.parsed_number(ctx.dataset.field(name).name, col)
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
     raise RuleError(f"column {name!r} of type {dtype.simpleString()} is not numeric")
@@ -115,7 +145,7 @@ def numeric(ctx: Context, name: str | None) -> Column:
 def comparable(ctx: Context, name: str | None) -> Column:
     """Column for order comparisons: text becomes numeric, other types stay."""
     col, dtype = ctx.dataset.column(name)
-    return numeral_value(col.cast("string")) if is_text(dtype) else col
+    return ctx.parsed_number(ctx.dataset.field(name).name, col) if is_text(dtype) else col
 
 
 def row_check(
@@ -126,7 +156,7 @@ def row_check(
     missing: Column | None = None,
     missing_outside: bool = False,
     nonmissing: bool = True,
-    verdict: str = "total",
+    of_nonmissing: bool = False,
     by_success_rate: bool = False,
     extra: Mapping[str, Column] | None = None,
     more: Callable[[Metrics], Outcome] | None = None,
@@ -148,16 +178,16 @@ def row_check(
     }
 
     def outcome(m: Metrics) -> Outcome:
-        result = row_outcome(
-            rule, m["element"], m["unexpected"], m.get("missing"),
-            missing_outside=missing_outside, nonmissing=nonmissing,
-            verdict=verdict, by_success_rate=by_success_rate,
-        )
-        return {**result, **(more(m) if more else {})}
+        counts = {k: m[k] for k in ("element", "unexpected", "missing") if k in m}
+        return {**counts, **(more(m) if more else {})}
 
     return ScanCheck(
         aggregates=aggregates,
         outcome=outcome,
+        judgement=Judgement(
+            rule.mostly, by_success_rate, of_nonmissing, missing_outside,
+            nonmissing and missing is not None,
+        ),
         unexpected=unexpected,
         error_value=error_value,
         failed_row_limit=failed_row_limit(rule, default_limit),
@@ -165,49 +195,19 @@ def row_check(
     )
 
 
-def row_outcome(
-    rule: Rule,
-    element: Column,
-    unexpected: Column,
-    missing: Column | None,
-    *,
-    missing_outside: bool = False,
-    nonmissing: bool = True,
-    verdict: str = "total",
-    by_success_rate: bool = False,
-) -> dict[str, Column]:
-    """Counts to percentages and verdict, common to all row-counting checks."""
-    population = element + missing if missing_outside and missing is not None else element
-    total = fraction(unexpected, population)
-    result = {"element_count": element, "unexpected_count": unexpected}
-    of_nonmissing = None
-    if missing is not None:
-        result["missing_count"] = missing
-        result["missing_percent"] = fraction(missing, population) * 100
-        if nonmissing:
-            of_nonmissing = fraction(unexpected, element if missing_outside else element - missing)
-            result["unexpected_percent_nonmissing"] = of_nonmissing * 100
-    judged = of_nonmissing if verdict == "nonmissing" and of_nonmissing is not None else total
-    result["unexpected_percent"] = judged * 100
-    result["unexpected_percent_total"] = total * 100
-    result["is_success"] = tolerated(judged, rule.mostly, by_success_rate=by_success_rate)
-    return result
-
-
 def scalar_outcome(
     element: Column, value: Column, success: Column, missing: Column | None = None
 ) -> dict[str, Column]:
     """Result of a check on one number: wrong as a whole or right as a whole."""
-    bad = F.when(success, F.lit(0)).otherwise(F.lit(1))
     result = {
-        "element_count": element,
-        "observed_value": value.cast("string"),
-        "unexpected_count": bad,
-        "unexpected_percent": bad * 100.0,
-        "unexpected_percent_total": bad * 100.0,
-        "is_success": success,
+        "element": element,
+        "observed": value.cast("string"),
+        "unexpected": F.when(success, F.lit(0)).otherwise(F.lit(1)).cast("bigint"),
+        "success": success,
     }
     if missing is not None:
-        result["missing_count"] = missing
-        result["missing_percent"] = fraction(missing, element) * 100
+        result["missing"] = missing
     return result
+
+
+WHOLE = Judgement(whole=True)

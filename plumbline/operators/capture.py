@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.model import Dataset, quoted
 from plumbline.operators.base import GroupCheck, ScanCheck
 
@@ -58,8 +59,8 @@ def failing_values(plan) -> DataFrame:
             rows = check.failed_rows(plan.context.source(check.incremental))
             frames.append(rows.select(_entry(rule.rule_id, check.error_value).alias("e")).select("e.*"))
     if not frames:
-        return plan.dataset.frame.sparkSession.createDataFrame(
-            [], "rule_config_id bigint, text string, number double, n bigint"
+        return local_frame(
+        plan.dataset.frame.sparkSession, [], "rule_config_id bigint, text string, number double, n bigint"
         )
     union = frames[0]
     for frame in frames[1:]:

@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 
@@ -65,7 +66,7 @@ def line_equations(
         "intercept double, relationship_type string, correlation double"
     )
     if not wanted:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_frame(df.sparkSession, [], schema)
     aggregates, rows = [], []
     for i, (x, y) in enumerate(wanted):
         # regr_* functions look at pairs where both sides are present.

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 RESULT = (
@@ -113,7 +114,7 @@ def validate_equations(
         rows.append(row(text, valid & (records > 0), F.round(rate, 2),
                         F.when(records == 0, F.col("n")).otherwise(records), good, message))
     if not rows:
-        return df.sparkSession.createDataFrame([], RESULT)
+        return local_frame(df.sparkSession, [], RESULT)
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 

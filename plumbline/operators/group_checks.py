@@ -12,13 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbline.functions.local import local_frame
 from plumbline.functions.rows import orderable, replicated
 from plumbline.functions.text import is_blank, is_filled, literal_text, member_of
 from plumbline.functions.verdict import fraction, ignored_rows, within_bounds
 from plumbline.model import Dataset, Rule, RuleError, quoted
 from plumbline.operators.aggregate_checks import bounds_of
 from plumbline.operators.base import (
-    Check, Context, GroupCheck, Metrics, failed_row_limit, row_outcome, scalar_outcome,
+    WHOLE, Check, Context, GroupCheck, Judgement, Metrics, failed_row_limit, scalar_outcome,
 )
 
 
@@ -41,9 +42,9 @@ def unique(ctx: Context, rule: Rule) -> Check:
         }
 
     def outcome(m: Metrics) -> dict[str, Column]:
-        result = row_outcome(rule, m["element"], m["unexpected"], m["missing"], by_success_rate=True)
+        result = {k: m[k] for k in ("element", "unexpected", "missing")}
         unique_percent = (1 - fraction(m["unexpected"], m["element"])) * 100
-        result["observed_value"] = F.to_json(F.struct(
+        result["observed"] = F.to_json(F.struct(
             unique_percent.alias("observed_uniqueness_percent"),
             m["distinct"].alias("unique_count"),
             m["element"].alias("element_count"),
@@ -63,6 +64,7 @@ def unique(ctx: Context, rule: Rule) -> Check:
 
     return GroupCheck(
         keys=(col,), key_id=("column", name), aggregates=aggregates, outcome=outcome,
+        judgement=Judgement(rule.mostly, by_success_rate=True, shows_nonmissing=True),
         failed_rows=failed_rows, error_value=F.trim(col.cast("string")),
         failed_row_limit=failed_row_limit(rule),
     )
@@ -85,16 +87,15 @@ def compound_unique(ctx: Context, rule: Rule) -> Check:
             "unexpected": _sum(F.when(kept, n - 1)),
         }
 
-    def outcome(m: Metrics) -> dict[str, Column]:
-        return row_outcome(rule, m["element"], m["unexpected"], m["missing"], nonmissing=False)
-
     def failed_rows(df: DataFrame) -> DataFrame:
         ignored = ignored_rows(policy, columns, "never")
         return surplus_copies(df if ignored is None else df.where(~ignored), names,
                               ctx.dataset.key_columns)
 
     return GroupCheck(
-        keys=tuple(columns), key_id=("columns", *names), aggregates=aggregates, outcome=outcome,
+        keys=tuple(columns), key_id=("columns", *names), aggregates=aggregates,
+        outcome=lambda m: {k: m[k] for k in ("element", "unexpected", "missing")},
+        judgement=Judgement(rule.mostly),
         failed_rows=failed_rows, failed_row_limit=failed_row_limit(rule), incremental=True,
     )
 
@@ -151,7 +152,7 @@ def _count_check(ctx: Context, rule: Rule, value_of: object) -> Check:
 
     return GroupCheck(
         keys=(col,), key_id=("column", ctx.dataset.field(rule.target).name),
-        aggregates=aggregates, outcome=outcome, incremental=True,
+        aggregates=aggregates, outcome=outcome, judgement=WHOLE, incremental=True,
     )
 
 
@@ -208,7 +209,8 @@ def most_common_in_set(ctx: Context, rule: Rule) -> Check:
 
     return GroupCheck(
         keys=(col,), key_id=("column", ctx.dataset.field(rule.target).name),
-        aggregates=aggregates, outcome=outcome, preview=preview, incremental=True,
+        aggregates=aggregates, outcome=outcome, judgement=WHOLE, preview=preview,
+        incremental=True,
     )
 
 
@@ -257,7 +259,7 @@ def _distinct_set(needs_missing: bool, needs_extra: bool):
 
         return GroupCheck(
             keys=(col,), key_id=("column", ctx.dataset.field(rule.target).name),
-            aggregates=aggregates, outcome=outcome,
+            aggregates=aggregates, outcome=outcome, judgement=WHOLE,
             preview=lambda counts: _preview(
                 counts.where(F.col("k0").isNotNull()), ctx.options.preview_size
             ),
@@ -299,8 +301,8 @@ def distinct_mismatches(dataset: Dataset, column: str, values: list[object]) ->
     observed = dataset.frame.where(col.isNotNull()).groupBy(col.cast(kind).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    expected = dataset.frame.sparkSession.createDataFrame(
-        [(v,) for v in _distinct_literals(values, dtype)], f"wanted {kind}"
+    expected = local_frame(
+        dataset.frame.sparkSession, [(v,) for v in _distinct_literals(values, dtype)], f"wanted {kind}"
     )
     joined = observed.join(expected, F.col("value") == F.col("wanted"), "full_outer")
     return joined.select(

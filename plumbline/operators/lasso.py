@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 _EPS = float(np.finfo(float).eps)
@@ -93,7 +94,7 @@ def _scores(row: Mapping[str, float], prefix: str) -> tuple[float | None, float
 
 def _result(df: DataFrame, **values: object) -> DataFrame:
     names = [part.strip().split(" ")[0] for part in MODEL_SCHEMA.replace("map<string,double>", "m").split(",")]
-    return df.sparkSession.createDataFrame([tuple(values.get(n) for n in names)], MODEL_SCHEMA)
+    return local_frame(df.sparkSession, [tuple(values.get(n) for n in names)], MODEL_SCHEMA)
 
 
 def fit_fixed_alpha(
@@ -237,7 +238,7 @@ def fit_cross_validated(
 
     def failed(message: str) -> DataFrame:
         row = (source, *[None] * 12, message)
-        return df.sparkSession.createDataFrame([row], schema)
+        return local_frame(df.sparkSession, [row], schema)
 
     if target not in df.columns or not names:
         return failed("Missing target or features")
@@ -271,7 +272,7 @@ def fit_cross_validated(
     r2, _, mape = _scores(stats, "t_")
     kept = [f"({c:.4f} * {t})" for c, t in zip(w, terms.columns) if abs(c) > 1e-6]
     equation = f"{target} = " + " + ".join([f"{intercept:.4f}", *kept])
-    return df.sparkSession.createDataFrame([(
+    return local_frame(df.sparkSession, [(
         source, relation_type, target, code, equation,
         None if r2 is None else round(r2, 2), None if mape is None else round(mape, 2),
         round(100.0 * hits / stats["n"], 2), round(intercept, 6),

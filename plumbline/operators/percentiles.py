@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from plumbline.functions.local import local_frame
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SPLITS = 1_000
@@ -34,7 +35,7 @@ def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[floa
         "before",
         F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)),
     ).withColumn("before", F.coalesce("before", F.lit(0)))
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in probabilities], "probability double")
+    wanted = local_frame(df.sparkSession, [(float(p),) for p in probabilities], "probability double")
     total = sizes.agg(F.sum("n")).scalar()
     position = F.col("probability") * (total - 1)
     ranks = wanted.select(

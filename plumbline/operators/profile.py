@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from plumbline.functions.local import local_frame
 from plumbline.functions.numerals import (
     NUMERAL_COLUMN_PATTERN, localise_stats, normalise_numeric,
 )
@@ -410,7 +411,7 @@ def numeral_columns(df: DataFrame) -> DataFrame:
     """Per text column: are all its non-null values written in numeral characters?"""
     names = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not names:
-        return df.sparkSession.createDataFrame([], "column_name string, non_null_count bigint, is_numeral boolean")
+        return local_frame(df.sparkSession, [], "column_name string, non_null_count bigint, is_numeral boolean")
     aggregates = [
         a for i, c in enumerate(names) for a in (
             F.count(F.col(quoted(c))).alias(f"n{i}"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.functions.local import local_frame
 from plumbline.model import Rule, RuleError
 from plumbline.operators import aggregate_checks as agg
 from plumbline.operators import group_checks as grp
@@ -80,7 +81,7 @@ def catalogue(spark: SparkSession) -> DataFrame:
     kinds = {row: "ROW", grp: "GROUP", agg: "AGGREGATE", tab: "TABLE"}
     by_module = {m.__name__: kind for m, kind in kinds.items()}
     names = {**{n: n for n in EXPECTATIONS}, **ALIASES}
-    return spark.createDataFrame(
-        [(n, t, by_module[EXPECTATIONS[t].__module__]) for n, t in names.items()],
+    return local_frame(
+        spark, [(n, t, by_module[EXPECTATIONS[t].__module__]) for n, t in names.items()],
         "expectation_name string, canonical_name string, kind string",
     )

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 from plumbline.operators.profile import value_counts
 
@@ -27,11 +28,11 @@ def low_cardinality_columns(
     empty = [c for i, c in enumerate(names) if row[i] == 0]
     spark = df.sparkSession
     if not near:
-        return spark.createDataFrame([], "column_name string, distinct_count bigint")
+        return local_frame(spark, [], "column_name string, distinct_count bigint")
     exact = value_counts(df, near).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
     exact = exact.where(F.col("distinct_count") <= max_distinct)
     if empty:
-        none = spark.createDataFrame([(c, 0) for c in empty], "column_name string, distinct_count bigint")
+        none = local_frame(spark, [(c, 0) for c in empty], "column_name string, distinct_count bigint")
         exact = exact.unionByName(none)
     return exact
 

@@ -13,8 +13,7 @@ from plumbline.functions.text import full_match, is_blank, is_filled, is_text, l
 from plumbline.functions.verdict import count_where, fraction, ignored_rows
 from plumbline.model import Rule, RuleError
 from plumbline.operators.base import (
-    Check, Context, GroupCheck, Metrics, ScanCheck, comparable, failed_row_limit, numeric, row_check,
-    row_outcome,
+    Check, Context, GroupCheck, Judgement, Metrics, comparable, failed_row_limit, numeric, row_check,
 )
 
 
@@ -112,7 +111,7 @@ def in_set(ctx: Context, rule: Rule) -> Check:
     def kpis(m: Metrics, found: Column, counts: Column) -> dict[str, Column]:
         present = m["element"] - m["missing"]
         return {
-            "observed_value": F.to_json(counts),
+            "observed": F.to_json(counts),
             "results": F.to_json(F.struct(
                 m["element"].alias("element_count"),
                 m["unexpected"].alias("unexpected_count"),
@@ -160,11 +159,12 @@ def in_set(ctx: Context, rule: Rule) -> Check:
         }
 
     def outcome(m: Metrics) -> dict[str, Column]:
-        result = row_outcome(rule, m["element"], m["unexpected"], m["missing"])
-        return {**result, **kpis(m, F.size(m["seen"]), _summed_map(m["seen"]))}
+        counts = {k: m[k] for k in ("element", "unexpected", "missing")}
+        return {**counts, **kpis(m, F.size(m["seen"]), _summed_map(m["seen"]))}
 
     return GroupCheck(
         keys=keys, key_id=("in_set", rule.rule_id), aggregates=aggregates, outcome=outcome,
+        judgement=Judgement(rule.mostly, shows_nonmissing=True),
         failed_rows=lambda df: df.where(unexpected),
         error_value=F.trim(col.cast("string")),
         failed_row_limit=failed_row_limit(rule), incremental=True,
@@ -289,7 +289,7 @@ def z_score_below(ctx: Context, rule: Rule) -> Check:
     value = numeric(ctx, rule.target)
     raw, _ = ctx.dataset.column(rule.target)
     stats = (
-        ctx.dataset.frame.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"))
+        ctx.source(False).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stddev"))
         .select(F.struct("mean", "stddev"))
         .scalar()
     )
@@ -306,7 +306,7 @@ def z_score_below(ctx: Context, rule: Rule) -> Check:
         nonmissing=False,
         extra={"mean": F.max(mean), "stddev": F.max(stddev)},
         more=lambda m: {
-            "observed_value": F.to_json(F.struct(m["mean"].alias("mean"), m["stddev"].alias("stddev")))
+            "observed": F.to_json(F.struct(m["mean"].alias("mean"), m["stddev"].alias("stddev")))
         },
         default_limit=20,
         incremental=True,
@@ -325,7 +325,7 @@ def pair_greater(ctx: Context, rule: Rule) -> Check:
     if ignored is not None:
         unexpected, missing = unexpected & ~ignored, missing & ~ignored
     return row_check(rule, unexpected, evaluated=None if ignored is None else ~ignored,
-                     missing=missing, verdict="nonmissing")
+                     missing=missing, of_nonmissing=True)
 
 
 def pair_equal(ctx: Context, rule: Rule) -> Check:
@@ -392,16 +392,12 @@ def multicolumn_sum(ctx: Context, rule: Rule) -> Check:
     unexpected = gap > 0.0001
     if ignored is not None:
         unexpected = unexpected & ~ignored
-    check = row_check(
+    return row_check(
         rule, unexpected,
         evaluated=None if ignored is None else ~ignored,
         missing=reduce(lambda x, y: x | y, [r.isNull() for r in raws]),
         nonmissing=False, by_success_rate=True,
-        more=lambda m: {
-            "unexpected_percent_nonmissing": fraction(m["unexpected"], m["element"]) * 100
-        },
     )
-    return check
 
 
 def unique_within_record(ctx: Context, rule: Rule) -> Check:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.verdict import fraction
 from plumbline.model import Rule, RuleError
-from plumbline.operators.base import Check, Context, FrameCheck, SchemaCheck
-
-import json
+from plumbline.operators.base import Check, Context, FrameCheck, Metrics, Outcome, SchemaCheck
 
 
 def _whole(element: int, bad: int, percent: float, ok: bool, observed: object,
@@ -99,20 +99,17 @@ def unexpected_rows(ctx: Context, rule: Rule) -> Check:
         "element", source.agg(F.count(F.lit(1))).scalar()
     )
 
-    def outcome(m):
+    def outcome(m: Metrics) -> Outcome:
         percent = fraction(m["unexpected"], m["element"]) * 100
         return {
-            "element_count": m["element"],
-            "missing_count": F.lit(0),
-            "missing_percent": F.lit(0.0),
-            "unexpected_count": m["unexpected"],
-            "unexpected_percent": percent,
-            "unexpected_percent_total": percent,
-            "observed_value": F.to_json(F.struct(
+            "element": m["element"],
+            "missing": F.lit(0).cast("bigint"),
+            "unexpected": m["unexpected"],
+            "observed": F.to_json(F.struct(
                 percent.alias("observed_unexpected_percent"),
                 m["element"].alias("element_count"),
                 m["unexpected"].alias("unexpected_count"))),
-            "is_success": m["unexpected"] == 0,
+            "success": m["unexpected"] == 0,
         }
 
-    return FrameCheck(metrics, outcome, failing)
+    return FrameCheck(metrics, outcome, failed=failing)

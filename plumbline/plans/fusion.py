@@ -8,16 +8,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.local import local_frame
 from plumbline.model import (
-    RESULT_SCHEMA, Dataset, Rule, RuleError, error_outcome, literal_results, quoted, result_struct,
+    RESULT_SCHEMA, Dataset, Rule, RuleError, Status, error_outcome, literal_results, quoted,
+    rule_fields,
 )
+from plumbline.functions.verdict import fraction
 from plumbline.operators.base import (
     Check, Context, FrameCheck, GroupCheck, ScanCheck, SchemaCheck,
 )
@@ -63,7 +66,12 @@ def plan_rules(context: Context, rules: Sequence[Rule], run_id: int = 0) -> Plan
 
 
 def result_frame(plan: Plan) -> DataFrame:
-    """One result row per rule, as a lazy DataFrame."""
+    """One result row per rule, as a lazy DataFrame.
+
+    The data yields a few counts and texts per rule.  What is known beforehand
+    about a rule comes from a local table with one row per rule, joined last;
+    percentages and verdicts are computed once for all.
+    """
     spark = plan.dataset.frame.sparkSession
     frames: list[DataFrame] = []
     for incremental in (False, True):
@@ -73,14 +81,84 @@ def result_frame(plan: Plan) -> DataFrame:
         frames += _grouped(plan, groups, incremental)
     for rule, check in plan.of_kind(FrameCheck):
         metrics = {c: F.col(c) for c in check.metrics.columns}
-        frames.append(_rows(check.metrics, [_result(plan, rule, check.outcome(metrics))]))
+        frames.append(_rows(check.metrics, [_raw(rule, check.outcome(metrics))]))
+    results = []
+    if frames:
+        results.append(_judged(plan, reduce(lambda a, b: a.unionAll(b), frames)))
     literal = [
         (rule, plan.dataset, plan.run_id, check.outcome)
         for rule, check in plan.of_kind(SchemaCheck)
     ] + [(rule, plan.dataset, plan.run_id, error_outcome(e)) for rule, e in plan.errors]
-    if literal or not frames:
-        frames.append(literal_results(spark, literal))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    if literal or not results:
+        results.append(literal_results(spark, literal))
+    return reduce(lambda a, b: a.unionByName(b), results)
+
+
+# Outcome of one rule as the data yields it.
+RAW_FIELDS = {
+    "element": "bigint", "missing": "bigint", "unexpected": "bigint", "success": "boolean",
+    "observed": "string", "details": "string", "results": "string",
+}
+JUDGEMENT_SCHEMA = (
+    "rule_config_id bigint, dataset_run_id bigint, dataset_id bigint, dataset_name string, "
+    "expectation_id bigint, expectation_name string, column_name string, dimension string, "
+    "kwargs string, mostly double, by_success_rate boolean, of_nonmissing boolean, "
+    "missing_outside boolean, shows_nonmissing boolean, whole boolean"
+)
+
+
+def _raw(rule: Rule, outcome: Mapping[str, Column]) -> Column:
+    return F.struct(
+        F.lit(rule.rule_id).cast("bigint").alias("rule_config_id"),
+        *[
+            outcome[name].alias(name) if name in outcome else F.lit(None).cast(dtype).alias(name)
+            for name, dtype in RAW_FIELDS.items()
+        ],
+    )
+
+
+def _judged(plan: Plan, raw: DataFrame) -> DataFrame:
+    known = []
+    for rule, check in plan.checks:
+        if not isinstance(check, SchemaCheck):
+            fields, j = rule_fields(rule, plan.dataset, plan.run_id), check.judgement
+            known.append((
+                *[fields[n] for n in (
+                    "rule_config_id", "dataset_run_id", "dataset_id", "dataset_name",
+                    "expectation_id", "expectation_name", "column_name", "dimension", "kwargs",
+                )],
+                j.mostly, j.by_success_rate, j.of_nonmissing, j.missing_outside,
+                j.shows_nonmissing, j.whole,
+            ))
+    table = local_frame(plan.dataset.frame.sparkSession, known, JUDGEMENT_SCHEMA)
+    element, missing, unexpected = F.col("element"), F.col("missing"), F.col("unexpected")
+    outside = F.col("missing_outside")
+    population = element + F.when(outside, F.coalesce(missing, F.lit(0))).otherwise(F.lit(0))
+    total = F.when(F.col("whole"), unexpected.cast("double")).otherwise(fraction(unexpected, population))
+    present = F.when(outside, element).otherwise(element - missing)
+    nonmissing = fraction(unexpected, present)
+    bad = F.when(F.col("of_nonmissing"), nonmissing).otherwise(total)
+    tolerated = F.when(F.col("by_success_rate"), (F.lit(1.0) - bad) >= F.col("mostly")).otherwise(
+        bad <= (F.lit(1.0) - F.col("mostly"))
+    )
+    columns = {
+        "is_success": F.coalesce("success", tolerated, F.lit(False)),
+        "missing_percent": F.when(missing.isNotNull(), fraction(missing, population) * 100),
+        "unexpected_percent": bad * 100,
+        "unexpected_percent_nonmissing": F.when(F.col("shows_nonmissing"), nonmissing * 100),
+        "unexpected_percent_total": total * 100,
+    }
+    # One row per rule on either side.
+    judged = raw.join(F.broadcast(table), "rule_config_id").withColumns(columns)
+    renamed = {
+        "element_count": element, "missing_count": missing, "unexpected_count": unexpected,
+        "observed_value": F.col("observed"), "error_message": F.lit(None).cast("string"),
+        "status": F.when(F.col("is_success"), Status.SUCCESS).otherwise(Status.FAILURE),
+    }
+    return judged.select(*[
+        renamed[f.name].alias(f.name) if f.name in renamed else F.col(f.name)
+        for f in RESULT_SCHEMA.fields
+    ])
 
 
 def _is_incremental(plan: Plan) -> bool:
@@ -113,15 +191,9 @@ def _batches(plan: Plan, scans: list[tuple[Rule, ScanCheck]]) -> list[list[tuple
     return batches
 
 
-def _result(plan: Plan, rule: Rule, outcome) -> Column:
-    return result_struct(rule, plan.dataset, plan.run_id, outcome)
-
-
-def _rows(one_row: DataFrame, results: list[Column]) -> DataFrame:
-    """A one-row frame of metrics to one row per result."""
-    return one_row.select(F.inline(F.array(*results))).select(
-        *[F.col(f.name) for f in RESULT_SCHEMA.fields]
-    )
+def _rows(one_row: DataFrame, outcomes: list[Column]) -> DataFrame:
+    """A one-row frame of metrics to one row per rule."""
+    return one_row.select(F.inline(F.array(*outcomes)))
 
 
 def _scan(plan: Plan, source: DataFrame, batch: list[tuple[Rule, ScanCheck]]) -> DataFrame:
@@ -129,9 +201,7 @@ def _scan(plan: Plan, source: DataFrame, batch: list[tuple[Rule, ScanCheck]]) ->
     for i, (rule, check) in enumerate(batch):
         names = {k: f"m{i}_{k}" for k in check.aggregates}
         named.update({names[k]: column for k, column in check.aggregates.items()})
-        results.append(
-            _result(plan, rule, check.outcome({k: F.col(n) for k, n in names.items()}))
-        )
+        results.append(_raw(rule, check.outcome({k: F.col(n) for k, n in names.items()})))
     wide = source.agg(*[column.alias(name) for name, column in named.items()])
     return _rows(wide, results)
 
@@ -160,8 +230,8 @@ def _grouped(
             named.update({own[k]: column for k, column in aggregates.items()})
             outcome = dict(check.outcome({k: F.col(n) for k, n in own.items()}))
             if check.preview is not None:
-                outcome["observed_value"] = check.preview(counts)
-            results.append(_result(plan, rule, outcome))
+                outcome["observed"] = check.preview(counts)
+            results.append(_raw(rule, outcome))
         wide = counts.agg(*[column.alias(name) for name, column in named.items()])
         frames.append(_rows(wide, results))
     return frames

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
+from plumbline.functions.local import local_frame
 from plumbline.model import Dataset, Rule, RuleError, Status
 from plumbline.operators import capture
 from plumbline.operators.base import Context, Options
@@ -182,7 +183,7 @@ def run_suite(
         frame = fusion.result_frame(plan)
         rows = frame.collect()
     schema = T.StructType([*frame.schema.fields, T.StructField("run_timestamp", T.TimestampType())])
-    results = spark.createDataFrame([_finished(r, dataset, started) for r in rows], schema)
+    results = local_frame(spark, [_finished(r, dataset, started) for r in rows], schema)
     summary_row = summarise_counts([r["status"] for r in rows])
     for row in rows:
         trail.log("RULE", row["expectation_name"], step,
@@ -190,8 +191,8 @@ def run_suite(
                   row["error_message"], row["rule_config_id"])
     trail.log("SQL_EXECUTION", f"{summary_row['successful']} succeeded, {summary_row['unsuccessful']} failed",
               step, summary_row["run_status"])
-    summary = spark.createDataFrame(
-        [(run_id, dataset.dataset_id, summary_row["evaluated"], summary_row["successful"],
+    summary = local_frame(
+        spark, [(run_id, dataset.dataset_id, summary_row["evaluated"], summary_row["successful"],
           summary_row["unsuccessful"], summary_row["errors"], summary_row["run_status"],
           summary_row["success_percent"],
           (dt.datetime.now(dt.timezone.utc) - started).total_seconds(), started)],
@@ -202,7 +203,7 @@ def run_suite(
     )
     return SuiteRun(
         dataset, run_id, plan, results, summary,
-        spark.createDataFrame(trail.rows, AUDIT_SCHEMA), summary_row["run_status"], started,
+        local_frame(spark, trail.rows, AUDIT_SCHEMA), summary_row["run_status"], started,
         [r["rule_config_id"] for r in rows if r["status"] == Status.FAILURE],
     )
 

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from plumbline.functions.local import local_frame
 from plumbline.model import Dataset
 
 
@@ -79,8 +80,8 @@ def column_metadata(df: DataFrame) -> DataFrame:
         (i, f.name, type_label(f.dataType), *numeric_shape(f.dataType), f.nullable)
         for i, f in enumerate(df.schema.fields, 1)
     ]
-    return df.sparkSession.createDataFrame(
-        rows,
+    return local_frame(
+        df.sparkSession, rows,
         "ordinal int, column_name string, data_type string, "
         "numeric_precision int, numeric_scale int, is_nullable boolean",
     )

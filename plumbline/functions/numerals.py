@@ -96,44 +96,38 @@ def numeral_value(text: Column) -> Column:
     )
 
 
-def _four_digits(group: Column) -> Column:
-    names = F.array(*[F.lit(c) for c in "零一二三四五六七八九"])
-    parts = []
-    for unit, divisor in (("千", 1000), ("百", 100), ("十", 10), ("", 1)):
-        digit = F.pmod(F.floor(group / divisor), F.lit(10)).cast("int")
-        # A leading one is silent before a unit, never in the last place.
-        spoken = F.lit(0) if divisor == 1 else F.lit(1)
-        parts.append(
-            F.concat(
-                F.when(digit > spoken, F.element_at(names, digit + 1)).otherwise(F.lit("")),
-                F.when(digit > 0, F.lit(unit)).otherwise(F.lit("")),
-            )
-        )
-    return F.concat(*parts)
-
-
 def numeral_text(number: Column) -> Column:
     """Number to Japanese numerals, up to ten decimals; NULL from 10**16 on."""
     value = number.cast("double")
     size = F.abs(value)
-    whole = F.floor(size)
-    groups = []
-    for unit, power in (("兆", 12), ("億", 8), ("万", 4), ("", 0)):
-        group = F.pmod(F.floor(whole / F.lit(10**power).cast("bigint")), F.lit(10_000))
-        groups.append(
-            F.when(group > 0, F.concat(_four_digits(group), F.lit(unit))).otherwise(F.lit(""))
+    padded = F.lpad(F.floor(size).cast("string"), 16, "0")
+
+    def spoken(i: Column) -> Column:
+        digit = F.substring(padded, i + 1, F.lit(1))
+        place = F.pmod(F.lit(15) - i, F.lit(4))
+        # A leading one is silent before a unit, never in the last place.
+        silent = (digit == "0") | ((digit == "1") & (place > 0))
+        group = F.substring(padded, i - 2, F.lit(4))
+        ends_group = (place == 0) & (group != "0000")
+        return F.concat(
+            F.when(silent, "").otherwise(F.translate(digit, "123456789", "一二三四五六七八九")),
+            F.when(digit == "0", "").otherwise(
+                F.element_at(F.array(*[F.lit(u) for u in ("", *UNITS)]), place + 1)
+            ),
+            F.when(ends_group, F.element_at(
+                F.array(*[F.lit(u) for u in ("", *BIG_UNITS)]), ((F.lit(15) - i) / 4 + 1).cast("int")
+            )).otherwise(""),
         )
-    rest = (size - whole.cast("double")).cast("decimal(38,20)").cast("string")
+
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), spoken), "")
+    rest = (size - F.floor(size).cast("double")).cast("decimal(38,20)").cast("string")
     decimals = F.substring(F.rtrim(F.substring(rest, 3, 20), F.lit("0")), 1, 10)
     tail = F.when(
         decimals != "",
         F.concat(F.lit(POINT), F.translate(decimals, "0123456789", "零一二三四五六七八九")),
-    ).otherwise(F.lit(""))
-    sign = F.when(value < 0, F.lit(MINUS)).otherwise(F.lit(""))
-    return (
-        F.when(value == 0, F.lit("零"))
-        .when(size < F.lit(1e16), F.concat(sign, *groups, tail))
-    )
+    ).otherwise("")
+    sign = F.when(value < 0, MINUS).otherwise("")
+    return F.when(value == 0, "零").when(size < F.lit(1e16), F.concat(sign, whole, tail))
 
 
 def normalise_numeric(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.rows import numbered
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
+from plumbline.operators.percentiles import with_slice
 from plumbline.operators.profile import ProfileOptions, profile_columns, type_counts, value_counts
 
 # Unicode general categories and their names.
@@ -271,13 +272,7 @@ def monotonicity(df: DataFrame, order_by: str, columns: Sequence[str] | None = N
         .groupBy("column_name", "o")
         .agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    marks = [i / 500 for i in range(1, 500)]
-    bounds = df.select(point.cast("double").alias("o")).agg(
-        F.coalesce(F.percentile_approx("o", marks, 10_000), F.array().cast("array<double>"))
-    ).scalar()
-    sliced = steps.withColumn(
-        "slice", F.size(F.filter(F.array_distinct(bounds), lambda b: b < F.col("o")))
-    )
+    sliced = with_slice(steps, F.col("o"), df.select(point.cast("double").alias("o")), "slice")
     inside = Window.partitionBy("column_name", "slice").orderBy("o")
     pairs = sliced.withColumns({
         "prev_low": F.lag("low").over(inside), "prev_high": F.lag("high").over(inside),

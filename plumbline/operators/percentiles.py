@@ -1,73 +1,75 @@
-"""Exact percentiles of columns too large for one aggregation buffer."""
+"""Exact percentiles and order slices of columns too large for one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from plumbline.functions.local import local_frame
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_SPLITS = 1_000
+# The sketch places a value within 1 / _ACCURACY of its rank, always.
+_ACCURACY = 100_000
+_MARGIN = 3 / _ACCURACY
 
 
 def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> DataFrame:
     """Interpolated percentiles as rows ``(probability, value)``.
 
     The builtin ``percentile`` keeps every distinct value in one buffer.  Here a
-    sketch cuts the value range into about a thousand slices, one pass counts
-    the rows per slice, and only the slices that hold a wanted rank are counted
-    value by value.  The sketch decides where to look, never what the answer is.
+    sketch brackets each wanted rank, one scan counts the rows below the bracket
+    and the values inside it, and the rank is read off the latter.  The sketch
+    decides where to look, never what the answer is: its error is bounded, and
+    the bracket is wider than that bound.
     """
+    wanted = [float(p) for p in probabilities]
     values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    marks = [i / _SPLITS for i in range(1, _SPLITS)]
-    bounds = (
-        values.agg(F.percentile_approx("v", marks, 20_000).alias("b"))
-        .select(F.array_sort(F.array_distinct(F.coalesce("b", F.array().cast("array<double>")))))
-        .scalar()
-    )
-    # The slice of a value is the number of bounds below it.
-    sliced = values.withColumn(
-        "slice", F.size(F.filter(F.lit(bounds), lambda b: b < F.col("v")))
-    )
-    sizes = sliced.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    # At most a thousand rows from here on, so one task suffices.
-    running = sizes.withColumn(
-        "before",
-        F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)),
-    ).withColumn("before", F.coalesce("before", F.lit(0)))
-    wanted = local_frame(df.sparkSession, [(float(p),) for p in probabilities], "probability double")
-    total = sizes.agg(F.sum("n")).scalar()
-    position = F.col("probability") * (total - 1)
-    ranks = wanted.select(
-        "probability",
-        F.explode(
-            F.array(
-                F.struct(F.floor(position).alias("rank"),
-                         (1 - (position - F.floor(position))).alias("weight")),
-                F.struct(F.ceil(position).alias("rank"),
-                         (position - F.floor(position)).alias("weight")),
-            )
-        ).alias("r"),
-    ).select("probability", "r.rank", "r.weight")
-    located = F.broadcast(running).join(
-        ranks,
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")),
-    ).select("probability", "rank", "weight", "slice", "before")
-    hit = located.select("slice", "before").distinct()
-    # Slices split further by value: equal values are counted before the shuffle.
-    counted = (
-        sliced.join(F.broadcast(hit), "slice")
-        .groupBy("slice", "before", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    within = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("upto", F.col("before") + F.sum("n").over(within))
-    chosen = placed.alias("p").join(
-        F.broadcast(located.alias("l")),
-        (F.col("p.slice") == F.col("l.slice"))
-        & (F.col("l.rank") < F.col("p.upto"))
-        & (F.col("l.rank") >= F.col("p.upto") - F.col("p.n")),
-    )
-    return chosen.groupBy("probability").agg(
-        F.sum(F.when(F.col("weight") > 0, F.col("v") * F.col("weight"))).alias("value")
+    edges = [max(0.0, p - _MARGIN) for p in wanted] + [min(1.0, p + _MARGIN) for p in wanted]
+    bounds = values.agg(F.percentile_approx("v", edges, _ACCURACY)).scalar()
+    low = [F.try_element_at(bounds, F.lit(i + 1)) for i in range(len(wanted))]
+    high = [F.try_element_at(bounds, F.lit(len(wanted) + i + 1)) for i in range(len(wanted))]
+    v = F.col("v")
+    counts = values.agg(F.struct(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(v < low[i]).alias(f"below{i}") for i in range(len(wanted))],
+    )).scalar()
+    inside = reduce(lambda a, b: a | b, [(v >= low[i]) & (v <= high[i]) for i in range(len(wanted))])
+    # Equal values are counted before the shuffle; brackets hold few others.
+    near = values.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    tagged = near.select("v", "n", F.explode(F.array_compact(F.array(*[
+        F.when((v >= low[i]) & (v <= high[i]), F.struct(
+            F.lit(i).alias("i"), F.lit(wanted[i]).alias("probability"),
+            counts[f"below{i}"].alias("below"), (F.lit(wanted[i]) * (counts["n"] - 1)).alias("position"),
+        )) for i in range(len(wanted))
+    ]))).alias("t")).select("v", "n", "t.*")
+    order = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("below") + F.sum("n").over(order)
+    placed = tagged.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    floor, ceil = F.floor("position"), F.ceil("position")
+
+    def holds(rank: Column) -> Column:
+        return (F.col("from") <= rank) & (rank < F.col("upto"))
+
+    weight = F.col("position") - floor
+    lower = F.max(F.when(holds(floor), v * (1 - weight)))
+    upper = F.max(F.when(holds(ceil), v * weight))
+    return (
+        placed.where(holds(floor) | holds(ceil)).groupBy("i", "probability")
+        .agg((lower + upper).alias("value")).drop("i")
     )
+
+
+def with_slice(df: DataFrame, value: Column, source: DataFrame, name: str) -> DataFrame:
+    """Number the rows by slice of a value's range, slices being of similar size.
+
+    Bounds come from a sketch over ``source`` (one column).  A row finds its
+    slice by binary search, one comparison per step.
+    """
+    steps = 8
+    marks = [i / 2**steps for i in range(1, 2**steps)]
+    column = F.col(source.columns[0])
+    bounds = source.agg(F.percentile_approx(column, marks, 10_000)).scalar()
+    sliced = df.withColumn("_bounds", bounds).withColumn(name, F.lit(0))
+    for k in reversed(range(steps)):
+        probe = F.try_element_at("_bounds", F.col(name) + F.lit(1 << k))
+        sliced = sliced.withColumn(name, F.col(name) + F.when(probe < value, 1 << k).otherwise(0))
+    return sliced.drop("_bounds")

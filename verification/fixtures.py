@@ -49,7 +49,7 @@ FIXTURES: dict[str, str] = {
                concat(CASE WHEN p_size >= 20 THEN translate(cast(cast(floor(p_size / 10) AS bigint) AS string), '123456789', '一二三四五六七八九') ELSE '' END,
                       CASE WHEN p_size >= 10 THEN '十' ELSE '' END,
                       CASE WHEN p_size % 10 > 0 THEN translate(cast(p_size % 10 AS string), '123456789', '一二三四五六七八九') ELSE '' END) AS spoken,
-               CASE WHEN p_size % 4 = 0 THEN concat('−', cast(p_size AS string))
+               CASE WHEN p_size % 4 = 0 THEN concat('-', cast(p_size AS string))
                     WHEN p_size % 4 = 1 THEN concat(cast(p_size AS string), '.5') WHEN p_size % 4 = 2 THEN 'none'
                     ELSE NULL END AS mixed,
                p_brand

@@ -65,24 +65,26 @@ def cramers_v(table: DataFrame) -> DataFrame:
     chi2 is ``n * (sum o^2 / (r c) - 1)``, so empty cells need no rows.
     """
     pair = ["col1", "col2"]
-    rows = table.groupBy(*pair, "a").agg(F.sum("n").alias("row_n"))
-    cols = table.groupBy(*pair, "b").agg(F.sum("n").alias("col_n"))
-    row_stats = rows.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("r"), F.sum("row_n").alias("total"),
-        F.sum(1 / F.col("row_n").cast("double")).alias("row_inverse"),
+    whole, by_a, by_b = (Window.partitionBy(*pair, *more) for more in ([], ["a"], ["b"]))
+    one, n = F.lit(1), F.col("n")
+    # One shuffle by pair serves all windows; a pair has few cells.
+    cells = table.select(
+        *pair, n.cast("double").alias("o"),
+        F.sum(n).over(by_a).cast("double").alias("row_n"), F.count(one).over(by_a).alias("row_cells"),
+        F.sum(n).over(by_b).cast("double").alias("col_n"), F.count(one).over(by_b).alias("col_cells"),
+        F.sum(n).over(whole).cast("double").alias("total"),
     )
-    col_stats = cols.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("col_n").cast("double")).alias("col_inverse")
-    )
-    cells = table.join(rows, [*pair, "a"]).join(cols, [*pair, "b"]).join(row_stats, pair)
-    o, ri, cj, n = (F.col(c).cast("double") for c in ("n", "row_n", "col_n", "total"))
-    sums = cells.groupBy(*pair).agg(
+    o, ri, cj = F.col("o"), F.col("row_n"), F.col("col_n")
+    row_share, col_share = 1 / F.col("row_cells").cast("double"), 1 / F.col("col_cells").cast("double")
+    joined = cells.groupBy(*pair).agg(
+        F.max("total").alias("total"),
+        F.round(F.sum(row_share)).alias("r"), F.round(F.sum(col_share)).alias("k"),
+        F.sum(row_share / ri).alias("row_inverse"), F.sum(col_share / cj).alias("col_inverse"),
         F.sum(o * o / (ri * cj)).alias("ratio"),
         # In a 2x2 table every cell is equally far from its expectation.
-        F.max(F.abs(o - ri * cj / n)).alias("gap"),
+        F.max(F.abs(o - ri * cj / F.col("total"))).alias("gap"),
     )
-    joined = sums.join(row_stats, pair).join(col_stats, pair)
-    total = F.col("total").cast("double")
+    total = F.col("total")
     plain = total * (F.col("ratio") - 1)
     corrected = (
         F.pow(F.greatest(F.col("gap") - 0.5, F.lit(0.0)), 2)

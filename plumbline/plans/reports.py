@@ -142,9 +142,8 @@ def last_run_failed_records(records: DataFrame, rules: DataFrame, datasets: Data
         .join(datasets.select("dataset_id", "dataset_name"), "dataset_id", "left")
         .groupBy("dataset_id", "dataset_name").agg(F.max("run").alias("max_run"))
     )
-    return newest.join(records, records["dataset_run_id"] == F.col("max_run")).select(
-        "dataset_id", "dataset_name", records["dataset_run_id"], records["rule_config_id"],
-        "failed_row", "load_timestamp",
+    return newest.withColumnRenamed("max_run", "dataset_run_id").join(records, "dataset_run_id").select(
+        "dataset_id", "dataset_name", "dataset_run_id", "rule_config_id", "failed_row", "load_timestamp"
     )
 
 

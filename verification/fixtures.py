@@ -205,4 +205,4 @@ def with_fixtures(sql: str, *names: str) -> str:
     """Oracle SQL with the fixtures it reads in front of it."""
     if not names:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in names) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in names) + "\n" + sql.lstrip()

@@ -18,11 +18,23 @@ from plumbline.functions.text import is_text
 from plumbline.functions.verdict import count_where
 from plumbline.model import Dataset, Rule, RuleError, quoted
 
-Metrics = Mapping[str, Column]
-# What a check says about its data: ``element``, ``missing`` and ``unexpected``
+class Metrics(dict):
+    """Metric columns of one check by short name, or their names for SQL."""
+
+    def __init__(self, names: Mapping[str, str]):
+        super().__init__(names)
+
+    def __getitem__(self, key: str) -> Column:
+        return F.col(super().__getitem__(key))
+
+    def named(self, *keys: str) -> dict[str, str]:
+        return {k: super(Metrics, self).__getitem__(k) for k in keys if k in self}
+
+
+# What a check says about its data, as columns or names of metric columns: ``element``, ``missing`` and ``unexpected``
 # counts, a ``success`` that does not follow from them, and the texts
 # ``observed``, ``details`` and ``results``.
-Outcome = Mapping[str, Column]
+Outcome = Mapping[str, Column | str]
 
 
 @dataclass(frozen=True)
@@ -48,8 +60,10 @@ class Options:
     # Above this size an exact median no longer fits one aggregation buffer, so
     # it is computed by splitting the value range (see operators.percentiles).
     in_memory_median_bytes: int = 256 << 20
-    # Aggregates in one scan; beyond this the generated code gets too large.
-    aggregates_per_scan: int = 240
+    # Aggregates in one scan.  Spark compiles an aggregation only up to
+    # spark.sql.codegen.maxFields (100) buffer fields; a second scan of the
+    # columns is far cheaper than interpreting every row.
+    aggregates_per_scan: int = 80
     # Values quoted inside a result row.  Complete lists are DataFrames.
     preview_size: int = 20
 
@@ -60,17 +74,22 @@ class Context:
     datasets: Mapping[str, Dataset] = field(default_factory=dict)
     as_of: dt.datetime | str | None = None
     options: Options = field(default_factory=Options)
-    # Text columns read as numbers: parsed once per row, whatever uses them.
-    parsed: dict[str, Column] = field(default_factory=dict)
+    # Columns that several expressions use, computed once per row, in order.
+    derived: dict[str, Column] = field(default_factory=dict)
 
     def source(self, incremental: bool) -> DataFrame:
         rows = self.dataset.increment() if incremental else self.dataset.frame
-        return rows.withColumns(self.parsed) if self.parsed else rows
+        for name, column in self.derived.items():
+            rows = rows.withColumn(name, column)
+        return rows
+
+    def derive(self, name: str, column: Column) -> Column:
+        self.derived.setdefault(name, column)
+        return F.col(quoted(name))
 
     def parsed_number(self, name: str, col: Column) -> Column:
-        alias = f"_number_of_{name}"
-        self.parsed.setdefault(alias, numeral_value(col.cast("string")))
-        return F.col(quoted(alias))
+        """Text read as a number: parsed once per row, whatever uses it."""
+        return self.derive(f"_number_of_{name}", numeral_value(col.cast("string")))
 
 
 @dataclass(frozen=True)
@@ -178,7 +197,7 @@ def row_check(
     }
 
     def outcome(m: Metrics) -> Outcome:
-        counts = {k: m[k] for k in ("element", "unexpected", "missing") if k in m}
+        counts = m.named("element", "unexpected", "missing")
         return {**counts, **(more(m) if more else {})}
 
     return ScanCheck(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,10 @@ from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 
+# A correlation keeps six buffer fields; Spark compiles up to a hundred.
+PAIRS_PER_SCAN = 15
+
+
 def _value(name: str) -> Column:
     return F.col(quoted(name)).cast("double")
 
@@ -19,7 +24,10 @@ def _value(name: str) -> Column:
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str], *, sample_fraction: float | None = None
 ) -> DataFrame:
-    """``(col1, col2, correlation)`` for every pair in column order, one scan for all.
+    """``(col1, col2, correlation)`` for every pair in column order.
+
+    A scan takes as many pairs as Spark still compiles into one aggregation and
+    reads only their columns.
 
     Rows where either side is NULL are left out per pair.  The whole table is
     used unless a sample is asked for.
@@ -27,12 +35,20 @@ def correlation_matrix(
     names = [c for c in columns if c in df.columns]
     source = df if sample_fraction is None else df.sample(fraction=sample_fraction, seed=42)
     pairs = list(combinations(range(len(names)), 2))
-    wide = source.agg(*[F.corr(_value(names[i]), _value(names[j])).alias(f"r{i}_{j}") for i, j in pairs])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(names[i]).alias("col1"), F.lit(names[j]).alias("col2"),
-                 F.col(f"r{i}_{j}").alias("correlation"))
-        for i, j in pairs
-    ])))
+    if not pairs:
+        return local_frame(df.sparkSession, [], "col1 string, col2 string, correlation double")
+    frames = []
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        batch = pairs[start:start + PAIRS_PER_SCAN]
+        wide = source.agg(*[
+            F.corr(_value(names[i]), _value(names[j])).alias(f"r{i}_{j}") for i, j in batch
+        ])
+        frames.append(wide.select(F.inline(F.array(*[
+            F.struct(F.lit(names[i]).alias("col1"), F.lit(names[j]).alias("col2"),
+                     F.col(f"r{i}_{j}").alias("correlation"))
+            for i, j in batch
+        ]))))
+    return reduce(lambda a, b: a.unionAll(b), frames)
 
 
 def line_equations(

@@ -42,7 +42,7 @@ def unique(ctx: Context, rule: Rule) -> Check:
         }
 
     def outcome(m: Metrics) -> dict[str, Column]:
-        result = {k: m[k] for k in ("element", "unexpected", "missing")}
+        result = m.named("element", "unexpected", "missing")
         unique_percent = (1 - fraction(m["unexpected"], m["element"])) * 100
         result["observed"] = F.to_json(F.struct(
             unique_percent.alias("observed_uniqueness_percent"),
@@ -94,7 +94,7 @@ def compound_unique(ctx: Context, rule: Rule) -> Check:
 
     return GroupCheck(
         keys=tuple(columns), key_id=("columns", *names), aggregates=aggregates,
-        outcome=lambda m: {k: m[k] for k in ("element", "unexpected", "missing")},
+        outcome=lambda m: m.named("element", "unexpected", "missing"),
         judgement=Judgement(rule.mostly),
         failed_rows=failed_rows, failed_row_limit=failed_row_limit(rule), incremental=True,
     )

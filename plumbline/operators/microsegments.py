@@ -122,21 +122,23 @@ def histograms(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
                  F.max(F.col(quoted(c)).cast("double")).alias("high")).alias(f"c{i}")
         for i, c in enumerate(names)
     ])).scalar()
-    entries = []
-    for i, c in enumerate(names):
-        value = F.col(quoted(c)).cast("double")
-        low, high = limits[f"c{i}"]["low"], limits[f"c{i}"]["high"]
-        width = (high - low) / bins
-        index = F.least(
-            F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0))
-        )
-        entries.append(F.when(value.isNotNull(), F.struct(
-            F.lit(c).alias("column_name"), index.cast("int").alias("bin"),
-            (low + width * index).alias("bin_start"), (low + width * (index + 1)).alias("bin_end"),
-        )))
-    return (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-        .groupBy("column_name", "bin", "bin_start", "bin_end").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.col("_limits")
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("double").alias("v"),
+                 limit[f"c{i}"]["low"].alias("low"), limit[f"c{i}"]["high"].alias("high"))
+        for i, c in enumerate(names)
+    ])
+    rows = df.withColumn("_limits", limits).select(F.inline(entries)).where(F.col("v").isNotNull())
+    width = (F.col("high") - F.col("low")) / bins
+    index = F.least(
+        F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("low"), width)), F.lit(0))
+    )
+    counted = rows.groupBy("column_name", index.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), F.first("high").alias("high")
+    )
+    return counted.select(
+        "column_name", "bin", (F.col("low") + width * F.col("bin")).alias("bin_start"),
+        (F.col("low") + width * (F.col("bin") + 1)).alias("bin_end"), "n",
     )
 
 
@@ -149,13 +151,13 @@ def numeric_statistics(df: DataFrame) -> DataFrame:
     deviations = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.abs(F.col(quoted(c)).cast("double") - F.try_element_at(medians, F.lit(c))).alias("d"),
+            F.abs(F.col(quoted(c)).cast("double") - F.try_element_at("_medians", F.lit(c))).alias("d"),
             F.col(quoted(c)).cast("double").alias("v"),
         )
         for c in names
     ]
     spread = (
-        df.select(F.inline(F.array(*deviations))).where(F.col("d").isNotNull())
+        df.withColumn("_medians", medians).select(F.inline(F.array(*deviations))).where(F.col("d").isNotNull())
         .groupBy("column_name").agg(
             F.percentile_approx("d", 0.5, 10_000).alias("median_absolute_deviation"),
             F.avg("d").alias("mean_absolute_deviation"),

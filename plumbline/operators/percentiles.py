@@ -25,20 +25,24 @@ def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[floa
     values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
     edges = [max(0.0, p - _MARGIN) for p in wanted] + [min(1.0, p + _MARGIN) for p in wanted]
     bounds = values.agg(F.percentile_approx("v", edges, _ACCURACY)).scalar()
-    low = [F.try_element_at(bounds, F.lit(i + 1)) for i in range(len(wanted))]
-    high = [F.try_element_at(bounds, F.lit(len(wanted) + i + 1)) for i in range(len(wanted))]
+    edged = values.withColumn("_bounds", bounds)
     v = F.col("v")
-    counts = values.agg(F.struct(
+    low = [F.try_element_at("_bounds", F.lit(i + 1)) for i in range(len(wanted))]
+    high = [F.try_element_at("_bounds", F.lit(len(wanted) + i + 1)) for i in range(len(wanted))]
+    within = [(v >= low[i]) & (v <= high[i]) for i in range(len(wanted))]
+    counts = edged.agg(F.struct(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(v < low[i]).alias(f"below{i}") for i in range(len(wanted))],
     )).scalar()
-    inside = reduce(lambda a, b: a | b, [(v >= low[i]) & (v <= high[i]) for i in range(len(wanted))])
     # Equal values are counted before the shuffle; brackets hold few others.
-    near = values.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    near = edged.where(reduce(lambda a, b: a | b, within)).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")
+    ).withColumn("_bounds", bounds).withColumn("_counts", counts)
+    found = F.col("_counts")
     tagged = near.select("v", "n", F.explode(F.array_compact(F.array(*[
-        F.when((v >= low[i]) & (v <= high[i]), F.struct(
+        F.when(within[i], F.struct(
             F.lit(i).alias("i"), F.lit(wanted[i]).alias("probability"),
-            counts[f"below{i}"].alias("below"), (F.lit(wanted[i]) * (counts["n"] - 1)).alias("position"),
+            found[f"below{i}"].alias("below"), (F.lit(wanted[i]) * (found["n"] - 1)).alias("position"),
         )) for i in range(len(wanted))
     ]))).alias("t")).select("v", "n", "t.*")
     order = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

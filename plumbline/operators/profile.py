@@ -115,8 +115,9 @@ def _batch_profile(
         named = _column_aggregates(F.col(quoted(f.name)), f.dataType, options, in_scan)
         aggregates.update({p + k: v for k, v in named.items()})
         m = {k: F.col(p + k) for k in named}
-        rows.append(_profile_struct(f, ids[f.name], m, firsts[f"c{position[f.name]}"], options))
-    wide = df.agg(*[v.alias(k) for k, v in aggregates.items()])
+        first = F.col("_first")[f"c{position[f.name]}"]
+        rows.append(_profile_struct(f, ids[f.name], m, first, options))
+    wide = df.agg(*[v.alias(k) for k, v in aggregates.items()]).withColumn("_first", firsts)
     return wide.select(F.inline(F.array(*rows)))
 
 
@@ -352,9 +353,9 @@ def first_few_rows(df: DataFrame, order_by: Sequence[str] = (), limit: int = 5)
     fields = [f for f in df.schema.fields if _profiled(f.dataType)]
     options = ProfileOptions(first_rows=limit, order_by=tuple(order_by))
     firsts = _first_rows(df, fields, options)
-    one = df.sparkSession.range(1)
+    one = df.sparkSession.range(1).select(firsts.alias("f"))
     return one.select(F.inline(F.array(*[
-        F.struct(F.lit(f.name).alias("column_name"), firsts[f"c{i}"].alias("first_few_rows"))
+        F.struct(F.lit(f.name).alias("column_name"), F.col("f")[f"c{i}"].alias("first_few_rows"))
         for i, f in enumerate(fields)
     ])))
 

@@ -159,7 +159,7 @@ def in_set(ctx: Context, rule: Rule) -> Check:
         }
 
     def outcome(m: Metrics) -> dict[str, Column]:
-        counts = {k: m[k] for k in ("element", "unexpected", "missing")}
+        counts = m.named("element", "unexpected", "missing")
         return {**counts, **kpis(m, F.size(m["seen"]), _summed_map(m["seen"]))}
 
     return GroupCheck(
@@ -293,8 +293,10 @@ def z_score_below(ctx: Context, rule: Rule) -> Check:
         .select(F.struct("mean", "stddev"))
         .scalar()
     )
+    name = ctx.dataset.field(rule.target).name
+    stats = ctx.derive(f"_stats_of_{name}", stats)
     mean, stddev = stats["mean"], stats["stddev"]
-    z = F.try_divide(value - mean, F.nullif(stddev, F.lit(0.0)))
+    z = ctx.derive(f"_z_of_{name}", F.try_divide(value - mean, F.nullif(stddev, F.lit(0.0))))
     passes = (F.abs(z) < threshold) if rule.flag("double_sided") else (z < threshold)
     constant = F.coalesce(stddev == 0, F.lit(True))
     evaluated = raw.isNotNull()

@@ -22,7 +22,7 @@ from plumbline.model import (
 )
 from plumbline.functions.verdict import fraction
 from plumbline.operators.base import (
-    Check, Context, FrameCheck, GroupCheck, ScanCheck, SchemaCheck,
+    Check, Context, FrameCheck, GroupCheck, Metrics, ScanCheck, SchemaCheck,
 )
 from plumbline.operators.registry import build_check
 
@@ -80,7 +80,7 @@ def result_frame(plan: Plan) -> DataFrame:
         groups = [(r, c) for r, c in plan.of_kind(GroupCheck) if c.incremental is incremental]
         frames += _grouped(plan, groups, incremental)
     for rule, check in plan.of_kind(FrameCheck):
-        metrics = {c: F.col(c) for c in check.metrics.columns}
+        metrics = Metrics({c: c for c in check.metrics.columns})
         frames.append(_rows(check.metrics, [_raw(rule, check.outcome(metrics))]))
     results = []
     if frames:
@@ -108,13 +108,17 @@ JUDGEMENT_SCHEMA = (
 
 
 def _raw(rule: Rule, outcome: Mapping[str, Column]) -> Column:
-    return F.struct(
-        F.lit(rule.rule_id).cast("bigint").alias("rule_config_id"),
-        *[
-            outcome[name].alias(name) if name in outcome else F.lit(None).cast(dtype).alias(name)
-            for name, dtype in RAW_FIELDS.items()
-        ],
-    )
+    def text(name: str, dtype: str) -> str:
+        return outcome[name] if name in outcome else f"CAST(NULL AS {dtype})"
+
+    head = f"{rule.rule_id}L AS rule_config_id"
+    if all(isinstance(v, str) for v in outcome.values()):
+        # SQL text is one call to the driver JVM instead of dozens.
+        return F.expr(f"struct({', '.join([head, *[f'{text(n, t)} AS {n}' for n, t in RAW_FIELDS.items()]])})")
+    return F.struct(F.expr(head), *[
+        outcome[n].alias(n) if isinstance(outcome.get(n), Column) else F.expr(f"{text(n, t)} AS {n}")
+        for n, t in RAW_FIELDS.items()
+    ])
 
 
 def _judged(plan: Plan, raw: DataFrame) -> DataFrame:
@@ -201,7 +205,7 @@ def _scan(plan: Plan, source: DataFrame, batch: list[tuple[Rule, ScanCheck]]) ->
     for i, (rule, check) in enumerate(batch):
         names = {k: f"m{i}_{k}" for k in check.aggregates}
         named.update({names[k]: column for k, column in check.aggregates.items()})
-        results.append(_raw(rule, check.outcome({k: F.col(n) for k, n in names.items()})))
+        results.append(_raw(rule, check.outcome(Metrics(names))))
     wide = source.agg(*[column.alias(name) for name, column in named.items()])
     return _rows(wide, results)
 
@@ -228,7 +232,7 @@ def _grouped(
             aggregates = check.aggregates([F.col(n) for n in names], F.col("n"))
             own = {k: f"m{i}_{k}" for k in aggregates}
             named.update({own[k]: column for k, column in aggregates.items()})
-            outcome = dict(check.outcome({k: F.col(n) for k, n in own.items()}))
+            outcome = dict(check.outcome(Metrics(own)))
             if check.preview is not None:
                 outcome["observed"] = check.preview(counts)
             results.append(_raw(rule, outcome))

@@ -108,7 +108,7 @@ def _line_sql(x: str, y: str, sign: int) -> str:
 
 
 @query("n6_line_equations", with_fixtures(f"""
-    SELECT target_variable, feature_variable, round(a, 4) AS slope, round(b, 4) AS intercept,
+    SELECT target_variable, feature_variable, round(a, 4) + 0.0::DOUBLE AS slope, round(b, 4) + 0.0::DOUBLE AS intercept,
            CASE WHEN abs(a - 1) < 1e-6 AND abs(b) < 1e-6 THEN 'direct' WHEN abs(a + 1) < 1e-6 AND abs(b) < 1e-6 THEN 'inverse' ELSE 'scaled' END AS relationship_type
     FROM ({_line_sql("l_quantity", "minus_quantity", -1)} UNION ALL {_line_sql("l_quantity", "triple_quantity", 1)}
           UNION ALL {_line_sql("l_quantity", "quantity_sum", 1)} UNION ALL {_line_sql("l_extendedprice", "price_line", 1)})""", "lines"))

@@ -133,7 +133,7 @@ def _extended_sql(c: str, kind: str) -> str:
     SELECT '{c}' AS column_name, {f"round(avg({c}), 4)" if number else "NULL::DOUBLE"} AS mean_value, {f"round(sum({c}), 2)::DOUBLE" if number else "NULL::DOUBLE"} AS sum_value,
            {f"count(*) FILTER (WHERE {c} < 0)" if number else "0::BIGINT"} AS negative_count,
            {f"round({_moment(c, 'orders_gaps', 4)} - 3, 4)" if number else "NULL::DOUBLE"} AS kurtosis_value,
-           {f"round({_moment(c, 'orders_gaps', 3)}, 4)" if number else "NULL::DOUBLE"} AS skewness_value,
+           {f"round({_moment(c, 'orders_gaps', 3)}, 4) + 0.0::DOUBLE" if number else "NULL::DOUBLE"} AS skewness_value,
            {f"min(length({c}))" if text else "NULL::BIGINT"} AS min_length, {f"max(length({c}))" if text else "NULL::BIGINT"} AS max_length,
            {f"median(length({c}))" if text else "NULL::DOUBLE"} AS median_length,
            (SELECT count(*) FROM (SELECT {c} FROM orders_gaps WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1)) AS unique_count
@@ -143,7 +143,8 @@ def _extended_sql(c: str, kind: str) -> str:
 @query("p5_extended_statistics", with_fixtures("\nUNION ALL\n".join(_extended_sql(c, k) for c, k in _GAPS.items()), "orders_gaps"))
 def extended_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = prof.profile_columns(frame(spark, sf_dir, "orders_gaps"), prof.ProfileOptions(exact=True, extended=True))
-    return _rounded(profile, "mean_value", "kurtosis_value", "skewness_value").select(
+    profile = _rounded(profile, "mean_value", "kurtosis_value", "skewness_value")
+    return profile.withColumn("skewness_value", F.col("skewness_value") + 0.0).select(
         "column_name", "mean_value", F.round("sum_value", 2).alias("sum_value"), "negative_count", "kurtosis_value",
         "skewness_value", "min_length", "max_length", "median_length", "unique_count",
     )

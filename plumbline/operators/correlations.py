@@ -13,8 +13,17 @@ from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 
-# A correlation keeps six buffer fields; Spark compiles up to a hundred.
-PAIRS_PER_SCAN = 15
+# A correlation keeps ten buffer fields; Spark compiles up to a hundred.
+PAIRS_PER_SCAN = 9
+
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the complete pairs, NULL when either side is constant.
+
+    The builtin ``corr`` divides by zero there, which is an error in ANSI mode.
+    """
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    return F.try_divide(F.covar_pop(x, y) * F.regr_count(y, x), spread)
 
 
 def _value(name: str) -> Column:
@@ -41,7 +50,7 @@ def correlation_matrix(
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         batch = pairs[start:start + PAIRS_PER_SCAN]
         wide = source.agg(*[
-            F.corr(_value(names[i]), _value(names[j])).alias(f"r{i}_{j}") for i, j in batch
+            _correlation(_value(names[i]), _value(names[j])).alias(f"r{i}_{j}") for i, j in batch
         ])
         frames.append(wide.select(F.inline(F.array(*[
             F.struct(F.lit(names[i]).alias("col1"), F.lit(names[j]).alias("col2"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # The sketch places a value within 1 / _ACCURACY of its rank, always.
 _ACCURACY = 100_000
 _MARGIN = 3 / _ACCURACY
+_FEW_ROWS = 200_000
 
 
 def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> DataFrame:
@@ -24,11 +25,20 @@ def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[floa
     wanted = [float(p) for p in probabilities]
     values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
     edges = [max(0.0, p - _MARGIN) for p in wanted] + [min(1.0, p + _MARGIN) for p in wanted]
-    bounds = values.agg(F.percentile_approx("v", edges, _ACCURACY)).scalar()
+    bounds = values.agg(F.struct(
+        F.percentile_approx("v", edges, _ACCURACY).alias("edges"), F.count(F.lit(1)).alias("n")
+    )).scalar()
     edged = values.withColumn("_bounds", bounds)
-    v = F.col("v")
-    low = [F.try_element_at("_bounds", F.lit(i + 1)) for i in range(len(wanted))]
-    high = [F.try_element_at("_bounds", F.lit(len(wanted) + i + 1)) for i in range(len(wanted))]
+    v, found_edges = F.col("v"), F.col("_bounds.edges")
+    # Few rows: the margin is less than a rank, so the bracket takes them all.
+    few = F.col("_bounds.n") < _FEW_ROWS
+
+    def edge(i: int, otherwise: float) -> Column:
+        return F.when(few, F.lit(otherwise)).otherwise(F.try_element_at(found_edges, F.lit(i + 1)))
+
+    low = [edge(i, float("-inf")) for i in range(len(wanted))]
+    # Spark orders NaN last, so NaN bounds every value.
+    high = [edge(len(wanted) + i, float("nan")) for i in range(len(wanted))]
     within = [(v >= low[i]) & (v <= high[i]) for i in range(len(wanted))]
     counts = edged.agg(F.struct(
         F.count(F.lit(1)).alias("n"),

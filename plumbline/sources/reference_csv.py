@@ -20,7 +20,6 @@ def export_csv(df: DataFrame, path: str, *, single_file: bool = True) -> None:
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
         .option("nullValue", "NULL")
         .option("compression", "gzip")
         .csv(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.local import local_frame
@@ -49,11 +51,15 @@ def failing_values(plan) -> DataFrame:
             members = [(r, c) for r, c in scans if c.incremental is incremental]
             if not members:
                 continue
-            entries = F.array_compact(F.array(*[
+            entries = F.array(*[
                 F.when(c.unexpected, _entry(r.rule_id, c.error_value)) for r, c in members
-            ]))
-            source = plan.context.source(incremental)
-            frames.append(source.select(F.explode(entries).alias("e")).select("e.*"))
+            ])
+            broken = plan.context.source(incremental).where(
+                reduce(lambda a, b: a | b, [c.unexpected for _, c in members])
+            )
+            frames.append(
+                broken.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+            )
     for rule, check in plan.of_kind(GroupCheck):
         if check.failed_rows is not None and check.error_value is not None:
             rows = check.failed_rows(plan.context.source(check.incremental))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -12,6 +13,14 @@ from plumbline.model import quoted
 from plumbline.operators.profile import value_counts
 
 
+# Up to here counting whole combinations first fits each task's hash table.
+FEW_COMBINATIONS = 100_000
+RULES = (
+    "dataset_name string, if_col string, if_val string, then_col string, then_val string, "
+    "confidence double, score double, columns array<string>"
+)
+
+
 def low_cardinality_columns(
     df: DataFrame, columns: Sequence[str] | None = None, max_distinct: int = 100
 ) -> DataFrame:
@@ -37,25 +46,32 @@ def low_cardinality_columns(
     return exact
 
 
-def contingency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def contingency(df: DataFrame, columns: Sequence[str], *, joint: bool = False) -> DataFrame:
     """``(col1, col2, a, b, n)`` for every pair of columns, rows with NULL left out.
 
     Each row contributes one entry per column pair, summed per task before the
-    shuffle; with few distinct values per column only small tables move.
+    shuffle; with few distinct values per column only small tables move.  With
+    ``joint`` rows are first counted by all columns together, which pays when
+    their combinations are known to be few.
     """
-    pairs = [
-        F.when(
-            F.col(quoted(x)).isNotNull() & F.col(quoted(y)).isNotNull(),
-            F.struct(
-                F.lit(x).alias("col1"), F.lit(y).alias("col2"),
-                F.col(quoted(x)).cast("string").alias("a"), F.col(quoted(y)).cast("string").alias("b"),
-            ),
+    texts = df.select(*[F.col(quoted(c)).cast("string").alias(f"t{i}") for i, c in enumerate(columns)],
+                      F.lit(1).cast("bigint").alias("n"))
+    if joint:
+        texts = (
+            df.groupBy(*[F.col(quoted(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(*[F.col(f"t{i}").cast("string").alias(f"t{i}") for i in range(len(columns))], "n")
+        )
+    pairs = F.array(*[
+        F.struct(
+            F.lit(columns[i]).alias("col1"), F.lit(columns[j]).alias("col2"),
+            F.col(f"t{i}").alias("a"), F.col(f"t{j}").alias("b"),
         )
-        for x, y in combinations(columns, 2)
-    ]
+        for i, j in combinations(range(len(columns)), 2)
+    ])
     return (
-        df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.*")
-        .groupBy("col1", "col2", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        texts.select("n", F.inline(pairs)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("col1", "col2", "a", "b").agg(F.sum("n").alias("n"))
     )
 
 
@@ -127,8 +143,14 @@ def mine_categorical_rules(
 ) -> DataFrame:
     """The whole path from columns to rules; only column names reach the driver."""
     order = [c for c in (columns or df.columns) if c in df.columns]
-    few = {r["column_name"] for r in low_cardinality_columns(df, order, max_distinct).collect()}
+    few = {
+        r["column_name"]: r["distinct_count"]
+        for r in low_cardinality_columns(df, order, max_distinct).collect()
+    }
     names = [c for c in order if c in few]
-    table = contingency(df, names)
+    if len(names) < 2:
+        return local_frame(df.sparkSession, [], RULES)
+    combined = math.prod(few[c] + 1 for c in names)
+    table = contingency(df, names, joint=combined <= FEW_COMBINATIONS)
     pairs = strong_pairs(cramers_v(table), min_strength)
     return if_then_rules(table, pairs, dataset_name, min_confidence)

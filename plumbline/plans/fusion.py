@@ -241,6 +241,10 @@ def _grouped(
     return frames
 
 
+def any_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def isolate_errors(plan: Plan) -> Plan:
     """Find the rules whose own evaluation fails, and turn them into errors."""
     bad = []
@@ -279,12 +283,14 @@ def failed_rows(plan: Plan, rule_ids: Iterable[int] | None = None) -> DataFrame
         scans = [(r, c) for r, c in chosen(ScanCheck) if c.unexpected is not None and applies(c)]
         shared = [(r, c) for r, c in scans if c.failed_row_limit is None]
         if shared:
-            tags = F.array_compact(F.array(*[
+            tags = F.array(*[
                 F.when(c.unexpected, F.lit(r.rule_id).cast("bigint")) for r, c in shared
-            ]))
-            tagged = source.withColumn("rule_config_id", tags).where(F.size("rule_config_id") > 0)
-            frames.append(tagged.select(F.explode("rule_config_id").alias("rule_config_id"),
-                                        *[F.col(quoted(c)) for c in columns]))
+            ])
+            # Rows that break no rule leave before anything is built for them.
+            broken = source.where(any_of([c.unexpected for _, c in shared]))
+            tagged = broken.select(F.explode(tags).alias("rule_config_id"),
+                                   *[F.col(quoted(c)) for c in columns])
+            frames.append(tagged.where(F.col("rule_config_id").isNotNull()))
         single = [
             (r, source.where(c.unexpected), c.failed_row_limit)
             for r, c in scans if c.failed_row_limit is not None

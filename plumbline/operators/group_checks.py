@@ -111,17 +111,15 @@ def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] =
     fields = {f.name: f.dataType for f in df.schema.fields}
     order_names = list(dict.fromkeys([*order_by, *fields]))
     order = F.struct(*[orderable(n, fields[n]).alias(f"o{i}") for i, n in enumerate(order_names)])
-    rows = df.withColumn("_order", order)
     keys = [F.col(quoted(n)).alias(f"_k{i}") for i, n in enumerate(names)]
-    firsts = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
-        .where("_n > 1")
-    )
     same_key = reduce(
         lambda a, b: a & b,
         [F.col(quoted(n)).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)],
     )
+    # Keys without copies, usually nearly all, leave before rows are compared.
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    rows = df.join(repeated, same_key, "left_semi").withColumn("_order", order)
+    firsts = rows.groupBy(*keys).agg(F.min("_order").alias("_first"))
     copies = rows.join(firsts, same_key)
     later = copies.where(F.col("_order") > F.col("_first")).select(*[quoted(n) for n in fields])
     tied = (

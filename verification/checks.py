@@ -240,6 +240,10 @@ def _in_set_oracle() -> str:
 
 add("r8_value_in_set", _in_set, _in_set_oracle())
 
+add("r8_value_in_set_second_name", check_query("orders_gaps", [
+    Rule(1, COLUMNS + "be_in_reference_set", "priority", {"value_set": ["1-URGENT", "5-LOW"]}),
+]), row_oracle("orders_gaps", Counts(1, "priority NOT IN ('1-URGENT', '5-LOW')", missing=_blank("priority"))))
+
 add("r9_value_not_in_set", check_query("orders_gaps", [
     Rule(1, COLUMNS + "not_be_in_set", "priority", {"value_set": ["1-URGENT"]}),
     Rule(2, COLUMNS + "not_be_in_set", "o_custkey", {"value_set": [1, 2, "3", 4.0], "mostly": 0.99}),

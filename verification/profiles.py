@@ -227,7 +227,7 @@ def localised_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.localised_summary(frame(spark, sf_dir, "labelled"))
 
 
-@query("u1_x8_numeral_values", with_fixtures("""
+@query("u1_numeral_values", with_fixtures("""
     SELECT p_partkey, p_size::DOUBLE AS spoken, CASE p_size % 4 WHEN 0 THEN -p_size::DOUBLE WHEN 1 THEN p_size + 0.5 END AS mixed,
            CASE WHEN p_size % 4 = 2 THEN 'mixed' ELSE '' END AS unparsed FROM numerals""", "numerals"))
 def numeral_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,13 +71,21 @@ def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.column_metadata(frame(spark, sf_dir, "lineitem")).drop("is_nullable")
 
 
-@query("s4_s5_csv_round_trip", "SELECT * FROM supplier")
+@query("s4_csv_export", "SELECT * FROM supplier")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, path = frame(spark, sf_dir, "supplier"), scratch(spark)
     reference_csv.export_csv(source, path)
     return reference_csv.read_reference_csv(spark, path, source.schema)
 
 
+@query("s5_csv_load", with_fixtures("SELECT p_partkey, size_text, date_text FROM part_texts", "part_texts"))
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULLs travel as a marker and come back as NULL, blanks stay blanks."""
+    source, path = frame(spark, sf_dir, "part_texts").select("p_partkey", "size_text", "date_text"), scratch(spark)
+    reference_csv.export_csv(source, path, single_file=False)
+    return reference_csv.read_reference_csv(spark, path, source.schema)
+
+
 _SIZES = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("size_text", T.IntegerType())])
 
 
@@ -299,6 +307,22 @@ def ignore_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]).select("rule_config_id", "element_count", "missing_count", "unexpected_count")
 
 
+@query("x8_numeric_coercion", row_oracle(
+    "numerals", Counts(1, "p_size < 10 OR p_size > 30", missing="FALSE"),
+    Counts(2, "(p_size % 4 = 0 AND -p_size < -20) OR (p_size % 4 = 1 AND p_size + 0.5 > 20)", missing="mixed IS NULL"),
+    Counts(3, "NOT (p_size > p_partkey)", missing="FALSE", of_nonmissing=True)))
+def numeric_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks read text columns as numbers, in digits or in numerals."""
+    return evaluate(Dataset("numerals", frame(spark, sf_dir, "numerals")), [
+        Rule(1, COLUMNS + "be_between", "spoken", {"min_value": 10, "max_value": 30}),
+        Rule(2, COLUMNS + "be_between", "mixed", {"min_value": -20, "max_value": 20}),
+        Rule(3, "expect_column_pair_values_a_to_be_greater_than_b", None, {"column_A": "spoken", "column_B": "p_partkey"}),
+    ]).select(
+        "rule_config_id", "is_success", "element_count", "missing_count", "unexpected_count",
+        F.round("unexpected_percent", 6).alias("unexpected_percent"),
+    )
+
+
 @query("x9_result_append", row_oracle(
     "part_texts", Counts(1, _RULE_SQL[1]), Counts(2, _RULE_SQL[2], missing="FALSE"),
     Counts(3, _RULE_SQL[3], missing=_RULE_SQL[1])).replace("is_success, n AS", "is_success, 2::BIGINT AS runs, n AS"))

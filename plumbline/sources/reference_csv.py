@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 # Texts that stand for NULL in an exported file.
 NULL_MARKERS = ("NULL", "nan", "\\N")
+_QUOTED_EMPTY = "\x01empty\x01"
 
 
 def export_csv(df: DataFrame, path: str, *, single_file: bool = True) -> None:
@@ -21,6 +22,9 @@ def export_csv(df: DataFrame, path: str, *, single_file: bool = True) -> None:
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "NULL")
+        # The writer trims text unless told otherwise.
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("compression", "gzip")
         .csv(path)
     )
@@ -81,13 +85,15 @@ def _checked_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         .option("escape", '"')
         .option("multiLine", False)
         .option("mode", "PERMISSIVE")
+        # An empty field is NULL, an empty text in quotes is not.
+        .option("emptyValue", _QUOTED_EMPTY)
         .option("columnNameOfCorruptRecord", corrupt)
         .csv(path)
     )
 
     def text(name: str) -> Column:
         col = F.col(f"`{name}`")
-        return F.when(~col.isin(*NULL_MARKERS), col)
+        return F.when(col == _QUOTED_EMPTY, "").when(~col.isin(*NULL_MARKERS), col)
 
     parsed, problems = [], [F.when(F.col(corrupt).isNotNull(), F.lit("wrong number of fields"))]
     for f in schema.fields:
@@ -104,5 +110,8 @@ def _checked_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return raw.select(
         F.struct(*parsed).alias("parsed"),
         F.coalesce(*problems).alias("problem"),
-        F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias("raw"),
+        F.struct(*[
+            F.when(F.col(f"`{f.name}`") == _QUOTED_EMPTY, "").otherwise(F.col(f"`{f.name}`")).alias(f.name)
+            for f in schema.fields
+        ]).alias("raw"),
     )

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names.
+
+    Where all tasks run in the driver's own process and nothing is set, a
+    temporary folder serves.  On a cluster it would not be shared, so there a
+    missing setting is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import cross_polytope, inner_products, simhash
+from plumbline.llm import cross_polytope, inner_products, packing, simhash, token_counts
 from plumbline.llm.shipping import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.op5(table(spark, sf_dir, "embeddings"))
 
@@ -18,13 +22,19 @@ def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_top_inner_products": op6_top_inner_products,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import cross_polytope, inner_products, packing, simhash, token_counts
+from plumbline.llm import cross_polytope, inner_products, language_id, packing, simhash, token_counts
 from plumbline.llm.shipping import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op1(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_top_inner_products": op6_top_inner_products,

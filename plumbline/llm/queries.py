@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import cross_polytope, inner_products, language_id, packing, simhash, token_counts
+from plumbline.llm import cross_polytope, inner_products, language_id, packing, simhash, token_counts, toxicity
 from plumbline.llm.shipping import table
 
 
@@ -26,6 +26,10 @@ def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_top_inner_products": op6_top_inner_products,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }

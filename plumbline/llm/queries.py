@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import cross_polytope, inner_products, language_id, packing, sentence_pieces, simhash, token_counts, toxicity
+from plumbline.llm import cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, token_counts, toxicity
 from plumbline.llm.shipping import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.op5(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_token_counts": op3_token_counts,
+    "op4_licence_scan": op4_licence_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_top_inner_products": op6_top_inner_products,
     "op8_toxicity": op8_toxicity,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_licence_scan": licences.sql(),
     "op6_top_inner_products": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w

@@ -22,31 +22,25 @@ def template_bigrams(text: str) -> Counter[str]:
     return Counter(map(" ".join, zip(words, words[1:])))
 
 
-def _squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
-
-
-def units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, unit, position, words)``: lines, paragraphs of several lines, and texts of several paragraphs.
-
-    Words are lower-cased runs of letters and digits with one blank between;
-    copyright lines with a year are left out.
-    """
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.col(text).cast("string")), _NOISE, " "), _OWNER, "")
-    lines = F.transform(F.split("_t", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("position"), F.trim(x).alias("words")))
-    paragraphs = F.filter(
-        F.transform(F.split("_t", _GAP), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("position"), F.trim(x, F.lit(" \n")).alias("words"))),
-        lambda x: x["words"].contains("\n"),
-    )
-    whole = F.when(
-        F.trim("_t", F.lit(" \n")).rlike(_GAP), F.array(F.struct(F.lit("document").alias("unit"), F.lit(0).alias("position"), F.col("_t").alias("words")))
-    )
-    every = F.concat(lines, paragraphs, F.coalesce(whole, F.array().cast("array<struct<unit:string,position:int,words:string>>")))
-    return (
-        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain.alias("_t"))
-        .select("doc_id", F.explode(every).alias("_u"))
-        .select("doc_id", "_u.unit", "_u.position", _squeezed(F.col("_u.words")).alias("words"))
+def units(text: Column) -> Column:
+    """``(unit, position, words)`` of lines, paragraphs of several lines, and a text of several paragraphs."""
+
+    def unit(kind: str, position: Column, words: Column) -> Column:
+        return F.struct(F.lit(kind).alias("unit"), position.alias("position"), words.alias("words"))
+
+    ends = F.lit(" \n")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: unit("line", i, F.split(F.trim(x), " ")))
+    paragraphs = F.transform(
+        F.filter(
+            F.transform(F.split(text, _GAP), lambda x, i: F.struct(i.alias("i"), F.trim(x, ends).alias("x"))),
+            lambda p: p["x"].contains("\n"),
+        ),
+        lambda p: unit("paragraph", p["i"], F.split(p["x"], "[ \n]+")),
     )
+    none = F.array().cast("array<struct<unit:string,position:int,words:array<string>>>")
+    inner = F.trim(text, ends)
+    whole = F.when(inner.rlike(_GAP), F.array(unit("document", F.lit(0), F.split(inner, "[ \n]+")))).otherwise(none)
+    return F.concat(lines, paragraphs, whole)
 
 
 def licence_matches(
@@ -68,7 +62,7 @@ def licence_matches(
     ratio = similarity / (2 - similarity)
     sizes = [sum(g.values()) for _, _, g in grams]
     known = sorted({g for _, _, own in grams for g in own})
-    size = F.col("size")
+    low, high = min(sizes) * ratio - 1e-9, max(sizes) / ratio + 1e-9
     catalogue = F.array(*[
         F.struct(
             F.lit(name).alias("licence"), F.lit(form).alias("form"), F.lit(n).alias("size"),
@@ -76,28 +70,35 @@ def licence_matches(
         )
         for (name, form, own), n in zip(grams, sizes)
     ])
-    blanks = F.length("words") - F.length(F.translate("words", " ", ""))
-    # As many bigrams as blanks.  No template can match a unit outside these sizes:
-    sized = units(docs, doc_id, text).withColumn("size", blanks).where(
-        (size >= min(sizes) * ratio - 1e-9) & (size <= max(sizes) / ratio + 1e-9)
-    )
-    words = F.split("words", " ")
-    pairs = F.zip_with(F.slice(words, 1, size), F.slice(words, 2, size), lambda a, b: F.concat_ws(" ", a, b))
-    # Common bigrams are at least this share of a matching unit's own.
-    close = sized.withColumn("hits", F.filter(pairs, lambda g: g.isin(known))).where(F.size("hits") >= ratio * size - 1e-9)
+    # Lower-cased runs of letters and digits with one blank between, without copyright lines that name a year.
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.col(text).cast("string")), _NOISE, " "), _OWNER, "")
+
+    def with_hits(u: Column) -> Column:
+        words = u["words"]
+        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.struct(
+            u["unit"].alias("unit"), u["position"].alias("position"), (F.size(words) - 1).alias("size"),
+            F.filter(pairs, lambda g: g.isin(known)).alias("hits"),
+        )
+
+    # No template can match a unit outside these sizes, and a match shares at least ``ratio`` of the unit's bigrams.
+    sized = F.filter(units(F.col("_t")), lambda u: (F.size(u["words"]) - 1).between(low, high))
+    close = F.filter(F.transform(sized, with_hits), lambda u: F.size(u["hits"]) >= ratio * u["size"] - 1e-9)
+    size, hits = F.col("_u.size"), F.col("_u.hits")
 
     def dice(t: Column) -> Column:
         common = F.aggregate(
             t["grams"], F.lit(0),
-            lambda total, g: total + F.least(g["n"], F.size(F.filter("hits", lambda h: h == g["gram"]))),
+            lambda total, g: total + F.least(g["n"], F.size(F.filter(hits, lambda h: h == g["gram"]))),
         )
         return 2.0 * common / (t["size"] + size)
 
     fitting = F.filter(catalogue, lambda t: (t["size"] >= ratio * size - 1e-9) & (ratio * t["size"] <= size + 1e-9))
     scored = F.transform(fitting, lambda t: F.struct((-dice(t)).alias("cost"), t["licence"].alias("licence"), t["form"].alias("form")))
-    best = F.array_min(scored)
     return (
-        close.select("doc_id", "unit", "position", best.alias("_b"))
+        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain.alias("_t"))
+        .select("doc_id", F.explode(close).alias("_u"))
+        .select("doc_id", "_u.unit", "_u.position", F.explode(F.array(F.array_min(scored))).alias("_b"))
         .select("doc_id", "unit", "position", "_b.licence", "_b.form", (-F.col("_b.cost")).alias("dice"))
         .where(F.col("dice") >= similarity - 1e-9)
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, token_counts, toxicity
+from plumbline.llm import cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, substrings, token_counts, toxicity
 from plumbline.llm.shipping import table
 
 
@@ -34,6 +34,10 @@ def op6_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": op4_licence_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_top_inner_products": op6_top_inner_products,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,

@@ -17,9 +17,11 @@ from plumbline.llm.batches import slices, texts_of
 
 DEFAULT = public_tokenizers.path("piece_bpe_32k.model")
 #: Segments a worker remembers, and the longest it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 LONGEST = 48
 _SPACE = "▁"
+_NEVER = float("inf")
+_SHORT = 32
 _WORD = re.compile(r"[^\W\d_]")
 
 
@@ -68,6 +70,37 @@ class Pieces:
 
     def merged(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment."""
+        symbols = self._merged_short(segment) if len(segment) <= _SHORT else self._merged_long(segment)
+        out: list[int] = []
+        for s in symbols:
+            own = self.ids.get(s)
+            if own is not None:
+                out.append(own)
+            else:
+                out += self._single(s)
+        return tuple(out)
+
+    def _merged_short(self, segment: str) -> list[str]:
+        """The agenda as a flat list beside the symbols: the first lowest cost is the next pair."""
+        cost = self.costs.get
+        symbols = list(segment)
+        agenda = [cost(pair, _NEVER) for pair in map(str.__add__, symbols, symbols[1:])]
+        while agenda:
+            low = min(agenda)
+            if low == _NEVER:
+                break
+            i = agenda.index(low)
+            pair = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = [pair]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + pair, _NEVER)
+            if i < len(agenda):
+                agenda[i] = cost(pair + symbols[i + 1], _NEVER)
+        return symbols
+
+    def _merged_long(self, segment: str) -> list[str]:
+        """The agenda as a heap, over linked symbols."""
         cost = self.costs.get
         symbols: list[str] = list(segment)
         n = len(symbols)
@@ -95,15 +128,7 @@ class Pieces:
                 wider = symbols[h] + pair
                 if (c := cost(wider)) is not None:
                     heappush(agenda, (c, h, wider))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                own = self.ids.get(s)
-                if own is not None:
-                    out.append(own)
-                else:
-                    out += self._single(s)
-        return tuple(out)
+        return [s for s in symbols if s]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text as the library gives them, the end id last."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from plumbline.llm import cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, substrings, token_counts, toxicity
 from plumbline.llm.shipping import table
 
@@ -61,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -198,14 +198,16 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def without_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
+    keep: tuple[str, ...] = (), as_is: bool = False,
 ) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept)``: each text without the words that windows of earlier documents repeat.
+    """``(doc_id, n_words, n_removed, kept)`` and the ``keep`` columns: each text without the words that windows of earlier documents repeat.
 
     Words are separated by ASCII white space.  A window is ``window``
     consecutive words of one document; it repeats if its words also start in a
     document of smaller doc_id.  Windows are judged on the input.  ``kept`` is
-    the kept words with one blank between.
+    the kept words with one blank between; with ``as_is``, a text that loses
+    nothing stays as it is, null included.
 
     Windows with equal words have the same anchor, so they meet in one shard;
     only segments whose anchor occurs in two documents go there, each distinct
@@ -217,29 +219,33 @@ def without_repeats(
     all.  An empty table gives no rows;
     other columns play no part.
     """
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    identified = narrow.where(F.col("doc_id").isNotNull())
+    own = [F.col(k) for k in keep]
+    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *own)
+    identified = narrow.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     late = repeated_windows(identified, window, anchor)
-    both = narrow.join(late, "doc_id", "left").select("doc_id", "text", "starts")
+    both = narrow.join(late, "doc_id", "left").select("doc_id", "text", "starts", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows = []
-            for raw, starts in zip(raw_texts(part.column("text")), part.column("starts")):
+            texts = part.column("text")
+            for raw, starts, given in zip(raw_texts(texts), part.column("starts"), texts.is_valid().to_pylist()):
                 words = raw.split()
                 n = len(words)
                 if starts.is_valid and n:
-                    own = np.array(starts.as_py(), dtype=np.int64)
-                    gone = covered(n, own[own + window <= n], window)
+                    late_ = np.array(starts.as_py(), dtype=np.int64)
+                    gone = covered(n, late_[late_ + window <= n], window)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
-                rows.append((n, n - len(words), b" ".join(words).decode("utf-8")))
+                line = raw if as_is and n == len(words) else b" ".join(words)
+                rows.append((n, n - len(words), line.decode("utf-8") if given or not as_is else None))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), *[part.column(k) for k in keep]],
+                names=["doc_id", "n_words", "n_removed", "kept", *keep],
             )
 
-    return both.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    more = "".join(f", `{k}` {narrow.schema[k].dataType.simpleString()}" for k in keep)
+    return both.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept string{more}")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -69,6 +69,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whose = owner[:-2]
     # The last symbol may be the gap that opens the next text.
     inside = (whose == owner[1:-1]) & ((whose == owner[2:]) | (marks[2:] == 0)) & (whose < len(texts))
+    inside &= (marks[1:-1] != 0) | (marks[2:] != 0)
     return gram[inside], whose[inside].astype(np.int64)
 
 

@@ -11,9 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.durable import stored
 from plumbline.llm.batches import raw_texts, slices
 from plumbline.llm.fm_index import FMIndex, Minima, matching_owners
+from plumbline.llm.tables import BitFilter, written
 
 WINDOW = 13
 #: Words whose smallest hash in a window decides where the window is looked up.
@@ -21,6 +21,7 @@ ANCHOR = 6
 #: Words of one index, about; anchors of more segments than this are cut into windows.
 SHARD_WORDS = 1 << 17
 HOT_SEGMENTS = 1 << 12
+_SEEN = 1 << 20
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,51 +59,51 @@ def _segments(text: bytes, window: int, anchor: int):
 
 
 def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(doc_id, ordinal, mark)``: the segments of each document and their anchors."""
+    """``(doc_id, mark)``: the different anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            owner, ordinal, mark = [], [], []
+            owner, mark = [], []
             for k, text in enumerate(raw_texts(part.column("text"))):
-                _, first, _, own = _segments(text, window, anchor)
-                owner.append(np.full(len(first), k)), ordinal.append(np.arange(len(first), dtype=np.int32)), mark.append(own.view(np.int64))
+                own = np.unique(_segments(text, window, anchor)[3])
+                owner.append(np.full(len(own), k)), mark.append(own.view(np.int64))
             yield pa.record_batch(
-                [part.column("doc_id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(ordinal)), pa.array(np.concatenate(mark))],
-                names=["doc_id", "ordinal", "mark"],
+                [part.column("doc_id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(mark))], names=["doc_id", "mark"]
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, ordinal int, mark bigint")
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint")
 
 
-def _shared_segments(docs: DataFrame, shared: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Each segment with a shared anchor: ``(doc_id, start, n, mark, k1, k2, words)``.
+def _shared_segments(docs: DataFrame, shared: BitFilter, window: int, anchor: int) -> DataFrame:
+    """Each segment whose anchor may be shared: ``(doc_id, start, k1, k2, mark, n, words)``.
 
-    ``words`` is filled once per task for each distinct segment, ``k1`` and
-    ``k2`` are its 128-bit key.
+    ``k1`` and ``k2`` are the 128-bit key of its words.  ``mark``, ``n``, its
+    windows, and ``words`` are filled once per task for each distinct segment.
     """
-    joined = docs.join(shared, "doc_id").select("doc_id", "text", "ordinals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, "text"):
-            ids = part.column("doc_id").to_pylist()
-            seen: set[bytes] = set()
             out: list[tuple] = []
-            for doc, text, ordinals in zip(ids, raw_texts(part.column("text")), part.column("ordinals")):
+            if len(seen) > _SEEN:
+                seen.clear()
+            for doc, text in zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text"))):
                 words, first, stop, mark = _segments(text, window, anchor)
-                for k in sorted(set(ordinals.as_py())):
-                    if k >= len(first):
-                        continue  # an ordinal of another row with this id
+                for k in np.nonzero(shared.holds(mark))[0].tolist():
                     a, b = int(first[k]), int(stop[k])
                     line = b" ".join(words[a : b + window - 1])
                     key = xxhash.xxh3_128_digest(line)
-                    new = key not in seen
-                    seen.add(key)
-                    out.append((doc, a, b - a, int(mark[k : k + 1].view(np.int64)[0]), int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), line if new else None))
+                    row = (doc, a, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
+                    if key in seen:
+                        out.append((*row, None, None, None))
+                    else:
+                        seen.add(key)
+                        out.append((*row, int(mark[k : k + 1].view(np.int64)[0]), b - a, line))
             columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "n", "mark", "k1", "k2", "words"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "k1", "k2", "mark", "n", "words"])
 
-    return joined.mapInArrow(run, "doc_id bigint, start int, n int, mark bigint, k1 bigint, k2 bigint, words binary")
+    return docs.mapInArrow(run, "doc_id bigint, start int, k1 bigint, k2 bigint, mark bigint, n int, words binary")
 
 
 def first_owners(lines: list[bytes], owners: np.ndarray, window: int) -> list[np.ndarray]:
@@ -140,7 +141,7 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
         F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("words").alias("words")
     )
     lowest = segments.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"))
-    distinct = stored(one.join(lowest, ["k1", "k2"]))
+    distinct = written(one.join(lowest, ["k1", "k2"]))
     row = distinct.agg(F.sum(F.col("n") + window).alias("w")).first()
     shards = max(1, math.ceil((row["w"] or 0) / SHARD_WORDS))
     hot = distinct.groupBy("mark").count().where(F.col("count") > HOT_SEGMENTS).select("mark")
@@ -173,10 +174,9 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(doc_id, starts)``: the windows of ``docs`` ``(doc_id, text)`` whose words a smaller doc_id holds too."""
-    found = stored(_anchor_rows(docs, window, anchor))
-    several = found.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("mark")
-    shared = found.join(several, "mark").groupBy("doc_id").agg(F.sort_array(F.collect_list("ordinal")).alias("ordinals"))
-    segments = stored(_shared_segments(docs, shared, window, anchor))
+    several = _anchor_rows(docs, window, anchor).groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = BitFilter(several.where("low < high"), "mark")
+    segments = written(_shared_segments(docs, shared, window, anchor))
     places = segments.select("doc_id", "start", "k1", "k2")
     owned = places.join(_searched(segments, window), ["k1", "k2"])
     at = F.col("start") + F.col("at")
@@ -210,8 +210,8 @@ def without_repeats(
     nothing stays as it is, null included.
 
     Windows with equal words have the same anchor, so they meet in one shard;
-    only segments whose anchor occurs in two documents go there, each distinct
-    one once.  Each shard is an FM-index, which the segments stream through.
+    only segments whose anchor a bit filter of the shared anchors lets through
+    go there, each distinct one once.  Each shard is an FM-index, which the segments stream through.
 
     Null text has no words and a text shorter than the window keeps all.  Rows
     without doc_id keep all and make no other repeat.  Rows with the same doc_id
@@ -220,32 +220,47 @@ def without_repeats(
     other columns play no part.
     """
     own = [F.col(k) for k in keep]
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *own)
-    identified = narrow.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    late = repeated_windows(identified, window, anchor)
-    both = narrow.join(late, "doc_id", "left").select("doc_id", "text", "starts", *keep)
+    narrow = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *own, F.xxhash64(F.col(doc_id).cast("bigint")).alias("_h")
+    )
+    late = written(repeated_windows(narrow.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), window, anchor))
+    losing = BitFilter(late.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    def result(part: pa.RecordBatch, starts: list[list[int] | None]) -> pa.RecordBatch:
+        rows, texts = [], part.column("text")
+        for raw, late_, given in zip(raw_texts(texts), starts, texts.is_valid().to_pylist()):
+            words = raw.split()
+            n = len(words)
+            if late_:
+                at = np.array(late_, dtype=np.int64)
+                gone = covered(n, at[at + window <= n], window)
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            line = raw if as_is and n == len(words) else b" ".join(words)
+            rows.append((n, n - len(words), line.decode("utf-8") if given or not as_is else None))
+        columns = list(zip(*rows)) or [()] * 3
+        kinds = [pa.int64(), pa.int64(), pa.string()]
+        return pa.record_batch(
+            [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds)], *[part.column(k) for k in keep]],
+            names=["doc_id", "n_words", "n_removed", "kept", *keep],
+        )
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            part = part.filter(pa.array(~losing.holds(part.column("_h").to_numpy())))
+            yield result(part, [None] * part.num_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(losing.holds(batch.column("_h").to_numpy())))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = []
-            texts = part.column("text")
-            for raw, starts, given in zip(raw_texts(texts), part.column("starts"), texts.is_valid().to_pylist()):
-                words = raw.split()
-                n = len(words)
-                if starts.is_valid and n:
-                    late_ = np.array(starts.as_py(), dtype=np.int64)
-                    gone = covered(n, late_[late_ + window <= n], window)
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
-                line = raw if as_is and n == len(words) else b" ".join(words)
-                rows.append((n, n - len(words), line.decode("utf-8") if given or not as_is else None))
-            columns = list(zip(*rows)) or [()] * 3
-            yield pa.record_batch(
-                [part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), *[part.column(k) for k in keep]],
-                names=["doc_id", "n_words", "n_removed", "kept", *keep],
-            )
+            yield result(part, part.column("starts").to_pylist())
 
-    more = "".join(f", `{k}` {narrow.schema[k].dataType.simpleString()}" for k in keep)
-    return both.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept string{more}")
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{k}` {narrow.schema[k].dataType.simpleString()}" for k in keep)
+    # Only the texts that may lose words travel to what they lose.
+    both = narrow.mapInArrow(may_lose, narrow.schema).join(late, "doc_id", "left").select("doc_id", "text", "starts", *keep)
+    return both.mapInArrow(cut, schema).union(narrow.mapInArrow(untouched, schema))
 
 
 def op7(docs: DataFrame) -> DataFrame:

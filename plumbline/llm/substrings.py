@@ -21,51 +21,111 @@ ANCHOR = 6
 #: Words of one index, about; anchors of more segments than this are cut into windows.
 SHARD_WORDS = 1 << 17
 HOT_SEGMENTS = 1 << 12
+#: Windows of a chunk, about: passages are first compared in chunks, then by windows.
+CHUNK = 64
 _SEEN = 1 << 20
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+class _Hashes(dict):
+    """Hashes of words, remembered while a slice lasts."""
 
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
 
-def anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a document: their first window, the one after their last, and their anchor.
 
-    The anchor of a window is the smallest hash of its ``anchor`` consecutive
-    words, leftmost if equal; windows in a row with the same anchor make one
-    segment.  Equal windows have equal anchors wherever they stand.
-    """
-    none = np.zeros(0, np.int64)
-    windows = len(hashes) - window + 1
-    if windows < 1:
-        return none, none, none.astype(np.uint64)
+_hashes = _Hashes()
+
+
+def gram_hashes(words: list[bytes], anchor: int) -> np.ndarray:
+    """A hash of each ``anchor`` consecutive words."""
+    if len(_hashes) > _SEEN:
+        _hashes.clear()
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     grams = np.zeros(len(hashes) - anchor + 1, dtype=np.uint64)
     for k in range(anchor):
         grams = (grams ^ hashes[k : k + len(grams)]) * _FOLD
         grams ^= grams >> np.uint64(29)
-    inside = window - anchor + 1
-    spans = np.lib.stride_tricks.sliding_window_view(grams, inside)
-    place = np.arange(windows) + spans.argmin(axis=1)
-    opens = np.concatenate([[True], place[1:] != place[:-1]])
+    return grams
+
+
+def chunks(words: list[bytes], grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows, numbers of windows and 128-bit keys of a document's chunks.
+
+    A chunk opens at each window whose first words hash low, about every
+    ``CHUNK`` windows, so equal passages are cut alike.  Its key covers the
+    words of all its windows.
+    """
+    windows = len(words) - window + 1
+    cut = np.nonzero(grams[1:windows] < np.uint64((1 << 64) // CHUNK))[0] + 1
+    first, stop = np.concatenate([[0], cut]), np.append(cut, windows)
+    digest = xxhash.xxh3_128_digest
+    keys = b"".join(digest(b" ".join(words[a : b + window - 1])) for a, b in zip(first.tolist(), stop.tolist()))
+    return first, stop - first, np.frombuffer(keys, dtype="<i8").reshape(-1, 2)
+
+
+def segments_of(grams: np.ndarray, allowed: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First windows, numbers of windows and anchors of the segments of the allowed windows.
+
+    The anchor of a window is the smallest hash of its ``anchor`` consecutive
+    words, leftmost if equal; windows in a row with the same anchor make one
+    segment.  Equal windows have equal anchors wherever they stand.
+    """
+    spans = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
+    place = np.arange(len(allowed)) + spans.argmin(axis=1)
+    opens = np.concatenate([[True], (place[1:] != place[:-1]) | (allowed[1:] != allowed[:-1])])
     first = np.nonzero(opens)[0]
-    return first, np.append(first[1:], windows), grams[place[first]]
+    n = np.diff(np.append(first, len(allowed)))
+    kept = allowed[first]
+    return first[kept], n[kept], grams[place[first[kept]]]
+
+
+def _mixed(k1: np.ndarray, doc: int) -> np.ndarray:
+    return k1 ^ np.int64(doc) ^ (np.int64(doc) << np.int64(26))
 
 
-def _segments(text: bytes, window: int, anchor: int):
+def _first_segments(doc: int, text: bytes, firsts: BitFilter, window: int, anchor: int):
+    """Words and segments of the chunks that this document may be the first to hold."""
     words = text.split()
-    return (words, *anchors(word_hashes(words), window, anchor))
+    none = np.zeros(0, np.int64)
+    if len(words) < window:
+        return words, none, none, none.astype(np.uint64)
+    grams = gram_hashes(words, anchor)
+    _, n, keys = chunks(words, grams, window)
+    allowed = np.repeat(firsts.holds(_mixed(keys[:, 0], doc)), n)
+    return words, *segments_of(grams, allowed, window, anchor)
 
 
-def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(doc_id, mark)``: the different anchors of each document."""
+def _chunk_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(doc_id, start, n, k1, k2)``: the chunks of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            owner, mark = [], []
+            out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]]
             for k, text in enumerate(raw_texts(part.column("text"))):
-                own = np.unique(_segments(text, window, anchor)[3])
+                words = text.split()
+                if len(words) >= window:
+                    first, n, keys = chunks(words, gram_hashes(words, anchor), window)
+                    for column, values in zip(out, (np.full(len(first), k), first, n, keys)):
+                        column.append(values)
+            owner, first, n, keys = map(np.concatenate, out)
+            yield pa.record_batch(
+                [part.column("doc_id").take(pa.array(owner)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
+                names=["doc_id", "start", "n", "k1", "k2"],
+            )
+
+    return docs.mapInArrow(run, "doc_id bigint, start int, n int, k1 bigint, k2 bigint")
+
+
+def _anchor_rows(docs: DataFrame, firsts: BitFilter, window: int, anchor: int) -> DataFrame:
+    """``(doc_id, mark)``: the different anchors of each document's first chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            owner, mark = [], []
+            for k, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text")))):
+                own = np.unique(_first_segments(doc, text, firsts, window, anchor)[3])
                 owner.append(np.full(len(own), k)), mark.append(own.view(np.int64))
             yield pa.record_batch(
                 [part.column("doc_id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(mark))], names=["doc_id", "mark"]
@@ -74,8 +134,8 @@ def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, mark bigint")
 
 
-def _shared_segments(docs: DataFrame, shared: BitFilter, window: int, anchor: int) -> DataFrame:
-    """Each segment whose anchor may be shared: ``(doc_id, start, k1, k2, mark, n, words)``.
+def _shared_segments(docs: DataFrame, firsts: BitFilter, shared: BitFilter, window: int, anchor: int) -> DataFrame:
+    """Each segment of a first chunk whose anchor may be shared: ``(doc_id, start, k1, k2, mark, n, words)``.
 
     ``k1`` and ``k2`` are the 128-bit key of its words.  ``mark``, ``n``, its
     windows, and ``words`` are filled once per task for each distinct segment.
@@ -88,17 +148,17 @@ def _shared_segments(docs: DataFrame, shared: BitFilter, window: int, anchor: in
             if len(seen) > _SEEN:
                 seen.clear()
             for doc, text in zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text"))):
-                words, first, stop, mark = _segments(text, window, anchor)
-                for k in np.nonzero(shared.holds(mark))[0].tolist():
-                    a, b = int(first[k]), int(stop[k])
-                    line = b" ".join(words[a : b + window - 1])
+                words, first, n, mark = _first_segments(doc, text, firsts, window, anchor)
+                held = np.nonzero(shared.holds(mark))[0] if len(mark) else ()
+                for a, k, m in zip(first[held].tolist(), n[held].tolist(), mark[held].view(np.int64).tolist()) if len(held) else ():
+                    line = b" ".join(words[a : a + k + window - 1])
                     key = xxhash.xxh3_128_digest(line)
                     row = (doc, a, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
                     if key in seen:
                         out.append((*row, None, None, None))
                     else:
                         seen.add(key)
-                        out.append((*row, int(mark[k : k + 1].view(np.int64)[0]), b - a, line))
+                        out.append((*row, m, k, line))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "k1", "k2", "mark", "n", "words"])
@@ -173,27 +233,33 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc_id, starts)``: the windows of ``docs`` ``(doc_id, text)`` whose words a smaller doc_id holds too."""
-    several = _anchor_rows(docs, window, anchor).groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    """``(doc_id, late)``: runs ``(start, n)`` of windows of ``docs`` ``(doc_id, text)`` whose words a smaller doc_id holds too."""
+    found = written(_chunk_rows(docs, window, anchor))
+    lowest = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"))
+    judged = written(found.join(lowest, ["k1", "k2"]).select("doc_id", "start", "n", "k1", (F.col("doc_id") == F.col("owner")).alias("first")))
+    # What follows looks at chunks in the first document that holds them: the rest repeats these window by window.
+    doc = F.col("doc_id")
+    mixed = F.col("k1").bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 26)).alias("h")
+    firsts = BitFilter(judged.where("first").select(mixed), "h")
+    several = _anchor_rows(docs, firsts, window, anchor).groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = BitFilter(several.where("low < high"), "mark")
-    segments = written(_shared_segments(docs, shared, window, anchor))
+    segments = written(_shared_segments(docs, firsts, shared, window, anchor))
     places = segments.select("doc_id", "start", "k1", "k2")
     owned = places.join(_searched(segments, window), ["k1", "k2"])
-    at = F.col("start") + F.col("at")
-    late = F.filter(
-        F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), at + i)), lambda s: s.isNotNull()
-    )
-    return (
-        owned.select("doc_id", late.alias("late")).where(F.size("late") > 0)
-        .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("late"))).alias("starts"))
+    at = (F.col("start") + F.col("at")).cast("int")
+    runs = F.filter(
+        F.transform("firsts", lambda f, i: F.when(f < doc, F.struct((at + i).alias("start"), F.lit(1).alias("n")))), lambda s: s.isNotNull()
     )
+    single = owned.select("doc_id", runs.alias("late")).where(F.size("late") > 0)
+    whole = judged.where(~F.col("first")).select("doc_id", F.array(F.struct("start", "n")).alias("late"))
+    return single.union(whole).groupBy("doc_id").agg(F.flatten(F.collect_list("late")).alias("late"))
 
 
-def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which words the windows cover."""
+def covered(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Which words the runs of windows cover."""
     edge = np.zeros(n_words + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, starts + counts + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -209,8 +275,10 @@ def without_repeats(
     the kept words with one blank between; with ``as_is``, a text that loses
     nothing stays as it is, null included.
 
-    Windows with equal words have the same anchor, so they meet in one shard;
-    only segments whose anchor a bit filter of the shared anchors lets through
+    Chunks, cut by content, are compared first: a chunk that an earlier
+    document holds repeats with all its windows, and looks no further.  In the
+    others, windows with equal words have the same anchor, so they meet in one
+    shard; only segments whose anchor a bit filter of the shared anchors lets through
     go there, each distinct one once.  Each shard is an FM-index, which the segments stream through.
 
     Null text has no words and a text shorter than the window keeps all.  Rows
@@ -226,14 +294,14 @@ def without_repeats(
     late = written(repeated_windows(narrow.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), window, anchor))
     losing = BitFilter(late.select(F.xxhash64("doc_id").alias("h")), "h")
 
-    def result(part: pa.RecordBatch, starts: list[list[int] | None]) -> pa.RecordBatch:
+    def result(part: pa.RecordBatch, runs: list[np.ndarray | None]) -> pa.RecordBatch:
         rows, texts = [], part.column("text")
-        for raw, late_, given in zip(raw_texts(texts), starts, texts.is_valid().to_pylist()):
+        for raw, late_, given in zip(raw_texts(texts), runs, texts.is_valid().to_pylist()):
             words = raw.split()
             n = len(words)
-            if late_:
-                at = np.array(late_, dtype=np.int64)
-                gone = covered(n, at[at + window <= n], window)
+            if late_ is not None:
+                start, count = late_[late_.sum(axis=1) + window - 1 <= n].T
+                gone = covered(n, start, count, window)
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             line = raw if as_is and n == len(words) else b" ".join(words)
             rows.append((n, n - len(words), line.decode("utf-8") if given or not as_is else None))
@@ -255,11 +323,14 @@ def without_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield result(part, part.column("starts").to_pylist())
+            flat = part.column("late")
+            both = [None if x is None else np.stack([x.values.field(0).to_numpy(), x.values.field(1).to_numpy()], axis=1).astype(np.int64)
+                    for x in (y if y.is_valid else None for y in flat)]
+            yield result(part, both)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", `{k}` {narrow.schema[k].dataType.simpleString()}" for k in keep)
     # Only the texts that may lose words travel to what they lose.
-    both = narrow.mapInArrow(may_lose, narrow.schema).join(late, "doc_id", "left").select("doc_id", "text", "starts", *keep)
+    both = narrow.mapInArrow(may_lose, narrow.schema).join(late, "doc_id", "left").select("doc_id", "text", "late", *keep)
     return both.mapInArrow(cut, schema).union(narrow.mapInArrow(untouched, schema))
 
 

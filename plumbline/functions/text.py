@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from decimal import Decimal, InvalidOperation, localcontext
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -31,22 +31,59 @@ def is_filled(col: Column, dtype: T.DataType) -> Column:
 
 def full_match(col: Column, pattern: str) -> Column:
     """Whole-string regular expression match; the group keeps alternations together."""
-    return col.cast("string").rlike(f"^(?:{pattern})$")
+    return col.cast("string").rlike(whole(pattern))
 
 
-def _as_number(value: object) -> float | None:
+def whole(pattern: str) -> str:
+    """The pattern anchored at both ends; ``$`` would also match before a final line break."""
+    return rf"\A(?:{pattern})\z"
+
+
+def number_kind(dtype: T.DataType) -> str:
+    """The type in which values of a numeric column are compared without loss."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return dtype.simpleString() if isinstance(dtype, T.DecimalType) else "double"
+
+
+def _decimal(value: object) -> Decimal | None:
     try:
-        return float(str(value))
-    except ValueError:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
         return None
+    return number if number.is_finite() else None
+
+
+def exact_value(value: object, dtype: T.DataType) -> int | Decimal | float | None:
+    """The value as the column would hold it; None where it cannot."""
+    if not isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        try:
+            return float(str(value))
+        except ValueError:
+            return None
+    number = _decimal(value)
+    if number is None or number.adjusted() > 60:
+        return None
+    with localcontext(prec=200):
+        if isinstance(dtype, T.IntegralType):
+            return int(number) if number == number.to_integral_value() and -(2**63) <= number < 2**63 else None
+        step = Decimal(1).scaleb(-dtype.scale)
+        fits = number == number.quantize(step) and abs(number) < Decimal(10) ** (dtype.precision - dtype.scale)
+        return number.quantize(step) if fits else None
 
 
-def _as_integer(value: object) -> int | None:
-    number = _as_number(value)
-    if number is None or not number.is_integer():
-        return None
-    text = str(value)
-    return int(text) if re.fullmatch(r"[+-]?\d+", text) else int(number)
+def exact_number(value: object, dtype: T.DataType) -> Column | None:
+    """A literal of the column's own kind; None where the column cannot hold the value."""
+    own = exact_value(value, dtype)
+    return None if own is None else F.lit(own).cast(number_kind(dtype))
+
+
+def exact_bound(value: object) -> Column:
+    """A bound as a decimal where it is one, else as a double."""
+    number = _decimal(value)
+    if number is None or number.adjusted() >= 19 or number.as_tuple().exponent < -18:
+        return F.lit(float(str(value)))
+    return F.lit(number).cast("decimal(38,18)")
 
 
 def member_of(col: Column, dtype: T.DataType, values: Sequence[object]) -> Column:
@@ -55,14 +92,9 @@ def member_of(col: Column, dtype: T.DataType, values: Sequence[object]) -> Colum
     Numeric columns are compared as numbers, so 5 and "5" both match 5.0; all
     other columns are compared by their text.
     """
-    if isinstance(dtype, T.IntegralType):
-        items = [v for v in (_as_integer(x) for x in values) if v is not None]
-        # Values beyond a long cannot occur in the column.
-        items = [v for v in items if -(2**63) <= v < 2**63]
-        probe = col.cast("bigint")
-    elif isinstance(dtype, T.NumericType):
-        items = [v for v in (_as_number(x) for x in values) if v is not None]
-        probe = col.cast("double")
+    if isinstance(dtype, T.NumericType):
+        items = [v for v in (exact_value(x, dtype) for x in values if x is not None) if v is not None]
+        probe = col.cast(number_kind(dtype))
     else:
         items = [literal_text(v) for v in values if v is not None]
         probe = col.cast("string")

@@ -98,12 +98,17 @@ def error_profiles(values: DataFrame) -> DataFrame:
     )
 
 
-def error_value_counts(values: DataFrame, top: int = 1000) -> DataFrame:
-    """Per rule, its most frequent failing values, ties broken by value."""
+def error_value_counts(values: DataFrame, top: int | None = None) -> DataFrame:
+    """Per rule, how often each failing value occurs: all of them, or the ``top`` most frequent with their rank.
+
+    Ties are broken by value.
+    """
     trimmed = (
         values.withColumn("text", F.trim("text")).where(F.col("text") != "")
         .groupBy("rule_config_id", "text").agg(F.sum("n").alias("n"))
     )
+    if top is None:
+        return trimmed.select("rule_config_id", F.col("text").alias("value"), "n")
     order = Window.partitionBy("rule_config_id").orderBy(F.desc("n"), "text")
     # The rank filter is pushed below the shuffle, so a rule never moves more
     # than ``top`` rows per task.
@@ -114,7 +119,11 @@ def error_value_counts(values: DataFrame, top: int = 1000) -> DataFrame:
 
 
 def error_metrics(plan, top: int = 1000) -> DataFrame:
-    """Profile and value counts of failing values as JSON, one row per rule."""
+    """Profile and value counts of failing values as JSON, one row per rule.
+
+    The JSON quotes the ``top`` most frequent values; ``error_unique_count``
+    says how many there are, and ``error_value_counts`` has them all.
+    """
     values = failing_values(plan)
     profile = error_profiles(values)
     counts = error_value_counts(values, top).groupBy("rule_config_id").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.local import local_frame
 from plumbline.functions.rows import orderable, replicated
-from plumbline.functions.text import is_blank, is_filled, literal_text, member_of
+from plumbline.functions.text import exact_value, is_blank, is_filled, literal_text, member_of, number_kind
 from plumbline.functions.verdict import fraction, ignored_rows, within_bounds
 from plumbline.model import Dataset, Rule, RuleError, quoted
 from plumbline.operators.aggregate_checks import bounds_of
@@ -182,7 +182,7 @@ def most_common_in_set(ctx: Context, rule: Rule) -> Check:
     ties_okay = rule.flag("ties_okay")
 
     def aggregates(keys: list[Column], n: Column) -> dict[str, Column]:
-        known = F.coalesce(member_of(keys[0], dtype, values), F.lit(False))
+        known = F.coalesce(member_of(keys[0], dtype, held), F.lit(False))
         present = keys[0].isNotNull()
         return {
             "element": _sum(n),
@@ -224,16 +224,19 @@ def most_common_values(dataset: Dataset, column: str) -> DataFrame:
 def _distinct_set(needs_missing: bool, needs_extra: bool):
     def build(ctx: Context, rule: Rule) -> Check:
         col, dtype = ctx.dataset.column(rule.target)
-        values = _distinct_literals(rule.items("value_set"), dtype)
+        held, impossible = _distinct_literals(rule.items("value_set"), dtype)
+        values, kind = [*held, *impossible], _key_type(dtype)
+        # Doubles show as numbers; exact kinds as text, which keeps every digit.
+        shown = kind if kind in ("double", "string") else "string"
 
         def aggregates(keys: list[Column], n: Column) -> dict[str, Column]:
-            known = member_of(keys[0], dtype, values)
+            known = member_of(keys[0], dtype, held)
             return {
                 "element": _sum(F.when(keys[0].isNotNull(), n)),
                 "observed": F.count(keys[0]),
                 "matched": F.count_if(known),
                 # At most one entry per value of the set.
-                "found": F.collect_set(F.when(known, keys[0].cast(_key_type(dtype)))),
+                "found": F.collect_set(F.when(known, keys[0].cast(kind).cast(shown))),
             }
 
         def outcome(m: Metrics) -> dict[str, Column]:
@@ -244,7 +247,8 @@ def _distinct_set(needs_missing: bool, needs_extra: bool):
                 ok = ok & (missing == 0)
             if needs_extra:
                 ok = ok & (extra == 0)
-            wanted = F.array(*[F.lit(v) for v in values]).cast(f"array<{_key_type(dtype)}>")
+            wanted = F.array(*[F.lit(v).cast(kind) for v in held]).cast(f"array<{shown}>")
+            wanted = F.concat(wanted, F.array(*[F.lit(v) for v in impossible]).cast(f"array<{shown}>"))
             return {
                 **scalar_outcome(m["element"], F.lit(None), ok),
                 "details": F.to_json(F.struct(
@@ -266,21 +270,23 @@ def _distinct_set(needs_missing: bool, needs_extra: bool):
     return build
 
 
-def _distinct_literals(values: list[object], dtype: T.DataType) -> list[object]:
-    """Set values in the type keys are compared in, without repeats."""
+def _distinct_literals(values: list[object], dtype: T.DataType) -> tuple[list[object], list[object]]:
+    """Set values without repeats: those the column can hold, in its own kind, and the others."""
     present = [v for v in values if v is not None]
     if isinstance(dtype, T.NumericType):
         try:
-            present = [float(str(v)) for v in present]
+            held = [(exact_value(v, dtype), float(str(v))) for v in present]
         except ValueError:
             raise RuleError(f"value_set of a numeric column holds text: {values!r}") from None
-    else:
-        present = [literal_text(v) for v in present]
-    return list(dict.fromkeys(present))
+        return (
+            list(dict.fromkeys(own for own, _ in held if own is not None)),
+            list(dict.fromkeys(plain for own, plain in held if own is None)),
+        )
+    return list(dict.fromkeys(literal_text(v) for v in present)), []
 
 
 def _key_type(dtype: T.DataType) -> str:
-    return "double" if isinstance(dtype, T.NumericType) else "string"
+    return number_kind(dtype) if isinstance(dtype, T.NumericType) else "string"
 
 
 distinct_contains_set = _distinct_set(needs_missing=True, needs_extra=False)
@@ -299,13 +305,14 @@ def distinct_mismatches(dataset: Dataset, column: str, values: list[object]) ->
     observed = dataset.frame.where(col.isNotNull()).groupBy(col.cast(kind).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    expected = local_frame(
-        dataset.frame.sparkSession, [(v,) for v in _distinct_literals(values, dtype)], f"wanted {kind}"
-    )
+    held, impossible = _distinct_literals(values, dtype)
+    spark = dataset.frame.sparkSession
+    expected = local_frame(spark, [(v,) for v in held], f"wanted {kind}")
     joined = observed.join(expected, F.col("value") == F.col("wanted"), "full_outer")
+    never = local_frame(spark, [(str(v), 0, "missing") for v in impossible], "value string, n bigint, side string")
     return joined.select(
         F.coalesce("value", "wanted").cast("string").alias("value"),
         F.coalesce("n", F.lit(0)).alias("n"),
         F.when(F.col("value").isNull(), "missing")
         .when(F.col("wanted").isNull(), "extra").otherwise("match").alias("side"),
-    )
+    ).union(never)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.rows import numbered
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
-from plumbline.operators.percentiles import with_slice
+from plumbline.operators.percentiles import exact_percentiles, with_slice
 from plumbline.operators.profile import ProfileOptions, profile_columns, type_counts, value_counts
 
 # Unicode general categories and their names.
@@ -159,11 +159,19 @@ def numeric_statistics(df: DataFrame) -> DataFrame:
     spread = (
         df.withColumn("_medians", medians).select(F.inline(F.array(*deviations))).where(F.col("d").isNotNull())
         .groupBy("column_name").agg(
-            F.percentile_approx("d", 0.5, 10_000).alias("median_absolute_deviation"),
             F.avg("d").alias("mean_absolute_deviation"),
             F.count_if(F.abs("v") == float("inf")).alias("infinite_count"),
         )
     )
+    centred = df.withColumn("_medians", medians)
+    # Exact, as the medians are; one row per column.
+    middle = reduce(DataFrame.union, [
+        exact_percentiles(
+            centred, F.abs(F.col(quoted(c)).cast("double") - F.try_element_at("_medians", F.lit(c))), [0.5]
+        ).select(F.lit(c).alias("column_name"), F.col("value").alias("median_absolute_deviation"))
+        for c in names
+    ])
+    spread = spread.join(F.broadcast(middle), "column_name", "left")
     return profile.join(F.broadcast(spread), "column_name", "left").select(
         "column_name", "mean_value", "std_dev",
         (F.col("std_dev") * F.col("std_dev")).alias("variance_value"),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JError
 
 from plumbline.functions.numerals import plain_number
-from plumbline.functions.text import full_match, is_blank, is_filled, is_text, literal_text, member_of
+from plumbline.functions.text import (
+    exact_bound, exact_number, exact_value, full_match, is_blank, is_filled, is_text, literal_text, member_of, number_kind, whole,
+)
 from plumbline.functions.verdict import count_where, fraction, ignored_rows
 from plumbline.model import Rule, RuleError
 from plumbline.operators.base import (
@@ -33,8 +34,13 @@ def between(ctx: Context, rule: Rule) -> Check:
         raise RuleError("min_value and max_value are both required")
     raw, dtype = ctx.dataset.column(rule.target)
     value = numeric(ctx, rule.target)
-    below = value <= low if rule.flag("strict_min") else value < low
-    above = value >= high if rule.flag("strict_max") else value > high
+    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        # Not as doubles, which tell no two neighbours apart beyond 2**53.
+        compared, least, most = raw, exact_bound(rule.kwargs["min_value"]), exact_bound(rule.kwargs["max_value"])
+    else:
+        compared, least, most = value, F.lit(low), F.lit(high)
+    below = compared <= least if rule.flag("strict_min") else compared < least
+    above = compared >= most if rule.flag("strict_max") else compared > most
     unexpected = value.isNotNull() & is_filled(raw, dtype) & (below | above)
     return row_check(rule, unexpected, missing=is_blank(raw, dtype), error_value=value)
 
@@ -42,14 +48,11 @@ def between(ctx: Context, rule: Rule) -> Check:
 def _checked_pattern(ctx: Context, pattern: object) -> str:
     """The pattern itself, once it is known to compile."""
     text = str(pattern)
+    java = ctx.dataset.frame.sparkSession._jvm.java.util.regex.Pattern
     try:
-        re.compile(text)
-    except re.error:
-        # Java accepts some patterns Python does not; let Spark decide.
-        try:
-            ctx.dataset.frame.sparkSession.range(1).select(full_match(F.lit(""), text)).collect()
-        except PySparkException:
-            raise RuleError(f"invalid regular expression: {text!r}") from None
+        java.compile(whole(text))
+    except Py4JError:
+        raise RuleError(f"invalid regular expression: {text!r}") from None
     return text
 
 
@@ -100,13 +103,21 @@ def in_set(ctx: Context, rule: Rule) -> Check:
 
     Small sets count each value inside the shared scan.  Larger ones group by
     the matched value, which has at most as many groups as the set has values.
+    Both give the same result.
     """
     values = rule.items("value_set")
     col, dtype = ctx.dataset.column(rule.target)
     filled, blank = is_filled(col, dtype), is_blank(col, dtype)
     matched = filled & member_of(col, dtype, values)
     unexpected = filled & ~member_of(col, dtype, values)
-    distinct = list(dict.fromkeys(literal_text(v) for v in values if v is not None))
+    present = [v for v in values if v is not None]
+    if isinstance(dtype, T.NumericType):
+        # One entry for all spellings of a number, shown as the column shows it.
+        distinct = list(dict.fromkeys(v for v in (exact_value(x, dtype) for x in present) if v is not None))
+        keys_of = [F.lit(v).cast(dtype).cast("string") for v in distinct]
+    else:
+        distinct = list(dict.fromkeys(literal_text(v) for v in present))
+        keys_of = [F.lit(v.strip(" ")) for v in distinct]
 
     def kpis(m: Metrics, found: Column, counts: Column) -> dict[str, Column]:
         present = m["element"] - m["missing"]
@@ -133,8 +144,8 @@ def in_set(ctx: Context, rule: Rule) -> Check:
         def more(m: Metrics) -> dict[str, Column]:
             pairs = [
                 F.when(m[f"value_{i}"] > 0,
-                       F.struct(F.lit(v.strip(" ")).alias("key"), m[f"value_{i}"].alias("value")))
-                for i, v in enumerate(distinct)
+                       F.struct(key.alias("key"), m[f"value_{i}"].alias("value")))
+                for i, key in enumerate(keys_of)
             ]
             seen = F.array_compact(F.array(*pairs)) if pairs else F.array()
             counts = _summed_map(seen) if pairs else F.create_map()
@@ -196,9 +207,8 @@ def length_between(ctx: Context, rule: Rule) -> Check:
     col, _ = ctx.dataset.column(rule.target)
     low, high = rule.number("min_value"), rule.number("max_value")
     length = F.length(col.cast("string"))
-    unexpected = (length < F.lit(int(low or 0))) | (
-        length > F.lit(9_999_999 if high is None else int(high))
-    )
+    bounds = ([] if low is None else [length < low]) + ([] if high is None else [length > high])
+    unexpected = reduce(lambda a, b: a | b, bounds, F.lit(False))
     return row_check(rule, unexpected, by_success_rate=True, incremental=True)
 
 
@@ -310,7 +320,6 @@ def z_score_below(ctx: Context, rule: Rule) -> Check:
         more=lambda m: {
             "observed": F.to_json(F.struct(m["mean"].alias("mean"), m["stddev"].alias("stddev")))
         },
-        default_limit=20,
         incremental=True,
     )
 
@@ -349,16 +358,12 @@ def pair_in_set(ctx: Context, rule: Rule) -> Check:
     pairs = rule.items("value_pairs_set")
     if any(not isinstance(p, (list, tuple)) or len(p) != 2 for p in pairs):
         raise RuleError("value_pairs_set must hold pairs of values")
+    literals = [(_comparable_literal(x, type_a), _comparable_literal(y, type_b)) for x, y in pairs]
+    possible = [F.struct(x.alias("a"), y.alias("b")) for x, y in literals if x is not None and y is not None]
+    # Structs compare field by field with NULL equal to NULL.
     known = F.struct(
         _comparable_value(a, type_a).alias("a"), _comparable_value(b, type_b).alias("b")
-    ).isin(
-        # Structs compare field by field with NULL equal to NULL.
-        [
-            F.struct(_comparable_literal(x, type_a).alias("a"),
-                     _comparable_literal(y, type_b).alias("b"))
-            for x, y in pairs
-        ]
-    ) if pairs else F.lit(False)
+    ).isin(possible) if possible else F.lit(False)
     policy = str(rule.kwargs.get("ignore_row_if") or "both_values_are_missing").lower()
     if policy not in ("neither", "either_value_is_missing"):
         policy = "both_values_are_missing"
@@ -371,16 +376,15 @@ def pair_in_set(ctx: Context, rule: Rule) -> Check:
 
 
 def _comparable_value(col: Column, dtype: T.DataType) -> Column:
-    return col.cast("double" if isinstance(dtype, T.NumericType) else "string")
+    return col.cast(number_kind(dtype) if isinstance(dtype, T.NumericType) else "string")
 
 
-def _comparable_literal(value: object, dtype: T.DataType) -> Column:
+def _comparable_literal(value: object, dtype: T.DataType) -> Column | None:
     if isinstance(dtype, T.NumericType):
-        # Text that is no number can equal no number; NaN stands for it.
-        try:
-            return F.lit(None if value is None else float(str(value))).cast("double")
-        except ValueError:
-            return F.lit(float("nan"))
+        if value is None:
+            return F.lit(None).cast(number_kind(dtype))
+        # A value that the column cannot hold equals nothing in it.
+        return exact_number(value, dtype)
     return F.lit(None if value is None else literal_text(value)).cast("string")
 
 
@@ -414,5 +418,5 @@ def unique_within_record(ctx: Context, rule: Rule) -> Check:
         rule, unexpected,
         evaluated=None if ignored is None else ~ignored,
         missing=F.lit(False) if ignored is None else ignored,
-        missing_outside=True, default_limit=20, incremental=True,
+        missing_outside=True, incremental=True,
     )

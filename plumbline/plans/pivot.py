@@ -14,7 +14,6 @@ from plumbline.operators.capture import AUDIT_COLUMNS
 # Expectations whose header shows their bounds or type.
 BOUNDED_EXPECTATIONS = (10, 18)
 TYPED_EXPECTATION = 7
-HISTORY_RUNS = 90
 
 
 @dataclass(frozen=True)
@@ -104,11 +103,13 @@ def failure_pivot(
     )
 
 
-def recent_run_ids(run_log: DataFrame, dataset_id: int, current: int, limit: int = HISTORY_RUNS) -> list[int]:
-    rows = (
+def recent_run_ids(run_log: DataFrame, dataset_id: int, current: int, limit: int | None = None) -> list[int]:
+    """Runs of a dataset, the newest ``limit`` if given, and the current one."""
+    found = (
         run_log.where(F.col("dataset_id") == dataset_id).select("dataset_run_id").distinct()
-        .orderBy(F.desc("dataset_run_id")).limit(limit).collect()
+        .orderBy(F.desc("dataset_run_id"))
     )
+    rows = (found if limit is None else found.limit(limit)).collect()
     return sorted({r["dataset_run_id"] for r in rows} | {current})
 
 
@@ -131,7 +132,8 @@ def failure_history(
     rows = failed.groupBy("dataset_run_id", *[quoted(c) for c in source]).agg(
         F.lit(1).alias("_one"), *[_broke(i).alias(f"bad_{i}") for i in ids]
     )
-    joined = rows.join(verdicts, "dataset_run_id", "left")
+    # One row per run; nearly all failing rows may be of one run, so they stay where they are.
+    joined = rows.join(F.broadcast(verdicts), "dataset_run_id", "left")
     return joined.select(
         "dataset_run_id", F.lit(dataset_id).cast("bigint").alias("dataset_id"),
         F.lit(dataset_name).alias("dataset_name"), "dq_timestamp",

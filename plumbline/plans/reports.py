@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.plans.suite import FAILURE_TABLE_SUFFIX
-from plumbline.sources.datasets import estimated_bytes
 
 IN_SET = "expect_column_values_to_be_in_set"
 SEGMENT_KEYS = (
@@ -142,7 +141,8 @@ def last_run_failed_records(records: DataFrame, rules: DataFrame, datasets: Data
         .join(datasets.select("dataset_id", "dataset_name"), "dataset_id", "left")
         .groupBy("dataset_id", "dataset_name").agg(F.max("run").alias("max_run"))
     )
-    return newest.withColumnRenamed("max_run", "dataset_run_id").join(records, "dataset_run_id").select(
+    # One row per dataset; nearly all records may be of one run, so they stay where they are.
+    return records.join(F.broadcast(newest.withColumnRenamed("max_run", "dataset_run_id")), "dataset_run_id").select(
         "dataset_id", "dataset_name", "dataset_run_id", "rule_config_id", "failed_row", "load_timestamp"
     )
 
@@ -228,7 +228,7 @@ def _renamed(anomalies: DataFrame) -> DataFrame:
 def _flattened(details: DataFrame, definitions: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Segments with one row per profile attribute, attributes without value kept."""
     names = definitions.select("microsegment_def_id", "microsegment_def_name", "microsegment_def_description")
-    base = details.join(F.broadcast(names) if _is_small(names) else names, "microsegment_def_id", "left").join(
+    base = details.join(names, "microsegment_def_id", "left").join(
         _renamed(anomalies), list(SEGMENT_KEYS), "left"
     )
     attributes = F.map_entries(F.from_json("microsegment_profile", "map<string,string>"))
@@ -241,10 +241,6 @@ def _flattened(details: DataFrame, definitions: DataFrame, anomalies: DataFrame)
     })
 
 
-def _is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= 64 << 20
-
-
 def _scope(default: str | None) -> Column:
     return (
         F.when(F.col("is_within_anomaly"), "WITHIN").when(F.col("is_across_anomaly"), "ACROSS")

@@ -9,11 +9,11 @@ NULL_MARKERS = ("NULL", "nan", "\\N")
 _QUOTED_EMPTY = "\x01empty\x01"
 
 
-def export_csv(df: DataFrame, path: str, *, single_file: bool = True) -> None:
+def export_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     """Write gzip CSV with a header, replacing what is there.
 
-    One file suits reference tables and downloads.  Large exports should pass
-    ``single_file=False``, so that no single task writes everything.
+    Every task writes a file of its own.  ``single_file`` suits small reference
+    tables and downloads: one task then writes everything.
     """
     out = df.coalesce(1) if single_file else df
     (
@@ -83,7 +83,9 @@ def _checked_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        # Quoted line breaks belong to the text.  Gzip files are read by one task each anyway.
+        .option("multiLine", True)
+        .option("lineSep", "\n")
         .option("mode", "PERMISSIVE")
         # An empty field is NULL, an empty text in quotes is not.
         .option("emptyValue", _QUOTED_EMPTY)

@@ -11,13 +11,10 @@ from verification.compare import compare
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# All of them take minutes; by default a spread over all kinds runs.
-ALL = os.environ.get("ALL_QUERIES") == "1"
-KEYS = [k for i, k in enumerate(QUERIES) if ALL or i % 4 == 0]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
-@pytest.mark.parametrize("key", KEYS)
+@pytest.mark.parametrize("key", QUERIES)
 def test_query_matches_sql(spark, key):
     ok, message = compare(spark, SF_DIR, key, QUERIES[key], ORACLES.get(key))
     assert ok, message

@@ -484,6 +484,51 @@ add("d1_distinct_contains_set", _distinct_query("expect_column_distinct_values_t
 add("d2_distinct_equals_set", _distinct_query("expect_column_distinct_values_to_equal_set"), _distinct_sql("m = 0 AND x = 0"))
 add("d3_distinct_in_set", _distinct_query("expect_column_distinct_values_to_be_in_set"), _distinct_sql("x = 0"))
 
+# --- neighbouring numbers beyond 2**53, decimals, line breaks at the end ------
+
+_EDGE = 2**53
+
+add("r3_between_exact", check_query("neighbours", [
+    Rule(1, COLUMNS + "be_between", "edge", {"min_value": 0, "max_value": _EDGE}),
+    Rule(2, COLUMNS + "be_between", "edge", {"min_value": _EDGE, "max_value": 2**60, "strict_min": True}),
+    Rule(3, COLUMNS + "be_between", "big", {"min_value": str(_EDGE + 101), "max_value": 2**60}),
+    Rule(4, COLUMNS + "be_between", "money", {"min_value": "100.25", "max_value": "200.26", "strict_min": True}),
+]), row_oracle("neighbours", Counts(1, f"edge > {_EDGE}", missing="FALSE"), Counts(2, f"edge <= {_EDGE}", missing="FALSE"),
+               Counts(3, f"big < {_EDGE + 101}", missing="FALSE"), Counts(4, "money <= 100.25 OR money > 200.26", missing="FALSE")))
+
+add("r4_full_match", check_query("neighbours", [
+    Rule(1, COLUMNS + "match_regex_list", "ended", {"regex_list": ["[A-Z]", "never"]}),
+    Rule(2, COLUMNS + "not_match_regex_list", "ended", {"regex_list": ["[A-Z]"]}),
+]), row_oracle("neighbours", Counts(1, "length(ended) <> 1", missing="FALSE"), Counts(2, "length(ended) = 1", missing="FALSE")))
+
+add("r16_pair_in_set_exact", check_query("neighbours", [
+    Rule(1, "expect_column_pair_values_to_be_in_set", None, {
+        "column_A": "edge", "column_B": "parity", "value_pairs_set": [[_EDGE, 0], [str(_EDGE + 1), 1], ["x", 1], [0.5, 0]]}),
+    Rule(2, "expect_column_pair_values_to_be_in_set", None, {
+        "column_A": "money", "column_B": "parity", "value_pairs_set": [["3.25", 1], ["4.25", 0], ["5.251", 1]]}),
+]), row_oracle(
+    "neighbours", Counts(1, f"NOT ((edge = {_EDGE} AND parity = 0) OR (edge = {_EDGE + 1} AND parity = 1))", missing="FALSE"),
+    Counts(2, "NOT ((money = 3.25 AND parity = 1) OR (money = 4.25 AND parity = 0))", missing="FALSE")))
+
+add("r8_value_in_set_exact", check_query("neighbours", [
+    Rule(1, COLUMNS + "be_in_set", "edge", {"value_set": [_EDGE, f"{_EDGE}.0"]}),
+    Rule(2, COLUMNS + "be_in_set", "money", {"value_set": ["10.25", 11.25, "12.2501", "x"]}),
+    Rule(3, COLUMNS + "be_in_set", "big", {"value_set": [_EDGE + k for k in range(60)]}),
+]), row_oracle("neighbours", Counts(1, f"edge <> {_EDGE}", missing="FALSE"), Counts(2, "money NOT IN (10.25, 11.25)", missing="FALSE"),
+               Counts(3, f"big >= {_EDGE + 60}", missing="FALSE")))
+
+_EXACT_SETS = check_query("neighbours", [
+    Rule(1, "expect_column_distinct_values_to_equal_set", "edge", {"value_set": [_EDGE, _EDGE + 1]}),
+    Rule(2, "expect_column_distinct_values_to_equal_set", "edge", {"value_set": [_EDGE, _EDGE + 2]}),
+    Rule(3, "expect_column_distinct_values_to_be_in_set", "edge", {"value_set": [_EDGE, _EDGE + 2]}),
+    Rule(4, "expect_column_distinct_values_to_contain_set", "edge", {"value_set": [_EDGE + 1, 0.5]}),
+])
+
+add("d2_distinct_equals_set_exact", lambda spark, sf_dir: _EXACT_SETS(spark, sf_dir).select("rule_config_id", "is_success", "element_count"), with_fixtures(f"""
+    SELECT r::BIGINT AS rule_config_id, ok AS is_success, (SELECT count(*) FROM neighbours) AS element_count
+    FROM (SELECT count(*) = 2 AND bool_and(edge IN ({_EDGE}, {_EDGE + 1})) AS e FROM (SELECT DISTINCT edge FROM neighbours)),
+         LATERAL (VALUES (1, e), (2, FALSE), (3, NOT e), (4, FALSE)) AS t(r, ok)""", "neighbours"))
+
 # --- tables -----------------------------------------------------------------
 
 add("t1_row_count_between", check_query("orders", [

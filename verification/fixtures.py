@@ -34,6 +34,12 @@ FIXTURES: dict[str, str] = {
                CASE WHEN o_orderstatus = 'P' THEN '  ' ELSE o_orderstatus END AS status,
                CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price
         FROM orders""",
+    "neighbours": """
+        SELECT o_orderkey, o_custkey % 2 AS parity, o_orderkey + 9007199254740992 AS big,
+               cast(o_orderkey AS decimal(20,2)) + cast(0.25 AS decimal(20,2)) AS money,
+               9007199254740992 + o_orderkey % 2 AS edge,
+               concat(o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE chr(10) END) AS ended
+        FROM orders""",
     "labelled": """
         SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

@@ -86,6 +86,23 @@ def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_csv.read_reference_csv(spark, path, source.schema)
 
 
+@query("s5_csv_texts", "SELECT doc_id, text, lang, replace(source, 'src1', 'a\\\\\"' || chr(10) || ',') AS source, n_chars FROM documents")
+def csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks, quotes, delimiters and backslashes inside texts survive the round trip."""
+    documents = frame(spark, sf_dir, "documents")
+    source = documents.withColumn("source", F.replace("source", F.lit("src1"), F.lit('a\\\\"\n,')))
+    path = scratch(spark)
+    reference_csv.export_csv(source, path)
+    return reference_csv.read_reference_csv(spark, path, source.schema)
+
+
+@query("s5_csv_pages", "SELECT * FROM pages")
+def csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, path = frame(spark, sf_dir, "pages"), scratch(spark)
+    reference_csv.export_csv(source, path)
+    return reference_csv.read_reference_csv(spark, path, source.schema)
+
+
 _SIZES = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("size_text", T.IntegerType())])
 
 
@@ -288,11 +305,18 @@ def error_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x6_error_value_counts", with_fixtures("SELECT * FROM orders_gaps", "orders_gaps").rsplit("SELECT * FROM orders_gaps", 1)[0].rstrip() + ", " + _ERRORS + """
+    SELECT rule_config_id::BIGINT AS rule_config_id, v AS value, count(*) AS n FROM errors WHERE v <> '' GROUP BY rule_config_id, v""")
+def error_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.error_value_counts(_error_values(spark, sf_dir))
+
+
+@query("x6_error_value_counts_top", with_fixtures("SELECT * FROM orders_gaps", "orders_gaps").rsplit("SELECT * FROM orders_gaps", 1)[0].rstrip() + ", " + _ERRORS + """
     SELECT rule_config_id::BIGINT AS rule_config_id, v AS value, n, rank FROM (
       SELECT rule_config_id, v, count(*) AS n, row_number() OVER (PARTITION BY rule_config_id ORDER BY count(*) DESC, v) AS rank
-      FROM errors WHERE v <> '' AND rule_config_id > 1 GROUP BY rule_config_id, v) WHERE rank <= 1000""")
-def error_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.error_value_counts(_error_values(spark, sf_dir).where("rule_config_id > 1"))
+      FROM errors WHERE v <> '' GROUP BY rule_config_id, v) WHERE rank <= 10""")
+def error_value_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent failing values of each rule."""
+    return capture.error_value_counts(_error_values(spark, sf_dir), top=10)
 
 
 @query("x7_ignore_policies", with_fixtures("\nUNION ALL\n".join(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,10 +12,6 @@ from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 
-# A correlation keeps ten buffer fields; Spark compiles up to a hundred.
-PAIRS_PER_SCAN = 9
-
-
 def _correlation(x: Column, y: Column) -> Column:
     """Pearson correlation of the complete pairs, NULL when either side is constant.
 
@@ -35,29 +30,28 @@ def correlation_matrix(
 ) -> DataFrame:
     """``(col1, col2, correlation)`` for every pair in column order.
 
-    A scan takes as many pairs as Spark still compiles into one aggregation and
-    reads only their columns.
-
-    Rows where either side is NULL are left out per pair.  The whole table is
+    One scan serves any number of columns: each row yields its pairs, and their
+    moments are summed in the task before anything is shuffled.  Rows where either side is NULL are left out per pair.  The whole table is
     used unless a sample is asked for.
     """
     names = [c for c in columns if c in df.columns]
     source = df if sample_fraction is None else df.sample(fraction=sample_fraction, seed=42)
     pairs = list(combinations(range(len(names)), 2))
+    wanted = local_frame(
+        df.sparkSession, [(i, j, names[i], names[j]) for i, j in pairs], "i int, j int, col1 string, col2 string"
+    )
     if not pairs:
-        return local_frame(df.sparkSession, [], "col1 string, col2 string, correlation double")
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch = pairs[start:start + PAIRS_PER_SCAN]
-        wide = source.agg(*[
-            _correlation(_value(names[i]), _value(names[j])).alias(f"r{i}_{j}") for i, j in batch
-        ])
-        frames.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(names[i]).alias("col1"), F.lit(names[j]).alias("col2"),
-                     F.col(f"r{i}_{j}").alias("correlation"))
-            for i, j in batch
-        ]))))
-    return reduce(lambda a, b: a.unionAll(b), frames)
+        return wanted.select("col1", "col2", F.lit(None).cast("double").alias("correlation"))
+    last = F.lit(len(names) - 1)
+    entries = (
+        source.select(F.array(*[_value(c) for c in names]).alias("v"))
+        .select("v", F.explode(F.sequence(F.lit(0), last - 1)).alias("i"))
+        .select("v", "i", F.explode(F.sequence(F.col("i") + 1, last)).alias("j"))
+        .select("i", "j", F.col("v")[F.col("i")].alias("x"), F.col("v")[F.col("j")].alias("y"))
+    )
+    found = entries.groupBy("i", "j").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))
+    # One row per pair of columns on either side.
+    return wanted.join(F.broadcast(found), ["i", "j"], "left").select("col1", "col2", "correlation")
 
 
 def line_equations(

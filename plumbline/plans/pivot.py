@@ -21,6 +21,12 @@ class RuleHeader:
     rule_config_id: int
     header: str
     check_level: str = "ROW"
+    # The rule asked for a limited number of failing rows: a row that was not captured may fail it too.
+    capped: bool = False
+
+    @property
+    def otherwise(self) -> str:
+        return "NOT CAPTURED" if self.capped else "PASS"
 
 
 def rule_headers(
@@ -53,11 +59,20 @@ def rule_headers(
             f"{r['column_name']}_{r['dimension']}_"
             f"{_category(r['category'], r['expectation_id'], r['kwargs'])}_{r['rule_config_id']}",
             r["check_level"],
+            _capped(r["kwargs"]),
         )
         for r in rows
     ]
 
 
+def _capped(kwargs: str | None) -> bool:
+    try:
+        args = json.loads(kwargs) if kwargs else None
+        return isinstance(args, dict) and int(float(args.get("failed_row_count") or 0)) > 0
+    except ValueError:
+        return False
+
+
 def _category(category: str, expectation_id: int | None, kwargs: str | None) -> str:
     try:
         args = json.loads(kwargs) if kwargs else None
@@ -83,10 +98,13 @@ def _broke(rule_id: int) -> Column:
 def failure_pivot(
     failed: DataFrame, headers: Sequence[RuleHeader], *, run_id: int, dataset_id: int, dataset_name: str
 ) -> DataFrame:
-    """One row per distinct failing source row of a run, PASS or FAIL per failed rule."""
+    """One row per distinct failing source row of a run, PASS or FAIL per failed rule.
+
+    Rules that capture a limited number of rows show NOT CAPTURED instead of PASS.
+    """
     source = _source_columns(failed)
     flags = [
-        F.when(_broke(h.rule_config_id) == 1, "FAIL").otherwise("PASS").alias(h.header)
+        F.when(_broke(h.rule_config_id) == 1, "FAIL").otherwise(h.otherwise).alias(h.header)
         for h in headers
     ]
     return (
@@ -149,4 +167,4 @@ def _cell(h: RuleHeader) -> Column:
             F.when(ok.isNull(), "NOT CONFIGURED")
             .when(~ok, f"FAIL - {h.check_level} CHECK").otherwise("PASS")
         )
-    return F.when(bad, "FAIL").when(ok.isNull(), "NOT CONFIGURED").otherwise("PASS")
+    return F.when(bad, "FAIL").when(ok.isNull(), "NOT CONFIGURED").when(ok, "PASS").otherwise(h.otherwise)

@@ -10,6 +10,19 @@ import pyarrow.compute as pc
 
 #: A slice holds so many bytes of text, or a single longer text.
 SLICE_BYTES = 4 << 20
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, for hashes of many words at once."""
+    if len(_powers.get("up", ())) < length:
+        size = max(length, (1 << 20) + 4096)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, base, dtype=np.uint64)
+            out[0] = 1
+            _powers[name] = np.multiply.accumulate(out)
+    return _powers["up"][:length], _powers["down"][:length]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

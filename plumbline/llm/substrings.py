@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.batches import raw_texts, slices
+from plumbline.llm.batches import powers, raw_texts, slices
 from plumbline.llm.fm_index import FMIndex, Minima, matching_owners
 from plumbline.llm.tables import BitFilter, written
 
@@ -27,41 +27,51 @@ _SEEN = 1 << 20
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered while a slice lasts."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
-
-
-def gram_hashes(words: list[bytes], anchor: int) -> np.ndarray:
-    """A hash of each ``anchor`` consecutive words."""
-    if len(_hashes) > _SEEN:
-        _hashes.clear()
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    grams = np.zeros(len(hashes) - anchor + 1, dtype=np.uint64)
-    for k in range(anchor):
-        grams = (grams ^ hashes[k : k + len(grams)]) * _FOLD
-        grams ^= grams >> np.uint64(29)
-    return grams
+class Words:
+    """The words of a text with one blank between, where each begins and ends, and hashes of them.
 
+    All windows of a text are slices of its line; the words themselves are never listed.
+    """
 
-def chunks(words: list[bytes], grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, text: bytes, anchor: int):
+        self.line = b" ".join(text.split())
+        raw = np.frombuffer(self.line, dtype=np.uint8)
+        blanks = np.flatnonzero(raw == 32)
+        self.begin = np.concatenate([[0], blanks + 1])
+        self.end = np.append(blanks, len(raw))
+        self.count = len(self.begin) if len(raw) else 0
+        if self.count < anchor:
+            self.grams = np.zeros(0, np.uint64)
+            return
+        up, down = powers(len(raw))
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum((raw + np.uint64(1)) * up, out=sums[1:])
+        hashes = (sums[self.end] - sums[self.begin]) * down[self.begin]
+        # A hash of each ``anchor`` consecutive words.
+        grams = np.zeros(self.count - anchor + 1, dtype=np.uint64)
+        for k in range(anchor):
+            grams = (grams ^ hashes[k : k + len(grams)]) * _FOLD
+            grams ^= grams >> np.uint64(29)
+        self.grams = grams
+
+    def slice(self, first: int, last: int) -> bytes:
+        """Words ``first`` to ``last``, inclusive."""
+        return self.line[self.begin[first] : self.end[last]]
+
+
+def chunks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First windows, numbers of windows and 128-bit keys of a document's chunks.
 
     A chunk opens at each window whose first words hash low, about every
     ``CHUNK`` windows, so equal passages are cut alike.  Its key covers the
     words of all its windows.
     """
-    windows = len(words) - window + 1
-    cut = np.nonzero(grams[1:windows] < np.uint64((1 << 64) // CHUNK))[0] + 1
+    windows = words.count - window + 1
+    cut = np.nonzero(words.grams[1:windows] < np.uint64((1 << 64) // CHUNK))[0] + 1
     first, stop = np.concatenate([[0], cut]), np.append(cut, windows)
-    digest = xxhash.xxh3_128_digest
-    keys = b"".join(digest(b" ".join(words[a : b + window - 1])) for a, b in zip(first.tolist(), stop.tolist()))
+    line, digest = words.line, xxhash.xxh3_128_digest
+    ends = words.end[stop + window - 2]
+    keys = b"".join(digest(line[a:b]) for a, b in zip(words.begin[first].tolist(), ends.tolist()))
     return first, stop - first, np.frombuffer(keys, dtype="<i8").reshape(-1, 2)
 
 
@@ -72,13 +82,20 @@ def segments_of(grams: np.ndarray, allowed: np.ndarray, window: int, anchor: int
     words, leftmost if equal; windows in a row with the same anchor make one
     segment.  Equal windows have equal anchors wherever they stand.
     """
-    spans = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-    place = np.arange(len(allowed)) + spans.argmin(axis=1)
-    opens = np.concatenate([[True], (place[1:] != place[:-1]) | (allowed[1:] != allowed[:-1])])
+    inside, n = window - anchor + 1, len(allowed)
+    low = np.uint64((1 << (inside - 1).bit_length()) - 1)
+    high = grams & ~low
+    # The lowest bits hold the place, so that a minimum finds both.
+    least = high[:n]
+    for k in range(1, inside):
+        least = np.minimum(least, high[k : k + n] | np.uint64(k))
+    place = np.arange(n) + (least & low).astype(np.int64)
+    opens = np.ones(n, dtype=bool)
+    opens[1:] = (place[1:] != place[:-1]) | (allowed[1:] != allowed[:-1])
     first = np.nonzero(opens)[0]
-    n = np.diff(np.append(first, len(allowed)))
+    size = np.diff(np.append(first, n))
     kept = allowed[first]
-    return first[kept], n[kept], grams[place[first[kept]]]
+    return first[kept], size[kept], grams[place[first[kept]]]
 
 
 def _mixed(k1: np.ndarray, doc: int) -> np.ndarray:
@@ -87,14 +104,15 @@ def _mixed(k1: np.ndarray, doc: int) -> np.ndarray:
 
 def _first_segments(doc: int, text: bytes, firsts: BitFilter, window: int, anchor: int):
     """Words and segments of the chunks that this document may be the first to hold."""
-    words = text.split()
+    words = Words(text, anchor)
     none = np.zeros(0, np.int64)
-    if len(words) < window:
+    if words.count < window:
+        return words, none, none, none.astype(np.uint64)
+    _, n, keys = chunks(words, window)
+    mine = firsts.holds(_mixed(keys[:, 0], doc))
+    if not mine.any():
         return words, none, none, none.astype(np.uint64)
-    grams = gram_hashes(words, anchor)
-    _, n, keys = chunks(words, grams, window)
-    allowed = np.repeat(firsts.holds(_mixed(keys[:, 0], doc)), n)
-    return words, *segments_of(grams, allowed, window, anchor)
+    return words, *segments_of(words.grams, np.repeat(mine, n), window, anchor)
 
 
 def _chunk_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -104,9 +122,9 @@ def _chunk_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         for part in slices(batches, "text"):
             out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]]
             for k, text in enumerate(raw_texts(part.column("text"))):
-                words = text.split()
-                if len(words) >= window:
-                    first, n, keys = chunks(words, gram_hashes(words, anchor), window)
+                words = Words(text, anchor)
+                if words.count >= window:
+                    first, n, keys = chunks(words, window)
                     for column, values in zip(out, (np.full(len(first), k), first, n, keys)):
                         column.append(values)
             owner, first, n, keys = map(np.concatenate, out)
@@ -151,7 +169,7 @@ def _shared_segments(docs: DataFrame, firsts: BitFilter, shared: BitFilter, wind
                 words, first, n, mark = _first_segments(doc, text, firsts, window, anchor)
                 held = np.nonzero(shared.holds(mark))[0] if len(mark) else ()
                 for a, k, m in zip(first[held].tolist(), n[held].tolist(), mark[held].view(np.int64).tolist()) if len(held) else ():
-                    line = b" ".join(words[a : a + k + window - 1])
+                    line = words.slice(a, a + k + window - 2)
                     key = xxhash.xxh3_128_digest(line)
                     row = (doc, a, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
                     if key in seen:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,7 +12,7 @@ from plumbline import Dataset, Rule, evaluate, run_suite
 from plumbline.functions.durable import ensure_checkpoint_dir
 from plumbline.functions.local import local_frame
 from plumbline.operators import capture
-from plumbline.plans import fusion, pivot
+from plumbline.plans import execution, fusion, pivot
 from plumbline.plans.suite import context_for, resolve_rules, run_summary, with_parsed_kwargs
 from plumbline.sources import datasets, reference_csv, sinks
 from verification.checks import COLUMNS, Counts, row_oracle
@@ -514,6 +515,44 @@ def failure_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot.failure_history(failed, results, headers, dataset_id=3, dataset_name="part_texts").drop("dq_timestamp")
 
 
+_BROKEN = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in _RULE_SQL.values())
+_ANY_RULE = f"({_RULE_SQL[1]} OR {_RULE_SQL[2]} OR {_RULE_SQL[3]})"
+
+
+@query("m8_full_run", with_fixtures(f"""
+    SELECT 'results' AS part, 4::BIGINT AS n UNION ALL
+    SELECT 'failed_rows', (SELECT sum({_BROKEN}) FROM part_texts)::BIGINT UNION ALL
+    SELECT 'failed_keys', (SELECT sum({_BROKEN}) FROM part_texts)::BIGINT UNION ALL
+    SELECT 'failure_file', (SELECT count(*) FROM part_texts WHERE {_ANY_RULE}) UNION ALL
+    SELECT 'run_log_evaluated', 4 UNION ALL SELECT 'run_log_unsuccessful', 3 UNION ALL SELECT 'run_log_errors', 1 UNION ALL
+    SELECT 'audit', 7""", "part_texts"))
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset and rules from configuration, one run, and what it left behind, read back."""
+    config = local_frame(spark, [(3, "part_texts", "QUERY", "SELECT * FROM parts_given", '{"primary_key": ["p_partkey"]}', False)],
+                         "dataset_id bigint, dataset_name string, dataset_type string, custom_sql string, primary_key_columns string, is_incremental boolean")
+    rules, master = _part_metadata(spark)
+    chosen = rules.where("rule_config_id <= 3").union(local_frame(
+        spark, [(9, 1, "size_text", "not json")], "rule_config_id bigint, expectation_id bigint, column_name string, kwargs string"))
+    handled = {1: PART_RULES[0].expectation, 10: PART_RULES[1].expectation, 7: PART_RULES[2].expectation}
+    named = F.coalesce(*[F.when(F.col("expectation_id") == k, v) for k, v in handled.items()])
+    rules = chosen.withColumns({"dataset_id": F.lit(3), "is_active": F.lit(True), "dq_engine": F.lit("SQL"),
+                                "dimension": F.lit("Validity"), "expectation_name": named})
+    handlers = local_frame(spark, [(v, v, True) for v in handled.values()], "expectation_type string, handler string, is_active boolean")
+    out = execution.execute_dataset(
+        spark, config, rules, master.withColumn("validation_name", named), handlers, 3, run_id=5, target=scratch(spark),
+        tables={"parts_given": frame(spark, sf_dir, "part_texts")},
+    )
+    log = spark.read.parquet(out.run_log)
+    parts = {"results": out.results, "failed_rows": out.failed_rows, "failed_keys": out.failed_keys, "audit": out.audit}
+    counts = [spark.read.parquet(p).select(F.lit(k).alias("part")) for k, p in parts.items()]
+    counts.append(spark.read.option("header", True).option("multiLine", True).csv(out.failure_file).select(F.lit("failure_file").alias("part")))
+    found = reduce(DataFrame.union, counts).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return found.union(log.select(F.inline(F.array(*[
+        F.struct(F.lit(f"run_log_{k}").alias("part"), F.col(f"{k}_expectations" if k != "unsuccessful" else "unsuccessful_expectations").alias("n"))
+        for k in ("evaluated", "unsuccessful")
+    ] + [F.struct(F.lit("run_log_errors").alias("part"), F.col("error_expectations").alias("n"))]))))
+
+
 @query("m7_audit_trail", with_fixtures("""
     SELECT * FROM (SELECT NULL::BIGINT AS rule_config_id, 'RULES_FETCHING' AS step_name, 'COMPLETED' AS status
     UNION ALL SELECT 1, 'RULE', 'COMPLETED' UNION ALL SELECT 2, 'RULE', 'COMPLETED' UNION ALL SELECT 99, 'RULE', 'FAILED'

@@ -112,9 +112,13 @@ def in_set(ctx: Context, rule: Rule) -> Check:
     unexpected = filled & ~member_of(col, dtype, values)
     present = [v for v in values if v is not None]
     if isinstance(dtype, T.NumericType):
-        # One entry for all spellings of a number, shown as the column shows it.
-        distinct = list(dict.fromkeys(v for v in (exact_value(x, dtype) for x in present) if v is not None))
-        keys_of = [F.lit(v).cast(dtype).cast("string") for v in distinct]
+        # One entry for all spellings of a number, shown as the set spells it first.
+        spelled: dict[object, str] = {}
+        for x in present:
+            if (own := exact_value(x, dtype)) is not None:
+                spelled.setdefault(own, literal_text(x).strip(" "))
+        distinct = list(spelled)
+        keys_of = [F.lit(v) for v in spelled.values()]
     else:
         distinct = list(dict.fromkeys(literal_text(v) for v in present))
         keys_of = [F.lit(v.strip(" ")) for v in distinct]
@@ -154,6 +158,13 @@ def in_set(ctx: Context, rule: Rule) -> Check:
         return row_check(rule, unexpected, missing=blank, extra=extra, more=more,
                          error_value=F.trim(col.cast("string")), incremental=True)
 
+    def shown(key: Column) -> Column:
+        """The value as the set spells it."""
+        if not isinstance(dtype, T.NumericType):
+            return F.trim(key)
+        pairs = [c for v, k in zip(distinct, keys_of) for c in (F.lit(v).cast(dtype).cast("string"), k)]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key)
+
     kind = F.when(blank, F.lit("missing")).when(matched, F.lit("match")).otherwise(F.lit("other"))
     keys = (kind, F.when(matched, col.cast("string")))
 
@@ -165,13 +176,14 @@ def in_set(ctx: Context, rule: Rule) -> Check:
             # At most one entry per value of the set.
             "seen": F.collect_list(
                 F.when(k[0] == "match",
-                       F.struct(F.trim(k[1]).alias("key"), n.alias("value")))
+                       F.struct(k[1].alias("key"), n.alias("value")))
             ),
         }
 
     def outcome(m: Metrics) -> dict[str, Column]:
         counts = m.named("element", "unexpected", "missing")
-        return {**counts, **kpis(m, F.size(m["seen"]), _summed_map(m["seen"]))}
+        seen = F.transform(m["seen"], lambda e: F.struct(shown(e["key"]).alias("key"), e["value"].alias("value")))
+        return {**counts, **kpis(m, F.size(seen), _summed_map(seen))}
 
     return GroupCheck(
         keys=keys, key_id=("in_set", rule.rule_id), aggregates=aggregates, outcome=outcome,

@@ -296,3 +296,22 @@ def test_catalogue_lists_every_expectation(spark):
 def test_broken_lists_are_rule_errors(spark, text):
     r = results(spark, [(1,)], "c int", [Rule(1, V + "be_in_set", "c", {"value_set": text})])
     assert r[1]["status"] == "ERROR"
+
+
+def test_set_results_do_not_depend_on_the_size_of_the_set(spark):
+    frame = spark.createDataFrame([(5.0,), (6.0,), (6.0,), (7.5,)], "v double")
+    few, many = ["5", "5.0", 6], ["5", "5.0", 6, *range(100, 160)]
+    rows = evaluate(Dataset("t", frame), [
+        Rule(1, "expect_column_values_to_be_in_set", "v", {"value_set": few}),
+        Rule(2, "expect_column_values_to_be_in_set", "v", {"value_set": many}),
+    ]).orderBy("rule_config_id").collect()
+    assert [json.loads(r["observed_value"]) for r in rows] == [{"5": 1, "6": 2}] * 2
+    assert [json.loads(r["results"])["distinct_match_count"] for r in rows] == [2, 2]
+
+
+def test_patterns_that_only_python_knows_are_one_error(spark):
+    rows = evaluate(Dataset("t", spark.createDataFrame([("x",)], "s string")), [
+        Rule(1, "expect_column_values_to_match_regex", "s", {"regex": "(?P<x>a)"}),
+        Rule(2, "expect_column_values_to_match_regex", "s", {"regex": "x"}),
+    ]).orderBy("rule_config_id").collect()
+    assert [r["status"] for r in rows] == ["ERROR", "SUCCESS"]

@@ -20,7 +20,7 @@ V = "expect_column_values_to_"
 def test_csv_keeps_quotes_blanks_and_nulls(spark, tmp_path):
     rows = [(1, 'say "hi", you', 1.5), (2, "", None), (3, None, 2.0), (4, " padded ", -1.0)]
     frame = spark.createDataFrame(rows, "i int, s string, d double")
-    export_csv(frame, str(tmp_path / "out"))
+    export_csv(frame, str(tmp_path / "out"), single_file=True)
     files = list((tmp_path / "out").glob("*.csv.gz"))
     assert len(files) == 1
     back = read_reference_csv(spark, str(tmp_path / "out"), frame.schema)

@@ -34,14 +34,14 @@ def base_terms(features: Sequence[str]) -> Terms:
     return Terms({f: F.col(quoted(f)).cast("double") for f in features}, tuple(features))
 
 
-def extended_terms(features: Sequence[str]) -> Terms:
-    """Products of up to five features and ratios of up to four join the features."""
+def extended_terms(features: Sequence[str], products_up_to: int = 5, ratios_up_to: int = 4) -> Terms:
+    """Features, their products where there are at most ``products_up_to``, their ratios likewise."""
     base = base_terms(features)
     terms = dict(base.columns)
     pairs = list(combinations(features, 2))
-    if len(features) <= 5:
+    if len(features) <= products_up_to:
         terms |= {f"{a}*{b}": base.columns[a] * base.columns[b] for a, b in pairs}
-    if len(features) <= 4:
+    if len(features) <= ratios_up_to:
         terms |= {f"{a}/{b}": F.try_divide(base.columns[a], base.columns[b]) for a, b in pairs}
     return Terms(terms, base.base)
 
@@ -220,9 +220,13 @@ def _lasso(m: Moments, alpha: float, start: np.ndarray, sweeps: int = 1000) -> n
 def fit_cross_validated(
     df: DataFrame, features: Sequence[str], target: str, *, relative_tolerance: float = 0.05,
     folds: int = 5, alphas: int = 100, relation_type: str | None = None, code: str | None = None,
+    products_up_to: int = 5, ratios_up_to: int = 4,
 ) -> DataFrame:
     """Lasso over features, products and ratios, its penalty chosen by cross-validation.
 
+    Products join up to ``products_up_to`` features and ratios up to
+    ``ratios_up_to``; the keys of ``coefficients`` say which terms took part.
+
     A grid search would train folds x penalties models, each a pass over the
     data.  One pass collects the moments of every fold instead: a few hundred
     numbers that determine every fit and every validation error exactly.
@@ -242,7 +246,7 @@ def fit_cross_validated(
 
     if target not in df.columns or not names:
         return failed("Missing target or features")
-    terms = extended_terms(names)
+    terms = extended_terms(names, products_up_to, ratios_up_to)
     data = model_frame(df, terms, target)
     width = len(terms.columns)
     parts = fold_moments(data.where("part < 70"), width, folds)

@@ -34,13 +34,20 @@ _IN_MEMORY_PERCENTILE_BYTES = 256 << 20
 
 @dataclass(frozen=True)
 class ProfileOptions:
-    """``exact`` replaces sketches by exact counts and percentiles."""
+    """``exact`` replaces sketches by exact counts and percentiles.
+
+    Extended profiles quote the ``value_limit`` most frequent values of a column,
+    ties broken by value, and the ``length_limit`` shortest lengths of its texts;
+    None quotes all.  ``value_counts`` has every value as a frame.
+    """
 
     exact: bool = False
     extended: bool = False
     columns_per_scan: int = 50
     first_rows: int = 5
     order_by: tuple[str, ...] = ()
+    value_limit: int | None = 50
+    length_limit: int | None = None
 
 
 def profile_columns(
@@ -231,10 +238,11 @@ def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
-def top_values(counts: DataFrame, limit: int = 50) -> DataFrame:
-    """The most frequent values per column, ties broken by value."""
+def top_values(counts: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The ``limit`` most frequent values per column, or all, ties broken by value."""
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def _with_value_statistics(profile: DataFrame, counts: DataFrame, options: ProfileOptions) -> DataFrame:
@@ -243,7 +251,7 @@ def _with_value_statistics(profile: DataFrame, counts: DataFrame, options: Profi
         F.count_if(F.col("n") == 1).alias("unique_count"),
     )
     if options.extended:
-        top = top_values(counts).groupBy("column_name").agg(
+        top = top_values(counts, options.value_limit).groupBy("column_name").agg(
             F.to_json(F.map_from_entries(F.transform(
                 F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                 lambda e: F.struct(e["value"], e["n"]),
@@ -252,10 +260,12 @@ def _with_value_statistics(profile: DataFrame, counts: DataFrame, options: Profi
         lengths = counts.groupBy("column_name", F.length("value").alias("length")).agg(
             F.sum("n").alias("n")
         )
-        order = Window.partitionBy("column_name").orderBy("length")
+        if options.length_limit is not None:
+            order = Window.partitionBy("column_name").orderBy("length")
+            lengths = lengths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.length_limit)
+        # At most one entry per length that occurs.
         length_map = (
-            lengths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 50)
-            .groupBy("column_name").agg(
+            lengths.groupBy("column_name").agg(
                 F.to_json(F.map_from_entries(F.transform(
                     F.array_sort(F.collect_list(F.struct("length", "n"))),
                     lambda e: F.struct(e["length"].cast("string"), e["n"]),

@@ -1,7 +1,7 @@
 """Japanese numerals to numbers and back, as plain column expressions.
 
-Both directions are built from JVM-side functions (``translate``, ``split``,
-``aggregate``), so a numeral column needs no Python worker and a check on one
+Both directions are built from JVM-side functions (``translate``, ``aggregate``,
+``regexp_extract_all``), so a numeral column needs no Python worker and a check on one
 can share the scan of all other checks.
 """
 
@@ -42,31 +42,28 @@ def plain_number(text: Column) -> Column:
     return F.when(narrow.rlike(_PLAIN_NUMBER), cleaned.try_cast("double"))
 
 
-def _whole_part(text: Column) -> Column:
-    def step(acc: Column, char: Column) -> Column:
-        digit, unit, big = (_lookup(m, char) for m in (DIGITS, UNITS, BIG_UNITS))
-        total, section, number = acc["total"], acc["section"], acc["number"]
-        one_if_bare = F.when(number == 0, F.lit(1.0)).otherwise(number)
-        return F.struct(
-            F.when(big.isNotNull(), total + (section + number) * big)
-            .otherwise(total).alias("total"),
-            F.when(unit.isNotNull(), section + one_if_bare * unit)
-            .when(big.isNotNull(), F.lit(0.0))
-            .otherwise(section).alias("section"),
-            F.coalesce(digit, F.when(unit.isNotNull() | big.isNotNull(), F.lit(0.0)), number)
-            .alias("number"),
-            (acc["unknown"] | F.coalesce(digit, unit, big).isNull()).alias("unknown"),
-        )
+def _pieces(text: Column, body: str, end: str, value) -> Column:
+    """Sum of ``value(body, end)`` over the text cut behind each character of ``end``."""
+    pattern = F.lit(f"([{body}]*)([{end}]?)")
+    values = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), value)
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
-    start = F.struct(
-        F.lit(0.0).alias("total"), F.lit(0.0).alias("section"),
-        F.lit(0.0).alias("number"), F.lit(False).alias("unknown"),
-    )
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(
-        chars, start, step,
-        lambda acc: F.when(~acc["unknown"], acc["total"] + acc["section"] + acc["number"]),
-    )
+
+def _below_big(group: Column) -> Column:
+    """Thousands, hundreds, tens and ones: each unit counts its digit times, once without a digit."""
+
+    def place(digits: Column, unit: Column) -> Column:
+        digit = F.coalesce(_lookup(DIGITS, F.right(digits, F.lit(1))), F.lit(0.0))
+        return F.coalesce(_lookup(UNITS, unit) * F.when(digit > 0, digit).otherwise(1.0), digit)
+
+    return _pieces(group, "".join(DIGITS), "".join(UNITS), place)
+
+
+def _whole_part(text: Column) -> Column:
+    """Groups of four places, each times the big unit behind it; NULL where another character occurs."""
+    small, big = "".join([*DIGITS, *UNITS]), "".join(BIG_UNITS)
+    value = _pieces(text, small, big, lambda group, unit: _below_big(group) * F.coalesce(_lookup(BIG_UNITS, unit), F.lit(1.0)))
+    return F.when(text.rlike(f"^[{small}{big}]*$"), value)
 
 
 def numeral_value(text: Column) -> Column:

@@ -39,7 +39,7 @@ def highest(query_ids, queries, ids, rows, top: int, scale: int = 64, chunk: int
     if not len(ids) or not len(query_ids):
         return nothing, nothing, nothing
     q, x = whole(queries, scale), whole(rows, scale)
-    if not np.abs(q).max() * np.abs(x).max() * x.shape[1] < 2.0**52:
+    if not float(np.abs(q).max()) * float(np.abs(x).max()) * x.shape[1] < 2.0**52:
         return _exact_large(query_ids, queries, ids, rows, top, scale)
     length = np.sqrt((x * x).sum(axis=1))
     order = np.lexsort((ids, -length))

@@ -19,7 +19,7 @@ MOST_LANGUAGES = 1000
 #: Letters up to here have a vector of their own, later ones share as many again.
 _OWN = 4096
 _SYMBOLS = 2 * _OWN
-_SLICE = 3 << 20
+_SLICE = 1 << 20
 
 
 @cache

@@ -24,18 +24,24 @@ LEAF = 2048
 _BLOCK = 1 << 22
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """64 majority bits over the hashes of all word shingles, repeats included; 0 without words."""
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all word shingles, repeats included; a text of fewer words is one shingle, none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)])
     ends = starts + lengths
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[min(width, len(words)) - 1 :][:n]
-    hashes = np.array([digest(line[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64)
+    return np.array([digest(line[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """64 majority bits over the hashes of all word shingles, repeats included; 0 without words."""
+    hashes = shingles(text, width, seed)
+    n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

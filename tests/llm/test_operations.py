@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import (
-    byte_bpe, cross_polytope, fm_index, inner_products, language_id, licences, packing, sentence_pieces, simhash,
+    byte_bpe, cross_polytope, fm_index, inner_products, language_id, licences, near_copies, packing, sentence_pieces, simhash,
     substrings, token_counts, toxicity,
 )
 from plumbline.llm.shipping import ship
@@ -401,6 +401,45 @@ def test_vantage_point_shards_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def jaccard_components(rows, least=0.8):
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common, whole = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if common >= least * whole and top(a) != top(b):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted((i, rows[top(k)][0]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("at_once", [8, 0])
+def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, at_once):
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    draw, words = random.Random(12), [f"{a}{b}" for a in "bcdfgklm" for b in "aeiou"]
+    passage = [draw.choice(words) for _ in range(30)]
+    texts = [None, "", " \n", "One two", "one TWO", "one two three four five six"]
+    for k in range(25):
+        text = [draw.choice(words) for _ in range(draw.choice([12, 60, 200]))] + passage * (k % 3 == 0)
+        texts += [" ".join(text)] * (1 + k % 2)
+        for _ in range(6):
+            text = list(text)
+            for _ in range(max(1, len(text) // 60)):
+                text[draw.randrange(len(text))] = draw.choice(words)
+            texts.append(" ".join(text))
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    expected = jaccard_components(rows)
+    assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == expected
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), SMALL).select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == sorted({c for _, c in expected})
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):
     rows, labels = docs, f"{SMALL}"
     for name, stage in corpus_pipeline.STAGES:

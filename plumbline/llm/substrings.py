@@ -208,12 +208,18 @@ def first_owners(lines: list[bytes], owners: np.ndarray, window: int) -> list[np
     return np.split(first, np.cumsum(windows)[:-1])
 
 
+def _distinct_windows(windows: DataFrame) -> DataFrame:
+    """``(w1, w2, owner, words)``: each distinct window with the smallest document that holds it."""
+    return windows.groupBy("w1", "w2").agg(F.min("owner").alias("owner"), F.min("words").alias("words"))
+
+
 def _searched(segments: DataFrame, window: int) -> DataFrame:
     """``(k1, k2, at, first)``: per distinct segment and window, the smallest document that holds the window.
 
     Segments are dealt by their anchor.  The windows of an anchor with very many
-    distinct segments are dealt one by one, by their own words, so that a short
-    phrase in very many contexts does not meet in one task.
+    distinct segments are dealt one by one, by their own words and each distinct
+    one once, so that neither a short phrase nor a passage in very many contexts
+    meets in one task.
     """
     one = segments.where(F.col("words").isNotNull()).groupBy("k1", "k2").agg(
         F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("words").alias("words")
@@ -222,32 +228,47 @@ def _searched(segments: DataFrame, window: int) -> DataFrame:
     distinct = written(one.join(lowest, ["k1", "k2"]))
     row = distinct.agg(F.sum(F.col("n") + window).alias("w")).first()
     shards = max(1, math.ceil((row["w"] or 0) / SHARD_WORDS))
-    hot = distinct.groupBy("mark").count().where(F.col("count") > HOT_SEGMENTS).select("mark")
+    hot = written(distinct.groupBy("mark").count().where(F.col("count") > HOT_SEGMENTS).select("mark"))
     usual = distinct.join(hot, "mark", "left_anti").select(
         F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"), "k1", "k2", F.lit(0).alias("at"), "owner", "words"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
+            if len(seen) > _SEEN:
+                seen.clear()
             for r in batch.to_pylist():
                 words = r["words"].split()
                 for k in range(len(words) - window + 1):
                     line = b" ".join(words[k : k + window])
-                    rows.append((xxhash.xxh3_64_intdigest(line) % shards, r["k1"], r["k2"], k, r["owner"], line))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "k1", "k2", "at", "owner", "words"])
-
-    schema = "shard bigint, k1 bigint, k2 bigint, at int, owner bigint, words binary"
-    single = distinct.join(hot, "mark", "left_semi").select("k1", "k2", "owner", "words").mapInArrow(cut, schema)
+                    key = xxhash.xxh3_128_digest(line)
+                    own = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
+                    rows.append((r["k1"], r["k2"], k, *own, r["owner"], None if key in seen else line))
+                    seen.add(key)
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "at", "w1", "w2", "owner", "words"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         owners = group["owner"].to_numpy(np.int64)
         found = first_owners([bytes(w) for w in group["words"]], owners, window)
         return pd.DataFrame({"k1": group["k1"], "k2": group["k2"], "at": group["at"], "firsts": [f.tolist() for f in found]})
 
-    return usual.union(single).groupBy("shard").applyInPandas(search, "k1 bigint, k2 bigint, at int, firsts array<bigint>")
+    def searched(lines: DataFrame) -> DataFrame:
+        return lines.groupBy("shard").applyInPandas(search, "k1 bigint, k2 bigint, at int, firsts array<bigint>")
+
+    if hot.isEmpty():
+        return searched(usual)
+    schema = "k1 bigint, k2 bigint, at int, w1 bigint, w2 bigint, owner bigint, words binary"
+    single = written(distinct.join(hot, "mark", "left_semi").select("k1", "k2", "owner", "words").mapInArrow(cut, schema))
+    # A window in many segments is one line of its shard, with its smallest document.
+    lines = written(_distinct_windows(single))
+    many = max(1, math.ceil(lines.count() * (window + 1) / SHARD_WORDS))
+    lines = lines.select(F.pmod("w1", F.lit(many)).alias("shard"), F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.lit(0).alias("at"), "owner", "words")
+    answers = searched(lines).select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "firsts")
+    return searched(usual).union(single.join(answers, ["w1", "w2"]).select("k1", "k2", "at", "firsts"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

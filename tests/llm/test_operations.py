@@ -240,6 +240,26 @@ def test_substring_dedup_cuts_hot_anchors_into_windows(spark, monkeypatch):
     assert sorted(map(tuple, substrings.op7(frame(spark, rows)).collect()), key=str) == repeats(rows, 13)
 
 
+@pytest.mark.parametrize("size", [13, 20])
+def test_substring_dedup_deals_windows_of_a_common_passage_once(spark, monkeypatch, size):
+    monkeypatch.setattr(substrings, "HOT_SEGMENTS", 20)
+    most, plain = spark.sparkContext.accumulator(0), substrings.first_owners
+    taken = spark.sparkContext.accumulator(0)
+
+    def counted(lines, owners, window):
+        taken.add(sum(len(line.split()) == window for line in lines))
+        most.add(sum(len(line.split()) == window for line in lines) - len({line for line in lines if len(line.split()) == window}))
+        return plain(lines, owners, window)
+
+    monkeypatch.setattr(substrings, "first_owners", counted)
+    draw = random.Random(14)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    passage = [draw.choice(words) for _ in range(size)]
+    rows = [(k, " ".join([*draw.choices(words, k=30), *passage, *draw.choices(words, k=30)])) for k in range(300)]
+    assert sorted(map(tuple, substrings.op7(frame(spark, rows)).collect()), key=str) == repeats(rows, 13)
+    assert taken.value and not most.value
+
+
 def test_backward_search_counts_every_pattern():
     draw = np.random.default_rng(2)
     lines = [draw.integers(1, 5, n) for n in (30, 17, 5, 40)]

@@ -25,7 +25,7 @@ def _byte_names() -> dict[str, int]:
 
 
 class ByteBPE:
-    """The ids of the file's tokenizer, special strings taken as ordinary text.
+    """The ids of the file's tokenizer: ``ids`` as the library gives them, ``encode`` with special strings taken as ordinary text.
 
     Where the file's merges are in the order of the ids they make, merging by
     rank gives the same ids several times faster; otherwise, and for a text the
@@ -33,19 +33,35 @@ class ByteBPE:
     """
 
     def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         names, vocabulary = _byte_names(), model["model"]["vocab"]
-        special = {t["content"] for t in model.get("added_tokens", []) if t["special"]}
+        added = model.get("added_tokens", [])
+        special = {t["content"] for t in added if t["special"]}
+        self.added = {t["content"]: t["id"] for t in added}
+        # Added tokens that the fast form finds as the library does: no choice between two, nothing around them counts.
+        self.plain = not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")) and (
+            not any(a != b and a in b for a in self.added for b in self.added)
+        )
         made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
         ranks = {bytes(names[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         ordered = all(a < b for a, b in zip(made, made[1:])) and len(made) + 256 == len(ranks)
         byte_level = (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space")
         self.fast = None
         if ordered and byte_level and not model.get("normalizer"):
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The library's ids without the post-processor's tokens; an added token in the text is one id."""
+        if self.fast is not None and (self.plain or not any(t in text for t in self.added)):
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+            except (ValueError, RuntimeError):  # beyond the limits of the pattern engine
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:

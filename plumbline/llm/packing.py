@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode
+        encode = byte_bpe(path).ids
         end = np.array([end_id], dtype=np.uint32)
         for part in slices(batches, "text"):
             owner, place, start, length, crc = [], [], [], [], []

@@ -19,7 +19,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", path: str = DEFAULT) ->
     """``(n_tokens)`` per row; null and empty texts have 0 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).encode
+        encode = byte_bpe(path).ids
         for part in slices(batches, "text"):
             yield pa.record_batch([pa.array([len(encode(t)) for t in texts_of(part.column("text"))], pa.int64())], names=["n_tokens"])
 

@@ -108,6 +108,24 @@ def test_byte_bpe_equals_the_tokenizers_library():
         assert own.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_are_one_id_as_in_the_library(spark):
+    library, own = Tokenizer.from_file(byte_bpe.DEFAULT), byte_bpe.ByteBPE(byte_bpe.DEFAULT)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "é <|ENDOFTEXT|>", ""]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    assert own.fast is not None and [own.ids(t).tolist() for t in texts] == expected
+    own.plain = False
+    assert [own.ids(t).tolist() for t in texts] == expected
+    own.fast = None
+    assert [own.ids(t).tolist() for t in texts] == expected
+    rows = frame(spark, list(enumerate(texts)))
+    lengths = {r["n_tokens"]: r["documents"] for r in token_counts.suffix_sums(token_counts.histogram(rows), span=7).collect()}
+    assert lengths == {n: sum(len(e) == n for e in expected) for n in map(len, expected)}
+    for r in packing.packed(rows).collect():
+        ids = np.array([*expected[r["doc_id"]], 2], dtype="<u4")
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
 def test_token_counts_answer_every_limit(docs, none):
     slow = Tokenizer.from_file(byte_bpe.DEFAULT)
     lengths = [len(slow.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in awkward()]

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, substrings, token_counts, toxicity
+from plumbline.llm import (
+    collisions, collocations, cross_polytope, inner_products, language_id, licences, packing, sentence_pieces, simhash, substrings, token_counts,
+    toxicity, whitening,
+)
 from plumbline.llm.shipping import table
 
 
@@ -51,6 +54,18 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -62,11 +77,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_embedding_near_duplicates": op12_embedding_near_duplicates,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op4_licence_scan": licences.sql(),
+    "op11_phrase_collocations": collocations.sql(),
     "op6_top_inner_products": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal, InvalidOperation, localcontext
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation, localcontext
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -78,12 +78,42 @@ def exact_number(value: object, dtype: T.DataType) -> Column | None:
     return None if own is None else F.lit(own).cast(number_kind(dtype))
 
 
-def exact_bound(value: object) -> Column:
-    """A bound as a decimal where it is one, else as a double."""
-    number = _decimal(value)
-    if number is None or number.adjusted() >= 19 or number.as_tuple().exponent < -18:
-        return F.lit(float(str(value)))
-    return F.lit(number).cast("decimal(38,18)")
+def exact_kind(dtype: T.DataType) -> bool:
+    """Whether values of the type are whole numbers or decimals, which doubles would blur."""
+    return isinstance(dtype, (T.IntegralType, T.DecimalType))
+
+
+def compared(col: Column, dtype: T.DataType, sign: str, bound: object) -> Column:
+    """``col <sign> bound`` for ``<``, ``<=``, ``>`` and ``>=``, without loss; NULL where ``col`` is NULL.
+
+    A bound between two values that the column can hold is moved to the nearer
+    one that leaves the answer as it is, so the comparison stays in the column's
+    own type.  A bound beyond the type's range decides for every row.
+    """
+    if not exact_kind(dtype):
+        return _ordered(col, sign, F.lit(float(str(bound))))
+    number = _decimal(bound)
+    if number is None:
+        value = float(str(bound))
+        if value != value:
+            raise ValueError(f"bound is not a number: {bound!r}")
+        return F.when(col.isNotNull(), F.lit(sign.startswith("<") == (value > 0)))
+    scale = 0 if isinstance(dtype, T.IntegralType) else dtype.scale
+    with localcontext(prec=max(200, abs(number.adjusted()) + 80)):
+        step = Decimal(1).scaleb(-scale)
+        nearest = number.quantize(step, rounding=ROUND_CEILING if sign in ("<", ">=") else ROUND_FLOOR)
+        least, most = (
+            (Decimal(-(2**63)), Decimal(2**63 - 1)) if isinstance(dtype, T.IntegralType)
+            else (step - Decimal(10) ** (dtype.precision - scale), Decimal(10) ** (dtype.precision - scale) - step)
+        )
+        if not least <= nearest <= most:
+            return F.when(col.isNotNull(), F.lit(sign.startswith("<") == (nearest > most)))
+    literal = F.lit(int(nearest)).cast("bigint") if scale == 0 and isinstance(dtype, T.IntegralType) else F.lit(nearest).cast(dtype)
+    return _ordered(col, sign, literal)
+
+
+def _ordered(left: Column, sign: str, right: Column) -> Column:
+    return {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[sign]
 
 
 def member_of(col: Column, dtype: T.DataType, values: Sequence[object]) -> Column:

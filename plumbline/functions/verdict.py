@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
+
+from plumbline.functions.text import compared
 
 
 def fraction(part: Column, whole: Column) -> Column:
@@ -17,17 +19,18 @@ def fraction(part: Column, whole: Column) -> Column:
 
 def within_bounds(
     value: Column,
-    low: float | None,
-    high: float | None,
+    low: object,
+    high: object,
     strict_low: bool = False,
     strict_high: bool = False,
+    dtype: T.DataType = T.DoubleType(),
 ) -> Column:
-    """Value inside the bounds; False for NULL."""
+    """Value inside the bounds; False for NULL.  Values of an exact ``dtype`` are not compared as doubles."""
     ok = value.isNotNull()
     if low is not None:
-        ok = ok & ((value > F.lit(low)) if strict_low else (value >= F.lit(low)))
+        ok = ok & compared(value, dtype, ">" if strict_low else ">=", low)
     if high is not None:
-        ok = ok & ((value < F.lit(high)) if strict_high else (value <= F.lit(high)))
+        ok = ok & compared(value, dtype, "<" if strict_high else "<=", high)
     return F.coalesce(ok, F.lit(False))
 
 

@@ -29,7 +29,8 @@ class Dataset:
 
     ``incremental_columns`` are candidates in order of preference; with a
     ``last_validated`` timestamp, checks that honour increments only see rows
-    newer than it.
+    newer than it, and with ``validate_until`` none newer than that: what arrives
+    while a run is on belongs to the next.
     """
 
     name: str
@@ -39,6 +40,7 @@ class Dataset:
     candidate_key: tuple[str, ...] = ()
     incremental_columns: tuple[str | None, ...] = ()
     last_validated: dt.datetime | str | None = None
+    validate_until: dt.datetime | str | None = None
 
     @property
     def key_columns(self) -> tuple[str, ...]:
@@ -62,12 +64,21 @@ class Dataset:
         return F.col(quoted(f.name)), f.dataType
 
     def increment(self) -> DataFrame:
-        """Rows newer than the last validated timestamp; all rows when not incremental."""
+        """Rows newer than the last validated timestamp and not newer than the upper bound; all rows when not incremental.
+
+        A first run takes rows without a timestamp too.
+        """
         name = next((c for c in self.incremental_columns if c), None)
-        if name is None or self.last_validated is None:
+        if name is None:
             return self.frame
         col, dtype = self.column(name)
-        return self.frame.where(col > F.lit(self.last_validated).cast(dtype))
+        rows = self.frame
+        if self.last_validated is not None:
+            rows = rows.where(col > F.lit(self.last_validated).cast(dtype))
+        if self.validate_until is not None:
+            known = col <= F.lit(self.validate_until).cast(dtype)
+            rows = rows.where(known | col.isNull() if self.last_validated is None else known)
+        return rows
 
     def with_frame(self, frame: DataFrame) -> Dataset:
         return dataclasses.replace(self, frame=frame)

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F, types as T
 
+from plumbline.functions.text import exact_kind
 from plumbline.functions.verdict import fraction, within_bounds
 from plumbline.model import Rule, RuleError
 from plumbline.operators.base import (
-    WHOLE, Check, Context, FrameCheck, Metrics, ScanCheck, numeric, scalar_outcome,
+    WHOLE, Check, Context, Metrics, ScanCheck, numeric, scalar_outcome,
 )
 from plumbline.operators.percentiles import exact_percentiles
-from plumbline.sources.datasets import estimated_bytes
 
 
 def bounds_of(rule: Rule) -> tuple[float | None, float | None, bool, bool]:
@@ -22,20 +22,49 @@ def bounds_of(rule: Rule) -> tuple[float | None, float | None, bool, bool]:
     )
 
 
-def _statistic(function: Callable[[Column], Column]) -> Callable[[Context, Rule], Check]:
+def _own_kind(dtype: T.DataType) -> T.DataType:
+    return dtype
+
+
+def _sum_kind(dtype: T.DataType) -> T.DataType:
+    """The type of a sum that loses nothing: whole numbers add up as decimals."""
+    if isinstance(dtype, T.IntegralType):
+        return T.DecimalType(38, 0)
+    return T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+
+
+def _statistic(
+    function: Callable[[Column], Column], exact: Callable[[T.DataType], T.DataType] | None = None
+) -> Callable[[Context, Rule], Check]:
+    """A check on a number; ``exact`` names the type it takes over whole numbers and decimals, else it is a double."""
+
     def build(ctx: Context, rule: Rule) -> Check:
         value = numeric(ctx, rule.target)
-        raw, _ = ctx.dataset.column(rule.target)
+        raw, dtype = ctx.dataset.column(rule.target)
+        kind: T.DataType = T.DoubleType()
+        bounds: tuple = bounds_of(rule)
+        if exact is not None and exact_kind(dtype):
+            kind = exact(dtype)
+            value = raw.cast(kind) if isinstance(dtype, T.IntegralType) else raw
+            given = (rule.kwargs.get(n) for n in ("min_value", "max_value"))
+            bounds = (*[None if b is None else g for b, g in zip(bounds, given)], *bounds[2:])
+        # A sum of more than 38 digits is NULL as a decimal; its double is then as good as it gets.
+        rough = {"rough": F.sum(raw.cast("double"))} if function is F.try_sum and exact_kind(dtype) else {}
 
         def outcome(m: Metrics) -> dict[str, Column]:
-            ok = within_bounds(m["value"], *bounds_of(rule))
-            return scalar_outcome(m["element"], m["value"], ok, m["missing"])
+            ok, shown = within_bounds(m["value"], *bounds, dtype=kind), m["value"].cast("string")
+            if rough:
+                large = m["value"].isNull()
+                ok = F.when(large, within_bounds(m["rough"], *bounds_of(rule))).otherwise(ok)
+                shown = F.coalesce(shown, m["rough"].cast("string"))
+            return scalar_outcome(m["element"], shown, ok, m["missing"])
 
         return ScanCheck(
             aggregates={
                 "element": F.count(F.lit(1)),
                 "missing": F.count_if(raw.isNull()),
                 "value": function(value),
+                **rough,
             },
             outcome=outcome,
             judgement=WHOLE,
@@ -44,37 +73,30 @@ def _statistic(function: Callable[[Column], Column]) -> Callable[[Context, Rule]
     return build
 
 
-minimum = _statistic(F.min)
-maximum = _statistic(F.max)
-total = _statistic(F.sum)
+minimum = _statistic(F.min, _own_kind)
+maximum = _statistic(F.max, _own_kind)
+total = _statistic(F.try_sum, _sum_kind)
 mean = _statistic(F.avg)
 deviation = _statistic(F.stddev_samp)
-_small_median = _statistic(F.median)
 
 
 def median(ctx: Context, rule: Rule) -> Check:
-    """Exact interpolated median.
+    """Exact interpolated median, narrowed down scan by scan when the rule is planned.
 
-    Small inputs use the builtin inside the shared scan.  Beyond the size limit
-    the value range is split, so no buffer has to hold all distinct values.
-    ``approximate`` asks for the sketch instead.
+    No buffer ever holds the distinct values.  ``approximate`` asks for a sketch
+    inside the shared scan instead.
     """
     if rule.flag("approximate"):
         return _statistic(lambda v: F.percentile_approx(v, 0.5, 10_000))(ctx, rule)
-    raw, _ = ctx.dataset.column(rule.target)
     value = numeric(ctx, rule.target)
-    only_value = ctx.dataset.frame.select(raw)
-    if estimated_bytes(only_value) <= ctx.options.in_memory_median_bytes:
-        return _small_median(ctx, rule)
-    counts = ctx.dataset.frame.agg(
-        F.count(F.lit(1)).alias("element"), F.count_if(raw.isNull()).alias("missing")
-    )
-    found = exact_percentiles(ctx.source(False), value, [0.5]).agg(F.max("value")).scalar()
-    return FrameCheck(
-        metrics=counts.withColumn("value", found),
-        outcome=lambda m: scalar_outcome(
-            m["element"], m["value"], within_bounds(m["value"], *bounds_of(rule)), m["missing"]
-        ),
+    raw, _ = ctx.dataset.column(rule.target)
+    # One row, none for a column without values.
+    found = exact_percentiles(ctx.source(False), value, [0.5]).collect()
+    middle = F.lit(found[0]["value"] if found else None).cast("double")
+    ok = within_bounds(middle, *bounds_of(rule))
+    return ScanCheck(
+        aggregates={"element": F.count(F.lit(1)), "missing": F.count_if(raw.isNull())},
+        outcome=lambda m: scalar_outcome(m["element"], middle, ok, m["missing"]),
         judgement=WHOLE,
     )
 

@@ -57,9 +57,6 @@ class Judgement:
 class Options:
     """Choices that trade a shared scan against bounded memory."""
 
-    # Above this size an exact median no longer fits one aggregation buffer, so
-    # it is computed by splitting the value range (see operators.percentiles).
-    in_memory_median_bytes: int = 256 << 20
     # Aggregates in one scan.  Spark compiles an aggregation only up to
     # spark.sql.codegen.maxFields (100) buffer fields; a second scan of the
     # columns is far cheaper than interpreting every row.

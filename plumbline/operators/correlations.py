@@ -3,26 +3,94 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.durable import stored
 from plumbline.functions.local import local_frame
 from plumbline.model import quoted
 
 
-def _correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation of the complete pairs, NULL when either side is constant.
+def _value(name: str) -> Column:
+    return F.col(quoted(name)).cast("double")
 
-    The builtin ``corr`` divides by zero there, which is an error in ANSI mode.
-    """
-    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-    return F.try_divide(F.covar_pop(x, y) * F.regr_count(y, x), spread)
 
+#: Groups of tasks whose moments are merged before their total.
+_PARTS = 64
+_MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy")
 
-def _value(name: str) -> Column:
-    return F.col(quoted(name)).cast("double")
+
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(i, j, n, mx, my, sxx, syy, sxy)``: counts, means and centred sums of the rows where columns i < j are both present.
+
+    A task multiplies matrices of values and of presences, batch by batch, and
+    leaves one row of moments per column; these are merged by the rule for
+    combining means and deviations.  No pair of a row's values becomes a row.  A
+    NaN or infinite value makes the sums of its pairs NaN.
+    """
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Everything a worker needs is in here: the package need not be installed there.
+        from pyspark import TaskContext
+
+        shift, total = None, None
+        for batch in batches:
+            held = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            wild = held & ~np.isfinite(x)
+            x = np.where(wild, 0.0, x)
+            if shift is None:
+                # Near the mean, so that the sums of squares do not swallow the deviations.
+                shift = x.sum(axis=0) / np.maximum(1, (held & ~wild).sum(axis=0))
+            mask = held.astype(np.float64)
+            x = np.where(held & ~wild, x - shift, 0.0)
+            own = np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x, wild.astype(np.float64).T @ mask])
+            total = own if total is None else total + own
+        if total is None:
+            return
+        n, sums, squares, products, wild = total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            some = np.where(n > 0, n, 1.0)
+            mean = sums / some
+            spread = np.maximum(0.0, squares - sums * mean)
+            out = [n, mean + shift[:, None], mean.T + shift[None, :], spread, spread.T, products - sums * mean.T]
+            bad = (wild + wild.T) > 0
+        out = [out[0], *[np.where(bad, np.nan, m) for m in out[1:]]]
+        part = TaskContext.get().partitionId() % parts
+        yield pa.record_batch(
+            [pa.array(np.arange(len(n), dtype=np.int32)), pa.array(np.full(len(n), part, np.int32)), *[pa.array(m.tolist(), pa.list_(pa.float64())) for m in out]],
+            names=["i", "part", *names],
+        )
+
+    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        n, mx, my, sxx, syy, sxy = (
+            group.column(m).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1) for m in names
+        )
+        rows = n.sum(axis=0)
+        some = np.where(rows > 0, rows, 1.0)
+        # What saw no row of a pair says nothing about it.
+        x, y = (np.where(n > 0, m, 0.0) for m in (mx, my))
+        ax, ay = (n * x).sum(axis=0) / some, (n * y).sum(axis=0) / some
+        dx, dy = np.where(n > 0, x - ax, 0.0), np.where(n > 0, y - ay, 0.0)
+        merged = [rows, ax, ay, *[
+            np.where(n > 0, s, 0.0).sum(axis=0) + (n * a * b).sum(axis=0) for s, a, b in ((sxx, dx, dx), (syy, dy, dy), (sxy, dx, dy))
+        ]]
+        head = {"i": pa.array([key[0].as_py()], pa.int32())}
+        return pa.table(head | {m: pa.array([v.tolist()], pa.list_(pa.float64())) for m, v in zip(names, merged)})
+
+    parts, names = _PARTS, _MOMENTS
+    lists = ", ".join(f"{m} array<double>" for m in names)
+    source = df.select(*[_value(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    found = source.mapInArrow(moments, f"i int, part int, {lists}")
+    found = found.groupBy("i", "part").applyInArrow(merge, f"i int, {lists}").groupBy("i").applyInArrow(merge, f"i int, {lists}")
+    # A row per pair of columns.
+    return found.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "m")).where(F.col("i") < F.col("j")).select(
+        "i", "j", F.col("m.n").cast("bigint").alias("n"), *[F.col(f"m.{m}") for m in names[1:]]
+    )
 
 
 def correlation_matrix(
@@ -30,9 +98,9 @@ def correlation_matrix(
 ) -> DataFrame:
     """``(col1, col2, correlation)`` for every pair in column order.
 
-    One scan serves any number of columns: each row yields its pairs, and their
-    moments are summed in the task before anything is shuffled.  Rows where either side is NULL are left out per pair.  The whole table is
-    used unless a sample is asked for.
+    One scan serves any number of columns.  Rows where either side is NULL are
+    left out per pair; a pair with a constant side or fewer than two rows has
+    NULL.  The whole table is used unless a sample is asked for.
     """
     names = [c for c in columns if c in df.columns]
     source = df if sample_fraction is None else df.sample(fraction=sample_fraction, seed=42)
@@ -42,14 +110,10 @@ def correlation_matrix(
     )
     if not pairs:
         return wanted.select("col1", "col2", F.lit(None).cast("double").alias("correlation"))
-    last = F.lit(len(names) - 1)
-    entries = (
-        source.select(F.array(*[_value(c) for c in names]).alias("v"))
-        .select("v", F.explode(F.sequence(F.lit(0), last - 1)).alias("i"))
-        .select("v", "i", F.explode(F.sequence(F.col("i") + 1, last)).alias("j"))
-        .select("i", "j", F.col("v")[F.col("i")].alias("x"), F.col("v")[F.col("j")].alias("y"))
-    )
-    found = entries.groupBy("i", "j").agg(_correlation(F.col("x"), F.col("y")).alias("correlation"))
+    correlation = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    # Rounding may lead a little beyond one.
+    bounded = F.when(F.abs(correlation) > 1, F.signum(correlation)).otherwise(correlation)
+    found = pair_moments(source, names).select("i", "j", F.when(F.isnan("sxy"), F.col("sxy")).otherwise(bounded).alias("correlation"))
     # One row per pair of columns on either side.
     return wanted.join(F.broadcast(found), ["i", "j"], "left").select("col1", "col2", "correlation")
 
@@ -126,7 +190,11 @@ def line_equations(
 
 
 def correlated_features(matrix: DataFrame, threshold: float) -> DataFrame:
-    """``(target_variable, feature, correlation)``: strong, yet not the same column again."""
+    """``(target_variable, feature, correlation)``: strong, yet not the same column again.
+
+    The matrix is stored, so that both directions read it and neither computes it again.
+    """
+    matrix = stored(matrix)
     both = matrix.select(
         F.col("col1").alias("target_variable"), F.col("col2").alias("feature"), "correlation"
     ).unionByName(matrix.select(

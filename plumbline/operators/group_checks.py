@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plumbline.functions.durable import kept
 from plumbline.functions.local import local_frame
 from plumbline.functions.rows import orderable, replicated
 from plumbline.functions.text import exact_value, is_blank, is_filled, literal_text, member_of, number_kind
@@ -100,6 +101,50 @@ def compound_unique(ctx: Context, rule: Rule) -> Check:
     )
 
 
+#: A key with more than this share of all rows is dealt over salts; fewer than the inverse can have so many.
+HOT_SHARE = 1e-4
+SALTS = 64
+
+
+class Repeated:
+    """The rows whose key occurs more than once, no key's rows all in one task.
+
+    Keys are counted first, before the shuffle, and those that repeat are kept
+    aside, usually few.  The rows of a hot key are dealt over salts, and whatever
+    is joined to them is replicated for the hot keys only.  All other keys have
+    the single salt 0.
+    """
+
+    def __init__(self, df: DataFrame, names: list[str]):
+        self.keys = [f"_k{i}" for i in range(len(names))]
+        counts = df.groupBy(*[F.col(quoted(n)).alias(k) for n, k in zip(names, self.keys)]).agg(F.count(F.lit(1)).alias("_n"))
+        total = df.agg(F.count(F.lit(1))).scalar()
+        repeated = kept(counts.where("_n > 1").select(*self.keys, (F.col("_n") > total * HOT_SHARE).alias("_hot")))
+        # Fewer than 1 / HOT_SHARE keys.
+        hot = repeated.where("_hot").select(*[F.col(k).alias(f"{k}h") for k in self.keys], F.lit(True).alias("_hot_row"))
+        marked = df.join(F.broadcast(hot), self._equal([(F.col(quoted(n)), F.col(f"{k}h")) for n, k in zip(names, self.keys)]), "left")
+        salt = F.when(F.col("_hot_row"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        salted = marked.withColumn("_salt", salt).drop("_hot_row", *[f"{k}h" for k in self.keys])
+        self.rows = self._joined(salted, [F.col(quoted(n)) for n in names], repeated.select(*self.keys, "_hot"))
+
+    @staticmethod
+    def _equal(pairs: list[tuple[Column, Column]]) -> Column:
+        return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])
+
+    def _joined(self, rows: DataFrame, columns: list[Column], facts: DataFrame) -> DataFrame:
+        """Rows with the facts of their key, which has ``_hot`` among them."""
+        salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        side = facts.withColumn("_side", F.explode(salts))
+        on = self._equal([*[(c, F.col(k)) for c, k in zip(columns, self.keys)], (F.col("_salt"), F.col("_side"))])
+        return rows.join(side, on).drop("_side")
+
+    def with_facts(self, rows: DataFrame, *facts: Column) -> DataFrame:
+        """``rows`` with aggregates over all rows of their key, combined per task and salt first."""
+        by_salt = rows.groupBy(*self.keys).agg(F.first("_hot").alias("_hot"), *facts)
+        renamed = rows.drop("_hot").withColumnsRenamed({k: f"{k}r" for k in self.keys})
+        return self._joined(renamed, [F.col(f"{k}r") for k in self.keys], by_salt)
+
+
 def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] = ()) -> DataFrame:
     """Rows beyond the first of each key, first by ``order_by`` and then all columns.
 
@@ -111,16 +156,9 @@ def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] =
     fields = {f.name: f.dataType for f in df.schema.fields}
     order_names = list(dict.fromkeys([*order_by, *fields]))
     order = F.struct(*[orderable(n, fields[n]).alias(f"o{i}") for i, n in enumerate(order_names)])
-    keys = [F.col(quoted(n)).alias(f"_k{i}") for i, n in enumerate(names)]
-    same_key = reduce(
-        lambda a, b: a & b,
-        [F.col(quoted(n)).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(names)],
-    )
     # Keys without copies, usually nearly all, leave before rows are compared.
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    rows = df.join(repeated, same_key, "left_semi").withColumn("_order", order)
-    firsts = rows.groupBy(*keys).agg(F.min("_order").alias("_first"))
-    copies = rows.join(firsts, same_key)
+    repeated = Repeated(df, names)
+    copies = repeated.with_facts(repeated.rows.withColumn("_order", order), F.min("_order").alias("_first"))
     later = copies.where(F.col("_order") > F.col("_first")).select(*[quoted(n) for n in fields])
     tied = (
         copies.where(F.col("_order") == F.col("_first"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.rows import numbered
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
-from plumbline.operators.percentiles import exact_percentiles, with_slice
+from plumbline.operators.percentiles import column_percentiles, with_slice
 from plumbline.operators.profile import ProfileOptions, profile_columns, type_counts, value_counts
 
 # Unicode general categories and their names.
@@ -147,30 +147,26 @@ def numeric_statistics(df: DataFrame) -> DataFrame:
     names = _numeric_names(df)
     profile = profile_columns(df.select(*[quoted(c) for c in names]),
                               ProfileOptions(exact=True, extended=True))
-    medians = profile.agg(F.map_from_entries(F.collect_list(F.struct("column_name", "p50")))).scalar()
+    # One number per column.
+    medians = {r["column_name"]: r["p50"] for r in profile.select("column_name", "p50").collect() if r["p50"] is not None}
+
+    def apart(name: str) -> Column:
+        return F.abs(F.col(quoted(name)).cast("double") - F.lit(medians.get(name)).cast("double"))
+
     deviations = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.abs(F.col(quoted(c)).cast("double") - F.try_element_at("_medians", F.lit(c))).alias("d"),
-            F.col(quoted(c)).cast("double").alias("v"),
-        )
-        for c in names
+        F.struct(F.lit(c).alias("column_name"), apart(c).alias("d"), F.col(quoted(c)).cast("double").alias("v")) for c in names
     ]
     spread = (
-        df.withColumn("_medians", medians).select(F.inline(F.array(*deviations))).where(F.col("d").isNotNull())
+        df.select(F.inline(F.array(*deviations))).where(F.col("d").isNotNull())
         .groupBy("column_name").agg(
             F.avg("d").alias("mean_absolute_deviation"),
             F.count_if(F.abs("v") == float("inf")).alias("infinite_count"),
         )
     )
-    centred = df.withColumn("_medians", medians)
     # Exact, as the medians are; one row per column.
-    middle = reduce(DataFrame.union, [
-        exact_percentiles(
-            centred, F.abs(F.col(quoted(c)).cast("double") - F.try_element_at("_medians", F.lit(c))), [0.5]
-        ).select(F.lit(c).alias("column_name"), F.col("value").alias("median_absolute_deviation"))
-        for c in names
-    ])
+    middle = column_percentiles(df, {c: apart(c) for c in names}, [0.5]).select(
+        "column_name", F.col("value").alias("median_absolute_deviation")
+    )
     spread = spread.join(F.broadcast(middle), "column_name", "left")
     return profile.join(F.broadcast(spread), "column_name", "left").select(
         "column_name", "mean_value", "std_dev",

@@ -20,7 +20,7 @@ from plumbline.functions.numerals import (
 )
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import column_percentiles
 from plumbline.sources.datasets import estimated_bytes, type_label
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
@@ -29,7 +29,6 @@ TYPE_BYTES = {
     T.ByteType: 8, T.ShortType: 8, T.IntegerType: 8, T.LongType: 8, T.FloatType: 4,
     T.DoubleType: 8, T.DecimalType: 16, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
 }
-_IN_MEMORY_PERCENTILE_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -57,20 +56,19 @@ def profile_columns(
     fields = [f for f in df.schema.fields if _profiled(f.dataType)]
     ids = {f.name: i for i, f in enumerate(df.schema.fields, 1)}
     firsts = _first_rows(df, fields, options)
-    in_scan = options.exact and estimated_bytes(df) <= _IN_MEMORY_PERCENTILE_BYTES
     batches = [
         fields[i:i + options.columns_per_scan]
         for i in range(0, len(fields), options.columns_per_scan)
     ]
     profile = reduce(
         lambda a, b: a.unionByName(b),
-        [_batch_profile(df, batch, ids, firsts, options, in_scan) for batch in batches],
+        [_batch_profile(df, batch, ids, firsts, options) for batch in batches],
     )
     if options.exact or options.extended:
         counts = value_counts(df, [f.name for f in fields])
         profile = _with_value_statistics(profile, counts, options)
-    if options.exact and not in_scan:
-        profile = _with_split_percentiles(profile, df, fields)
+    if options.exact:
+        profile = _with_exact_percentiles(profile, df, fields)
     total, non_null = F.col("total_count"), F.col("non_null_count")
     profile = profile.withColumns({
         "missing_count": total - non_null,
@@ -112,14 +110,14 @@ def _first_rows(df: DataFrame, fields: Sequence[T.StructField], options: Profile
 
 def _batch_profile(
     df: DataFrame, fields: Sequence[T.StructField], ids: dict[str, int], firsts: Column,
-    options: ProfileOptions, in_scan: bool,
+    options: ProfileOptions,
 ) -> DataFrame:
     position = {f.name: i for i, f in enumerate(f for f in df.schema.fields if _profiled(f.dataType))}
     aggregates: dict[str, Column] = {"n": F.count(F.lit(1))}
     rows = []
     for f in fields:
         p = f"c{ids[f.name]}_"
-        named = _column_aggregates(F.col(quoted(f.name)), f.dataType, options, in_scan)
+        named = _column_aggregates(F.col(quoted(f.name)), f.dataType, options)
         aggregates.update({p + k: v for k, v in named.items()})
         m = {k: F.col(p + k) for k in named}
         first = F.col("_first")[f"c{position[f.name]}"]
@@ -128,9 +126,7 @@ def _batch_profile(
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _column_aggregates(
-    col: Column, dtype: T.DataType, options: ProfileOptions, in_scan: bool
-) -> dict[str, Column]:
+def _column_aggregates(col: Column, dtype: T.DataType, options: ProfileOptions) -> dict[str, Column]:
     out = {"non_null": F.count(col), "min": F.min(col), "max": F.max(col)}
     if not options.exact:
         out["distinct"] = F.approx_count_distinct(col)
@@ -138,11 +134,8 @@ def _column_aggregates(
         value = col.cast("double")
         out["stddev"] = F.stddev_samp(value)
         out["zero"] = F.count_if(col == 0)
-        probabilities = list(PERCENTILES.values())
         if not options.exact:
-            out["percentiles"] = F.percentile_approx(value, probabilities, 10_000)
-        elif in_scan:
-            out["percentiles"] = F.percentile(value, F.array(*[F.lit(p) for p in probabilities]))
+            out["percentiles"] = F.percentile_approx(value, list(PERCENTILES.values()), 10_000)
         if options.extended:
             out["mean"] = F.avg(value)
             out["sum"] = F.sum(value)
@@ -285,19 +278,14 @@ def _with_value_statistics(profile: DataFrame, counts: DataFrame, options: Profi
     return joined.select(*profile.columns, *[c for c in joined.columns if c not in profile.columns])
 
 
-def _with_split_percentiles(
+def _with_exact_percentiles(
     profile: DataFrame, df: DataFrame, fields: Sequence[T.StructField]
 ) -> DataFrame:
-    """Exact percentiles of large columns, computed by splitting the value range."""
-    frames = [
-        exact_percentiles(df, F.col(quoted(f.name)), list(PERCENTILES.values()))
-        .withColumn("column_name", F.lit(f.name))
-        for f in fields if _is_numeric(f.dataType)
-    ]
-    if not frames:
+    """Exact percentiles of all numeric columns, found together."""
+    numbers = {f.name: F.col(quoted(f.name)) for f in fields if _is_numeric(f.dataType)}
+    if not numbers:
         return profile
-    long = reduce(lambda a, b: a.unionByName(b), frames)
-    wide = long.groupBy("column_name").agg(*[
+    wide = column_percentiles(df, numbers, list(PERCENTILES.values())).groupBy("column_name").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("value"))).alias(f"_{name}")
         for name, p in PERCENTILES.items()
     ])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_FLOOR, Decimal, localcontext
 from functools import reduce
 
-from pyspark.sql import Column, functions as F, types as T
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, functions as F, types as T
 
 from plumbline.functions.numerals import plain_number
 from plumbline.functions.text import (
-    exact_bound, exact_number, exact_value, full_match, is_blank, is_filled, is_text, literal_text, member_of, number_kind, whole,
+    compared, exact_kind, exact_number, exact_value, full_match, is_blank, is_filled, is_text, literal_text, member_of, number_kind, whole,
 )
 from plumbline.functions.verdict import count_where, fraction, ignored_rows
 from plumbline.model import Rule, RuleError
@@ -34,26 +37,35 @@ def between(ctx: Context, rule: Rule) -> Check:
         raise RuleError("min_value and max_value are both required")
     raw, dtype = ctx.dataset.column(rule.target)
     value = numeric(ctx, rule.target)
-    if isinstance(dtype, (T.IntegralType, T.DecimalType)):
-        # Not as doubles, which tell no two neighbours apart beyond 2**53.
-        compared, least, most = raw, exact_bound(rule.kwargs["min_value"]), exact_bound(rule.kwargs["max_value"])
-    else:
-        compared, least, most = value, F.lit(low), F.lit(high)
-    below = compared <= least if rule.flag("strict_min") else compared < least
-    above = compared >= most if rule.flag("strict_max") else compared > most
+    # Not as doubles, which tell no two neighbours apart beyond 2**53.
+    held = raw if exact_kind(dtype) else value
+    below = compared(held, dtype, "<=" if rule.flag("strict_min") else "<", rule.kwargs["min_value"])
+    above = compared(held, dtype, ">=" if rule.flag("strict_max") else ">", rule.kwargs["max_value"])
     unexpected = value.isNotNull() & is_filled(raw, dtype) & (below | above)
     return row_check(rule, unexpected, missing=is_blank(raw, dtype), error_value=value)
 
 
+# A comment or a quotation that the pattern leaves open must not reach the brackets round it.
+_CLOSINGS = ("", "\n", "\\E")
+
+
 def _checked_pattern(ctx: Context, pattern: object) -> str:
-    """The pattern itself, once it is known to compile."""
+    """The pattern, once it is known to compile alone, so closed that it can stand in brackets."""
     text = str(pattern)
     java = ctx.dataset.frame.sparkSession._jvm.java.util.regex.Pattern
-    try:
-        java.compile(whole(text))
-    except Py4JError:
-        raise RuleError(f"invalid regular expression: {text!r}") from None
-    return text
+
+    def compiles(regex: str) -> bool:
+        try:
+            java.compile(regex)
+        except (Py4JError, PySparkException):
+            return False
+        return True
+
+    if compiles(text):
+        for closing in _CLOSINGS:
+            if compiles(whole(text + closing)):
+                return text + closing
+    raise RuleError(f"invalid regular expression: {text!r}")
 
 
 def match_regex(ctx: Context, rule: Rule) -> Check:
@@ -400,14 +412,46 @@ def _comparable_literal(value: object, dtype: T.DataType) -> Column | None:
     return F.lit(None if value is None else literal_text(value)).cast("string")
 
 
+#: Digits behind the point that sums of decimals keep.
+_SUM_SCALE = 28
+
+
+def _gap_is_wide(columns: list[tuple[Column, T.DataType]], total: Decimal, tolerance: Decimal) -> Column:
+    """Whether whole numbers and decimals add up to more or less than ``total``, exactly; NULL adds nothing.
+
+    Whole parts and remainders are summed apart, so neither leaves 38 digits.
+    """
+    zero = F.lit(0).cast("decimal(38,0)")
+    wholes, rests = [], []
+    for col, dtype in columns:
+        whole_part = col if isinstance(dtype, T.IntegralType) else F.when(col < 0, F.ceil(col)).otherwise(F.floor(col))
+        wholes.append(F.coalesce(whole_part.cast("decimal(38,0)"), zero))
+        if isinstance(dtype, T.DecimalType) and dtype.scale:
+            rests.append(F.coalesce((col % 1).cast(f"decimal({_SUM_SCALE + 2},{_SUM_SCALE})"), F.lit(0)))
+    with localcontext(prec=200):
+        whole_total = total.to_integral_value(rounding=ROUND_FLOOR)
+        rest = (whole_total - total).quantize(Decimal(1).scaleb(-_SUM_SCALE))
+        if abs(whole_total) >= Decimal(10) ** 38:
+            return F.lit(True)
+    # A sum beyond 38 digits is NULL, and no total is near it.
+    gap = F.try_subtract(reduce(F.try_add, wholes), F.lit(whole_total).cast("decimal(38,0)"))
+    near = F.abs(gap) <= len(columns) + 1
+    rest = reduce(lambda x, y: x + y, rests, F.lit(rest).cast(f"decimal({_SUM_SCALE + 2},{_SUM_SCALE})"))
+    small = F.when(near, gap).cast("decimal(9,0)")
+    return F.coalesce(F.when(near, F.abs(small + rest) > F.lit(tolerance)), F.lit(True))
+
+
 def multicolumn_sum(ctx: Context, rule: Rule) -> Check:
     names = rule.items("column_list")
     total = float(rule.required("sum_total"))
-    raws = [ctx.dataset.column(n)[0] for n in names]
-    values = [F.coalesce(numeric(ctx, n), F.lit(0.0)) for n in names]
-    gap = F.abs(reduce(lambda x, y: x + y, values) - total)
+    columns = [ctx.dataset.column(n) for n in names]
+    raws = [c for c, _ in columns]
     ignored = ignored_rows(rule.kwargs.get("ignore_row_if"), raws, "neither")
-    unexpected = gap > 0.0001
+    if all(exact_kind(dtype) for _, dtype in columns) and math.isfinite(total):
+        unexpected = _gap_is_wide(columns, Decimal(str(rule.kwargs["sum_total"]).strip()), Decimal("0.0001"))
+    else:
+        values = [F.coalesce(numeric(ctx, n), F.lit(0.0)) for n in names]
+        unexpected = F.abs(reduce(lambda x, y: x + y, values) - total) > 0.0001
     if ignored is not None:
         unexpected = unexpected & ~ignored
     return row_check(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.verdict import fraction
 from plumbline.model import Rule, RuleError
@@ -83,15 +84,30 @@ def columns_match_set(ctx: Context, rule: Rule) -> Check:
     return _whole(len(wanted), bad, percent, ok, actual, {"missing": missing, "unexpected": extra})
 
 
+def _queried(ctx: Context, query: str) -> DataFrame:
+    """The query's rows, with the datasets under their names and the session's own views untouched.
+
+    The names are those of common table expressions, which hide any view, over
+    views of names that nobody else has and that go once the query is resolved.
+    """
+    spark = ctx.dataset.frame.sparkSession
+    views = {}
+    try:
+        for name, dataset in {**ctx.datasets, ctx.dataset.name: ctx.dataset}.items():
+            if not name.isidentifier():
+                raise RuleError(f"dataset {name!r} cannot be named in a query")
+            views[name] = f"{name}_{uuid.uuid4().hex}"
+            dataset.frame.createOrReplaceTempView(views[name])
+        named = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
 def unexpected_rows(ctx: Context, rule: Rule) -> Check:
     """Every row the query returns is unexpected; datasets are visible by name."""
-    query = str(rule.required("unexpected_rows_query"))
-    spark = ctx.dataset.frame.sparkSession
-    for name, dataset in {**ctx.datasets, ctx.dataset.name: ctx.dataset}.items():
-        if not name.isidentifier():
-            raise RuleError(f"dataset {name!r} cannot be named in a query")
-        dataset.frame.createOrReplaceTempView(name)
-    failing = spark.sql(query.strip().rstrip(";"))
+    failing = _queried(ctx, str(rule.required("unexpected_rows_query")))
     # The dataset counted against: the rule's own unless it names another.
     primary = str(rule.kwargs.get("source_dataset") or ctx.dataset.name)
     source = {**ctx.datasets, ctx.dataset.name: ctx.dataset}[primary].frame

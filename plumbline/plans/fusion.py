@@ -167,7 +167,7 @@ def _judged(plan: Plan, raw: DataFrame) -> DataFrame:
 
 def _is_incremental(plan: Plan) -> bool:
     d = plan.dataset
-    return d.last_validated is not None and any(d.incremental_columns)
+    return (d.last_validated is not None or d.validate_until is not None) and any(d.incremental_columns)
 
 
 def _split_incremental(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.sources.reference_csv import export_csv
 
@@ -20,9 +20,20 @@ def append(df: DataFrame, target: str, *, partition_by: tuple[str, ...] = ()) ->
         writer.saveAsTable(target)
 
 
-def append_failed_rows(df: DataFrame, target: str) -> None:
+def committed(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The rows of a table that runs wrote whose attempt the manifest names, without the attempt.
+
+    A run that did not end is not in the manifest, and of a repeated run only
+    the last attempt counts.
+    """
+    # One row per attempt of a run.
+    valid = manifest.groupBy("dataset_id", "dataset_run_id").agg(F.max_by("attempt", F.struct("committed", "attempt")).alias("attempt"))
+    return df.join(F.broadcast(valid.select("attempt")), "attempt", "left_semi").drop("attempt")
+
+
+def append_failed_rows(df: DataFrame, target: str, *, partition_by: tuple[str, ...] = ()) -> None:
     """Failed rows, laid out so that one run and rule can be read back alone."""
-    append(df, target, partition_by=FAILED_ROW_PARTITIONS)
+    append(df, target, partition_by=(*partition_by, *FAILED_ROW_PARTITIONS))
 
 
 def export_failure_pivot(pivot: DataFrame, directory: str, dataset: str, run_id: int,

@@ -228,7 +228,7 @@ def test_column_names_ignore_case_and_may_need_quotes(spark):
     assert [r[i]["status"] for i in (1, 2, 3)] == ["SUCCESS", "FAILURE", "SUCCESS"]
 
 
-def test_batched_scans_and_split_medians_give_the_same_results(spark):
+def test_batched_scans_give_the_same_results(spark):
     frame = spark.range(0, 2000).selectExpr("id", "cast(id % 17 as double) AS v", "cast(id % 5 as string) AS s")
     rules = [
         *[Rule(i, V + "be_between", "v", {"min_value": i, "max_value": 16}) for i in range(1, 12)],
@@ -236,7 +236,7 @@ def test_batched_scans_and_split_medians_give_the_same_results(spark):
         Rule(21, "expect_column_value_z_scores_to_be_less_than", "v", {"threshold": 1.0}),
     ]
     one = evaluate(Dataset("t", frame), rules).collect()
-    many = evaluate(Dataset("t", frame), rules, options=Options(aggregates_per_scan=5, in_memory_median_bytes=0)).collect()
+    many = evaluate(Dataset("t", frame), rules, options=Options(aggregates_per_scan=5)).collect()
     assert sorted(one) == sorted(many)
 
 
@@ -315,3 +315,36 @@ def test_patterns_that_only_python_knows_are_one_error(spark):
         Rule(2, "expect_column_values_to_match_regex", "s", {"regex": "x"}),
     ]).orderBy("rule_config_id").collect()
     assert [r["status"] for r in rows] == ["ERROR", "SUCCESS"]
+
+
+def test_exact_numbers_beyond_doubles(spark):
+    frame = spark.createDataFrame([(2**53 + 1,)], "n long").selectExpr("n", "cast(6 as decimal(38,0)) AS d", "cast('100000000000000000001' as decimal(38,0)) AS w")
+    rows = {r["rule_config_id"]: r for r in evaluate(Dataset("t", frame), [
+        Rule(1, V + "be_between", "d", {"min_value": 0, "max_value": 5.5}), Rule(2, V + "be_between", "w", {"min_value": 0, "max_value": 10**20}),
+        Rule(3, "expect_column_max_to_be_between", "n", {"max_value": 2**53}), Rule(4, "expect_column_sum_to_be_between", "n", {"max_value": 2**53}),
+        Rule(5, "expect_column_min_to_be_between", "n", {"min_value": 2**53 + 2}),
+        Rule(6, "expect_multicolumn_sum_to_equal", None, {"column_list": ["n", "n"], "sum_total": 2**54}),
+        Rule(7, "expect_multicolumn_sum_to_equal", None, {"column_list": ["n", "n"], "sum_total": 2**54 + 2}),
+        Rule(8, V + "be_between", "n", {"min_value": float("-inf"), "max_value": float("inf")}),
+    ]).collect()}
+    assert [rows[k]["is_success"] for k in range(1, 9)] == [False, False, False, False, False, False, True, True]
+    assert rows[3]["observed_value"] == rows[4]["observed_value"] == rows[5]["observed_value"] == str(2**53 + 1)
+
+
+def test_a_sum_of_more_than_38_digits_is_a_double(spark):
+    frame = spark.createDataFrame([(1,)] * 30, "n int").selectExpr("cast('9e36' as decimal(38,0)) AS w")
+    row = evaluate(Dataset("t", frame), [Rule(1, "expect_column_sum_to_be_between", "w", {"min_value": 1e38, "max_value": 1e39})]).first()
+    assert row["is_success"] and float(row["observed_value"]) == pytest.approx(2.7e38)
+
+
+def test_queries_of_rules_leave_views_alone(spark):
+    spark.createDataFrame([(7,)], "x int").createOrReplaceTempView("orders")
+    frame, other = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(2,)], "y int")
+    run = run_suite(Dataset("orders", frame), [
+        Rule(1, "unexpected_rows_expectation", None, {"unexpected_rows_query": "WITH o AS (SELECT * FROM orders) SELECT o.*, p.* FROM o JOIN parts p ON x = y -- both"}),
+        Rule(2, "unexpected_rows_expectation", None, {"unexpected_rows_query": "SELECT x FROM Orders ORDER BY x LIMIT 1;"}),
+    ], run_id=1, datasets={"parts": Dataset("parts", other)})
+    assert [r["unexpected_count"] for r in run.results.orderBy("rule_config_id").collect()] == [1, 1]
+    assert spark.table("orders").first()["x"] == 7 and not spark.catalog.tableExists("parts")
+    assert run.failed_rows().count() == 2
+    spark.catalog.dropTempView("orders")

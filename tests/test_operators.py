@@ -21,9 +21,9 @@ from plumbline.operators import profile as prof
 from plumbline.operators import relationships as rel
 from plumbline.operators.correlations import correlation_matrix, line_equations
 from plumbline.operators.equations import EquationError, parse_equation, validate_equations
-from plumbline.operators.group_checks import surplus_copies
+from plumbline.operators.group_checks import Repeated, surplus_copies
 from plumbline.operators.lasso import fit_cross_validated, fit_fixed_alpha
-from plumbline.operators.percentiles import exact_percentiles
+from plumbline.operators.percentiles import column_percentiles, exact_percentiles
 
 
 @pytest.mark.parametrize("text,value", [
@@ -244,3 +244,70 @@ def test_rule_identity_is_plain_data():
     rule = Rule(1, "x", "c", {"mostly": "0.5", "flag": "yes", "list": "a, b"})
     assert (rule.mostly, rule.flag("flag"), rule.items("list")) == (0.5, True, ["a", "b"])
     assert Dataset("t", None, primary_key=("a",), candidate_key=("b",)).key_columns == ("a",)
+
+
+def test_rows_of_a_hot_key_are_spread_over_tasks(spark):
+    hot = spark.range(20_000).selectExpr("1 AS k", "id % 10000 AS v")
+    rest = spark.range(20_000).selectExpr("id + 2 AS k", "id AS v").union(spark.range(500).selectExpr("id + 2 AS k", "-1 AS v"))
+    frame = hot.union(rest)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = Repeated(frame, ["k"]).rows
+        tasks = [r["count"] for r in rows.where("k = 1").groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(tasks) == 20_000 and max(tasks) < 5_000
+        copies = surplus_copies(frame, ["k"], ("v",))
+        assert copies.count() == 20_500 - 1
+        assert {r["n"] for r in copies.where("k = 1").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("v = 0").collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_percentiles_of_awkward_columns_in_a_fixed_number_of_scans(spark):
+    draw = np.random.default_rng(2)
+    pdf = pd.DataFrame({
+        "wide": np.concatenate([draw.normal(size=500), draw.normal(size=499) * 1e300, [1e-310]]),
+        "close": 1e15 + draw.integers(0, 3, 1000) * 0.125, "signs": draw.choice([-2.5, -0.0, 0.0, 4.0], 1000), "same": np.full(1000, 7.0),
+    })
+    frame = spark.createDataFrame(pdf).withColumn("gone", F.lit(None).cast("double")).withColumn("odd", F.when(F.col("signs") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
+    probabilities = [0.0, 0.013, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column_name"], r["probability"]): r["value"] for r in column_percentiles(frame, {c: F.col(c) for c in frame.columns}, probabilities).collect()}
+    for c in pdf:
+        for p in probabilities:
+            assert math.isclose(got[c, p], float(np.percentile(pdf[c], 100 * p)), rel_tol=1e-12, abs_tol=1e-300), (c, p)
+    assert ("gone", 0.5) not in got and (got["odd", 0.0], got["odd", 1.0]) == (-math.inf, math.inf)
+    assert math.isnan(exact_percentiles(spark.createDataFrame([(1.0,), (float("nan"),)], "v double"), F.col("v"), [1.0]).first()["value"])
+
+    def jobs(columns):
+        frames = spark.range(5000).select(*[(F.col("id") * (k + 1.5)).alias(f"c{k}") for k in range(columns)])
+        spark.sparkContext.setJobGroup(f"percentiles-{columns}", "")
+        column_percentiles(frames, {c: F.col(c) for c in frames.columns}, [0.1, 0.5])
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"percentiles-{columns}"))
+
+    few, many = jobs(8), jobs(16)
+    assert few == many <= 30
+
+
+def test_correlations_with_gaps_offsets_and_constants(spark):
+    draw = np.random.default_rng(4)
+    pdf = pd.DataFrame(draw.normal(size=(300, 100)) + 1e6 * np.arange(100), columns=[f"c{k}" for k in range(100)])
+    pdf["c1"] = pdf["c0"] * -2
+    pdf["c2"] = 3.0
+    pdf["c3"] = pdf["c3"].where(draw.random(300) < 0.5)
+    pdf["c4"] = np.nan
+    frame = spark.createDataFrame(pdf).repartition(3)
+    frame = frame.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame.columns])
+    plan = correlation_matrix(frame, list(pdf.columns))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
+    got = {(r["col1"], r["col2"]): r["correlation"] for r in correlation_matrix(frame, list(pdf.columns)).collect()}
+    assert len(got) == 4950 and got["c0", "c1"] == pytest.approx(-1) and got["c0", "c2"] is None and got["c0", "c4"] is None
+    for a, b in [("c0", "c3"), ("c3", "c5"), ("c98", "c99"), ("c7", "c50")]:
+        assert math.isclose(got[a, b], pdf[a].corr(pdf[b]), abs_tol=1e-9)
+    wild = spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, float("nan"), 3.0), (3.0, 5.0, 7.0)], "a double, b double, c double")
+    rows = {(r["col1"], r["col2"]): r["correlation"] for r in correlation_matrix(wild, ["a", "b", "c"]).collect()}
+    assert math.isnan(rows["a", "b"]) and rows["a", "c"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 3, 7])[0, 1])

@@ -517,6 +517,64 @@ add("r8_value_in_set_exact", check_query("neighbours", [
 ]), row_oracle("neighbours", Counts(1, f"edge <> {_EDGE}", missing="FALSE"), Counts(2, "money NOT IN (10.25, 11.25)", missing="FALSE"),
                Counts(3, f"big >= {_EDGE + 60}", missing="FALSE")))
 
+add("r3_between_decimal", check_query("wide_numbers", [
+    Rule(1, COLUMNS + "be_between", "wide", {"min_value": "100000000000000000000000000000000005.5", "max_value": "100000000000000000000000000000000400"}),
+    Rule(2, COLUMNS + "be_between", "wide", {"min_value": -1e300, "max_value": "100000000000000000000000000000000020.5", "strict_max": True}),
+    Rule(3, COLUMNS + "be_between", "wide", {"min_value": 0, "max_value": "1e40"}),
+    Rule(4, COLUMNS + "be_between", "money", {"min_value": "10.255", "max_value": "200.245", "strict_min": True, "strict_max": True}),
+    Rule(5, COLUMNS + "be_between", "small", {"min_value": 0.5, "max_value": "1e30"}),
+]), row_oracle(
+    "wide_numbers",
+    Counts(1, "o_orderkey < 6 OR o_orderkey > 400", missing="FALSE"), Counts(2, "o_orderkey > 20", missing="FALSE"),
+    Counts(3, "FALSE", missing="FALSE"), Counts(4, "o_orderkey + 0.25 <= 10.255 OR o_orderkey + 0.25 >= 200.245", missing="FALSE"),
+    Counts(5, "parity < 0.5", missing="FALSE")))
+
+add("r4_patterns_left_open", check_query("orders_gaps", [
+    Rule(1, COLUMNS + "match_regex", "priority", {"regex": "(?x) [1-2]-.*  # the urgent ones"}),
+    Rule(2, COLUMNS + "not_match_regex", "priority", {"regex": "b)|(?:.*A"}),
+    Rule(3, COLUMNS + "match_regex_list", "priority", {"regex_list": ["\\Q1-URGENT", "2(?x)-H I G H # no blanks"]}),
+    Rule(4, COLUMNS + "not_match_regex_list", "priority", {"regex_list": ["1-.*", "x)|(?:y"]}),
+]), row_oracle(
+    "orders_gaps",
+    Counts(1, f"{_blank('priority')} OR NOT regexp_full_match(trim(priority), '[1-2]-.*')", missing=_blank("priority")),
+    Counts(3, "priority IS NOT NULL AND priority NOT IN ('1-URGENT', '2-HIGH')", missing="priority IS NULL"),
+) + "\nUNION ALL\n" + "\nUNION ALL\n".join(
+    f"SELECT {r}::BIGINT, FALSE, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE" for r in (2, 4)))
+
+add("r19_sum_exact", check_query("wide_numbers", [
+    Rule(1, "expect_multicolumn_sum_to_equal", None, {"column_list": ["edge", "edge_too"], "sum_total": 2**54}),
+    Rule(2, "expect_multicolumn_sum_to_equal", None, {"column_list": ["wide", "minus_wide"], "sum_total": "0.00005"}),
+    Rule(3, "expect_multicolumn_sum_to_equal", None, {"column_list": ["wide", "minus_wide", "money"], "sum_total": "7.25"}),
+    Rule(4, "expect_multicolumn_sum_to_equal", None, {"column_list": ["wide", "wide"], "sum_total": "1e39"}),
+    Rule(5, "expect_multicolumn_sum_to_equal", None, {"column_list": ["minus_money", "money"], "sum_total": -0.0}),
+]), row_oracle(
+    "wide_numbers", Counts(1, "parity = 1", missing="FALSE", by_success_rate=True), Counts(2, "FALSE", missing="FALSE", by_success_rate=True),
+    Counts(3, "o_orderkey <> 7", missing="FALSE", by_success_rate=True), Counts(4, "TRUE", missing="FALSE", by_success_rate=True),
+    Counts(5, "FALSE", missing="FALSE", by_success_rate=True)))
+
+_SIZES = {"min": ("min(o_orderkey)", 0), "max": ("max(o_orderkey)", 0), "sum": ("sum(o_orderkey::HUGEINT + 9007199254740992)", 9007199254740992)}
+for _i, (_name, (_value, _base)) in enumerate(_SIZES.items(), 1):
+    _expectation = f"expect_column_{_name}_to_be_between"
+
+    def _exact_scalars(spark: SparkSession, sf_dir: str, expectation: str = _expectation) -> DataFrame:
+        """Observed values keep every digit; bounds next to a value are told apart from it."""
+        given = dataset(spark, sf_dir, "wide_numbers")
+        least = given.frame.agg(F.min("o_orderkey")).first()[0]
+        return evaluate(given, [
+            Rule(1, expectation, "big", {"max_value": _EDGE + least}), Rule(2, expectation, "big", {"max_value": _EDGE + least, "strict_max": True}),
+            Rule(3, expectation, "big", {"min_value": str(_EDGE + least + 1)}),
+            Rule(4, expectation, "money" if "sum" in expectation else "wide", {"min_value": "1e35", "max_value": "1e36"}),
+        ]).select("rule_config_id", "is_success", "element_count", "observed_value")
+
+    _low = "(SELECT min(o_orderkey) FROM wide_numbers)"
+    _own = _value if _base else f"{_value}::HUGEINT + 9007199254740992"
+    _other = "money" if _name == "sum" else "wide"
+    add(f"a{_i}_{_name}_exact", _exact_scalars, with_fixtures(f"""
+        SELECT r::BIGINT AS rule_config_id, CASE r WHEN 1 THEN v <= {_EDGE} + {_low} WHEN 2 THEN v < {_EDGE} + {_low} WHEN 3 THEN v >= {_EDGE + 1} + {_low}
+               ELSE w::DOUBLE BETWEEN 1e35 AND 1e36 END AS is_success, n AS element_count,
+               CASE WHEN r < 4 THEN v::VARCHAR ELSE w::VARCHAR END AS observed_value
+        FROM (SELECT count(*) AS n, {_own} AS v, {_name}({_other}) AS w FROM wide_numbers), (VALUES (1), (2), (3), (4)) t(r)""", "wide_numbers"))
+
 _EXACT_SETS = check_query("neighbours", [
     Rule(1, "expect_column_distinct_values_to_equal_set", "edge", {"value_set": [_EDGE, _EDGE + 1]}),
     Rule(2, "expect_column_distinct_values_to_equal_set", "edge", {"value_set": [_EDGE, _EDGE + 2]}),

@@ -40,6 +40,14 @@ FIXTURES: dict[str, str] = {
                9007199254740992 + o_orderkey % 2 AS edge,
                concat(o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE chr(10) END) AS ended
         FROM orders""",
+    "wide_numbers": """
+        SELECT o_orderkey, o_orderkey % 2 AS parity, o_orderkey % 2 AS small, o_orderkey + 9007199254740992 AS big,
+               9007199254740992 + o_orderkey % 2 AS edge, 9007199254740992 AS edge_too,
+               cast(o_orderkey AS decimal(38,0)) + cast('100000000000000000000000000000000000' AS decimal(38,0)) AS wide,
+               cast(0 AS decimal(38,0)) - (cast(o_orderkey AS decimal(38,0)) + cast('100000000000000000000000000000000000' AS decimal(38,0))) AS minus_wide,
+               cast(o_orderkey AS decimal(20,2)) + cast(0.25 AS decimal(20,2)) AS money,
+               cast(0 AS decimal(20,2)) - (cast(o_orderkey AS decimal(20,2)) + cast(0.25 AS decimal(20,2))) AS minus_money
+        FROM orders""",
     "labelled": """
         SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

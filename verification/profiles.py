@@ -300,7 +300,7 @@ def _numeric_sql(c: str, table: str) -> str:
            round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 4) AS interquartile_range, round(stddev_samp({c}) / avg({c}), 6) AS coefficient_of_variation,
            round((SELECT avg(abs(x.{c} - (SELECT median({c}) FROM {table}))) FROM {table} x), 4) AS mean_absolute_deviation,
            round((SELECT median(abs(x.{c} - (SELECT median({c}) FROM {table}))) FROM {table} x), 4)::DOUBLE AS median_absolute_deviation,
-           round(skewness({c}) * (count({c}) - 2) / sqrt(count({c})::DOUBLE * (count({c}) - 1)), 5) AS skewness_value, 0::BIGINT AS infinite_count,
+           round(skewness({c}) * (count({c}) - 2) / sqrt(count({c})::DOUBLE * (count({c}) - 1)), 5) + 0.0::DOUBLE AS skewness_value, 0::BIGINT AS infinite_count,
            count(*) FILTER (WHERE {c} < 0) AS negative_count, count(*) FILTER (WHERE {c} = 0) AS zero_count
     FROM {table}"""
 
@@ -313,7 +313,7 @@ def numeric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "column_name", F.round("variance_value", 3).alias("variance_value"), F.round("value_range", 4).alias("value_range"),
         F.round("interquartile_range", 4).alias("interquartile_range"), F.round("coefficient_of_variation", 6).alias("coefficient_of_variation"),
         F.round("mean_absolute_deviation", 4).alias("mean_absolute_deviation"), "negative_count", "zero_count", "infinite_count",
-        F.round("median_absolute_deviation", 4).alias("median_absolute_deviation"), F.round("skewness_value", 5).alias("skewness_value"),
+        F.round("median_absolute_deviation", 4).alias("median_absolute_deviation"), (F.round("skewness_value", 5) + 0.0).alias("skewness_value"),
     )
 
 

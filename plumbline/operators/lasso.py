@@ -18,7 +18,7 @@ MODEL_SCHEMA = (
     "features array<string>, target string, equation string, intercept double, "
     "coefficients map<string,double>, alpha double, r2 double, wmape double, mape double, "
     "intercept_contribution double, r2_all double, wmape_all double, mape_all double, "
-    "total_data bigint, accuracy double, status string, message string"
+    "total_data bigint, accuracy double, duality_gap double, kkt_residual double, status string, message string"
 )
 
 
@@ -46,21 +46,22 @@ def extended_terms(features: Sequence[str], products_up_to: int = 5, ratios_up_t
     return Terms(terms, base.base)
 
 
-def model_frame(df: DataFrame, terms: Terms, target: str) -> DataFrame:
+def model_frame(df: DataFrame, terms: Terms, target: str, split: Column | None = None) -> DataFrame:
     """``x0.., y, part``: complete finite rows with a place in the split.
 
-    The split is a hash of the row, so a lost task recomputes to the same side.
-    Values 0-69 of ``part`` train, 70-99 test.
+    Without a ``split`` of its own, whole numbers from 0 to 99, it is a hash of
+    the row, so a lost task recomputes to the same side.  Values 0-69 of ``part``
+    train, 70-99 test.
     """
     xs = {f"x{i}": c for i, c in enumerate(terms.columns.values())}
     frame = df.select(*[c.alias(n) for n, c in xs.items()],
-                      F.col(quoted(target)).cast("double").alias("y"))
+                      F.col(quoted(target)).cast("double").alias("y"), (F.lit(None) if split is None else split).cast("bigint").alias("given"))
     finite = reduce(
         lambda a, b: a & b,
         [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in [*xs, "y"]],
     )
     part = F.pmod(F.xxhash64(F.lit(42), *[F.col(n) for n in [*xs, "y"]]), F.lit(100))
-    return frame.where(finite).withColumn("part", part)
+    return frame.where(finite).withColumn("part", part if split is None else F.col("given")).drop("given")
 
 
 def _prediction(coefficients: Sequence[float], intercept: float) -> Column:
@@ -92,6 +93,31 @@ def _scores(row: Mapping[str, float], prefix: str) -> tuple[float | None, float
     return r2, wmape, row[f"{prefix}ape"] * 100
 
 
+def certificate(data: DataFrame, coefficients: Sequence[float], intercept: float, alpha: float) -> tuple[float, float]:
+    """How far a fit is from the best one, from a scan of its training rows.
+
+    The first figure is the duality gap: no coefficients reach a penalised error
+    that is lower by more.  The second is the largest breach of the optimality
+    conditions: residuals correlate with a used term by exactly the penalty, with
+    an unused one by no more.
+    """
+    names = [f"x{i}" for i in range(len(coefficients))]
+    rest = data.withColumn("r", F.col("y") - _prediction(coefficients, intercept))
+    row = rest.agg(
+        *[F.covar_pop(n, "r").alias(f"c_{n}") for n in names],
+        F.var_pop("r").alias("rr"), F.covar_pop("y", "r").alias("yr"), F.avg("r").alias("bias"),
+    ).first()
+    pull, w = np.array([row[f"c_{n}"] for n in names]), np.array(coefficients, dtype=float)
+    penalty = alpha * float(np.abs(w).sum())
+    # Residuals shrunk until they are feasible for the dual problem.
+    largest = float(np.abs(pull).max(initial=0.0))
+    scale = min(1.0, alpha / largest) if largest else 1.0
+    primal = (row["rr"] + row["bias"] ** 2) / 2 + penalty
+    dual = scale * row["yr"] - scale * scale * row["rr"] / 2
+    breach = np.where(w != 0, np.abs(pull - alpha * np.sign(w)), np.maximum(0.0, np.abs(pull) - alpha))
+    return max(0.0, primal - dual), float(breach.max(initial=0.0))
+
+
 def _result(df: DataFrame, **values: object) -> DataFrame:
     names = [part.strip().split(" ")[0] for part in MODEL_SCHEMA.replace("map<string,double>", "m").split(",")]
     return local_frame(df.sparkSession, [tuple(values.get(n) for n in names)], MODEL_SCHEMA)
@@ -99,12 +125,13 @@ def _result(df: DataFrame, **values: object) -> DataFrame:
 
 def fit_fixed_alpha(
     df: DataFrame, features: Sequence[str], target: str, parameters: Mapping[str, float] | None = None,
-    *, alpha: float = 0.001,
+    *, alpha: float = 0.001, split: Column | None = None,
 ) -> DataFrame:
     """Lasso with a fixed penalty, judged on held-out rows.
 
     Full-data figures are filled only when the held-out ones reach the
-    thresholds.  Training is one pass of MLlib's normal-equation solver;
+    thresholds.  ``duality_gap`` and ``kkt_residual`` say how near the fit is to
+    the best one; see ``certificate``.  Training is one pass of MLlib's normal-equation solver;
     prediction is a column expression, so scoring is one aggregate.
     """
     from pyspark.ml.feature import VectorAssembler
@@ -115,7 +142,7 @@ def fit_fixed_alpha(
     names = [f for f in features if f in df.columns and f != target]
     if not names or target not in df.columns:
         return _result(df, status="error", message="Features or target column missing.")
-    data = model_frame(df, base_terms(names), target)
+    data = model_frame(df, base_terms(names), target, split)
     xs = [f"x{i}" for i in range(len(names))]
     training = VectorAssembler(inputCols=xs, outputCol="features").transform(data.where("part < 70"))
     if training.isEmpty():
@@ -125,6 +152,7 @@ def fit_fixed_alpha(
         standardization=False, solver="normal", tol=1e-9,
     ).fit(training)
     coefficients, intercept = [float(c) for c in model.coefficients], float(model.intercept)
+    gap, breach = certificate(data.where("part < 70"), coefficients, intercept, alpha)
     y, p = F.col("y"), _prediction(coefficients, intercept)
     held_out = F.when(F.col("part") >= 70, y)
     row = data.agg(
@@ -153,7 +181,7 @@ def fit_fixed_alpha(
         coefficients=dict(zip(names, coefficients)), alpha=alpha,
         r2=None if r2 is None else round(r2, 2), wmape=wmape, mape=mape,
         intercept_contribution=intercept * row["t_n"] / row["t_sum"] * 100 if row["t_sum"] else None,
-        status="success", **full,
+        duality_gap=gap, kkt_residual=breach, status="success", **full,
     )
 
 
@@ -220,12 +248,14 @@ def _lasso(m: Moments, alpha: float, start: np.ndarray, sweeps: int = 1000) -> n
 def fit_cross_validated(
     df: DataFrame, features: Sequence[str], target: str, *, relative_tolerance: float = 0.05,
     folds: int = 5, alphas: int = 100, relation_type: str | None = None, code: str | None = None,
-    products_up_to: int = 5, ratios_up_to: int = 4,
+    products_up_to: int = 5, ratios_up_to: int = 4, terms: Mapping[str, Column] | None = None, split: Column | None = None,
 ) -> DataFrame:
     """Lasso over features, products and ratios, its penalty chosen by cross-validation.
 
-    Products join up to ``products_up_to`` features and ratios up to
+    ``terms`` names the terms and says how each follows from the columns.
+    Without it products join up to ``products_up_to`` features and ratios up to
     ``ratios_up_to``; the keys of ``coefficients`` say which terms took part.
+    ``duality_gap`` and ``kkt_residual`` are those of the final fit.
 
     A grid search would train folds x penalties models, each a pass over the
     data.  One pass collects the moments of every fold instead: a few hundred
@@ -236,19 +266,19 @@ def fit_cross_validated(
         "source string, relation_type string, target string, code string, equation string, "
         "r2_test double, mape_test double, accuracy double, intercept double, "
         "coefficients map<string,double>, features array<string>, data_points bigint, "
-        "alpha double, error string"
+        "alpha double, duality_gap double, kkt_residual double, error string"
     )
     source = "Lasso Regression with Relations"
 
     def failed(message: str) -> DataFrame:
-        row = (source, *[None] * 12, message)
+        row = (source, *[None] * 14, message)
         return local_frame(df.sparkSession, [row], schema)
 
     if target not in df.columns or not names:
         return failed("Missing target or features")
-    terms = extended_terms(names, products_up_to, ratios_up_to)
-    data = model_frame(df, terms, target)
-    width = len(terms.columns)
+    model = extended_terms(names, products_up_to, ratios_up_to) if terms is None else Terms(dict(terms), tuple(names))
+    data = model_frame(df, model, target, split)
+    width = len(model.columns)
     parts = fold_moments(data.where("part < 70"), width, folds)
     training = Moments.merged(parts) if parts else None
     if training is None or training.n < 7 or len(parts) < folds:
@@ -267,6 +297,7 @@ def fit_cross_validated(
     for a in grid[grid >= alpha]:
         w = _lasso(training, a, w)
     intercept = float(training.mean[-1] - training.mean[:-1] @ w)
+    gap, breach = certificate(data.where("part < 70"), w, intercept, alpha)
     y, p = F.col("y"), _prediction(w, intercept)
     stats = data.agg(
         *_metrics(F.when(F.col("part") >= 70, y), p, "t_"), F.count(y).alias("n"),
@@ -274,11 +305,11 @@ def fit_cross_validated(
     ).first().asDict()
     hits = data.agg(F.count_if(F.abs(y - p) <= relative_tolerance * stats["sd"])).first()[0]
     r2, _, mape = _scores(stats, "t_")
-    kept = [f"({c:.4f} * {t})" for c, t in zip(w, terms.columns) if abs(c) > 1e-6]
+    kept = [f"({c:.4f} * {t})" for c, t in zip(w, model.columns) if abs(c) > 1e-6]
     equation = f"{target} = " + " + ".join([f"{intercept:.4f}", *kept])
     return local_frame(df.sparkSession, [(
         source, relation_type, target, code, equation,
         None if r2 is None else round(r2, 2), None if mape is None else round(mape, 2),
         round(100.0 * hits / stats["n"], 2), round(intercept, 6),
-        {t: round(float(c), 6) for t, c in zip(terms.columns, w)}, list(names), stats["n"], alpha, None,
+        {t: round(float(c), 6) for t, c in zip(model.columns, w)}, list(names), stats["n"], alpha, gap, breach, None,
     )], schema)

@@ -11,7 +11,7 @@ from plumbline.functions.rows import numbered
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
 from plumbline.operators.percentiles import column_percentiles, with_slice
-from plumbline.operators.profile import ProfileOptions, profile_columns, type_counts, value_counts
+from plumbline.operators.profile import ProfileOptions, column_values, key_counts, profile_columns, type_counts
 
 # Unicode general categories and their names.
 CATEGORIES = {
@@ -182,7 +182,7 @@ def numeric_statistics(df: DataFrame) -> DataFrame:
 def frequency_statistics(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per column, how evenly values occur: chi-squared against uniform, imbalance."""
     if counts is None:
-        counts = value_counts(df, df.columns)
+        counts = key_counts(df, df.columns)
     n = F.col("n").cast("double")
     total, kinds = F.sum(n), F.count(F.lit(1))
     expected = total / kinds
@@ -197,7 +197,11 @@ def frequency_statistics(df: DataFrame, counts: DataFrame | None = None) -> Data
 
 
 def character_counts(counts: DataFrame) -> DataFrame:
-    """``(column_name, character, n)`` over whole texts; equal texts are read once."""
+    """``(column_name, character, n)`` over whole texts ``(column_name, value, n)``.
+
+    Texts straight from the rows, as ``column_values`` gives them, are added up
+    in their tasks; none is shuffled.
+    """
     chars = counts.select(
         "column_name", "n", F.explode(F.split("value", "")).alias("character")
     ).where(F.col("character") != "")
@@ -205,7 +209,7 @@ def character_counts(counts: DataFrame) -> DataFrame:
 
 
 def word_counts(counts: DataFrame) -> DataFrame:
-    """``(column_name, word, n)``: lower-cased words without surrounding punctuation."""
+    """``(column_name, word, n)``: lower-cased words without surrounding punctuation, counted in their tasks first."""
     words = counts.select(
         "column_name", "n", F.explode(F.split(F.lower("value"), r"\s+")).alias("word")
     ).select("column_name", "n", F.btrim("word", F.lit(PUNCTUATION)).alias("word"))
@@ -327,9 +331,9 @@ def _ordered_flags(prev_low: Column, prev_high: Column, low: Column, high: Colum
 def attribute_summary(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """One row per column with every statistic that is a number or a short map."""
     profile = profile_columns(df, ProfileOptions(exact=True, extended=True))
-    counts = value_counts(df, df.columns)
-    text_counts = counts.where(F.col("column_name").isin(_text_names(df)))
-    chars = character_counts(text_counts)
+    counts = key_counts(df, df.columns)
+    texts = _text_names(df)
+    chars = character_counts(column_values(df, texts or df.columns[:1]).where(F.lit(bool(texts))))
     classes = character_classes(chars).groupBy("column_name").agg(*[
         stat for kind in ("category", "script", "block") for stat in (
             F.count_if(F.col("kind") == kind).alias(f"{kind}_count"),

@@ -31,6 +31,10 @@ TYPE_BYTES = {
 }
 
 
+#: Characters up to which a value stands for itself where values are counted.
+KEY_LENGTH = 64
+
+
 @dataclass(frozen=True)
 class ProfileOptions:
     """``exact`` replaces sketches by exact counts and percentiles.
@@ -65,8 +69,8 @@ def profile_columns(
         [_batch_profile(df, batch, ids, firsts, options) for batch in batches],
     )
     if options.exact or options.extended:
-        counts = value_counts(df, [f.name for f in fields])
-        profile = _with_value_statistics(profile, counts, options)
+        counts = key_counts(df, [f.name for f in fields])
+        profile = _with_value_statistics(profile, df, counts, options)
     if options.exact:
         profile = _with_exact_percentiles(profile, df, fields)
     total, non_null = F.col("total_count"), F.col("non_null_count")
@@ -231,6 +235,63 @@ def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
+def column_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``(column_name, value, n)``: the non-null values as they stand, each once per row.
+
+    For statistics of what is inside the values: nothing is shuffled to find equal ones.
+    """
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value"), F.lit(1).cast("bigint").alias("n"))
+        for c in columns
+    ])
+    return df.select(F.inline(entries)).where(F.col("value").isNotNull())
+
+
+def key_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``(column_name, is_long, key, head, length, n)`` over the non-null values of all given columns.
+
+    A value of up to ``KEY_LENGTH`` characters is its own key; a longer one has a
+    128-bit digest instead, so that no long text crosses a shuffle.  ``head`` is
+    its beginning.
+    """
+    value = F.col("value")
+    is_long = F.length(value) > KEY_LENGTH
+    rows = column_values(df, columns).select(
+        "column_name", is_long.alias("is_long"), F.when(is_long, F.md5(value.cast("binary"))).otherwise(value).alias("key"),
+        F.substring(value, 1, KEY_LENGTH).alias("head"), F.length(value).alias("length"),
+    )
+    return rows.groupBy("column_name", "is_long", "key", "head", "length").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order_of_values() -> list[Column]:
+    return [F.desc("n"), F.asc("head"), F.asc("length"), F.asc("key")]
+
+
+def top_keys(df: DataFrame, counts: DataFrame, limit: int | None) -> DataFrame:
+    """``(column_name, value, n, rank)``: the most frequent values per column, whole texts again.
+
+    Ties go by the beginning of the value, then by its length.
+    """
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(*_order_of_values()))
+    if limit is not None:
+        # A column may have any number of values: parts of it are cut to the best first.
+        salted = counts.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+        part = F.row_number().over(Window.partitionBy("column_name", "_salt").orderBy(*_order_of_values()))
+        counts = salted.withColumn("_place", part).where(F.col("_place") <= limit).drop("_salt", "_place")
+    ranked = counts.withColumn("rank", place)
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    short = ranked.where(~F.col("is_long")).select("column_name", F.col("key").alias("value"), "n", "rank")
+    names = df.columns
+    texts = column_values(df, [f.name for f in df.schema.fields if is_text(f.dataType)] or names[:1])
+    long = ranked.where("is_long").select("column_name", "key", "n", "rank")
+    found = texts.where(F.length("value") > KEY_LENGTH).withColumn("key", F.md5(F.col("value").cast("binary"))).select("column_name", "key", "value")
+    # With a limit, so many rows per column.
+    whole = found.join(long if limit is None else F.broadcast(long), ["column_name", "key"]).groupBy("column_name", "rank").agg(
+        F.min("value").alias("value"), F.min("n").alias("n")
+    )
+    return short.unionByName(whole.select(*short.columns))
+
+
 def top_values(counts: DataFrame, limit: int | None = 50) -> DataFrame:
     """The ``limit`` most frequent values per column, or all, ties broken by value."""
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
@@ -238,21 +299,19 @@ def top_values(counts: DataFrame, limit: int | None = 50) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def _with_value_statistics(profile: DataFrame, counts: DataFrame, options: ProfileOptions) -> DataFrame:
+def _with_value_statistics(profile: DataFrame, df: DataFrame, counts: DataFrame, options: ProfileOptions) -> DataFrame:
     stats = counts.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("distinct_exact"),
         F.count_if(F.col("n") == 1).alias("unique_count"),
     )
     if options.extended:
-        top = top_values(counts, options.value_limit).groupBy("column_name").agg(
+        top = top_keys(df, counts, options.value_limit).groupBy("column_name").agg(
             F.to_json(F.map_from_entries(F.transform(
                 F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                 lambda e: F.struct(e["value"], e["n"]),
             ))).alias("value_counts")
         )
-        lengths = counts.groupBy("column_name", F.length("value").alias("length")).agg(
-            F.sum("n").alias("n")
-        )
+        lengths = counts.groupBy("column_name", "length").agg(F.sum("n").alias("n"))
         if options.length_limit is not None:
             order = Window.partitionBy("column_name").orderBy("length")
             lengths = lengths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.length_limit)
@@ -319,7 +378,7 @@ def dataset_summary(
     )
     base = [F.count(F.lit(1)).alias("total_rows"), missing.alias("missing_values_count")]
     if exact:
-        distinct_sum = value_counts(df, [f.name for f in fields]).agg(F.count(F.lit(1))).scalar()
+        distinct_sum = key_counts(df, [f.name for f in fields]).agg(F.count(F.lit(1))).scalar()
         distinct_rows = df.select(*columns).distinct().agg(F.count(F.lit(1))).scalar()
         wide = df.agg(*base).withColumns(
             {"unique_values_count": distinct_sum, "distinct_rows": distinct_rows}

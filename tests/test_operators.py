@@ -311,3 +311,16 @@ def test_correlations_with_gaps_offsets_and_constants(spark):
     wild = spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, float("nan"), 3.0), (3.0, 5.0, 7.0)], "a double, b double, c double")
     rows = {(r["col1"], r["col2"]): r["correlation"] for r in correlation_matrix(wild, ["a", "b", "c"]).collect()}
     assert math.isnan(rows["a", "b"]) and rows["a", "c"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 3, 7])[0, 1])
+
+
+def test_no_long_text_crosses_a_shuffle(spark, tmp_path):
+    long = ["x" * 5000 + str(k) for k in range(20)] * 3 + ["short", "short", None]
+    spark.createDataFrame([(t,) for t in long], "t string").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    for found in (seg.word_counts(prof.column_values(frame, ["t"])), prof.key_counts(frame, ["t"])):
+        for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+            assert not ("Exchange hashpartitioning" in line and "value#" in line)
+    row = prof.profile_columns(frame, prof.ProfileOptions(exact=True, extended=True)).first()
+    assert (row["distinct_count"], row["unique_count"]) == (21, 0)
+    values = json.loads(row["value_counts"])
+    assert values["x" * 5000 + "7"] == 3 and values["short"] == 2 and len(values) == 21

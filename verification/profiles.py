@@ -150,6 +150,15 @@ def extended_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("p5_long_values", """
+    SELECT value, n, rank FROM (SELECT text AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, substring(text, 1, 64), length(text), md5(text)) AS rank
+      FROM documents WHERE length(text) > 64 GROUP BY text) WHERE rank <= 50""")
+def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent long texts, counted by digests and read back whole."""
+    texts = frame(spark, sf_dir, "documents").where(F.length("text") > 64).select("text")
+    return prof.top_keys(texts, prof.key_counts(texts, ["text"]), 50).drop("column_name")
+
+
 @query("p5_value_counts", with_fixtures("""
     SELECT column_name, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM (
       SELECT 'priority' AS column_name, priority AS value, count(*) AS n FROM orders_gaps WHERE priority IS NOT NULL GROUP BY priority
@@ -340,7 +349,7 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.value_counts(frame(spark, sf_dir, "documents"), ["text", "lang"])
+    return prof.column_values(frame(spark, sf_dir, "documents"), ["text", "lang"])
 
 
 @query("p11_character_counts", "\nUNION ALL\n".join(
@@ -378,7 +387,7 @@ _BLOCK = " ".join(f"WHEN unicode(ch) BETWEEN {a} AND {b} THEN '{name}'" for name
       UNION ALL SELECT column_name, 'script', CASE {_SCRIPT} ELSE 'Common' END, n FROM chars
       UNION ALL SELECT column_name, 'block', CASE {_BLOCK} ELSE 'Other' END, n FROM chars) GROUP BY column_name, kind, class""")
 def character_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prof.value_counts(frame(spark, sf_dir, "documents"), ["text"])
+    counts = prof.column_values(frame(spark, sf_dir, "documents"), ["text"])
     return seg.character_classes(seg.character_counts(counts))
 
 

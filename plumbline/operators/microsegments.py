@@ -11,7 +11,7 @@ from plumbline.functions.rows import numbered
 from plumbline.functions.text import is_text
 from plumbline.model import quoted
 from plumbline.operators.percentiles import column_percentiles, with_slice
-from plumbline.operators.profile import ProfileOptions, column_values, key_counts, profile_columns, type_counts
+from plumbline.operators.profile import TYPE_BYTES, ProfileOptions, column_values, key_counts, profile_columns, type_counts
 
 # Unicode general categories and their names.
 CATEGORIES = {
@@ -73,9 +73,15 @@ def microsegment_records(
 
 
 def microsegment_summary(df: DataFrame) -> DataFrame:
-    """One row: records, columns, missing cells and columns, types, duplicates."""
+    """One row: records, columns, bytes, missing cells and columns, types, duplicates."""
     names = df.columns
     columns = [F.col(quoted(c)) for c in names]
+    # Texts by their bytes in UTF-8, other values by the width of their type.
+    sizes = [
+        F.sum(F.octet_length(quoted(f.name))) if is_text(f.dataType)
+        else F.count(F.col(quoted(f.name))) * TYPE_BYTES.get(type(f.dataType), 8) for f in df.schema.fields
+    ]
+    memory = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)) for x in sizes])
     missing = {c: F.count_if(F.col(quoted(c)).isNull()) for c in names}
     # Equal rows are counted before the shuffle; the rest are sums over groups.
     groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -83,7 +89,7 @@ def microsegment_summary(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("_n") > 1, 1)), F.lit(0))
     ).scalar()
     counted = df.agg(
-        F.count(F.lit(1)).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(missing.values())]
+        F.count(F.lit(1)).alias("n"), memory.cast("bigint").alias("memory"), *[m.alias(f"m{i}") for i, m in enumerate(missing.values())]
     )
     per_column = [F.col(f"m{i}") for i in range(len(names))]
     cells = F.col("n") * len(names)
@@ -96,6 +102,8 @@ def microsegment_summary(df: DataFrame) -> DataFrame:
     return counted.select(
         F.col("n").alias("total_records"),
         F.lit(len(names)).alias("total_columns"),
+        F.col("memory").alias("memory_size_bytes"),
+        F.coalesce(F.try_divide(F.col("memory").cast("double"), F.col("n")), F.lit(0.0)).alias("average_record_size_bytes"),
         total_missing.alias("missing_values_count"),
         with_missing.alias("columns_with_missing_values"),
         all_missing.alias("columns_fully_missing"),

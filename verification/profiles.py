@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -82,9 +83,38 @@ def native_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(shaped, "std_dev", *prof.PERCENTILES, "avg_length", "missing_percentage", "distinct_percentage")
 
 
-@query("p1_native_profile_sketched")
+_RANKS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("p1_native_profile_sketched", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS total_count, count({c}) AS non_null_count, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high,
+        round(stddev_samp({c}), 4) AS std_dev, count(*) FILTER (WHERE {c} = 0) AS zero_count, TRUE AS distinct_near, TRUE AS percentiles_near FROM lineitem"""
+    for c in _LINE_NUMBERS))
 def native_profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.profile_columns(frame(spark, sf_dir, "lineitem")).drop("first_few_rows")
+    """Numeric columns: exact figures as they are, and whether the sketched ones keep their bounds against exact counts."""
+    lines = frame(spark, sf_dir, "lineitem").select(*_LINE_NUMBERS)
+    profile = prof.profile_columns(lines)
+    # A row per column.
+    found = {r["column_name"]: r for r in profile.collect()}
+    tests, distinct = [], {}
+    for c, r in found.items():
+        col = F.col(c)
+        distinct[c] = F.count_distinct(col).alias(f"d_{c}")
+        for p, share in _RANKS.items():
+            below, upto = F.count_if(col < r[p]) / F.count(col), F.count_if(col <= r[p]) / F.count(col)
+            tests.append(((below <= share + 0.005) & (upto >= share - 0.005)).alias(f"{c}_{p}"))
+    held = lines.agg(*tests, *distinct.values()).first()
+    near = {c: all(held[f"{c}_{p}"] for p in _RANKS) for c in found}
+    close = {c: abs(r["distinct_count"] / held[f"d_{c}"] - 1) <= 0.08 for c, r in found.items()}
+
+    def verdict(values: dict[str, bool]):
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("column_name"))
+
+    return profile.select(
+        "column_name", "total_count", "non_null_count", F.col("min_value").cast("double").alias("low"), F.col("max_value").cast("double").alias("high"),
+        F.round("std_dev", 4).alias("std_dev"), "zero_count", verdict(close).alias("distinct_near"), verdict(near).alias("percentiles_near"),
+    )
 
 
 @query("p1_exact_percentiles", "\nUNION ALL\n".join(
@@ -110,17 +140,28 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(summary, "null_percent").drop("run_id", "dataset_id", "dataset_name", "null_count", "table_size_gb")
 
 
-@query("p3_dataset_summary_sketched")
+_LINES = [*_LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("p3_dataset_summary_sketched", "SELECT count(*) AS total_rows, 11::INTEGER AS total_columns, 0::BIGINT AS missing_values_count, 0.0::DOUBLE AS null_percent, TRUE AS distinct_near, TRUE AS duplicates_near FROM lineitem")
 def dataset_summary_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.dataset_summary(frame(spark, sf_dir, "lineitem"))
+    """Exact figures as they are, and whether the sketched ones are within a tenth of the exact ones."""
+    lines = frame(spark, sf_dir, "lineitem").select(*_LINES)
+    distinct = reduce(lambda a, b: a + b, [F.count_distinct(c) for c in _LINES])
+    exact = lines.agg(distinct.alias("n")).crossJoin(lines.distinct().agg(F.count(F.lit(1)).alias("rows")))
+    summary = prof.dataset_summary(lines).crossJoin(exact)
+    return summary.select(
+        "total_rows", "total_columns", "missing_values_count", "null_percent",
+        (F.abs(F.col("unique_values_count") / F.col("n") - 1) <= 0.1).alias("distinct_near"),
+        (F.abs(F.col("total_rows") - F.col("duplicate_count") - F.col("rows")) <= 0.1 * F.col("rows")).alias("duplicates_near"),
+    )
 
 
 @query("p4_first_few_rows", with_fixtures("\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, to_json(list({c}::VARCHAR ORDER BY p_partkey) FILTER (WHERE {c} IS NOT NULL))::VARCHAR AS first_few_rows "
-    "FROM (SELECT * FROM part_texts ORDER BY p_partkey LIMIT 5)" for c in ("p_partkey", "p_size", "size_text", "date_text")), "part_texts"))
+    "FROM (SELECT * FROM part_texts ORDER BY p_partkey LIMIT 5)" for c in ("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", "size_text", "date_text")), "part_texts"))
 def first_few_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prof.first_few_rows(frame(spark, sf_dir, "part_texts"), ["p_partkey"])
-    return rows.where(F.col("column_name").isin("p_partkey", "p_size", "size_text", "date_text"))
+    return prof.first_few_rows(frame(spark, sf_dir, "part_texts"), ["p_partkey"])
 
 
 def _moment(c: str, table: str, power: int) -> str:
@@ -231,9 +272,31 @@ def localised_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localise_stats(counts, ["n"])
 
 
-@query("p9_localised_summary")
+_DIGITS = "translate({0}::VARCHAR, '123456789', '一二三四五六七八九')"
+
+
+def _spoken(n: str) -> str:
+    """A whole number below 10**8 in numerals."""
+    def group(g: str) -> str:
+        parts = [
+            f"CASE WHEN {g} // {p} % 10 > 0 THEN (CASE WHEN {g} // {p} % 10 > 1 THEN {_DIGITS.format(f'({g} // {p} % 10)')} ELSE '' END) || '{name}' ELSE '' END"
+            for p, name in ((1000, "千"), (100, "百"), (10, "十"))
+        ]
+        return " || ".join([*parts, f"CASE WHEN {g} % 10 > 0 THEN {_DIGITS.format(f'({g} % 10)')} ELSE '' END"])
+
+    return f"CASE WHEN {n} = 0 THEN '零' ELSE (CASE WHEN {n} >= 10000 THEN {group(f'({n} // 10000)')} || '万' ELSE '' END) || {group(f'({n} % 10000)')} END"
+
+
+_COUNTS = ("total_rows", "total_columns", "missing_values_count", "null_count", "duplicate_count")
+
+
+@query("p9_localised_summary", with_fixtures(f"""
+    SELECT *, {', '.join(f"{_spoken(c)} AS {c}_ja" for c in _COUNTS)} FROM (
+      SELECT count(*) AS total_rows, 6::INTEGER AS total_columns, sum((quality IS NULL)::INT + (toxic IS NULL)::INT)::BIGINT AS missing_values_count,
+             sum((quality IS NULL)::INT + (toxic IS NULL)::INT)::BIGINT AS null_count,
+             (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labelled)))::BIGINT AS duplicate_count FROM labelled)""", "labelled"))
 def localised_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.localised_summary(frame(spark, sf_dir, "labelled"))
+    return prof.localised_summary(frame(spark, sf_dir, "labelled")).select(*_COUNTS, *[f"{c}_ja" for c in _COUNTS])
 
 
 @query("u1_numeral_values", with_fixtures("""
@@ -295,12 +358,14 @@ def microsegment_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS total_records, 5::INTEGER AS total_columns, sum((quality IS NULL)::INT + (toxic IS NULL)::INT)::BIGINT AS missing_values_count,
            2::INTEGER AS columns_with_missing_values, 0::INTEGER AS columns_fully_missing,
            round(sum((quality IS NULL)::INT + (toxic IS NULL)::INT) / (count(*) * 5.0), 6)::DOUBLE AS missing_values_share,
+           sum(coalesce(octet_length(encode(lang)), 0) + coalesce(octet_length(encode(source)), 0) + 8 * (n_chars IS NOT NULL)::INT + 8 * (quality IS NOT NULL)::INT + 8 * (toxic IS NOT NULL)::INT)::BIGINT AS memory_size_bytes,
+           round(sum(coalesce(octet_length(encode(lang)), 0) + coalesce(octet_length(encode(source)), 0) + 8 * (n_chars IS NOT NULL)::INT + 8 * (quality IS NOT NULL)::INT + 8 * (toxic IS NOT NULL)::INT)::DOUBLE / count(*), 6) AS average_record_size_bytes,
            '{"Numeric": 3, "Text": 2}' AS column_data_types,
            (SELECT count(*) FROM (SELECT 1 FROM labelled GROUP BY lang, source, n_chars, quality, toxic HAVING count(*) > 1)) AS duplicate_records_count,
            round((SELECT count(*) FROM (SELECT 1 FROM labelled GROUP BY lang, source, n_chars, quality, toxic HAVING count(*) > 1))::DOUBLE / count(*), 6) AS duplicate_records_share
     FROM labelled""", "labelled"))
 def microsegment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(seg.microsegment_summary(frame(spark, sf_dir, "labelled").drop("doc_id")), "missing_values_share", "duplicate_records_share", digits=6)
+    return _rounded(seg.microsegment_summary(frame(spark, sf_dir, "labelled").drop("doc_id")), "missing_values_share", "duplicate_records_share", "average_record_size_bytes", digits=6)
 
 
 def _numeric_sql(c: str, table: str) -> str:
@@ -341,11 +406,11 @@ def frequency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p11_histograms", "\nUNION ALL\n".join(f"""
-    SELECT '{c}' AS column_name, bin::INTEGER AS bin, count(*) AS n FROM (
-      SELECT least(49, floor(({c} - low) / ((high - low) / 50))) AS bin FROM lineitem, (SELECT min({c}) AS low, max({c}) AS high FROM lineitem)) GROUP BY bin"""
+    SELECT '{c}' AS column_name, bin::INTEGER AS bin, round(any_value(low) + bin * any_value(width), 6)::DOUBLE AS bin_start, round(any_value(low) + (bin + 1) * any_value(width), 6)::DOUBLE AS bin_end, count(*) AS n FROM (
+      SELECT least(49, floor(({c} - low) / ((high - low) / 50))) AS bin, low, (high - low) / 50 AS width FROM lineitem, (SELECT min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM lineitem)) GROUP BY bin"""
     for c in ("l_quantity", "l_linenumber")))
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg.histograms(frame(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber")).select("column_name", "bin", "n")
+    return _rounded(seg.histograms(frame(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber")), "bin_start", "bin_end", digits=6)
 
 
 def _text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,16 +459,17 @@ def character_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p11_monotonicity", """
     WITH steps AS (SELECT o_orderkey AS o, o_orderkey * 2.0 AS up, -floor(o_orderkey / 3.0) AS down, o_totalprice AS price FROM orders),
     pairs AS (SELECT up, down, price, lag(up) OVER w AS pu, lag(down) OVER w AS pd, lag(price) OVER w AS pp FROM steps WINDOW w AS (ORDER BY o))
+    SELECT *, CASE WHEN strictly_monotonic_increasing THEN 2 WHEN monotonic_increasing THEN 1 WHEN strictly_monotonic_decreasing THEN -2 WHEN monotonic_decreasing THEN -1 ELSE 0 END::INTEGER AS monotonic_trend FROM (
     SELECT 'up' AS column_name, bool_and(pu <= up) AS monotonic_increasing, bool_and(pu < up) AS strictly_monotonic_increasing, bool_and(pu >= up) AS monotonic_decreasing,
            bool_and(pu > up) AS strictly_monotonic_decreasing FROM pairs
     UNION ALL SELECT 'down', bool_and(pd <= down), bool_and(pd < down), bool_and(pd >= down), bool_and(pd > down) FROM pairs
-    UNION ALL SELECT 'price', bool_and(pp <= price), bool_and(pp < price), bool_and(pp >= price), bool_and(pp > price) FROM pairs""")
+    UNION ALL SELECT 'price', bool_and(pp <= price), bool_and(pp < price), bool_and(pp >= price), bool_and(pp > price) FROM pairs)""")
 def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = frame(spark, sf_dir, "orders").select(
         "o_orderkey", (F.col("o_orderkey") * 2.0).alias("up"), (-F.floor(F.col("o_orderkey") / 3.0)).cast("double").alias("down"),
         F.col("o_totalprice").alias("price"),
     )
-    return seg.monotonicity(steps, "o_orderkey").drop("monotonic_trend")
+    return seg.monotonicity(steps, "o_orderkey")
 
 
 @query("p11_attribute_summary")

@@ -48,6 +48,17 @@ def texts_of(array: pa.Array) -> list[str]:
     return ["" if t is None else t for t in array.to_pylist()]
 
 
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def single_blanks(text: bytes) -> bytes:
+    """The words of a text with one blank between, as splitting and joining would give it."""
+    line = text.translate(_SPACES).strip(b" ")
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    return line
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one array of bytes, each followed by a blank, and where each starts (one more at the end)."""
     whole = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8) if texts else np.zeros(0, np.uint8)

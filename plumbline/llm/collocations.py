@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from plumbline.llm.tables import BitFilter, written
 SHARDS = 4
 #: Bytes of text counted at once, about; longer texts are cut at the marks that end a piece.
 CHUNK_BYTES = 4 << 20
-#: The filter of active phrases has a bit per so many words, within these powers of two.  It decides the cost only.
-WORDS_A_BIT = 2
+#: Rows of counts that a task holds before it passes them on.
+HELD_ROWS = 1 << 20
+#: The filter of active phrases has a bit per so many bytes of text, the pairs of words are counted in as many buckets,
+#: within these powers of two.  Both decide the cost only.
+BYTES_A_BIT = 16
 LEAST_BITS, MOST_BITS = 16, 28
 #: What ends a piece, and what ends a word within one.
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -76,129 +80,223 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(), piece, coded.dictionary
 
 
-def _grams(lang: str, text: bytes, longest: int, old: BitFilter | None, new: BitFilter | None, single: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Length, phrases and counts of what is active by the filter ``new`` and was not by ``old``.
+class Active:
+    """Which phrases are active: marks of those that have reached the threshold, and buckets of pairs that may.
+
+    Both only ever gain bits, so what was active stays so.
+    """
+
+    def __init__(self, bits: int, least: int):
+        self.bits, self.least, self.turn = bits, least, 0
+        self.marks = BitFilter.of(bits)
+        self.buckets = np.zeros(1 << (bits - 6), dtype=np.uint64)
+
+    def bucket_of(self, marks: np.ndarray) -> np.ndarray:
+        return (marks >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def may_reach(self, marks: np.ndarray) -> np.ndarray:
+        """Pairs whose bucket has reached the threshold."""
+        at = self.bucket_of(marks)
+        return (self.buckets[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def with_more(self, marks: DataFrame | None, buckets: DataFrame | None) -> Active:
+        """With the bits of the hashes ``h`` and of the buckets ``b`` set too; the same object if it has them all."""
+        out = Active(self.bits, self.least)
+        out.turn, out.marks.words, out.buckets = self.turn + 1, self.marks.words, self.buckets
+        if marks is not None:
+            out.marks = BitFilter(marks, "h", self.bits)
+            out.marks.words |= self.marks.words
+        if buckets is not None:
+            word = F.shiftright(F.col("b").cast("bigint"), 6).alias("w")
+            # At most 2**(bits - 6) rows.
+            found = buckets.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+            out.buckets = self.buckets.copy()
+            out.buckets[found.column("w").to_numpy()] |= found.column("v").to_numpy().view(np.uint64)
+        same = (out.marks.words == self.marks.words).all() and (out.buckets == self.buckets).all()
+        return self if same else out
+
+
+def _grams(lang: str, text: bytes, longest: int, old: Active | None, new: Active, single: bool) -> Iterator[tuple[int, pa.Array | None, np.ndarray, np.ndarray | None]]:
+    """Length, phrases and counts of what is active by ``new`` and was not by ``old``.
 
     A longer phrase is active if its first and last subphrases are active and
-    pass the filter.  Single words are always active, ``single`` asks for them.
+    have reached the threshold, and a pair if its bucket has, too.  Single words
+    are always active; ``single`` asks for them and for the buckets of all
+    pairs, which come as length 0.
     """
     ids, piece, vocabulary = _words(text)
     if not len(ids):
         return
     if single:
-        yield 1, vocabulary, np.bincount(ids, minlength=len(vocabulary))
-    if new is None:
-        return
+        yield 1, vocabulary, np.bincount(ids, minlength=len(vocabulary)), None
     hashes = word_hashes(lang, vocabulary.to_pylist())
     size = len(vocabulary)
     # Per position: the number of the phrase that starts there, or -1.
     phrase, names, marks = ids.astype(np.int64), vocabulary, hashes
-    now = new.holds(hashes)
-    then = old.holds(hashes) if old is not None else np.zeros(size, dtype=bool)
+    now = new.marks.holds(hashes)
+    then = old.marks.holds(hashes) if old is not None else np.zeros(size, dtype=bool)
     for length in range(2, longest + 1):
         n = len(ids) - length + 1
         if n <= 0:
             return
         first, rest = phrase[:n], phrase[1 : n + 1]
         at = np.flatnonzero((first >= 0) & (rest >= 0) & (piece[:n] == piece[length - 1 :]))
-        at = at[now[first[at]] & now[rest[at]]]
+        if length > 2 or not single:
+            at = at[now[first[at]] & now[rest[at]]]
         if not len(at):
             return
         key, where, inverse, counts = np.unique(first[at] * size + ids[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
         left, right, last = first[at[where]], rest[at[where]], ids[at[where] + length - 1]
-        counted = then[left] & then[right]
-        texts = pc.binary_join_element_wise(names.take(pa.array(left)), vocabulary.take(pa.array(last)), " ")
-        fresh = ~counted
-        if fresh.any():
-            yield length, texts.filter(pa.array(fresh)), counts[fresh]
-        if length == longest:
-            return
-        phrase = np.full(len(ids), -1, dtype=np.int64)
-        phrase[at] = inverse
-        names, marks = texts, longer(marks[left], hashes[last])
-        now = new.holds(marks)
-        then = counted & old.holds(marks) if old is not None else np.zeros(len(marks), dtype=bool)
-
-
-def _scanned(docs: DataFrame, longest: int, old: BitFilter | None, new: BitFilter | None, single: bool) -> DataFrame:
-    """``(lang, k, phrase, c)``: what one scan of a shard adds to the counts."""
+        own = longer(marks[left], hashes[last])
+        is_now, counted = now[left] & now[right], then[left] & then[right]
+        if length == 2:
+            if single:
+                yield 0, None, counts, new.bucket_of(own)
+            is_now &= new.may_reach(own)
+            if old is not None:
+                counted &= old.may_reach(own)
+        fresh = np.flatnonzero(is_now & ~counted)
+        texts = None
+        if length < longest:
+            # The phrases that are active, numbered anew.
+            some = np.flatnonzero(is_now)
+            number = np.full(len(key), -1, dtype=np.int64)
+            number[some] = np.arange(len(some))
+            texts = pc.binary_join_element_wise(names.take(pa.array(left[some])), vocabulary.take(pa.array(last[some])), " ")
+            if len(fresh):
+                yield length, texts.take(pa.array(number[fresh])), counts[fresh], None
+            phrase = np.full(len(ids), -1, dtype=np.int64)
+            phrase[at] = number[inverse]
+            names, marks, counted = texts, own[some], counted[some]
+            now = new.marks.holds(marks)
+            then = counted & old.marks.holds(marks) if old is not None else np.zeros(len(marks), dtype=bool)
+        elif len(fresh):
+            yield length, pc.binary_join_element_wise(names.take(pa.array(left[fresh])), vocabulary.take(pa.array(last[fresh])), " "), counts[fresh], None
+
+
+def _scanned(docs: DataFrame, longest: int, old: Active | None, new: Active, single: bool) -> DataFrame:
+    """``(lang, k, phrase, b, c)``: what one scan of a shard adds to the counts, added up per task; ``b`` is a bucket where ``k`` is 0."""
+    columns = ["lang", "k", "phrase", "b", "c"]
+
+    def total(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        added = pa.Table.from_batches(parts).group_by(columns[:4], use_threads=False).aggregate([("c", "sum")])
+        added = added.select([*columns[:4], "c_sum"]).rename_columns(columns)
+        return added.combine_chunks().to_batches()[0] if added.num_rows else parts[0].slice(0, 0)
+
+    def row_batch(lang: str | None, k: int, phrases: pa.Array | None, buckets: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+        n = len(counts)
+        return pa.record_batch(
+            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, k, np.int32)),
+             pa.nulls(n, pa.string()) if phrases is None else phrases, pa.nulls(n, pa.int32()) if buckets is None else pa.array(buckets.astype(np.int32)),
+             pa.array(counts.astype(np.int64))], names=columns,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for part in slices(batches, "text", CHUNK_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), raw_texts(part.column("text"))):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 for chunk in _chunks(texts):
-                    for k, phrases, counts in _grams(lang, chunk, longest, old, new, single):
-                        n = len(phrases)
-                        yield pa.record_batch(
-                            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, k, np.int32)), phrases, pa.array(counts.astype(np.int64))],
-                            names=["lang", "k", "phrase", "c"],
-                        )
+                    for k, phrases, counts, buckets in _grams(lang, chunk, longest, old, new, single):
+                        held.append(row_batch(None if k == 0 else lang, k, phrases, buckets, counts))
+                        rows += len(counts)
+                    if rows > HELD_ROWS:
+                        held = [total(held)]
+                        rows = held[0].num_rows
+                        if rows > HELD_ROWS // 2:
+                            yield from held
+                            held, rows = [], 0
+        if held:
+            yield total(held)
 
-    return docs.mapInArrow(run, "lang string, k int, phrase string, c bigint").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "lang string, k int, phrase string, b int, c bigint")
 
 
-def _filter(counts: DataFrame, longest: int, least: int, bits: int) -> BitFilter:
-    """Bits of the phrases, shorter than the longest, that have reached the threshold so far."""
+def _hashed(phrases: DataFrame) -> DataFrame:
+    """``(h)``: the hashes by which tasks know the phrases ``(lang, phrase)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out = [np.zeros(0, np.uint64)]
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
                 own = word_hashes(lang, text.split(" "))
                 mark = own[:1]
                 for k in range(1, len(own)):
                     mark = longer(mark, own[k : k + 1])
                 out.append(mark)
-            yield pa.record_batch([pa.array(np.concatenate(out or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], names=["h"])
 
-    often = counts.where(F.col("k") < longest).groupBy("lang", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return BitFilter(often.select("lang", "phrase").mapInArrow(run, "h bigint"), "h", bits)
+    return phrases.select("lang", "phrase").mapInArrow(run, "h bigint")
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 3, least: int = 10, shards: int = SHARDS) -> DataFrame:
     """``(lang, k, phrase, f)``: complete counts of all words, and of all phrases of 2 to ``longest`` words found ``least`` times or more.
 
     The corpus is dealt into shards that are scanned in turn, again and again.
-    After each scan the phrases that have reached the threshold so far activate
+    After each scan the phrases that have surely reached the threshold activate
     the phrases that are one word longer; a scan counts what is active and was
     not when the same shard was scanned before.  So each phrase is counted once
-    in each shard, whenever it became active, and the scans end when every shard
-    has been scanned with all that is active.
-
-    Which phrases have reached the threshold is told to the tasks by a bit
-    filter that only ever gains bits.  A chance hit makes a phrase active that
-    need not be; it is then counted like the others.
+    in each shard, whenever it became active.  When every shard has been scanned
+    with all that is active, the counts of the next length are complete: they
+    are added up, and those phrases that reach the threshold only over many
+    tasks become active as well.
+
+    The first scans also count all pairs of words by buckets, so that pairs whose
+    bucket never reaches the threshold, nearly all rare ones, are not written
+    out.  Between two scans longer phrases count by single tasks; the rest is
+    added up once.
+
+    What is active is told to the tasks by bits that are only ever gained.  A
+    chance hit makes a phrase active that need not be; it is then counted like
+    the others.
     """
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
     docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
-    ).write.partitionBy("shard").parquet(f"{folder}/texts")
+    ).write.partitionBy("shard").option("compression", "zstd").parquet(f"{folder}/texts")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
-    schema = "lang string, k int, phrase string, c bigint, step int"
-    bits, active, seen, step = 0, None, {}, 0
-    while True:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    active = Active(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_BIT))))), least)
+    schema = "lang string, k int, phrase string, b int, c bigint, step int"
+    seen: dict[int, Active] = {}
+    totals: list[DataFrame] = []
+    step = 0
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+
+    while len(totals) < longest:
         shard = step % shards
-        if shard in seen and seen[shard] is active:
-            if all(s is active for s in seen.values()):
-                break
-        else:
+        if seen.get(shard) is not active:
             rows = texts.where(F.col("shard") == shard).select("lang", "text")
-            _scanned(rows, longest, seen.get(shard), active, shard not in seen).write.parquet(f"{folder}/counts/step={step}")
+            scanned = _scanned(rows, longest, seen.get(shard), active, shard not in seen)
+            scanned.write.option("compression", "zstd").parquet(f"{folder}/counts/step={step}")
             seen[shard] = active
             counts = spark.read.schema(schema).parquet(f"{folder}/counts")
-            if not bits:
-                words = shards * (counts.where("k = 1").agg(F.sum("c")).first()[0] or 0)
-                bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, words / WORDS_A_BIT)))))
-            now = _filter(counts, longest, least, bits)
-            if active is None or (now.words != active.words).any():
-                active = now
+            # What this scan alone shows to have reached the threshold.
+            firm = counts.where((F.col("step") == step) & (F.col("c") >= least))
+            marks = _hashed(firm.where((F.col("k") > 0) & (F.col("k") < longest)))
+            if step < shards:
+                marks = marks.union(_hashed(added(counts.where("k = 1")).where(F.col("f") >= least)))
+            buckets = None
+            if step < shards - 1:
+                buckets = firm.where("k = 0")
+            elif step == shards - 1:
+                buckets = counts.where("k = 0").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            active = active.with_more(marks, buckets)
         step += 1
-    return written(counts.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f")).where((F.col("k") == 1) | (F.col("f") >= least)))
+        if len(seen) == shards and all(f is active for f in seen.values()):
+            k = len(totals) + 1
+            complete = added(counts.where(F.col("k") == k))
+            totals.append(written(complete if k == 1 else complete.where(F.col("f") >= least)))
+            if k < longest:
+                active = active.with_more(_hashed(totals[-1].where(F.col("f") >= least)), None)
+    return reduce(DataFrame.unionByName, totals)
 
 
 def collocations(

@@ -9,8 +9,8 @@ from plumbline.llm.vectors import clean, ranked, search_blocks
 
 #: Hash tables, buckets probed over all tables as a share of all buckets, and candidates at least.
 TABLES = 32
-PROBES = 0.014
-LEAST = 2048
+PROBES = 0.02
+LEAST = 256
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:

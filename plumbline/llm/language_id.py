@@ -20,6 +20,8 @@ MOST_LANGUAGES = 1000
 _OWN = 4096
 _SYMBOLS = 2 * _OWN
 _SLICE = 1 << 20
+#: Trigrams whose vectors are held at once, 5 KB each.
+MOST_KINDS = 1 << 14
 
 
 @cache
@@ -44,7 +46,13 @@ def bound(grams: np.ndarray, width: int) -> np.ndarray:
     letters = _letters(width)
     first, rest = np.divmod(grams, _SYMBOLS * _SYMBOLS)
     second, third = np.divmod(rest, _SYMBOLS)
-    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
+    # Only the vectors that are used are rotated, by slices of the columns.
+    out = letters[third]
+    for chosen, turn in ((second, 1), (first, 2)):
+        own = letters[chosen]
+        out[:, turn:] *= own[:, :-turn]
+        out[:, :turn] *= own[:, -turn:]
+    return out
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +96,13 @@ class Profiles:
         width = self.vectors.shape[1]
         both, counts = np.unique((whose << 40) | gram, return_counts=True)
         kinds, at = np.unique(both & ((1 << 40) - 1), return_inverse=True)
-        vectors = bound(kinds, width).astype(np.float32)
+        if len(kinds) > MOST_KINDS and len(texts) > 1:
+            # Fewer texts at once, so that the vectors of their trigrams stay few.
+            half = len(texts) // 2
+            (left, a), (right, b) = self.predict(texts[:half]), self.predict(texts[half:])
+            return left + right, np.concatenate([a, b])
+        # A single text may have any number of trigrams: their vectors are made where they are summed.
+        vectors = bound(kinds, width).astype(np.float32) if len(kinds) <= MOST_KINDS else None
         counts, whose = counts.astype(np.float32), both >> 40
         edges = np.searchsorted(whose, np.arange(len(texts) + 1))
         step = 4096
@@ -96,7 +110,8 @@ class Profiles:
             bundle = np.zeros(width)
             for a in range(edges[k], edges[k + 1], step):
                 part = slice(a, min(a + step, edges[k + 1]))
-                bundle += counts[part] @ vectors[at[part]]
+                own = bound(kinds[at[part]], width).astype(np.float32) if vectors is None else vectors[at[part]]
+                bundle += counts[part] @ own
             length = np.sqrt(bundle @ bundle)
             cosines = self.vectors @ bundle / length if length else np.zeros(len(self.names))
             best = int(cosines.argmax())

@@ -1,4 +1,4 @@
-"""Texts whose sets of word shingles are similar by Jaccard, all of them, by prefixes in order of rarity."""
+"""Texts whose sets of word shingles are similar by Jaccard, all of them: SimHash first, then prefixes in order of rarity."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.durable import stored
 from plumbline.llm.batches import raw_texts, slices
-from plumbline.llm.simhash import shingles
+from plumbline.llm.simhash import links as simhash_links, majority, shingles
 from plumbline.llm.tables import BitFilter, written
 from plumbline.llm.union import components
 
@@ -21,14 +22,38 @@ SAMPLE = 1 << 14
 FREQUENT = 1 << 19
 #: Pairs per key row below which all pairs of unlinked texts are compared at once.
 AT_ONCE = 8
-_SEEN = 1 << 20
+_SEEN = 1 << 18
 
 
 def _sets(part: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
     """Position, set of shingles in order of their hashes, and 64-bit node of each text; equal sets are one node."""
     for k, text in enumerate(raw_texts(part.column("text"))):
         own = np.unique(shingles(text, width))
-        yield k, own, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+        yield k, own, _node(own)
+
+
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def parities(own: np.ndarray) -> bytes:
+    """For each of about as many bits as there are shingles, whether an odd number of them falls on it."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def surely_apart(one: bytes, other: bytes, sizes: int, similarity: float) -> bool:
+    """Whether two sets of ``sizes`` shingles together are less similar for certain.
+
+    A bit on which the parities differ takes a shingle that only one set has,
+    and so many are too many from ``sizes * (1 - s) / (1 + s)`` on.  The longer
+    row of bits is folded to the shorter.
+    """
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(folded ^ y).sum()) > sizes * (1 - similarity) / (1 + similarity) + 1e-9
 
 
 class Order:
@@ -66,11 +91,21 @@ def _listed(docs: DataFrame, width: int, order: Order | None, similarity: float)
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, node, mark)``: the node of each text and its SimHash over all shingles, repeats included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.record_batch([part.column("doc_id"), pa.array([node for _, _, node in _sets(part, width)], pa.int64())], names=["doc_id", "node"])
+            nodes, marks = [], []
+            for text in raw_texts(part.column("text")):
+                hashes = shingles(text, width)
+                nodes.append(_node(np.unique(hashes)))
+                marks.append(majority(hashes))
+            yield pa.record_batch(
+                [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(marks, dtype=np.uint64).view(np.int64))],
+                names=["doc_id", "node", "mark"],
+            )
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, mark bigint")
 
 
 def _order(docs: DataFrame, rows: int, width: int) -> Order:
@@ -81,7 +116,7 @@ def _order(docs: DataFrame, rows: int, width: int) -> Order:
 
 
 def _held(docs: DataFrame, order: Order, shared: BitFilter, width: int, similarity: float) -> DataFrame:
-    """``(node, marks, own)``: the shared shingles of the prefix and all shingles of texts that have such, once per task and node, about."""
+    """``(node, n, bits, marks)``: size, parities and shared prefix of the texts that have such, once per node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,43 +130,112 @@ def _held(docs: DataFrame, order: Order, shared: BitFilter, width: int, similari
                     marks = order.prefix(own, similarity)
                     marks = marks[shared.holds(marks)]
                     if len(marks):
-                        rows.append((node, marks.view(np.int64), own.view(np.int64)))
-            nodes, marks, owns = list(zip(*rows)) or [()] * 3
-            kind = pa.list_(pa.int64())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(marks, kind), pa.array(owns, kind)], names=["node", "marks", "own"])
+                        rows.append((node, len(own), parities(own), marks.view(np.int64)))
+            nodes, sizes, bits, marks = list(zip(*rows)) or [()] * 4
+            yield pa.record_batch(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                names=["node", "n", "bits", "marks"],
+            )
+
+    return docs.mapInArrow(run, "node bigint, n int, bits binary, marks array<bigint>").dropDuplicates(["node"])
+
+
+class Texts:
+    """The texts of a few nodes, fetched when they are compared."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame, width: int):
+        # ``known`` has a row ``(node, low)`` per node, with the smallest document that bears it.
+        self.docs, self.known, self.width = docs, known, width
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """``(node, zipped)``: one text per node, compressed; only documents that may bear a node are read out."""
+        # The hash of a null id finds the documents without one.
+        wanted = written(nodes.join(self.known, "node").select("node", F.xxhash64("low").alias("h")))
+        asked, width = BitFilter(wanted, "h"), self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = zstandard.ZstdCompressor(level=1)
+            for batch in batches:
+                some = batch.filter(pa.array(asked.holds(batch.column("h").to_numpy())))
+                for part in slices(iter([some]), "text"):
+                    nodes_ = pa.array([node for _, _, node in _sets(part, width)], pa.int64())
+                    zipped = pa.array([codec.compress(t) for t in raw_texts(part.column("text"))], pa.binary())
+                    yield pa.record_batch([part.column("h"), nodes_, zipped], names=["h", "node", "zipped"])
+
+        own = self.docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "h bigint, node bigint, zipped binary")
+        return own.join(wanted, ["h", "node"]).dropDuplicates(["node"]).select("node", "zipped")
+
+    def similar(self, pairs: DataFrame, similarity: float) -> DataFrame:
+        """The pairs ``(a, b)`` whose sets reach the similarity."""
+        pairs, width = written(pairs), self.width
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = written(self.of(nodes))
+        sides = [texts.select(F.col("node").alias(c), F.col("zipped").alias(f"text_{c}")) for c in "ab"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = zstandard.ZstdDecompressor()
+            last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+
+            def shingled(zipped: pa.Scalar) -> np.ndarray:
+                return np.unique(shingles(codec.decompress(zipped.as_py()), width))
+
+            for part in batches:
+                keep = np.zeros(part.num_rows, dtype=bool)
+                for k, (a, _) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
+                    # Rows come sorted by one side, so its set is made once.
+                    if last[0] != a:
+                        last = (a, shingled(part.column("text_a")[k]))
+                    x, y = last[1], shingled(part.column("text_b")[k])
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+        both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _perhaps(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and parities do not rule out."""
+    sides = [held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
 
-    return docs.mapInArrow(run, "node bigint, marks array<bigint>, own array<bigint>").dropDuplicates(["node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            columns = [part.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+            sizes = part.column("n_a").to_numpy().astype(np.int64) + part.column("n_b").to_numpy()
+            keep = [not surely_apart(x, y, s, similarity) for x, y, s in zip(*columns, sizes.tolist())]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    near = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(near).mapInArrow(run, "a bigint, b bigint")
 
-def _similar(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the similarity."""
-    sets = [held.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            (left, i), (right, j) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (part.column("own_a"), part.column("own_b")))
-            keep = np.zeros(part.num_rows, dtype=bool)
-            for k in range(part.num_rows):
-                x, y = left[i[k] : i[k + 1]], right[j[k] : j[k + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+def _by_simhash(known: DataFrame, texts: Texts, similarity: float) -> DataFrame:
+    """``(a, b)``: nodes whose SimHashes are linked in vantage-point trees and whose sets reach the similarity.
 
-    return pairs.join(sets[0], "a").join(sets[1], "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a bigint, b bigint")
+    Each node is compared with one of its group, so a large group costs no square.
+    """
+    marks = written(known.groupBy("mark").agg(F.min("node").alias("first")))
+    roots = components(simhash_links(marks.select("mark"))).withColumnsRenamed({"node": "mark"})
+    grouped = known.join(roots, "mark", "left").select("node", F.coalesce("root", "mark").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("node").alias("a"))
+    pairs = grouped.join(first, "root").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
+    return texts.similar(pairs, similarity)
 
 
-def _links(held: DataFrame, similarity: float) -> DataFrame | None:
-    """``(node, root)`` of all nodes linked by pairs that reach the similarity.
+def _links(held: DataFrame, texts: Texts, found: DataFrame, similarity: float) -> DataFrame | None:
+    """``(node, root)`` of all nodes linked by pairs that reach the similarity, of which ``found`` are known.
 
     Texts that share a key are first compared with one text of the largest
     group linked so far, while that links anything; then all pairs that are
     still in different groups are compared.  So a key of many near copies
     costs no square of them, and no pair is left out.
     """
-    keys = held.select("node", F.size("own").alias("n"), F.explode("marks").alias("mark"))
+    keys = held.select("node", "n", F.explode("marks").alias("mark"))
     real = keys.groupBy("mark").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("mark")
     keys = written(keys.join(real, "mark"))
-    total, edges, roots, linked, turn = keys.count(), None, None, 0, 0
+    edges = stored(found)
+    total, linked, turn = keys.count(), edges.count(), 0
+    roots = stored(components(edges)) if linked else None
     while total:
         if roots is None:
             members = keys.withColumn("root", F.col("node"))
@@ -151,9 +255,9 @@ def _links(held: DataFrame, similarity: float) -> DataFrame | None:
             rest = rest.drop("other", "m").join(others, "mark").where(F.col("root") != F.col("apart"))
         near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
         pairs = rest.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        found = stored(_similar(pairs, held, similarity))
-        linked = found.count()
-        edges = found if edges is None else edges.union(found)
+        new = stored(texts.similar(_perhaps(pairs, held, similarity), similarity))
+        linked = new.count()
+        edges = edges.union(new)
         if linked:
             roots = stored(components(edges))
         if last:
@@ -168,21 +272,25 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Texts link if the Jaccard coefficient of their sets of ``width``-word
     shingles is ``similarity`` or more; letters A to Z count as small ones.  A
     text of fewer words is one shingle; null and blank texts have none and are
-    alike.  Every pair is found: shingles and sets are told apart by 64-bit
-    hashes, and links are confirmed on the whole sets.  Repeated rows give
-    repeated results; an empty table gives none; other columns play no part.
+    alike.  SimHashes of the shingles, joined by vantage-point trees, find most
+    links; a prefix filter then finds every other pair.  Shingles and sets are
+    told apart by 64-bit hashes, and links are confirmed on the whole sets.
+    Repeated rows give repeated results; an empty table gives none; other
+    columns play no part.
     """
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stored(_nodes(narrow, width))
+    known = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark")))
+    texts = Texts(narrow, known.select("node", "low"), width)
+    found = _by_simhash(known, texts, similarity)
     order = _order(narrow, rows.count(), width)
     several = _listed(narrow, width, order, similarity).groupBy("mark").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = BitFilter(several.where("low < high"), "mark")
-    roots = _links(written(_held(narrow, order, shared, width, similarity)), similarity)
-    known = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
+    roots = _links(written(_held(narrow, order, shared, width, similarity)), texts, found, similarity)
     if roots is None:
         named = known.select("node", F.col("low").alias("component_id"))
     else:
-        known = known.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-        lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
-        named = known.join(lowest, "root").select("node", "component_id")
+        joined = known.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+        lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+        named = joined.join(lowest, "root").select("node", "component_id")
     return rows.join(named, "node").select("doc_id", "component_id")

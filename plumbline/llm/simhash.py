@@ -40,7 +40,11 @@ def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """64 majority bits over the hashes of all word shingles, repeats included; 0 without words."""
-    hashes = shingles(text, width, seed)
+    return majority(shingles(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 1 << 16):

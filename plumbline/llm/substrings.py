@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.batches import powers, raw_texts, slices
+from plumbline.llm.batches import powers, raw_texts, single_blanks, slices
 from plumbline.llm.fm_index import FMIndex, Minima, matching_owners
-from plumbline.llm.tables import BitFilter, written
+from plumbline.llm.tables import BitFilter, bits_for, written
 
 WINDOW = 13
 #: Words whose smallest hash in a window decides where the window is looked up.
@@ -34,7 +35,7 @@ class Words:
     """
 
     def __init__(self, text: bytes, anchor: int):
-        self.line = b" ".join(text.split())
+        self.line = single_blanks(text)
         raw = np.frombuffer(self.line, dtype=np.uint8)
         blanks = np.flatnonzero(raw == 32)
         self.begin = np.concatenate([[0], blanks + 1])
@@ -159,27 +160,43 @@ def _shared_segments(docs: DataFrame, firsts: BitFilter, shared: BitFilter, wind
     windows, and ``words`` are filled once per task for each distinct segment.
     """
 
+    digest = xxhash.xxh3_128_digest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for part in slices(batches, "text"):
-            out: list[tuple] = []
             if len(seen) > _SEEN:
                 seen.clear()
-            for doc, text in zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text"))):
+            owner, starts, sizes, marks = ([np.zeros(0, np.int64)] for _ in range(4))
+            keys: list[bytes] = []
+            lines: list[bytes | None] = []
+            for k, (doc, text) in enumerate(zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text")))):
                 words, first, n, mark = _first_segments(doc, text, firsts, window, anchor)
-                held = np.nonzero(shared.holds(mark))[0] if len(mark) else ()
-                for a, k, m in zip(first[held].tolist(), n[held].tolist(), mark[held].view(np.int64).tolist()) if len(held) else ():
-                    line = words.slice(a, a + k + window - 2)
-                    key = xxhash.xxh3_128_digest(line)
-                    row = (doc, a, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
+                held = np.flatnonzero(shared.holds(mark)) if len(mark) else ()
+                if not len(held):
+                    continue
+                first, n = first[held], n[held]
+                for column, values in zip((owner, starts, sizes, marks), (np.full(len(held), k), first, n, mark[held].view(np.int64))):
+                    column.append(values)
+                line = words.line
+                for a, b in zip(words.begin[first].tolist(), words.end[first + n + window - 2].tolist()):
+                    own = line[a:b]
+                    key = digest(own)
+                    keys.append(key)
                     if key in seen:
-                        out.append((*row, None, None, None))
+                        lines.append(None)
                     else:
                         seen.add(key)
-                        out.append((*row, m, k, line))
-            columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "k1", "k2", "mark", "n", "words"])
+                        lines.append(own)
+            both = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+            texts = pa.array(lines, pa.binary())
+            known = pa.array(np.array([x is None for x in lines], dtype=bool))
+            n_, m_ = (pc.if_else(known, pa.scalar(None, kind), pa.array(np.concatenate(c), kind)) for c, kind in ((sizes, pa.int32()), (marks, pa.int64())))
+            yield pa.record_batch(
+                [part.column("doc_id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(starts), pa.int32()),
+                 pa.array(both[:, 0]), pa.array(both[:, 1]), m_, n_, texts],
+                names=["doc_id", "start", "k1", "k2", "mark", "n", "words"],
+            )
 
     return docs.mapInArrow(run, "doc_id bigint, start int, k1 bigint, k2 bigint, mark bigint, n int, words binary")
 
@@ -279,9 +296,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     # What follows looks at chunks in the first document that holds them: the rest repeats these window by window.
     doc = F.col("doc_id")
     mixed = F.col("k1").bitwiseXOR(doc).bitwiseXOR(F.shiftleft(doc, 26)).alias("h")
-    firsts = BitFilter(judged.where("first").select(mixed), "h")
+    # A chunk has several anchors, few of which are shared.
+    bits = bits_for(judged.count())
+    firsts = BitFilter(judged.where("first").select(mixed), "h", bits)
     several = _anchor_rows(docs, firsts, window, anchor).groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = BitFilter(several.where("low < high"), "mark")
+    shared = BitFilter(several.where("low < high"), "mark", bits)
     segments = written(_shared_segments(docs, firsts, shared, window, anchor))
     places = segments.select("doc_id", "start", "k1", "k2")
     owned = places.join(_searched(segments, window), ["k1", "k2"])
@@ -336,14 +355,15 @@ def without_repeats(
     def result(part: pa.RecordBatch, runs: list[np.ndarray | None]) -> pa.RecordBatch:
         rows, texts = [], part.column("text")
         for raw, late_, given in zip(raw_texts(texts), runs, texts.is_valid().to_pylist()):
-            words = raw.split()
-            n = len(words)
+            line = single_blanks(raw)
+            n = left = line.count(b" ") + 1 if line else 0
             if late_ is not None:
                 start, count = late_[late_.sum(axis=1) + window - 1 <= n].T
-                gone = covered(n, start, count, window)
-                words = [w for w, g in zip(words, gone.tolist()) if not g]
-            line = raw if as_is and n == len(words) else b" ".join(words)
-            rows.append((n, n - len(words), line.decode("utf-8") if given or not as_is else None))
+                words = [w for w, g in zip(line.split(b" "), covered(n, start, count, window).tolist()) if not g]
+                line, left = b" ".join(words), len(words)
+            if as_is and n == left:
+                line = raw
+            rows.append((n, n - left, line.decode("utf-8") if given or not as_is else None))
         columns = list(zip(*rows)) or [()] * 3
         kinds = [pa.int64(), pa.int64(), pa.string()]
         return pa.record_batch(

@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.durable import ensure_checkpoint_dir
 
-#: A filter has two to the power of this bits, 8 MB, whatever the data.
+#: A filter of unknown load has two to the power of this bits, 8 MB.
 FILTER_BITS = 26
+#: Bits for an entry where the load is known, and least and most powers of two: 128 KB to 64 MB.
+ENTRY_BITS = 16
+LEAST_BITS, MOST_BITS = 20, 29
+
+
+def bits_for(entries: int) -> int:
+    """The power of two of bits for so many entries; beyond the largest filter it lets more through."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, entries) * ENTRY_BITS - 1).bit_length()))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,8 +31,9 @@ def written(df: DataFrame) -> DataFrame:
 class BitFilter:
     """Which hashes may be among those it was built from; never denies one of them.
 
-    Its size is fixed, so it can be sent to every task.  With more entries it
-    lets more through, and whoever asks it must be right with any answer.
+    Its size is bounded, so it can be sent to every task.  With more entries
+    than it was sized for it lets more through, and whoever asks it must be right
+    with any answer.
     """
 
     def __init__(self, hashes: DataFrame, column: str, bits: int = FILTER_BITS):
@@ -40,6 +49,13 @@ class BitFilter:
         found = words.toArrow()
         self.words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
 
+    @classmethod
+    def of(cls, bits: int) -> BitFilter:
+        """A filter of nothing."""
+        out = cls.__new__(cls)
+        out.bits, out.words = bits, np.zeros(1 << (bits - 6), dtype=np.uint64)
+        return out
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         h, mask = hashes.view(np.uint64), np.uint64((1 << self.bits) - 1)
         out = np.ones(len(h), dtype=bool)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from plumbline.functions.durable import stored
 from plumbline.llm.batches import slices, texts_of
 from plumbline.llm.byte_bpe import DEFAULT, byte_bpe
 
@@ -102,6 +103,7 @@ def token_counts(docs: DataFrame, text: str = "text", path: str = DEFAULT) -> Da
     ``share_up_to``, the share of documents of at most this length, every
     quantile can be read off the rows.
     """
-    sums = suffix_sums(histogram(docs, text, path))
+    # Stored: the sums read it twice, and texts are encoded once.
+    sums = suffix_sums(stored(histogram(docs, text, path)))
     everything = F.col("documents_below") + F.col("documents_at_least")
     return sums.withColumn("share_up_to", (F.col("documents_below") + F.col("documents")) / everything)

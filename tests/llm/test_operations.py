@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import (
-    byte_bpe, cross_polytope, fm_index, inner_products, language_id, licences, near_copies, packing, sentence_pieces, simhash,
-    substrings, token_counts, toxicity,
+    batches, byte_bpe, cross_polytope, fm_index, inner_products, language_id, licences, near_copies, packing, sentence_pieces, simhash,
+    substrings, tables, token_counts, toxicity,
 )
 from plumbline.llm.shipping import ship
 from plumbline.llm.union import components
@@ -318,6 +318,13 @@ def test_toxicity_held_out(spark):
     assert by_id[1000]["predicted"] == by_id[1001]["predicted"] == 0 and by_id[1002]["predicted"] == 1
 
 
+def test_long_labelled_texts_take_part_in_training(spark):
+    rows, labels = toxic_rows()
+    long = [(k, " ".join([t] * 300), g) if k % 10 == 1 else (k, t, g) for k, t, g in rows]
+    found = toxicity._training_rows(frame(spark, long), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 3000)
+    assert found.count() == len(rows) and found.agg(F.max(F.octet_length("buckets"))).first()[0] == 300 * 40 * 8
+
+
 def test_toxicity_without_labels(docs, none, spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.op8(docs, marks).collect()} == {0.0}
@@ -504,3 +511,71 @@ def test_pipeline_removes_copies_and_passages(spark):
         else:
             assert hashlib.sha256(b" ".join(cut[i].encode().split())).hexdigest() == digest
     assert corpus_pipeline.run(spark, SMALL).agg(F.sum("length")).first()[0] > 0
+
+
+def test_language_scores_do_not_depend_on_how_texts_are_cut(spark, docs, monkeypatch):
+    profiles = language_id.taught(docs)
+    texts = [r[1] or "" for r in awkward()] + ["漢字" * 50 + " ".join(chr(0x4E00 + k) for k in range(3000))]
+    names, scores = profiles.predict(texts)
+    monkeypatch.setattr(language_id, "MOST_KINDS", 5)
+    again, cut = profiles.predict(texts)
+    assert again == names and np.allclose(cut, scores, atol=1e-6)
+
+
+def test_near_copies_with_awkward_rows_and_a_shingle_that_many_share(spark, none):
+    draw = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    common = "this text is under a licence"
+    rows = [(k, " ".join([*draw.choices(words, k=25), common, *draw.choices(words, k=25)])) for k in range(80)]
+    rows += [(100 + k, f"{rows[k][1]} {draw.choice(words)}") for k in range(0, 80, 4)]
+    expected = jaccard_components(rows)
+    assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == expected
+    assert sum(c < i for i, c in expected) == 20
+    assert near_copies.near_copies(none).count() == 0
+    odd = [(None, rows[0][1]), (5, rows[5][1]), (5, rows[5][1]), (6, None), (7, ""), (None, None), (8, rows[5][1] + " x")]
+    found = sorted(map(tuple, near_copies.near_copies(frame(spark, odd)).collect()), key=str)
+    assert found == sorted([(None, None), (None, 6), (5, 5), (5, 5), (6, 6), (7, 6), (8, 5)], key=str)
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    draw = np.random.default_rng(5)
+    for size in (1, 3, 40, 600, 5000):
+        one = np.unique(draw.integers(0, 2**63, size).astype(np.uint64))
+        for changed in (0, 0.05, 0.1, 0.2, 0.5, 1):
+            other = np.unique(np.concatenate([one[: len(one) - int(changed * len(one))], draw.integers(0, 2**63, int(changed * len(one))).astype(np.uint64)]))
+            common = len(np.intersect1d(one, other))
+            similar = common >= 0.8 * (len(one) + len(other) - common)
+            apart = near_copies.surely_apart(near_copies.parities(one), near_copies.parities(other), len(one) + len(other), 0.8)
+            assert not (similar and apart) and (apart or size < 100 or changed < 0.2)
+
+
+def test_single_blanks_equal_splitting_and_joining():
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice("ab \t\n\r\x0b\x0c é") for _ in range(draw.randint(0, 40))).encode()
+        assert batches.single_blanks(text) == b" ".join(text.split())
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_nearest_neighbours_recall_of_the_query_itself(spark, table):
+    frame_ = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    rows = frame_.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    found = {}
+    for r in cross_polytope.op5(frame_).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i, got in found.items():
+        far = ((x - x[ids == i]) ** 2).sum(axis=1)
+        far[ids == i] = np.inf
+        hits += len(got & set(ids[np.argsort(far)[:10]].tolist()))
+    assert len(found) == (ids % 100 == 0).sum() and hits >= 0.9 * 10 * len(found)
+
+
+def test_filters_grow_with_their_entries():
+    assert [tables.bits_for(n) for n in (0, 1 << 16, 1 << 20, 1 << 40)] == [20, 20, 24, 29]
+
+
+def test_texts_are_encoded_once(docs):
+    plan = token_counts.token_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan

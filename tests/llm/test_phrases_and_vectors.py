@@ -77,8 +77,8 @@ def test_collocations(spark, monkeypatch, shards, chunk):
 
 
 def test_collocations_of_longer_phrases_with_a_crowded_filter(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "LEAST_BITS", 7)
-    monkeypatch.setattr(collocations, "MOST_BITS", 7)
+    monkeypatch.setattr(collocations, "LEAST_BITS", 8)
+    monkeypatch.setattr(collocations, "MOST_BITS", 8)
     rows = phrases()
     table = frame(spark, [(k, *r) for k, r in enumerate(rows)], DOCS)
     got = collocations.collocations(table, longest=4, least=4, top=9)

@@ -247,3 +247,23 @@ def near_duplicates(
 def op12(rows: DataFrame) -> DataFrame:
     """Links at a cosine of 0.93 and more."""
     return near_duplicates(rows)
+
+
+def sql() -> str:
+    return """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS w FROM embeddings
+        ), s AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(w) > 0
+            AND len([x FOR x IN w IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN w IF x <> 0]) > 0
+        ), e AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
+            WHERE list_cosine_similarity(a.w, b.w) >= 0.93
+        ), r AS (
+            SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+        ), c AS (
+            SELECT node, min(root) AS root FROM r GROUP BY node
+        )
+        SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, root AS component_id, vec_id = root AS kept
+        FROM v JOIN c ON c.node = v.vec_id
+    """

@@ -377,14 +377,14 @@ def sql() -> str:
         ), c AS (
             SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 10
         ), cuts AS (
-            SELECT lang, k, phrase, a, ws, at, array_to_string(ws[1:at], ' ') AS x, array_to_string(ws[at + 1:k], ' ') AS y
-            FROM c, (VALUES (1), (2)) t(at) WHERE at < k
+            SELECT lang, k, phrase, a, ws, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:k], ' ') AS y
+            FROM c, (VALUES (1), (2)) t(cut) WHERE cut < k
         ), scored AS (
             SELECT cuts.*, l.f AS l, r.f AS r,
                    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
             FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y
         ), lowest AS (
-            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
         ), inner_ AS (
             SELECT lang, phrase, max(a) AS a FROM (
                 SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3

@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_licence_scan": licences.sql(),
     "op11_phrase_collocations": collocations.sql(),
+    "op12_embedding_near_duplicates": collisions.sql(),
     "op6_top_inner_products": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w

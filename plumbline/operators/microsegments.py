@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from plumbline.functions.durable import kept
+from plumbline.functions.local import local_frame
 from plumbline.functions.rows import numbered
-from plumbline.functions.text import is_text
+from plumbline.functions.text import is_text, number_kind
 from plumbline.model import quoted
-from plumbline.operators.percentiles import column_percentiles, with_slice
+from plumbline.operators.percentiles import column_percentiles
 from plumbline.operators.profile import TYPE_BYTES, ProfileOptions, column_values, key_counts, profile_columns, type_counts
 
 # Unicode general categories and their names.
@@ -267,30 +270,53 @@ def character_classes(chars: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of an order in one slice, about.
+SLICE_STEPS = 1 << 20
+
+
 def monotonicity(df: DataFrame, order_by: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column, is it increasing or decreasing along ``order_by``?
 
     Rows with equal order are one step whose values may come in any order.  The
-    steps are cut into slices by a sketch of the order column; a window compares
-    neighbours inside a slice, and one row per slice is left to compare the
-    slices with each other.
+    steps are dealt by ranges of the order, as many as they fill; a window
+    compares neighbours inside a range, and one row per range is left to compare
+    the ranges with each other.  Order and values are compared in their own
+    kind, so longs and decimals beyond the digits of doubles are told apart.
     """
     names = [c for c in (columns or _numeric_names(df)) if c != order_by]
-    order_type = df.schema[order_by].dataType
-    point = F.col(quoted(order_by))
-    if isinstance(order_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        point = F.unix_micros(point.cast("timestamp"))
+    kinds: dict[str, list[str]] = {}
+    for c in names:
+        kinds.setdefault(number_kind(df.schema[c].dataType), []).append(c)
+    if not kinds:
+        return _trends(local_frame(df.sparkSession, [], "column_name string, up boolean, strict_up boolean, down boolean, strict_down boolean"))
+    return _trends(reduce(DataFrame.unionByName, [_ordered_columns(df, order_by, kind, own) for kind, own in kinds.items()]))
+
+
+def _trends(flags: DataFrame) -> DataFrame:
+    return flags.select(
+        "column_name",
+        F.col("up").alias("monotonic_increasing"),
+        F.col("strict_up").alias("strictly_monotonic_increasing"),
+        F.col("down").alias("monotonic_decreasing"),
+        F.col("strict_down").alias("strictly_monotonic_decreasing"),
+        F.when(F.col("strict_up"), 2).when(F.col("up"), 1)
+        .when(F.col("strict_down"), -2).when(F.col("down"), -1).otherwise(0).alias("monotonic_trend"),
+    )
+
+
+def _ordered_columns(df: DataFrame, order_by: str, kind: str, names: Sequence[str]) -> DataFrame:
+    """``(column_name, up, strict_up, down, strict_down)`` of columns of one kind."""
     values = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("double").alias("v"))
-        for c in names
+        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast(kind).alias("v")) for c in names
     ])
-    steps = (
-        df.select(point.cast("double").alias("o"), F.inline(values))
+    steps = kept(
+        df.select(F.col(quoted(order_by)).alias("o"), F.inline(values))
         .where(F.col("v").isNotNull() & F.col("o").isNotNull())
         .groupBy("column_name", "o")
         .agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    sliced = with_slice(steps, F.col("o"), df.select(point.cast("double").alias("o")), "slice")
+    slices = max(1, math.ceil(steps.count() / SLICE_STEPS))
+    sliced = steps.repartitionByRange(slices, "column_name", "o").withColumn("slice", F.spark_partition_id())
     inside = Window.partitionBy("column_name", "slice").orderBy("o")
     pairs = sliced.withColumns({
         "prev_low": F.lag("low").over(inside), "prev_high": F.lag("high").over(inside),
@@ -302,25 +328,15 @@ def monotonicity(df: DataFrame, order_by: str, columns: Sequence[str] | None = N
     )
     across = Window.partitionBy("column_name").orderBy("slice")
     linked = ends.withColumn("before", F.lag("last").over(across))
-    flags = ("up", "strict_up", "down", "strict_down")
     jump = {
         "up": F.col("before.high") <= F.col("first.low"),
         "strict_up": F.col("before.high") < F.col("first.low"),
         "down": F.col("before.low") >= F.col("first.high"),
         "strict_down": F.col("before.low") > F.col("first.high"),
     }
-    result = linked.groupBy("column_name").agg(*[
-        F.bool_and(F.col("flags")[f] & F.coalesce(jump[f], F.lit(True))).alias(f) for f in flags
+    return linked.groupBy("column_name").agg(*[
+        F.bool_and(F.col("flags")[f] & F.coalesce(test, F.lit(True))).alias(f) for f, test in jump.items()
     ])
-    return result.select(
-        "column_name",
-        F.col("up").alias("monotonic_increasing"),
-        F.col("strict_up").alias("strictly_monotonic_increasing"),
-        F.col("down").alias("monotonic_decreasing"),
-        F.col("strict_down").alias("strictly_monotonic_decreasing"),
-        F.when(F.col("strict_up"), 2).when(F.col("up"), 1)
-        .when(F.col("strict_down"), -2).when(F.col("down"), -1).otherwise(0).alias("monotonic_trend"),
-    )
 
 
 def _ordered_flags(prev_low: Column, prev_high: Column, low: Column, high: Column, n: Column) -> Column:

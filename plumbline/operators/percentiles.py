@@ -1,4 +1,4 @@
-"""Exact percentiles of any number of columns, and order slices of columns too large for one task."""
+"""Exact percentiles of any number of columns."""
 
 from __future__ import annotations
 
@@ -127,20 +127,3 @@ def column_percentiles(df: DataFrame, values: Mapping[str, Column], probabilitie
 def exact_percentiles(df: DataFrame, value: Column, probabilities: Sequence[float]) -> DataFrame:
     """Interpolated percentiles of one column as rows ``(probability, value)``."""
     return column_percentiles(df, {"v": value}, probabilities).select("probability", "value")
-
-
-def with_slice(df: DataFrame, value: Column, source: DataFrame, name: str) -> DataFrame:
-    """Number the rows by slice of a value's range, slices being of similar size.
-
-    Bounds come from a sketch over ``source`` (one column).  A row finds its
-    slice by binary search, one comparison per step.
-    """
-    steps = 8
-    marks = [i / 2**steps for i in range(1, 2**steps)]
-    column = F.col(source.columns[0])
-    bounds = source.agg(F.percentile_approx(column, marks, 10_000)).scalar()
-    sliced = df.withColumn("_bounds", bounds).withColumn(name, F.lit(0))
-    for k in reversed(range(steps)):
-        probe = F.try_element_at("_bounds", F.col(name) + F.lit(1 << k))
-        sliced = sliced.withColumn(name, F.col(name) + F.when(probe < value, 1 << k).otherwise(0))
-    return sliced.drop("_bounds")

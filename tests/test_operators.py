@@ -113,6 +113,18 @@ def test_monotonicity_across_slices(spark):
     assert got == {"up": 2, "broken": 0}
 
 
+def test_monotonicity_in_the_columns_own_kind(spark, monkeypatch):
+    monkeypatch.setattr(seg, "SLICE_STEPS", 40)
+    frame = spark.range(200).select(
+        (F.col("id") + 2**60).alias("o"), (F.col("id") + 2**60).alias("longs"), F.expr("cast(id as decimal(38,0)) + cast('1e37' as decimal(38,0))").alias("wide"),
+        F.when(F.col("id") == 150, 2**60 - 1).otherwise(F.col("id") + 2**60).alias("broken"), (-F.col("id") / 7).alias("falls"))
+    got = {r["column_name"]: r["monotonic_trend"] for r in seg.monotonicity(frame, "o").collect()}
+    assert got == {"longs": 2, "wide": 2, "broken": 0, "falls": -2}
+    dated = spark.sql("select date_add(date'2024-01-01', cast(id as int)) as d, id % 2 as v from range(10)")
+    assert seg.monotonicity(dated, "d").first()["monotonic_trend"] == 0
+    assert seg.monotonicity(dated.select("d"), "d").count() == 0
+
+
 def chi_square(table: pd.DataFrame) -> float:
     observed = table.to_numpy(dtype=float)
     expected = np.outer(observed.sum(1), observed.sum(0)) / observed.sum()

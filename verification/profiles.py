@@ -210,26 +210,29 @@ def top_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report_sql(c: str, label: str) -> str:
-    number = label == "Numeric"
+    number, total = label == "Numeric", "(count(*)::DOUBLE)"
     return f"""
+    SELECT * EXCLUDE (kind, total_count, non_null_count), nullif({_ALERT}, 'OK') AS column_alert FROM (
     SELECT '{c}' AS column_name, '{label}' AS data_type, count(DISTINCT {c}) AS distinct_count,
            round(count(DISTINCT {c})::DOUBLE / count({c}), 6) AS distinct_share,
            (SELECT count(*) FROM (SELECT {c} FROM labelled WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1)) AS unique_count,
+           round((SELECT count(*) FROM (SELECT {c} FROM labelled WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) = 1))::DOUBLE / count({c}), 6) AS unique_share,
            count(*) - count({c}) AS missing_count, round((count(*) - count({c}))::DOUBLE / count(*), 6) AS missing_share,
            {f"count(*) FILTER (WHERE {c} = 0)" if number else "0::BIGINT"} AS zero_count,
+           {f"round(count(*) FILTER (WHERE {c} = 0) / {total}, 6)" if number else "0.0::DOUBLE"} AS zero_share,
            {f"round(avg({c}), 4)" if number else "NULL::DOUBLE"} AS mean_value, {f"round(stddev_samp({c}), 4)" if number else "NULL::DOUBLE"} AS std_dev,
-           {f"sum({c})::DOUBLE" if number else "NULL::DOUBLE"} AS sum_value
-    FROM labelled"""
+           min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value, {f"sum({c})::DOUBLE" if number else "NULL::DOUBLE"} AS sum_value,
+           '{"numeric" if number else "text"}' AS kind, count(*) AS total_count, count({c}) AS non_null_count
+    FROM labelled)"""
 
 
 @query("p6_report_profile", with_fixtures("\nUNION ALL\n".join(_report_sql(c, k) for c, k in {
     "doc_id": "Numeric", "lang": "Categorical", "source": "Categorical", "n_chars": "Numeric", "quality": "Numeric", "toxic": "Numeric"}.items()), "labelled"))
 def report_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = prof.report_profile(frame(spark, sf_dir, "labelled"))
-    return _rounded(_rounded(report, "mean_value", "std_dev"), "distinct_share", "missing_share", digits=6).select(
-        "column_name", "data_type", "distinct_count", "distinct_share", "unique_count", "missing_count", "missing_share",
-        "zero_count", "mean_value", "std_dev", "sum_value",
-    )
+    rounded = _rounded(_rounded(report, "mean_value", "std_dev"), "distinct_share", "unique_share", "missing_share", "zero_share", digits=6)
+    # Bytes of texts are an estimate from their mean length.
+    return rounded.drop("column_id", "memory_size_bytes")
 
 
 @query("p7_inferred_types", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from plumbline import Dataset, Rule, run_suite
 from plumbline.operators import capture
-from plumbline.plans import pivot, reports
+from plumbline.plans import execution, pivot, reports
 from plumbline.plans.suite import rules_from
 from plumbline.sources.datasets import query_dataset, table_dataset
 from plumbline.sources.reference_csv import export_csv, read_reference_csv, rejected_rows
@@ -119,3 +119,60 @@ def test_stream_validates_each_row_once(spark, tmp_path):
     results = spark.read.parquet(out).orderBy("dataset_run_id").collect()
     assert [(r["element_count"], r["unexpected_count"]) for r in results] == [(2, 1), (3, 2)]
     assert spark.read.parquet(str(tmp_path / "failed")).select(F.sum("id")).first()[0] == 9
+
+
+def configured(spark, kwargs="{}"):
+    name = V + "not_be_null"
+    config = spark.createDataFrame([(3, "t", "TABLE", "given", True, "ts", '{"primary_key": ["id"]}')],
+        "dataset_id long, dataset_name string, dataset_type string, table_name string, is_incremental boolean, incr_date_column_1 string, primary_key_columns string")
+    rules = spark.createDataFrame([(1, 1, "v", kwargs, 3, True, "SQL", "Validity", name)],
+        "rule_config_id long, expectation_id long, column_name string, kwargs string, dataset_id int, is_active boolean, dq_engine string, dimension string, expectation_name string")
+    master = spark.createDataFrame([(1, "NULL_CHECK", "Completeness", "ROW", name)], "expectation_id long, check_type string, dimension string, check_level string, validation_name string")
+    return config, rules, master, spark.createDataFrame([(name, name, True)], "expectation_type string, handler string, is_active boolean")
+
+
+def stamped(spark, rows):
+    return spark.createDataFrame(rows, "id int, v string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_a_run_that_fails_half_way_leaves_nothing_and_a_repeated_one_replaces(spark, tmp_path, monkeypatch):
+    tables = {"given": stamped(spark, [(1, "a", "2024-01-01"), (2, None, "2024-01-02"), (3, None, None)])}
+
+    def run(run_id):
+        return execution.execute_dataset(spark, *configured(spark), 3, run_id=run_id, target=str(tmp_path), tables=tables)
+
+    first = run(1)
+    before = {p: sorted(map(str, first.read(p).drop("run_timestamp", "load_timestamp", "failure_file", "created_timestamp", "run_time", "start_timestamp", "end_timestamp").collect()))
+              for p in ("results", "failed_rows", "failed_keys", "run_log", "audit")}
+    assert first.read("results").first()["element_count"] == 3 and first.read("failed_rows").count() == 2
+
+    plain = execution.sinks.append
+
+    def failing(df, target, **kwargs):
+        if target.endswith("dq_rule_audit_log"):
+            raise RuntimeError("lost")
+        plain(df, target, **kwargs)
+
+    monkeypatch.setattr(execution.sinks, "append", failing)
+    with pytest.raises(RuntimeError):
+        run(2)
+    monkeypatch.setattr(execution.sinks, "append", plain)
+    assert {r["dataset_run_id"] for r in first.read("results").collect()} == {1}
+    again = run(1)
+    for part, rows in before.items():
+        shown = again.read(part).drop("run_timestamp", "load_timestamp", "failure_file", "created_timestamp", "run_time", "start_timestamp", "end_timestamp")
+        assert sorted(map(str, shown.collect())) == rows, part
+    assert execution.manifest(spark, str(tmp_path)).count() == 2
+
+
+def test_increments_end_where_they_were_read(spark, tmp_path):
+    early = [(1, "a", "2024-01-01"), (2, None, "2024-01-02"), (9, None, None)]
+    dataset = execution.configured_dataset(spark, configured(spark)[0], 3, {"given": stamped(spark, early)})
+    assert str(dataset.validate_until) == "2024-01-02 00:00:00"
+    late = dataset.with_frame(stamped(spark, [*early, (3, "b", "2024-01-03")]))
+    assert sorted(r["id"] for r in late.increment().collect()) == [1, 2, 9]
+    out = execution.execute_dataset(spark, *configured(spark), 3, run_id=1, target=str(tmp_path), tables={"given": stamped(spark, early)})
+    after = execution.configured_dataset(spark, configured(spark)[0], 3, {"given": late.frame}, out.read("run_log"), 2)
+    assert [r["id"] for r in after.increment().collect()] == [3]
+    same = execution.configured_dataset(spark, configured(spark)[0], 3, {"given": late.frame}, out.read("run_log"), 1)
+    assert same.last_validated is None

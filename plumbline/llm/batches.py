@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,31 @@ def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows, so that what is derived from a slice stays bounded."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    """The batches cut by rows, so that what is derived from a slice stays bounded.
+
+    Workers outlive their tasks, so what the slices took is given back at the end.
+    """
+    try:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def raw_texts(array: pa.Array) -> list[bytes]:

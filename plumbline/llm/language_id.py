@@ -21,7 +21,7 @@ _OWN = 4096
 _SYMBOLS = 2 * _OWN
 _SLICE = 1 << 20
 #: Trigrams whose vectors are held at once, 5 KB each.
-MOST_KINDS = 1 << 14
+MOST_KINDS = 1 << 13
 
 
 @cache

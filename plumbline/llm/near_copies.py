@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.durable import stored
 from plumbline.llm.batches import raw_texts, slices
 from plumbline.llm.simhash import links as simhash_links, majority, shingles
-from plumbline.llm.tables import BitFilter, written
+from plumbline.llm.tables import BitFilter, bits_for, written
 from plumbline.llm.union import components
 
 #: Texts, about, from which frequent shingles are learned, and how many of these are sent to the tasks at most.
@@ -151,7 +151,7 @@ class Texts:
         """``(node, zipped)``: one text per node, compressed; only documents that may bear a node are read out."""
         # The hash of a null id finds the documents without one.
         wanted = written(nodes.join(self.known, "node").select("node", F.xxhash64("low").alias("h")))
-        asked, width = BitFilter(wanted, "h"), self.width
+        asked, width = BitFilter(wanted, "h", bits_for(wanted.count())), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = zstandard.ZstdCompressor(level=1)

@@ -240,9 +240,9 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     the phrases that are one word longer; a scan counts what is active and was
     not when the same shard was scanned before.  So each phrase is counted once
     in each shard, whenever it became active.  When every shard has been scanned
-    with all that is active, the counts of the next length are complete: they
-    are added up, and those phrases that reach the threshold only over many
-    tasks become active as well.
+    since the counts of one length were complete, those of the next are: they
+    are added up, and the phrases that reach the threshold only over many tasks
+    become active as well.
 
     The first scans also count all pairs of words by buckets, so that pairs whose
     bucket never reaches the threshold, nearly all rare ones, are not written
@@ -265,7 +265,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     schema = "lang string, k int, phrase string, b int, c bigint, step int"
     seen: dict[int, Active] = {}
     totals: list[DataFrame] = []
-    step = 0
+    step = needed = 0
 
     def added(rows: DataFrame) -> DataFrame:
         return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
@@ -278,7 +278,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
             scanned.write.option("compression", "zstd").parquet(f"{folder}/counts/step={step}")
             seen[shard] = active
             counts = spark.read.schema(schema).parquet(f"{folder}/counts")
-            # What this scan alone shows to have reached the threshold.
+            # What this scan alone shows to have reached the threshold; the last cycle activates nothing more.
             firm = counts.where((F.col("step") == step) & (F.col("c") >= least))
             marks = _hashed(firm.where((F.col("k") > 0) & (F.col("k") < longest)))
             if step < shards:
@@ -288,14 +288,17 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
                 buckets = firm.where("k = 0")
             elif step == shards - 1:
                 buckets = counts.where("k = 0").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-            active = active.with_more(marks, buckets)
+            if len(totals) < longest - 1:
+                active = active.with_more(marks, buckets)
         step += 1
-        if len(seen) == shards and all(f is active for f in seen.values()):
+        # Every shard has been scanned since the counts of the length before were complete.
+        if len(seen) == shards and all(f.turn >= needed for f in seen.values()):
             k = len(totals) + 1
             complete = added(counts.where(F.col("k") == k))
             totals.append(written(complete if k == 1 else complete.where(F.col("f") >= least)))
             if k < longest:
                 active = active.with_more(_hashed(totals[-1].where(F.col("f") >= least)), None)
+                needed = active.turn
     return reduce(DataFrame.unionByName, totals)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -9,27 +10,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.durable import stored
 from plumbline.model import quoted
 
-_BLOCK = 100_000
+#: Rows of so many copies are written out where they are; others in blocks, so many blocks to a task.
+_FEW = 16
+_BLOCK = 10_000
+_TASK_BLOCKS = 100
 
 
 def replicated(df: DataFrame, count: str, index: str) -> DataFrame:
     """Each row ``count`` times, numbered from 0 in ``index``.
 
-    Counts beyond a block are cut into blocks and spread over tasks first, so
-    no task has to emit all copies of one row.
+    Counts beyond a few are cut into blocks and dealt over a given number of
+    tasks.  The number is explicit: a row stands for a block, so Spark would see
+    next to no bytes and put all blocks into one task.
     """
     n = F.col(count)
-    small = df.where(n <= _BLOCK).withColumn(index, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-    blocks = (
-        df.where(n > _BLOCK)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(_BLOCK).cast("bigint"))))
-        .repartition("_block")
-    )
-    large = blocks.withColumn(
+    few = df.where(n <= _FEW).withColumn(index, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    many = df.where(n > _FEW)
+    blocks = df.select(n.alias("_n")).where(F.col("_n") > _FEW).agg(F.sum(F.ceil(F.col("_n") / _BLOCK))).first()[0] or 0
+    dealt = many.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(_BLOCK).cast("bigint")))
+    ).repartition(max(1, math.ceil(blocks / _TASK_BLOCKS)))
+    large = dealt.withColumn(
         index,
         F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + (_BLOCK - 1), n - 1))),
     ).drop("_block")
-    return small.unionByName(large)
+    return few.unionByName(large)
 
 
 def orderable(name: str, dtype: T.DataType) -> Column:

@@ -8,13 +8,11 @@ preview and the complete lists are DataFrames (``distinct_mismatches``,
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.durable import kept
 from plumbline.functions.local import local_frame
-from plumbline.functions.rows import orderable, replicated
+from plumbline.functions.rows import orderable
 from plumbline.functions.text import exact_value, is_blank, is_filled, literal_text, member_of, number_kind
 from plumbline.functions.verdict import fraction, ignored_rows, within_bounds
 from plumbline.model import Dataset, Rule, RuleError, quoted
@@ -57,11 +55,14 @@ def unique(ctx: Context, rule: Rule) -> Check:
     name = ctx.dataset.field(rule.target).name
 
     def failed_rows(df: DataFrame) -> DataFrame:
-        repeated = (
-            df.where(is_filled(col, dtype)).groupBy(col.alias("_key"))
-            .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
-        )
-        return df.join(repeated, F.col(quoted(name)) == F.col("_key"), "left_semi")
+        filled = df.where(is_filled(col, dtype))
+        counts = kept(filled.groupBy(col.alias("_key")).agg((F.count(F.lit(1)) > 1).alias("_repeats")))
+        size = counts.agg(F.count(F.lit(1)).alias("all"), F.count_if("_repeats").alias("repeated")).first()
+        # Most often nearly all values repeat or nearly none does; the fewer are
+        # stored by themselves, so that their size is known and rows stay where they are.
+        by_repeated = 2 * size["repeated"] <= size["all"]
+        fewer = kept(counts.where(F.col("_repeats") == F.lit(by_repeated)).select("_key"))
+        return filled.join(fewer, F.col(quoted(name)) == F.col("_key"), "left_semi" if by_repeated else "left_anti")
 
     return GroupCheck(
         keys=(col,), key_id=("column", name), aggregates=aggregates, outcome=outcome,
@@ -101,74 +102,50 @@ def compound_unique(ctx: Context, rule: Rule) -> Check:
     )
 
 
-#: A key with more than this share of all rows is dealt over salts; fewer than the inverse can have so many.
+#: Keys are counted by so many hashes; a hash with more than this share of all rows is dealt over salts.
+HASHES = 1 << 16
 HOT_SHARE = 1e-4
 SALTS = 64
 
 
 class Repeated:
-    """The rows whose key occurs more than once, no key's rows all in one task.
+    """The rows dealt by key, no key's rows all in one task.
 
-    Keys are counted first, before the shuffle, and those that repeat are kept
-    aside, usually few.  The rows of a hot key are dealt over salts, and whatever
-    is joined to them is replicated for the hot keys only.  All other keys have
-    the single salt 0.
+    Rows are counted by a hash of their key, before the shuffle.  The rows of a
+    hot hash, one that holds a hot key, are dealt over salts from 0 on; all
+    others have the salt -1, so that their key is in one place.
     """
 
     def __init__(self, df: DataFrame, names: list[str]):
-        self.keys = [f"_k{i}" for i in range(len(names))]
-        counts = df.groupBy(*[F.col(quoted(n)).alias(k) for n, k in zip(names, self.keys)]).agg(F.count(F.lit(1)).alias("_n"))
-        total = df.agg(F.count(F.lit(1))).scalar()
-        repeated = kept(counts.where("_n > 1").select(*self.keys, (F.col("_n") > total * HOT_SHARE).alias("_hot")))
-        # Fewer than 1 / HOT_SHARE keys.
-        hot = repeated.where("_hot").select(*[F.col(k).alias(f"{k}h") for k in self.keys], F.lit(True).alias("_hot_row"))
-        marked = df.join(F.broadcast(hot), self._equal([(F.col(quoted(n)), F.col(f"{k}h")) for n, k in zip(names, self.keys)]), "left")
-        salt = F.when(F.col("_hot_row"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-        salted = marked.withColumn("_salt", salt).drop("_hot_row", *[f"{k}h" for k in self.keys])
-        self.rows = self._joined(salted, [F.col(quoted(n)) for n in names], repeated.select(*self.keys, "_hot"))
-
-    @staticmethod
-    def _equal(pairs: list[tuple[Column, Column]]) -> Column:
-        return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])
-
-    def _joined(self, rows: DataFrame, columns: list[Column], facts: DataFrame) -> DataFrame:
-        """Rows with the facts of their key, which has ``_hot`` among them."""
-        salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        side = facts.withColumn("_side", F.explode(salts))
-        on = self._equal([*[(c, F.col(k)) for c, k in zip(columns, self.keys)], (F.col("_salt"), F.col("_side"))])
-        return rows.join(side, on).drop("_side")
-
-    def with_facts(self, rows: DataFrame, *facts: Column) -> DataFrame:
-        """``rows`` with aggregates over all rows of their key, combined per task and salt first."""
-        by_salt = rows.groupBy(*self.keys).agg(F.first("_hot").alias("_hot"), *facts)
-        renamed = rows.drop("_hot").withColumnsRenamed({k: f"{k}r" for k in self.keys})
-        return self._joined(renamed, [F.col(f"{k}r") for k in self.keys], by_salt)
+        self.keys = [quoted(n) for n in names]
+        hashed = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(HASHES))
+        counts = kept(df.groupBy(hashed.alias("_hash")).agg(F.count(F.lit(1)).alias("_n")))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        # Fewer than 1 / HOT_SHARE hashes.
+        hot = counts.where(F.col("_n") > total * HOT_SHARE).select("_hash", F.lit(True).alias("_hot"))
+        marked = df.withColumn("_hash", hashed).join(F.broadcast(hot), "_hash", "left").drop("_hash")
+        salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
+        self.rows = marked.withColumn("_salt", salt).drop("_hot").repartition(*[F.col(k) for k in self.keys], F.col("_salt"))
 
 
 def surplus_copies(df: DataFrame, names: list[str], order_by: tuple[str, ...] = ()) -> DataFrame:
     """Rows beyond the first of each key, first by ``order_by`` and then all columns.
 
-    A ``row_number`` window would sort every copy of a hot key in one task.  The
-    first row is a minimum instead, combined before the shuffle, and all other
-    rows follow from comparing against it.  Rows identical in every column are
-    interchangeable, so of ``n`` identical first rows ``n - 1`` are returned.
+    Rows cross one shuffle and are numbered where they land.  A hot key has a
+    first row for each of its salts; those are numbered once more.  Rows
+    identical in every column are interchangeable.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
-    order_names = list(dict.fromkeys([*order_by, *fields]))
-    order = F.struct(*[orderable(n, fields[n]).alias(f"o{i}") for i, n in enumerate(order_names)])
-    # Keys without copies, usually nearly all, leave before rows are compared.
-    repeated = Repeated(df, names)
-    copies = repeated.with_facts(repeated.rows.withColumn("_order", order), F.min("_order").alias("_first"))
-    later = copies.where(F.col("_order") > F.col("_first")).select(*[quoted(n) for n in fields])
-    tied = (
-        copies.where(F.col("_order") == F.col("_first"))
-        .groupBy("_order")
-        .agg(F.count(F.lit(1)).alias("_n"),
-             *[F.first(quoted(n)).alias(n) for n in fields])
-        .where("_n > 1")
-    )
-    surplus = replicated(tied.withColumn("_n", F.col("_n") - 1), "_n", "_copy")
-    return later.unionByName(surplus.select(*[quoted(n) for n in fields]))
+    order = [orderable(n, fields[n]) for n in dict.fromkeys([*order_by, *fields])]
+    dealt = Repeated(df, names)
+
+    def place(*parts: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*dealt.keys, *parts).orderBy(*order))
+
+    numbered = dealt.rows.withColumn("_place", place("_salt"))
+    firsts = numbered.where((F.col("_salt") >= 0) & (F.col("_place") == 1)).withColumn("_place", place())
+    surplus = numbered.unionByName(firsts).where(F.col("_place") > 1)
+    return surplus.select(*[quoted(n) for n in fields])
 
 
 def _count_check(ctx: Context, rule: Rule, value_of: object) -> Check:

@@ -336,3 +336,52 @@ def test_no_long_text_crosses_a_shuffle(spark, tmp_path):
     assert (row["distinct_count"], row["unique_count"]) == (21, 0)
     values = json.loads(row["value_counts"])
     assert values["x" * 5000 + "7"] == 3 and values["short"] == 2 and len(values) == 21
+
+
+def test_copies_of_few_rows_are_dealt_over_tasks(spark):
+    frame = spark.range(2_500_000).selectExpr("id % 2 AS v")
+    tasks = numbered(frame, ["v"], "n").groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("rows"), F.min("n"), F.max("n")).collect()
+    assert sum(r["rows"] for r in tasks) == 2_500_000 and max(r["rows"] for r in tasks) <= 1_100_000
+    assert (min(r["min(n)"] for r in tasks), max(r["max(n)"] for r in tasks)) == (1, 2_500_000)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_surplus_copies_cross_one_shuffle(spark):
+    draw = random.Random(4)
+    rows = [(draw.choice([None, *range(6)]), draw.choice([None, "a", "b"]), draw.randrange(4), draw.randrange(1000)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "k int, l string, o int, v int")
+    # 70,000 keys of one row: none of them is hot.
+    frame = frame.unionByName(spark.range(70_000).selectExpr("int(id + 10) AS k", "'c' AS l", "1 AS o", "2 AS v"))
+    out = surplus_copies(frame, ["k", "l"], ("o",))
+    assert plan_of(out).count("Exchange hashpartitioning(") <= 3 and "SortMergeJoin" not in plan_of(out)
+    expected = []
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2], r[3]))
+        expected += own[1:]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("repeats", [True, False])
+def test_rows_of_repeated_values_stay_where_they_are(spark, repeats):
+    from plumbline.plans import fusion
+    values = "int(id % 1000)" if repeats else "int(CASE WHEN id < 2 THEN -1 ELSE id END)"
+    frame = spark.range(20_000).selectExpr(f"{values} AS k", "id").union(spark.createDataFrame([(-5, -1), (None, -2), (None, -3)], "k int, id long"))
+    plan = fusion.plan_rules(fusion_context(frame), [Rule(1, "expect_column_values_to_be_unique", "k")])
+    failed = fusion.failed_rows(plan)
+    assert "SortMergeJoin" not in plan_of(failed) and "Exchange hashpartitioning(" not in plan_of(failed)
+    assert failed.count() == (20_000 if repeats else 2) and failed.where("k = -5 OR k IS NULL").count() == 0
+
+
+def fusion_context(frame):
+    from verification.runs import context_for
+    return context_for(Dataset("t", frame, primary_key=("id",)))
+
+
+def test_distinct_values_are_counted_column_by_column(spark):
+    from verification.profiles import _distinct_counts
+    frame = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (None, "b")], "k int, v string")
+    counts = _distinct_counts(frame, ["k", "v"])
+    assert {r["column_name"]: r["distinct"] for r in counts.collect()} == {"k": 2, "v": 2} and "Expand" not in plan_of(counts)

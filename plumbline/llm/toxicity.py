@@ -1,4 +1,8 @@
-"""Toxicity by a convolutional text classifier, trained in numpy."""
+"""Toxicity by a convolutional text classifier that learns from all labelled rows.
+
+Learners, each with its share of the rows, go over them in rounds; after every
+round their networks are averaged by rows.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.batches import joined, powers, slices, texts_of
-
-#: Labelled rows of either class, at most, that take part in training, each with all its words.
-TRAIN_ROWS = 3000
+from plumbline.functions.durable import stored
+from plumbline.llm.batches import give_back, joined, powers, slices, texts_of
+from plumbline.llm.tables import BitFilter, bits_for
+
+#: Rows a learner has before there is another one, and learners at most; with more rows each has more.
+LEARNER_ROWS = 2048
+LEARNERS = 16
+#: Rounds over all rows, at most and at least; in between, as many as make about equally many steps.
+ROUNDS, LEAST_ROUNDS = 20, 5
+#: Rows of the table of embeddings that are added up together.
+_BLOCK = 256
+#: Outputs are told apart to this part of a logit when they are counted.
+_LOGIT = 1024
 #: Rows of embeddings a word or its beginning is hashed to.
 BUCKETS = 1 << 22
 _SLICE = 1 << 20
@@ -66,6 +79,22 @@ class Network:
         self.out = draw.normal(0, 0.5, len(self.widths) * self.filters).astype(np.float32)
         self.shift = np.zeros(1, np.float32)
         self.scale, self.offset = 1.0, 0.0
+        self.shrunk = 1.0  # what all embeddings are to be multiplied by
+        self.first = [np.zeros_like(w) for w in self.weights()]
+        self.second = [np.zeros_like(w) for w in self.weights()]
+        self.steps = 0.0
+
+    def copy(self) -> Network:
+        """Another one that may learn by itself."""
+        out = Network.__new__(Network)
+        out.__dict__.update(self.__dict__)
+        for name in ("kernel", "bias", "first", "second"):
+            setattr(out, name, [w.copy() for w in getattr(self, name)])
+        out.out, out.shift, out.table = self.out.copy(), self.shift.copy(), self.table.copy()
+        return out
+
+    def weights(self) -> list[np.ndarray]:
+        return [*self.kernel, *self.bias, self.out, self.shift]
 
     def rows_of(self, buckets: np.ndarray) -> np.ndarray:
         """Rows of the table; a worker looks buckets up in a flat array."""
@@ -88,6 +117,8 @@ class Network:
         slots = np.zeros((len(rows) + gap * len(lengths), 2), dtype=np.int64)
         slots[np.arange(len(rows)) + gap * np.repeat(np.arange(len(lengths)), lengths)] = rows
         words = self.table[slots[:, 0]] + self.table[slots[:, 1]]
+        if self.shrunk != 1:
+            words *= np.float32(self.shrunk)
         # A window that opens after the first blank would reach into the next text.
         beyond = (begin + lengths)[:, None] + np.arange(1, gap)
         tops, where = [], []
@@ -115,65 +146,72 @@ class Network:
         raw = self.logits(self.rows_of(buckets), starts).astype(np.float64) * self.scale + self.offset
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.02, least: int = 3, steepness: float = 3.0, decay: float = 0.03) -> None:
+    def begin(self, known: np.ndarray) -> None:
+        """Start from small embeddings of the known buckets."""
+        self.known = known
+        self.table = np.random.default_rng(self.seed + 1).normal(0, 0.1, (len(known) + 1, self.size)).astype(np.float32)
+        self.table[0] = 0
+
+    def step(self, texts: list[np.ndarray], labels: np.ndarray, keep: float, rate: float = 0.02, steepness: float = 3.0) -> np.ndarray:
         """Adam for the filters, plain steps for the embeddings, so that a word moves as far as it has evidence.
 
-        Words of fewer than ``least`` texts stay unknown, or single texts would be learned by heart.
+        All embeddings are multiplied by ``keep``.  Returns the rows of the table that moved.
         """
-        each, seen_in = np.unique(np.concatenate([np.unique(t) for t in texts]), return_counts=True)
-        self.known = each[seen_in >= least]
-        start = np.random.default_rng(self.seed + 1).normal(0, 0.1, (len(self.known) + 1, self.size)).astype(np.float32)
-        start[0] = 0
-        self.table = start.copy()
-        self.__dict__.pop("_flat", None)
-        texts = [self.rows_of(t) for t in texts]
-        self.__dict__.pop("_flat")
-        weights = [*self.kernel, *self.bias, self.out, self.shift]
-        first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        draw, step = np.random.default_rng(self.seed), 0
-        for epoch in range(epochs):
-            order = draw.permutation(len(texts))
-            keep = np.float32(1 - decay * (1 - epoch / epochs))  # forgetting fades as training settles
-            for k in range(0, len(order), batch):
-                some, step = order[k : k + batch], step + 1
-                rows = np.concatenate([texts[i] for i in some])
-                starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in some])])
-                tops, where, slots, words = self.pooled(rows, starts, places=True)
-                hidden = np.maximum(tops, 0)
-                chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift[0], -40, 40)))
-                wrong = ((chance - labels[some]) / len(some)).astype(np.float32)
-                back = wrong[:, None] * self.out * (tops > 0)
-                slope_kernel, slope_bias, ids, moves = [], [], [], []
-                for n, (kernel, at) in enumerate(zip(self.kernel, where)):
-                    own = back[:, n * self.filters : (n + 1) * self.filters]
-                    slope = np.zeros_like(kernel)
-                    for j in range(len(kernel)):
-                        there = at + j
-                        slope[j] = np.einsum("nf,nfd->df", own, words[there])
-                        move = own[:, :, None] * kernel[j].T[None]
-                        for side in (0, 1):
-                            ids.append(slots[there, side].ravel()), moves.append(move.reshape(-1, self.size))
-                    slope_kernel.append(slope), slope_bias.append(own.sum(axis=0))
-                slopes = [*slope_kernel, *slope_bias, hidden.T @ wrong, wrong.sum(keepdims=True)]
-                for w, g, m, v in zip(weights, slopes, first, second):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                ids, moves = np.concatenate(ids), np.concatenate(moves)
-                touched, at = np.unique(ids, return_inverse=True)
-                slope = np.zeros((len(touched), self.size), np.float32)
-                np.add.at(slope, at, moves)
-                slope[touched == 0] = 0  # the unknown word stays
-                self.table[touched] -= steepness * slope
-                self.table *= keep
-        # What training has not held up against the decay is forgotten.
+        weights = self.weights()
+        self.steps += 1
+        rows = np.concatenate(texts)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        tops, where, slots, words = self.pooled(rows, starts, places=True)
+        hidden = np.maximum(tops, 0)
+        chance = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift[0], -40, 40)))
+        wrong = ((chance - labels) / len(labels)).astype(np.float32)
+        back = wrong[:, None] * self.out * (tops > 0)
+        slope_kernel, slope_bias, ids, moves = [], [], [], []
+        for n, (kernel, at) in enumerate(zip(self.kernel, where)):
+            own = back[:, n * self.filters : (n + 1) * self.filters]
+            slope = np.zeros_like(kernel)
+            for j in range(len(kernel)):
+                there = at + j
+                slope[j] = np.einsum("nf,nfd->df", own, words[there])
+                move = own[:, :, None] * kernel[j].T[None]
+                for side in (0, 1):
+                    ids.append(slots[there, side].ravel()), moves.append(move.reshape(-1, self.size))
+            slope_kernel.append(slope), slope_bias.append(own.sum(axis=0))
+        slopes = [*slope_kernel, *slope_bias, hidden.T @ wrong, wrong.sum(keepdims=True)]
+        for w, g, m, v in zip(weights, slopes, self.first, self.second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+        ids, moves = np.concatenate(ids), np.concatenate(moves)
+        touched, at = np.unique(ids, return_inverse=True)
+        slope = np.zeros((len(touched), self.size), np.float32)
+        np.add.at(slope, at, moves)
+        slope[touched == 0] = 0  # the unknown word stays
+        self.table[touched] -= np.float32(steepness / self.shrunk) * slope
+        self.shrunk *= keep
+        if self.shrunk < 1e-4:
+            self.table *= np.float32(self.shrunk)
+            self.shrunk = 1.0
+        return touched
+
+    def head(self) -> np.ndarray:
+        """All but the embeddings as one vector."""
+        return np.concatenate([w.ravel() for w in [*self.weights(), *self.first, *self.second]]).astype(np.float64)
+
+    def with_head(self, vector: np.ndarray) -> None:
+        at = 0
+        for w in [*self.weights(), *self.first, *self.second]:
+            w[...] = vector[at : at + w.size].reshape(w.shape)
+            at += w.size
+
+    def settle(self) -> None:
+        """What training has not held up against the decay is forgotten."""
         used = np.nonzero(np.abs(self.table[1:]).max(axis=1) > 1e-3)[0]
         self.known, self.table = self.known[used], np.concatenate([self.table[:1], self.table[1 + used]])
+        self.__dict__.pop("_flat", None)
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Fit scale and offset of the output so that scores are chances; returns the scores."""
-        rows = self.rows_of(np.concatenate(texts))
-        raw = self.logits(rows, np.concatenate([[0], np.cumsum([len(t) for t in texts])])).astype(np.float64)
+    def calibrate(self, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Fit scale and offset of the outputs so that scores are chances; returns the scores."""
         # Smoothed targets keep the scale finite where the classes separate.
         positive, negative = weights[labels == 1].sum(), weights[labels == 0].sum()
         target = np.where(labels == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
@@ -219,61 +257,235 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return min(fits, key=lambda t: abs(t - 0.5))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``(doc_id, toxic, lang, total, buckets)`` of a bounded number of labelled documents per class."""
+def _known_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, toxic)``, once per document."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    single = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in single.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for value in (0, 1):
-        some = single.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("total", F.lit(totals.get(value, 0)).cast("bigint"))
-        chosen = some if chosen is None else chosen.union(some)
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
+
+
+_ROWS = "doc_id bigint, toxic int, lang string, buckets binary, learner int, spare boolean"
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, rows: int | None = None, learners: int = 1) -> DataFrame:
+    """All labelled documents, each once, with the buckets of all their words, dealt to learners; every fourth is spare.
+
+    ``rows`` takes so many per class only.  A bit filter lets the labelled ids
+    through and few others, so that no other text is shuffled; labels and
+    documents are then sorted together, each label before its document.
+    """
+    marks = _known_labels(labels)
+    if rows is not None:
+        parts = [marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
+        marks = parts[0].union(parts[1])
+    place = F.xxhash64("doc_id").alias("place")
+    wanted = BitFilter(marks.select(place), "place", bits_for(marks.count()))
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likely = batch.filter(pa.array(wanted.holds(batch.column("place").to_numpy(zero_copy_only=False)), pa.bool_()))
+            for part in slices(iter([likely]), "text", _SLICE):
+                buckets, starts = hashed_words(texts_of(part.column("text")))
+                lists = pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())
+                yield pa.record_batch([*[part.column(c) for c in ("place", "doc_id", "lang")], lists], names=["place", "doc_id", "lang", "buckets"])
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_id, label = None, None
+        for part in batches:
+            taken, values = [], []
+            for k, (number, toxic) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist())):
+                if toxic is not None:
+                    open_id, label = number, toxic
+                elif number == open_id:
+                    taken.append(k), values.append(label)
+                    open_id = None  # of a repeated document the first counts
+            own = part.take(pa.array(taken, pa.int64()))
+            yield pa.record_batch([own.column(c) if c != "toxic" else pa.array(values, pa.int32()) for c in names], names=names)
+
+    names = ["doc_id", "toxic", "lang", "buckets", "learner", "spare"]
+    found = narrow.where(F.col("doc_id").isNotNull()).withColumn("place", place).mapInArrow(hashed, "place bigint, doc_id bigint, lang string, buckets binary")
+    both = found.withColumn("toxic", F.lit(None).cast("int")).unionByName(
+        marks.select(place, "doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("buckets"), "toxic")
+    ).withColumns({"learner": F.pmod("place", F.lit(learners)).cast("int"), "spare": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0})
+    ordered = both.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "place", "doc_id", F.col("toxic").isNull(), "lang", "buckets")
+    return ordered.mapInArrow(labelled, _ROWS)
+
+
+def _packed(raw: bytes) -> bytes:
+    """Length and compressed content, the four bytes of all numbers apart."""
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """Two bucket numbers for each word."""
+    size = int.from_bytes(packed[:8], "little")
+    if not size:
+        return np.zeros((0, 2), np.int32)
+    planes = pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1, 2)
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    """The training rows, packed and stored, so that the order within a learner is the same in all rounds."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "buckets", _SLICE):
+            lists = pa.array([_packed(b) for b in part.column("buckets").to_pylist()], pa.binary())
+            yield pa.record_batch([*[part.column(c) for c in ("learner", "toxic", "lang", "spare")], lists], names=["learner", "toxic", "lang", "spare", "buckets"])
+
+    return stored(found.mapInArrow(pack, "learner int, toxic int, lang string, spare boolean, buckets binary"))
+
+
+def _known_buckets(rows: DataFrame, least: int) -> np.ndarray:
+    """Buckets that ``least`` texts have; those of fewer stay unknown, or single texts would be learned by heart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, dtype=np.int32)
+        for part in slices(batches, "buckets", _SLICE):
+            for packed in part.column("buckets").to_pylist():
+                seen[np.unique(_unpacked(packed))] += 1
+        there = np.nonzero(seen)[0]
+        for k in range(0, len(there), 1 << 16):
+            some = there[k : k + (1 << 16)]
+            yield pa.record_batch([pa.array(some.astype(np.int64)), pa.array(seen[some].astype(np.int64))], names=["bucket", "n"])
+
+    counts = rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # At most ``BUCKETS`` numbers.
+    return np.sort(counts.where(F.col("n") >= least).select("bucket").toArrow().column("bucket").to_numpy())
+
+
+def _learnt(network: Network, rows: DataFrame, count: int, round_: int, rounds: int, batch: int = 64, decay: float = 0.03) -> None:
+    """One round: all learners start from the network, which becomes their average by rows."""
+    keep = 1 - decay * (1 - round_ / rounds)  # forgetting fades as training settles
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, seen, held, waiting = None, 0, [], 0
+        own = before = moved = draw = None
+        total = 1.0
+
+        def study() -> None:
+            nonlocal total, held, waiting
+            order = draw.permutation(len(held))
+            for k in range(0, len(order), batch):
+                some = order[k : k + batch]
+                moved[own.step([held[i][0] for i in some], np.array([held[i][1] for i in some], dtype=np.float32), keep)] = True
+                total *= keep
+            held, waiting = [], 0
+
+        def result() -> Iterator[pa.RecordBatch]:
+            at = np.nonzero(moved)[0]
+            change = own.table[at] * np.float32(own.shrunk) - before[at] * np.float32(total)
+            cuts = np.nonzero(np.diff(at // _BLOCK, prepend=-1))[0].tolist() + [len(at)]
+            blocks = [-1, *(at[cuts[:-1]] // _BLOCK).tolist()]
+            places = [b"", *[(at[a:b] % _BLOCK).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]]
+            values = [np.concatenate([own.head(), [total, own.steps]]).tobytes(), *[change[a:b].astype("<f4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]]
+            n = len(blocks)
+            yield pa.record_batch(
+                [pa.array(blocks, pa.int32()), pa.array([learner] * n, pa.int32()), pa.array([float(seen)] * n), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+                names=["block", "learner", "weight", "places", "values"],
+            )
+
+        try:
+            for part in batches:
+                for number, label, packed in zip(*[part.column(c).to_pylist() for c in ("learner", "toxic", "buckets")]):
+                    if number != learner:
+                        if learner is not None:
+                            study()
+                            yield from result()
+                        learner, seen, total = number, 0, 1.0
+                        before = shared.value.table
+                        own = shared.value.copy()
+                        moved, draw = np.zeros(len(before), dtype=bool), np.random.default_rng((own.seed, round_, number))
+                    held.append((own.rows_of(_unpacked(packed)), label))
+                    seen, waiting = seen + 1, waiting + len(held[-1][0])
+                    # So many texts wait to be mixed, or so many words.
+                    if len(held) >= 16 * batch or waiting > 1 << 20:
+                        study()
+            if learner is not None:
+                study()
+                yield from result()
+        finally:
+            give_back()
+
+    def added(parts: pa.Table) -> pa.Table:
+        # In the order of learners, so that sums are the same in every run.
+        parts = parts.sort_by("learner")
+        block = parts.column("block")[0].as_py()
+        out = None
+        for weight, places, values in zip(*[parts.column(c).to_pylist() for c in ("weight", "places", "values")]):
+            if block < 0:
+                out = (0 if out is None else out) + weight * np.frombuffer(values, np.float64)
+            else:
+                out = np.zeros((_BLOCK, Network.size)) if out is None else out
+                out[np.frombuffer(places, "<i4")] += weight * np.frombuffer(values, "<f4").reshape(-1, Network.size)
+        return pa.table({"block": pa.array([block], pa.int32()), "total": pa.array([out.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(run, "block int, learner int, weight double, places binary, values binary")
+    # A row per block of the table.
+    sums = parts.groupBy("block").applyInArrow(added, "block int, total binary").toArrow()
+    totals = dict(zip(sums.column("block").to_pylist(), sums.column("total").to_pylist()))
+    head = np.frombuffer(totals.pop(-1), np.float64) / count
+    network.with_head(head[:-2])
+    network.steps = head[-1]
+    table = network.table * np.float32(head[-2])
+    for block, total in totals.items():
+        own = table[block * _BLOCK : (block + 1) * _BLOCK]
+        own += (np.frombuffer(total, np.float64).reshape(_BLOCK, -1)[: len(own)] / count).astype(np.float32)
+    network.table = table
+    shared.destroy()
+
+
+def _outputs(network: Network, rows: DataFrame) -> DataFrame:
+    """``(lang, toxic, output, n)``: how many texts have an output, in parts of a logit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", _SLICE):
-            buckets, starts = hashed_words(texts_of(part.column("text")))
-            lists = pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())
-            yield pa.record_batch([*[part.column(c) for c in ("doc_id", "toxic", "lang", "total")], lists], names=["doc_id", "toxic", "lang", "total", "buckets"])
+        for part in slices(batches, "buckets", _SLICE):
+            texts = [_unpacked(b) for b in part.column("buckets").to_pylist()]
+            raw = network.logits(network.rows_of(np.concatenate(texts)), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+            output = np.rint(np.clip(raw.astype(np.float64), -64, 64) * _LOGIT).astype(np.int32)
+            yield pa.record_batch([part.column("lang"), part.column("toxic"), pa.array(output)], names=["lang", "toxic", "output"])
 
-    # At most twice ``rows`` ids are broadcast.
-    picked = narrow.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "lang", "total", "text")
-    return picked.mapInArrow(run, "doc_id bigint, toxic int, lang string, total bigint, buckets binary")
+    return rows.mapInArrow(run, "lang string, toxic int, output int").groupBy("lang", "toxic", "output").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: int = 20) -> Classifier:
-    """A classifier from at most ``rows`` labelled documents of each class.
+def trained(docs: DataFrame, labels: DataFrame, rows: int | None = None, least: int = 20) -> Classifier:
+    """A classifier from all labelled documents, or from ``rows`` of each class.
 
-    A quarter of them is kept for calibration: of the scores, against the class
-    shares of all labels, and of a threshold for each language with ``least``
-    documents of each class there.  Other languages take the common threshold.
-    Null labels teach nothing; of repeated labels the highest counts.
+    Every fourth is kept for calibration: of the scores, and of a threshold for
+    each language with ``least`` documents of each class there.  Other languages
+    take the common threshold.  Null labels teach nothing; of repeated labels
+    the highest counts, and of repeated documents one.
     """
-    found = _training_rows(docs, labels, rows).toPandas().sort_values("doc_id").reset_index(drop=True)
-    y = found["toxic"].to_numpy(dtype=np.int64)
-    if len(np.unique(y)) < 2:
-        return Classifier(None, constant=float(y.mean()) if len(y) else 0.0)
-    texts = [np.frombuffer(b, dtype="<i4").reshape(-1, 2) for b in found.pop("buckets")]
-    spare = np.zeros(len(y), dtype=bool)
-    for value in (0, 1):
-        own = np.nonzero(y == value)[0]
-        spare[own[np.random.default_rng(3).permutation(len(own))[: len(own) // 4]]] = True
-    if len(np.unique(y[spare])) < 2:
-        spare[:] = True
+    marks = _known_labels(labels).agg(F.count(F.lit(1))).first()[0]
+    learners = min(LEARNERS, max(1, -(-marks // LEARNER_ROWS)))
+    found = _dealt(_training_rows(docs, labels, rows, learners))
+    numbers = {(r["toxic"], r["spare"]): r["n"] for r in found.groupBy("toxic", "spare").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = [sum(n for (v, _), n in numbers.items() if v == value) for value in (0, 1)]
+    if not min(of):
+        return Classifier(None, constant=float(of[1] > 0))
+    split = len(numbers) == 4
+    learn, check = (found.where(~F.col("spare")), found.where("spare")) if split else (found, found)
+    count = sum(n for (_, spare), n in numbers.items() if not (split and spare))
     network = Network()
-    learn = np.nonzero(~spare if not spare.all() else spare)[0]
-    network.fit([texts[i] for i in learn], y[learn].astype(np.float32))
-    check = np.nonzero(spare)[0]
-    share = {v: found["total"][y == v].iloc[0] / (y[check] == v).sum() for v in (0, 1)}
-    weights = np.where(y[check] == 1, share[1], share[0])
-    weights = weights * len(check) / weights.sum()
-    scores = network.calibrate([texts[i] for i in check], y[check], weights)
-    out = Classifier(network, threshold=best_threshold(scores, y[check], weights))
-    tongues = found["lang"].to_numpy(dtype=object)[check]
+    network.begin(_known_buckets(learn, least=3))
+    rounds = min(ROUNDS, max(LEAST_ROUNDS, round(ROUNDS * LEARNER_ROWS * learners / max(count, 1))))
+    for k in range(rounds):
+        _learnt(network, learn, count, k, rounds)
+    network.settle()
+    # Counts by language, class and output; bounded but for the languages.
+    outputs = _outputs(network, check).toArrow()
+    raw = outputs.column("output").to_numpy().astype(np.float64) / _LOGIT
+    y, n = outputs.column("toxic").to_numpy().astype(np.int64), outputs.column("n").to_numpy().astype(np.float64)
+    tongues = np.array(outputs.column("lang").to_pylist(), dtype=object)
+    scores = network.calibrate(raw, y, n)
+    out = Classifier(network, threshold=best_threshold(scores, y, n))
     for name in sorted({t for t in tongues if t is not None}):
         own = tongues == name
-        if min((y[check][own] == 1).sum(), (y[check][own] == 0).sum()) >= least:
-            out.by_language[name] = best_threshold(scores[own], y[check][own], weights[own])
+        if min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= least:
+            out.by_language[name] = best_threshold(scores[own], y[own], n[own])
     return out
 
 

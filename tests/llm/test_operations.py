@@ -325,6 +325,25 @@ def test_long_labelled_texts_take_part_in_training(spark):
     assert found.count() == len(rows) and found.agg(F.max(F.octet_length("buckets"))).first()[0] == 300 * 40 * 8
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = [(k, f"w{k % 50} v{k % 7}", "en") for k in range(8000)]
+    marks = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(8000)], "doc_id long, quality int, toxic int")
+    found = toxicity._dealt(toxicity._training_rows(frame(spark, rows + rows[:50] + [(9000, 'x', 'en')]), marks, learners=4))
+    assert found.count() == 8000 and found.select("learner").distinct().count() == 4
+    lists = toxicity._training_rows(frame(spark, rows[:1]), marks).first()["buckets"]
+    assert toxicity._unpacked(toxicity._packed(bytes(lists))).astype("<i4").tobytes() == bytes(lists)
+
+
+def test_several_learners_agree_and_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARNER_ROWS", 100)
+    rows, labels = toxic_rows()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    runs = [{r["doc_id"]: r for r in toxicity.op8(frame(spark, rows), marks).collect()} for _ in range(2)]
+    assert all(runs[0][k]["score"] == runs[1][k]["score"] for k in runs[0])
+    held = [r for r in runs[0].values() if r["held_out"]]
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.9 * len(held)
+
+
 def test_toxicity_without_labels(docs, none, spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.op8(docs, marks).collect()} == {0.0}

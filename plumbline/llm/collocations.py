@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.durable import ensure_checkpoint_dir
@@ -21,12 +22,17 @@ from plumbline.llm.tables import BitFilter, written
 SHARDS = 4
 #: Bytes of text counted at once, about; longer texts are cut at the marks that end a piece.
 CHUNK_BYTES = 4 << 20
-#: Rows of counts that a task holds before it passes them on.
+#: Rows of counts, and buckets of pairs, that a task holds before it passes them on.
 HELD_ROWS = 1 << 20
+HELD_PAIRS = 1 << 22
 #: The filter of active phrases has a bit per so many bytes of text, the pairs of words are counted in as many buckets,
 #: within these powers of two.  Both decide the cost only.
 BYTES_A_BIT = 16
 LEAST_BITS, MOST_BITS = 16, 28
+#: Buckets that are packed together, and bytes of text per part of the phrases, parts within these powers of two; cost only.
+BLOCK_BITS = 16
+BYTES_A_PART = 4 << 20
+LEAST_PARTS, MOST_PARTS = 4, 12
 #: What ends a piece, and what ends a word within one.
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _BLANKS = b" \t"
@@ -100,36 +106,38 @@ class Active:
         return (self.buckets[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
     def with_more(self, marks: DataFrame | None, buckets: DataFrame | None) -> Active:
-        """With the bits of the hashes ``h`` and of the buckets ``b`` set too; the same object if it has them all."""
+        """With the bits of the hashes ``h`` and of the blocks ``(b, bits)`` of buckets set too; the same object if it has them all."""
         out = Active(self.bits, self.least)
         out.turn, out.marks.words, out.buckets = self.turn + 1, self.marks.words, self.buckets
         if marks is not None:
             out.marks = BitFilter(marks, "h", self.bits)
             out.marks.words |= self.marks.words
         if buckets is not None:
-            word = F.shiftright(F.col("b").cast("bigint"), 6).alias("w")
-            # At most 2**(bits - 6) rows.
-            found = buckets.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+            # At most 2**(bits - BLOCK_BITS) rows of 2**BLOCK_BITS bits.
+            found = buckets.toArrow()
             out.buckets = self.buckets.copy()
-            out.buckets[found.column("w").to_numpy()] |= found.column("v").to_numpy().view(np.uint64)
+            for block, words in zip(found.column("b").to_pylist(), found.column("bits").to_pylist()):
+                start = block << BLOCK_BITS - 6
+                some = out.buckets[start : start + (1 << BLOCK_BITS - 6)]
+                some |= np.frombuffer(words, "<u8")[: len(some)]
         same = (out.marks.words == self.marks.words).all() and (out.buckets == self.buckets).all()
         return self if same else out
 
 
-def _grams(lang: str, text: bytes, longest: int, old: Active | None, new: Active, single: bool) -> Iterator[tuple[int, pa.Array | None, np.ndarray, np.ndarray | None]]:
-    """Length, phrases and counts of what is active by ``new`` and was not by ``old``.
+def _grams(lang: str, text: bytes, longest: int, old: Active | None, new: Active, single: bool) -> Iterator[tuple[int, pa.Array | None, np.ndarray, np.ndarray]]:
+    """Length, phrases, counts and hashes of what is active by ``new`` and was not by ``old``.
 
     A longer phrase is active if its first and last subphrases are active and
     have reached the threshold, and a pair if its bucket has, too.  Single words
     are always active; ``single`` asks for them and for the buckets of all
-    pairs, which come as length 0.
+    pairs, which come as length 0 with buckets for hashes.
     """
     ids, piece, vocabulary = _words(text)
     if not len(ids):
         return
-    if single:
-        yield 1, vocabulary, np.bincount(ids, minlength=len(vocabulary)), None
     hashes = word_hashes(lang, vocabulary.to_pylist())
+    if single:
+        yield 1, vocabulary, np.bincount(ids, minlength=len(vocabulary)), hashes
     size = len(vocabulary)
     # Per position: the number of the phrase that starts there, or -1.
     phrase, names, marks = ids.astype(np.int64), vocabulary, hashes
@@ -164,55 +172,173 @@ def _grams(lang: str, text: bytes, longest: int, old: Active | None, new: Active
             number[some] = np.arange(len(some))
             texts = pc.binary_join_element_wise(names.take(pa.array(left[some])), vocabulary.take(pa.array(last[some])), " ")
             if len(fresh):
-                yield length, texts.take(pa.array(number[fresh])), counts[fresh], None
+                yield length, texts.take(pa.array(number[fresh])), counts[fresh], own[fresh]
             phrase = np.full(len(ids), -1, dtype=np.int64)
             phrase[at] = number[inverse]
             names, marks, counted = texts, own[some], counted[some]
             now = new.marks.holds(marks)
             then = counted & old.marks.holds(marks) if old is not None else np.zeros(len(marks), dtype=bool)
         elif len(fresh):
-            yield length, pc.binary_join_element_wise(names.take(pa.array(left[fresh])), vocabulary.take(pa.array(last[fresh])), " "), counts[fresh], None
+            yield length, pc.binary_join_element_wise(names.take(pa.array(left[fresh])), vocabulary.take(pa.array(last[fresh])), " "), counts[fresh], own[fresh]
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("c", pa.int64())])
+_PACKED = "k int, b int, packed binary"
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per phrase."""
+    rows = pa.Table.from_batches(held).group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("h", "min"), ("c", "sum")])
+    return rows.select(["lang", "k", "phrase", "h_min", "c_sum"]).rename_columns(["lang", "k", "phrase", "h", "c"]).combine_chunks().to_batches()[0]
 
 
-def _scanned(docs: DataFrame, longest: int, old: Active | None, new: Active, single: bool) -> DataFrame:
-    """``(lang, k, phrase, b, c)``: what one scan of a shard adds to the counts, added up per task; ``b`` is a bucket where ``k`` is 0."""
-    columns = ["lang", "k", "phrase", "b", "c"]
+def _packed_phrases(rows: pa.RecordBatch, parts: int, least: int, longest: int) -> pa.RecordBatch:
+    """Counts by length and part of the hash; as part -1 the hashes of shorter phrases that reach the threshold here."""
+    k, c = rows.column("k").to_numpy(), rows.column("c").to_numpy()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    key = k.astype(np.int64) << 32 | (h >> np.uint64(64 - parts)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    ordered = rows.select(["lang", "phrase", "c"]).take(pa.array(order))
+    keys, cuts = np.unique(key[order], return_index=True)
+    out = [(int(x) >> 32, int(x) & 0xFFFFFFFF, ordered.slice(a, b - a).serialize().to_pybytes()) for x, a, b in zip(keys, cuts, [*cuts[1:], len(order)])]
+    out += [(n, -1, h[(k == n) & (c >= least)].astype("<u8").tobytes()) for n in range(1, longest)]
+    return _packed_rows(out)
 
-    def total(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        added = pa.Table.from_batches(parts).group_by(columns[:4], use_threads=False).aggregate([("c", "sum")])
-        added = added.select([*columns[:4], "c_sum"]).rename_columns(columns)
-        return added.combine_chunks().to_batches()[0] if added.num_rows else parts[0].slice(0, 0)
 
-    def row_batch(lang: str | None, k: int, phrases: pa.Array | None, buckets: np.ndarray | None, counts: np.ndarray) -> pa.RecordBatch:
+def _packed_buckets(held: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in order, once each, with counts up to the threshold."""
+    buckets = np.concatenate([x for x, _ in held])
+    order = np.argsort(buckets, kind="stable")
+    buckets = buckets[order]
+    start = np.flatnonzero(np.diff(buckets, prepend=-1))
+    counts = np.add.reduceat(np.concatenate([x for _, x in held])[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    return buckets[start], np.minimum(counts, least)
+
+
+def _bucket_rows(buckets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Blocks of buckets as length 0: high bytes, low bytes and counts one after the other."""
+    blocks, cuts = np.unique(buckets >> BLOCK_BITS, return_index=True)
+    out = []
+    for block, a, b in zip(blocks.tolist(), cuts, [*cuts[1:], len(buckets)]):
+        place = buckets[a:b] & (1 << BLOCK_BITS) - 1
+        out.append((0, block, (place >> 8).astype(np.uint8).tobytes() + place.astype(np.uint8).tobytes() + counts[a:b].astype("<u4").tobytes()))
+    return _packed_rows(out)
+
+
+def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch(
+        [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([b for _, b, _ in rows], pa.int32()), pa.array([_squeezed(x) for _, _, x in rows], pa.binary())],
+        names=["k", "b", "packed"],
+    )
+
+
+def _scanned(docs: DataFrame, longest: int, told: Broadcast, least: int, single: bool, parts: int) -> DataFrame:
+    """``(k, b, packed)``: what one scan of a shard adds to the counts, added up per task and packed by parts.
+
+    ``told`` is what was active when the shard was scanned before, and what is now.
+    """
+
+    def row_batch(lang: str, k: int, phrases: pa.Array, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
         n = len(counts)
         return pa.record_batch(
-            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, k, np.int32)),
-             pa.nulls(n, pa.string()) if phrases is None else phrases, pa.nulls(n, pa.int32()) if buckets is None else pa.array(buckets.astype(np.int32)),
-             pa.array(counts.astype(np.int64))], names=columns,
+            [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, k, np.int32)), phrases,
+             pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "k", "phrase", "h", "c"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new = told.value
         held: list[pa.RecordBatch] = []
-        rows = 0
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = some = 0
         for part in slices(batches, "text", CHUNK_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), raw_texts(part.column("text"))):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 for chunk in _chunks(texts):
-                    for k, phrases, counts, buckets in _grams(lang, chunk, longest, old, new, single):
-                        held.append(row_batch(None if k == 0 else lang, k, phrases, buckets, counts))
-                        rows += len(counts)
+                    for k, phrases, counts, hashes in _grams(lang, chunk, longest, old, new, single):
+                        if k:
+                            held.append(row_batch(lang, k, phrases, counts, hashes))
+                            rows += len(counts)
+                        else:
+                            pairs.append((hashes, counts))
+                            some += len(counts)
                     if rows > HELD_ROWS:
-                        held = [total(held)]
+                        held = [_added(held)]
                         rows = held[0].num_rows
                         if rows > HELD_ROWS // 2:
-                            yield from held
+                            yield _packed_phrases(held[0], parts, least, longest)
                             held, rows = [], 0
+                    if some > HELD_PAIRS:
+                        pairs = [_packed_buckets(pairs, least)]
+                        some = len(pairs[0][0])
+                        if some > HELD_PAIRS // 2:
+                            yield _bucket_rows(*pairs[0])
+                            pairs, some = [], 0
         if held:
-            yield total(held)
+            yield _packed_phrases(_added(held), parts, least, longest)
+        if pairs:
+            yield _bucket_rows(*_packed_buckets(pairs, least))
+
+    return docs.mapInArrow(run, _PACKED)
+
+
+def _summed(counts: DataFrame, least: int = 1) -> DataFrame:
+    """``(lang, k, phrase, f)``: packed counts added up, those of ``least`` or more."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        held: list[pa.Table] = []
+        rows = 0
+
+        def total() -> pa.Table:
+            added = pa.concat_tables(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("c", "sum")])
+            return added.select(["lang", "phrase", "c_sum"]).rename_columns(["lang", "phrase", "c"])
+
+        for packed in blocks.column("packed"):
+            held.append(pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(_unsqueezed(packed.as_py())), _COUNTED)]))
+            rows += held[-1].num_rows
+            if rows > 2 * HELD_ROWS:
+                held, rows = [total()], 0
+        added = total()
+        added = added.filter(pc.greater_equal(added.column("c"), least))
+        k = pa.array(np.full(added.num_rows, blocks.column("k")[0].as_py(), np.int32))
+        return pa.table({"lang": added.column("lang"), "k": k, "phrase": added.column("phrase"), "f": added.column("c")})
+
+    return counts.where("k > 0 and b >= 0").groupBy("k", "b").applyInArrow(run, "lang string, k int, phrase string, f bigint")
+
 
-    return docs.mapInArrow(run, "lang string, k int, phrase string, b int, c bigint")
+def _reached(counts: DataFrame, least: int) -> DataFrame:
+    """``(b, bits)``: per block which buckets of pairs reach the threshold."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+        for packed in blocks.column("packed"):
+            raw = np.frombuffer(_unsqueezed(packed.as_py()), np.uint8)
+            n = len(raw) // 6
+            total[raw[:n].astype(np.int64) << 8 | raw[n : 2 * n]] += raw[2 * n :].view("<u4")
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"b": blocks.column("b").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    return counts.where("k = 0").groupBy("b").applyInArrow(run, "b int, bits binary")
+
+
+def _firm(counts: DataFrame) -> DataFrame:
+    """``(h)``: the hashes of phrases that a single task has shown to reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                yield pa.record_batch([pa.array(np.frombuffer(_unsqueezed(packed), "<i8"))], names=["h"])
+
+    return counts.where("k > 0 and b < 0").select("packed").mapInArrow(run, "h bigint")
 
 
 def _hashed(phrases: DataFrame) -> DataFrame:
@@ -247,7 +373,8 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     The first scans also count all pairs of words by buckets, so that pairs whose
     bucket never reaches the threshold, nearly all rare ones, are not written
     out.  Between two scans longer phrases count by single tasks; the rest is
-    added up once.
+    added up once.  Each task packs its counts by parts of the hash, compressed,
+    so files and shuffles hold a row per task and part; parts are added up whole.
 
     What is active is told to the tasks by bits that are only ever gained.  A
     chance hit makes a phrase active that need not be; it is then counted like
@@ -262,40 +389,35 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/texts")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     active = Active(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_A_BIT))))), least)
-    schema = "lang string, k int, phrase string, b int, c bigint, step int"
+    parts = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(math.log2(max(1, size / BYTES_A_PART)))))
+    schema = f"{_PACKED}, step int"
     seen: dict[int, Active] = {}
     totals: list[DataFrame] = []
     step = needed = 0
 
-    def added(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
-
     while len(totals) < longest:
         shard = step % shards
         if seen.get(shard) is not active:
             rows = texts.where(F.col("shard") == shard).select("lang", "text")
-            scanned = _scanned(rows, longest, seen.get(shard), active, shard not in seen)
-            scanned.write.option("compression", "zstd").parquet(f"{folder}/counts/step={step}")
+            told = spark.sparkContext.broadcast((seen.get(shard), active))
+            scanned = _scanned(rows, longest, told, least, shard not in seen, parts)
+            scanned.write.option("compression", "uncompressed").parquet(f"{folder}/counts/step={step}")
+            # Its copies on the disks of driver and executors go, too.
+            told.destroy()
             seen[shard] = active
             counts = spark.read.schema(schema).parquet(f"{folder}/counts")
-            # What this scan alone shows to have reached the threshold; the last cycle activates nothing more.
-            firm = counts.where((F.col("step") == step) & (F.col("c") >= least))
-            marks = _hashed(firm.where((F.col("k") > 0) & (F.col("k") < longest)))
-            if step < shards:
-                marks = marks.union(_hashed(added(counts.where("k = 1")).where(F.col("f") >= least)))
-            buckets = None
-            if step < shards - 1:
-                buckets = firm.where("k = 0")
-            elif step == shards - 1:
-                buckets = counts.where("k = 0").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            # The last cycle activates nothing more.
             if len(totals) < longest - 1:
-                active = active.with_more(marks, buckets)
+                # What this scan alone shows to have reached the threshold.
+                marks = _firm(counts.where(F.col("step") == step))
+                if step < shards - 1:
+                    marks = marks.union(_hashed(_summed(counts.where("k = 1"), least)))
+                active = active.with_more(marks, _reached(counts, least) if step < shards else None)
         step += 1
         # Every shard has been scanned since the counts of the length before were complete.
         if len(seen) == shards and all(f.turn >= needed for f in seen.values()):
             k = len(totals) + 1
-            complete = added(counts.where(F.col("k") == k))
-            totals.append(written(complete if k == 1 else complete.where(F.col("f") >= least)))
+            totals.append(written(_summed(counts.where(F.col("k") == k), 1 if k == 1 else least)))
             if k < longest:
                 active = active.with_more(_hashed(totals[-1].where(F.col("f") >= least)), None)
                 needed = active.turn

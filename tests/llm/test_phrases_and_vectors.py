@@ -100,6 +100,19 @@ def test_a_scan_counts_what_became_active_since_the_last(spark):
         (1, "alpha"), (1, "beta"), (1, "gamma"), (2, "alpha beta"), (2, "beta gamma"), (3, "alpha beta gamma")]}
 
 
+def test_scans_pack_their_counts(spark):
+    # 3,000 words and about 3,000 pairs of them, all rare but one.
+    rows = [(f"w{k} w{k + 1}, often seen", "en") for k in range(3000)]
+    told = spark.sparkContext.broadcast((None, collocations.Active(20, 10)))
+    scan = collocations._scanned(spark.createDataFrame(rows, "text string, lang string").coalesce(1), 3, told, 10, True, 4).cache()
+    # Per task a row per part of the hash, per block of buckets and per length, not one per word and pair.
+    assert scan.count() <= 16 + (1 << 20 - collocations.BLOCK_BITS) + 2
+    words = {r["phrase"]: r["f"] for r in collocations._summed(scan.where("k = 1")).collect()}
+    assert len(words) == 3003 and words["often"] == 3000 and words["w5"] == 2
+    reached = sum(int.from_bytes(r["bits"], "little").bit_count() for r in collocations._reached(scan, 10).collect())
+    assert reached == 1 and collocations._firm(scan).count() == 2
+
+
 def near_rows():
     draw = np.random.default_rng(8)
     rows = [(k, v.tolist(), k % 3) for k, v in enumerate(draw.normal(size=(120, 16)))]

@@ -23,6 +23,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text at least so long that is nearer than this to no language is in none of those learned.
 LONG_TEXT = 1000
 LEAST_COSINE = 0.1
+#: Rows that go to a Python worker at once, at most; whole texts make large batches, which executor and worker both hold.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _begin(spark: SparkSession) -> None:
+    """Ship the package and keep the session's Arrow batches small; a smaller limit of the user stays.
+
+    The setting stays, because the frame a stage returns is only planned when it is written.
+    """
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -48,7 +61,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The classifier learns from the labels that are not held out.  Null and
     blank texts are scored as empty texts.
     """
-    ship(spark)
+    _begin(spark)
     rows = _documents(docs)
     model = toxicity.taught(rows, table(spark, sf_dir, "labels"))
 
@@ -66,7 +79,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     go.  Where no row names its language nothing can be learned, and only
     texts without letters go.
     """
-    ship(spark)
+    _begin(spark)
     rows = _documents(docs)
     profiles = language_id.taught(rows)
 
@@ -87,7 +100,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     0.8, step by step.  Of repeated rows one stays.  Rows without doc_id cannot
     be told apart and stay.
     """
-    ship(spark)
+    _begin(spark)
     rows = _documents(docs)
     found = near_copies.near_copies(rows.where(F.col("doc_id").isNotNull()))
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
@@ -101,7 +114,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses words keeps the others with one blank between; one that
     loses all goes.  ``n_chars`` follows the text.
     """
-    ship(spark)
+    _begin(spark)
     rows = _documents(docs)
     cut = substrings.without_repeats(rows, keep=("lang", "source", "n_chars"), as_is=True)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
@@ -111,7 +124,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their place in sequences of 1024 tokens."""
-    ship(spark)
+    _begin(spark)
     return packing.packed(_documents(docs))
 
 

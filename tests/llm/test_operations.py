@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -504,6 +505,23 @@ def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch, at_once):
     assert sorted(r[0] for r in kept) == sorted({c for _, c in expected})
 
 
+def test_pipeline_hands_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(3000).selectExpr("id as doc_id", "'some plain words' as text", "'en' as lang", "'web' as source", "16 as n_chars").coalesce(1)
+    try:
+        for given, most in ((before, 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(name, given)
+            kept = corpus_pipeline.language_stage(spark, docs, SMALL)
+            found = [r["n"] for r in kept.mapInArrow(sizes, "n bigint").collect()]
+            assert sum(found) == 3000 and max(found) <= most
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):
     rows, labels = docs, f"{SMALL}"
     for name, stage in corpus_pipeline.STAGES:

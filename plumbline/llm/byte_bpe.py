@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -33,9 +33,7 @@ class ByteBPE:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         names, vocabulary = _byte_names(), model["model"]["vocab"]
@@ -54,6 +52,17 @@ class ByteBPE:
         if ordered and byte_level and not model.get("normalizer"):
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
 
+    # Loaded when first needed: a worker keeps what it has loaded.
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def slow(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def ids(self, text: str) -> np.ndarray:
         """The library's ids without the post-processor's tokens; an added token in the text is one id."""
         if self.fast is not None and (self.plain or not any(t in text for t in self.added)):

@@ -19,6 +19,8 @@ CAPACITY = 1024
 #: Pieces of one length that one window numbers, about.
 NUMBERED = 1 << 15
 
+_PLAN = ("length", "first", "last", "each", "sequence", "at")
+
 #: Sizes in one sequence, and how many sequences look so.
 Pattern = tuple[tuple[int, ...], int]
 
@@ -194,7 +196,9 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     spark = docs.sparkSession
     cut = stored(pieces(docs, doc_id, text, path, end_id, capacity))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = spark.createDataFrame(plan(counts, capacity), "length bigint, first bigint, last bigint, each bigint, sequence bigint, at bigint")
+    # As an Arrow table; from Python rows every executor would start more workers to read them.
+    columns = np.array(plan(counts, capacity), dtype=np.int64).reshape(-1, len(_PLAN)).T
+    places = spark.createDataFrame(pa.table(dict(zip(_PLAN, map(pa.array, columns)))))
     salts = max(1, math.ceil(max(counts.values(), default=0) / NUMBERED))
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))

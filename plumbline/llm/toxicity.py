@@ -6,7 +6,7 @@ round their networks are averaged by rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -266,12 +266,10 @@ def _known_labels(labels: DataFrame) -> DataFrame:
 _ROWS = "doc_id bigint, toxic int, lang string, buckets binary, learner int, spare boolean"
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, rows: int | None = None, learners: int = 1) -> DataFrame:
-    """All labelled documents, each once, with the buckets of all their words, dealt to learners; every fourth is spare.
+def _sorted_rows(docs: DataFrame, labels: DataFrame, rows: int | None, learners: int) -> DataFrame:
+    """Labels and the buckets of all words of documents, dealt to learners and sorted together, each label before its document.
 
-    ``rows`` takes so many per class only.  A bit filter lets the labelled ids
-    through and few others, so that no other text is shuffled; labels and
-    documents are then sorted together, each label before its document.
+    A bit filter lets the labelled ids through and few others, so that no other text is shuffled.
     """
     marks = _known_labels(labels)
     if rows is not None:
@@ -289,26 +287,35 @@ def _training_rows(docs: DataFrame, labels: DataFrame, rows: int | None = None,
                 lists = pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())
                 yield pa.record_batch([*[part.column(c) for c in ("place", "doc_id", "lang")], lists], names=["place", "doc_id", "lang", "buckets"])
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_id, label = None, None
-        for part in batches:
-            taken, values = [], []
-            for k, (number, toxic) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist())):
-                if toxic is not None:
-                    open_id, label = number, toxic
-                elif number == open_id:
-                    taken.append(k), values.append(label)
-                    open_id = None  # of a repeated document the first counts
-            own = part.take(pa.array(taken, pa.int64()))
-            yield pa.record_batch([own.column(c) if c != "toxic" else pa.array(values, pa.int32()) for c in names], names=names)
-
-    names = ["doc_id", "toxic", "lang", "buckets", "learner", "spare"]
     found = narrow.where(F.col("doc_id").isNotNull()).withColumn("place", place).mapInArrow(hashed, "place bigint, doc_id bigint, lang string, buckets binary")
     both = found.withColumn("toxic", F.lit(None).cast("int")).unionByName(
         marks.select(place, "doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("buckets"), "toxic")
     ).withColumns({"learner": F.pmod("place", F.lit(learners)).cast("int"), "spare": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0})
-    ordered = both.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "place", "doc_id", F.col("toxic").isNull(), "lang", "buckets")
-    return ordered.mapInArrow(labelled, _ROWS)
+    return both.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "place", "doc_id", F.col("toxic").isNull(), "lang", "buckets")
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of sorted rows that have a label, each once."""
+    names = ["doc_id", "toxic", "lang", "buckets", "learner", "spare"]
+    open_id, label = None, None
+    for part in batches:
+        taken, values = [], []
+        for k, (number, toxic) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist())):
+            if toxic is not None:
+                open_id, label = number, toxic
+            elif number == open_id:
+                taken.append(k), values.append(label)
+                open_id = None  # of a repeated document the first counts
+        own = part.take(pa.array(taken, pa.int64()))
+        yield pa.record_batch([own.column(c) if c != "toxic" else pa.array(values, pa.int32()) for c in names], names=names)
+
+
+def _training_rows(docs: DataFrame, labels: DataFrame, rows: int | None = None, learners: int = 1) -> DataFrame:
+    """All labelled documents, each once, with the buckets of all their words, dealt to learners; every fourth is spare.
+
+    ``rows`` takes so many per class only.
+    """
+    return _sorted_rows(docs, labels, rows, learners).mapInArrow(_labelled, _ROWS)
 
 
 def _packed(raw: bytes) -> bytes:
@@ -326,11 +333,15 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1, 2)
 
 
-def _dealt(found: DataFrame) -> DataFrame:
-    """The training rows, packed and stored, so that the order within a learner is the same in all rounds."""
+def _dealt(found: DataFrame, before: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    """The training rows, packed and stored, so that the order within a learner is the same in all rounds.
+
+    ``before`` makes them of the rows of ``found`` in the same worker: another
+    step would be another worker for each task, and idle workers stay.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "buckets", _SLICE):
+        for part in slices(before(batches), "buckets", _SLICE):
             lists = pa.array([_packed(b) for b in part.column("buckets").to_pylist()], pa.binary())
             yield pa.record_batch([*[part.column(c) for c in ("learner", "toxic", "lang", "spare")], lists], names=["learner", "toxic", "lang", "spare", "buckets"])
 
@@ -461,7 +472,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int | None = None, least:
     """
     marks = _known_labels(labels).agg(F.count(F.lit(1))).first()[0]
     learners = min(LEARNERS, max(1, -(-marks // LEARNER_ROWS)))
-    found = _dealt(_training_rows(docs, labels, rows, learners))
+    found = _dealt(_sorted_rows(docs, labels, rows, learners), _labelled)
     numbers = {(r["toxic"], r["spare"]): r["n"] for r in found.groupBy("toxic", "spare").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = [sum(n for (v, _), n in numbers.items() if v == value) for value in (0, 1)]
     if not min(of):

@@ -335,6 +335,14 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert toxicity._unpacked(toxicity._packed(bytes(lists))).astype("<i4").tobytes() == bytes(lists)
 
 
+def test_training_rows_pass_one_python_step_after_their_shuffle(spark, monkeypatch):
+    rows, labels = toxic_rows()
+    plans, stored = [], toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    toxicity.taught(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert plans[0].split("Exchange")[0].count("MapInArrow") == 1
+
+
 def test_several_learners_agree_and_repeat(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LEARNER_ROWS", 100)
     rows, labels = toxic_rows()
@@ -406,6 +414,15 @@ def test_packing(docs, none):
     assert packing.packed(none).count() == 0
 
 
+def test_the_packing_plan_starts_no_workers_of_its_own(docs):
+    assert "LocalTableScan" in packing.packed(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_tokenizers_library_is_loaded_when_needed():
+    own = byte_bpe.ByteBPE(byte_bpe.DEFAULT)
+    assert own.ids("plain words").tolist() == own.encode("plain words").tolist() and not {"library", "slow"} & set(vars(own))
+
+
 def plain_mark(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []

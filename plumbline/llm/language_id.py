@@ -20,6 +20,8 @@ MOST_LANGUAGES = 1000
 _OWN = 4096
 _SYMBOLS = 2 * _OWN
 _SLICE = 1 << 20
+#: Trigrams whose vectors are summed at once while learning, 10 KB each.
+_BLOCK = 512
 #: Trigrams whose vectors are held at once, 5 KB each.
 MOST_KINDS = 1 << 13
 
@@ -99,6 +101,7 @@ class Profiles:
         if len(kinds) > MOST_KINDS and len(texts) > 1:
             # Fewer texts at once, so that the vectors of their trigrams stay few.
             half = len(texts) // 2
+            del gram, whose, both, counts, kinds, at
             (left, a), (right, b) = self.predict(texts[:half]), self.predict(texts[half:])
             return left + right, np.concatenate([a, b])
         # A single text may have any number of trigrams: their vectors are made where they are summed.
@@ -128,7 +131,7 @@ def learned(rows: DataFrame, text: str = "text", lang: str = "lang", width: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text", _SLICE):
+        for part in slices(batches, "text", _SLICE // 2):
             tongues = part.column("lang").to_pylist()
             order = {name: k for k, name in enumerate(dict.fromkeys(tongues))}
             which = np.array([order[t] for t in tongues])
@@ -138,8 +141,8 @@ def learned(rows: DataFrame, text: str = "text", lang: str = "lang", width: int
             for name, k in order.items():
                 mine = np.nonzero(tongue == k)[0]
                 total = totals.setdefault(name, np.zeros(width, dtype=np.int64))
-                for a in range(0, len(mine), 4096):
-                    some = mine[a : a + 4096]
+                for a in range(0, len(mine), _BLOCK):
+                    some = mine[a : a + _BLOCK]
                     total += np.rint(counts[some].astype(np.float64) @ bound(gram[some], width)).astype(np.int64)
         if totals:
             yield pa.record_batch([pa.array(list(totals)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.int64()))], names=["lang", "total"])

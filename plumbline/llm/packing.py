@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.durable import stored
-from plumbline.llm.batches import slices, texts_of
+from plumbline.llm.batches import give_back, slices, texts_of
 from plumbline.llm.byte_bpe import DEFAULT, byte_bpe
 
 CAPACITY = 1024
@@ -166,17 +166,23 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(path).ids
         end = np.array([end_id], dtype=np.uint32)
-        for part in slices(batches, "text"):
-            owner, place, start, length, crc = [], [], [], [], []
-            for at, text_ in enumerate(texts_of(part.column("text"))):
-                ids = np.concatenate([encode(text_), end]).astype("<u4")
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    owner.append(at), place.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pa.record_batch(
-                [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        try:
+            for part in slices(batches, "text"):
+                owner, place, start, length, crc = [], [], [], [], []
+                for at, text_ in enumerate(texts_of(part.column("text"))):
+                    ids = np.concatenate([encode(text_), end]).astype("<u4")
+                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        owner.append(at), place.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes()))
+                yield pa.record_batch(
+                    [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(place, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            # Workers outlive their tasks, and the tokenizer is quickly loaded again.
+            del encode
+            byte_bpe.cache_clear()
+            give_back()
 
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")

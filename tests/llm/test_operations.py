@@ -418,6 +418,15 @@ def test_the_packing_plan_starts_no_workers_of_its_own(docs):
     assert "LocalTableScan" in packing.packed(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_workers_do_not_keep_the_tokenizer(spark, docs):
+    def kept(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([byte_bpe.byte_bpe.cache_info().currsize])], names=["n"])
+
+    many = docs.repartition(8)
+    assert packing.pieces(many).count() and {r["n"] for r in many.mapInArrow(kept, "n bigint").collect()} == {0}
+
+
 def test_the_tokenizers_library_is_loaded_when_needed():
     own = byte_bpe.ByteBPE(byte_bpe.DEFAULT)
     assert own.ids("plain words").tolist() == own.encode("plain words").tolist() and not {"library", "slow"} & set(vars(own))
@@ -539,6 +548,12 @@ def test_pipeline_hands_texts_to_python_in_small_batches(spark):
         spark.conf.set(name, before)
 
 
+def test_pipeline_judges_few_texts_at_once(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("x" * 1000).alias("text")).coalesce(1)
+    few = corpus_pipeline._kept(docs, lambda texts, _: np.full(len(texts), sum(map(len, texts)) <= 1 << 18))
+    assert few.count() == 600
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):
     rows, labels = docs, f"{SMALL}"
     for name, stage in corpus_pipeline.STAGES:

@@ -7,29 +7,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.durable import stored
 from plumbline.llm.batches import raw_texts, slices
-from plumbline.llm.simhash import links as simhash_links, majority, shingles
+from plumbline.llm.simhash import all_shingles, links as simhash_links, majority
 from plumbline.llm.tables import BitFilter, bits_for, written
 from plumbline.llm.union import components
 
-#: Texts, about, from which frequent shingles are learned, and how many of these are sent to the tasks at most.
+#: Texts, about, and share of all, from which frequent shingles are learned, the larger; and how many of these are sent to the tasks at most.
 SAMPLE = 1 << 14
-FREQUENT = 1 << 19
+SHARE = 1 / 16
+FREQUENT = 1 << 20
 #: Pairs per key row below which all pairs of unlinked texts are compared at once.
-AT_ONCE = 8
+AT_ONCE = 32
+#: Texts of the largest group, about, with which those outside are compared in a turn.
+PICKS = 8
+#: Pairs whose texts are unpacked at once.
+PAIRS = 256
 _SEEN = 1 << 18
 
 
-def _sets(part: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """Position, set of shingles in order of their hashes, and 64-bit node of each text; equal sets are one node."""
-    for k, text in enumerate(raw_texts(part.column("text"))):
-        own = np.unique(shingles(text, width))
-        yield k, own, _node(own)
+def _sets(part: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Shingles, set of them in order of their hashes, and 64-bit node of each text; equal sets are one node."""
+    for hashes in all_shingles(raw_texts(part.column("text")), width):
+        own = _set(hashes)
+        yield hashes, own, _node(own)
+
+
+def _set(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
 def _node(own: np.ndarray) -> int:
@@ -43,23 +54,36 @@ def parities(own: np.ndarray) -> bytes:
 
 
 def surely_apart(one: bytes, other: bytes, sizes: int, similarity: float) -> bool:
-    """Whether two sets of ``sizes`` shingles together are less similar for certain.
+    """``all_apart`` of a single pair."""
+    return bool(all_apart(pa.array([one], pa.binary()), pa.array([other], pa.binary()), np.array([sizes]), similarity)[0])
+
+
+def all_apart(ones: pa.Array, others: pa.Array, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of ``sizes`` shingles together are less similar for certain, pair by pair of rows of parities.
 
     A bit on which the parities differ takes a shingle that only one set has,
     and so many are too many from ``sizes * (1 - s) / (1 + s)`` on.  The longer
     row of bits is folded to the shorter.
     """
-    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-    if len(x) < len(y):
-        x, y = y, x
-    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(folded ^ y).sum()) > sizes * (1 - similarity) / (1 + similarity) + 1e-9
+    widths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ones, others)]
+    kinds, kind = np.unique(np.stack(widths, axis=1), axis=0, return_inverse=True)
+    differ = np.zeros(len(ones), dtype=np.int64)
+    for k in range(len(kinds)):
+        rows = np.flatnonzero(kind.reshape(-1) == k)
+        x, y = (np.frombuffer(b"".join(c.take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1) for c in (ones, others))
+        if x.shape[1] < y.shape[1]:
+            x, y = y, x
+        folded = np.bitwise_xor.reduce(x.reshape(len(rows), -1, y.shape[1]), axis=1)
+        differ[rows] = np.bitwise_count(folded ^ y).sum(axis=1)
+    return differ > sizes * (1 - similarity) / (1 + similarity) + 1e-9
 
 
 class Order:
     """Shingles by how often a sample holds them, rare ones first, then by hash.
 
-    Any fixed order finds all pairs; this one keeps common passages out of the prefixes.
+    Any fixed order finds all pairs; this one keeps common passages out of the
+    prefixes.  The sample grows with the texts, so a shingle that counts as
+    rare is in about as many texts whatever their number.
     """
 
     def __init__(self, marks: np.ndarray, counts: np.ndarray):
@@ -76,68 +100,73 @@ class Order:
         return own[np.argsort(rank, kind="stable")[:n]]
 
 
-def _listed(docs: DataFrame, width: int, order: Order | None, similarity: float) -> DataFrame:
-    """``(mark, node)``: the shingles of each text, those of its prefix where an order is given."""
+def _read(docs: DataFrame, width: int, order: Order, similarity: float) -> DataFrame:
+    """``(doc_id, node, mark, n, bits, marks)``: all that is needed of each text, so that shingles are made once.
+
+    ``mark`` is the SimHash over all shingles, repeats included.  Size, parities
+    and prefix of the set are given where a task first meets the node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, "text"):
-            marks, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for _, own, node in _sets(part, width):
-                marks.append(own if order is None else order.prefix(own, similarity))
-                nodes.append(np.full(len(marks[-1]), node))
-            yield pa.record_batch([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(nodes))], names=["mark", "node"])
+            if len(seen) > _SEEN:
+                seen.clear()
+            rows = []
+            for hashes, own, node in _sets(part, width):
+                if len(own) and node not in seen:
+                    seen.add(node)
+                    rows.append((node, majority(hashes), len(own), parities(own), order.prefix(own, similarity).view(np.int64)))
+                else:
+                    rows.append((node, majority(hashes), None, None, None))
+            nodes, simhashes, sizes, bits, marks = zip(*rows)
+            yield pa.record_batch(
+                [
+                    part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(simhashes, dtype=np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "node", "mark", "n", "bits", "marks"],
+            )
 
-    return docs.mapInArrow(run, "mark bigint, node bigint")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, mark bigint, n int, bits binary, marks array<bigint>")
 
 
-def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, node, mark)``: the node of each text and its SimHash over all shingles, repeats included."""
+def _order(docs: DataFrame, width: int) -> Order:
+    share = min(1.0, max(SHARE, SAMPLE / max(1, docs.count())))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            nodes, marks = [], []
-            for text in raw_texts(part.column("text")):
-                hashes = shingles(text, width)
-                nodes.append(_node(np.unique(hashes)))
-                marks.append(majority(hashes))
-            yield pa.record_batch(
-                [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(marks, dtype=np.uint64).view(np.int64))],
-                names=["doc_id", "node", "mark"],
-            )
+            marks = np.concatenate([np.zeros(0, np.uint64), *[own for _, own, _ in _sets(part, width)]])
+            yield pa.record_batch([pa.array(marks.view(np.int64))], names=["mark"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, mark bigint")
+    often = some.mapInArrow(run, "mark bigint").groupBy("mark").count().where("count > 2").orderBy(F.desc("count"), "mark").limit(FREQUENT).toArrow()
+    return Order(often.column("mark").to_numpy().view(np.uint64), often.column("count").to_numpy().astype(np.int32))
 
 
-def _order(docs: DataFrame, rows: int, width: int) -> Order:
-    share = min(1.0, SAMPLE / max(1, rows))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    often = _listed(some, width, None, 0).groupBy("mark").count().where("count > 2").orderBy(F.desc("count"), "mark").limit(FREQUENT).toArrow()
-    return Order(often.column("mark").to_numpy().view(np.uint64), often.column("count").to_numpy())
-
+def _held(sets: DataFrame) -> DataFrame:
+    """``(node, n, bits, marks, places)``: size, parities and shared prefix of the texts that have such, once per node.
 
-def _held(docs: DataFrame, order: Order, shared: BitFilter, width: int, similarity: float) -> DataFrame:
-    """``(node, n, bits, marks)``: size, parities and shared prefix of the texts that have such, once per node."""
+    The places are those in the whole prefix.
+    """
+    several = sets.select("node", F.explode("marks").alias("mark")).groupBy("mark").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    several = written(several.where("low < high").select("mark"))
+    shared = BitFilter(several, "mark", bits_for(several.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches, "text"):
-            if len(seen) > _SEEN:
-                seen.clear()
-            rows = []
-            for _, own, node in _sets(part, width):
-                if len(own) and node not in seen:
-                    seen.add(node)
-                    marks = order.prefix(own, similarity)
-                    marks = marks[shared.holds(marks)]
-                    if len(marks):
-                        rows.append((node, len(own), parities(own), marks.view(np.int64)))
-            nodes, sizes, bits, marks = list(zip(*rows)) or [()] * 4
-            yield pa.record_batch(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                names=["node", "n", "bits", "marks"],
-            )
+        for part in batches:
+            lists = part.column("marks")
+            marks, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+            held, row = shared.holds(marks.to_numpy()), np.repeat(np.arange(len(lists)), sizes)
+            places = (np.arange(len(marks)) - (np.cumsum(sizes) - sizes)[row]).astype(np.int32)
+            left = np.bincount(row[held], minlength=len(lists))
+            ends = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+            own = [pa.ListArray.from_arrays(ends, x.filter(pa.array(held))) for x in (marks, pa.array(places))]
+            out = pa.record_batch([*[part.column(c) for c in ("node", "n", "bits")], *own], names=["node", "n", "bits", "marks", "places"])
+            yield out.filter(pa.array(left > 0))
 
-    return docs.mapInArrow(run, "node bigint, n int, bits binary, marks array<bigint>").dropDuplicates(["node"])
+    found = sets.where(F.col("marks").isNotNull()).select("node", "n", "bits", "marks")
+    return found.mapInArrow(run, "node bigint, n int, bits binary, marks array<bigint>, places array<int>").dropDuplicates(["node"])
 
 
 class Texts:
@@ -175,17 +204,16 @@ class Texts:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = zstandard.ZstdDecompressor()
             last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-
-            def shingled(zipped: pa.Scalar) -> np.ndarray:
-                return np.unique(shingles(codec.decompress(zipped.as_py()), width))
-
-            for part in batches:
-                keep = np.zeros(part.num_rows, dtype=bool)
-                for k, (a, _) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
-                    # Rows come sorted by one side, so its set is made once.
-                    if last[0] != a:
-                        last = (a, shingled(part.column("text_a")[k]))
-                    x, y = last[1], shingled(part.column("text_b")[k])
+            for part in (batch.slice(k, PAIRS) for batch in batches for k in range(0, batch.num_rows, PAIRS)):
+                keep, ones = np.zeros(part.num_rows, dtype=bool), part.column("a").to_pylist()
+                # Rows come sorted by one side, so its set is made once.
+                new = [a != before for a, before in zip(ones, [last[0], *ones])]
+                zipped = zip(new, part.column("text_a").to_pylist(), part.column("text_b").to_pylist())
+                sets = map(_set, all_shingles([codec.decompress(t) for first, x, y in zipped for t in ((x, y) if first else (y,))], width))
+                for k, a in enumerate(ones):
+                    if new[k]:
+                        last = (a, next(sets))
+                    x, y = last[1], next(sets)
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
                 yield part.select(["a", "b"]).filter(pa.array(keep))
@@ -200,10 +228,9 @@ def _perhaps(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            columns = [part.column(c).to_pylist() for c in ("bits_a", "bits_b")]
             sizes = part.column("n_a").to_numpy().astype(np.int64) + part.column("n_b").to_numpy()
-            keep = [not surely_apart(x, y, s, similarity) for x, y, s in zip(*columns, sizes.tolist())]
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = ~all_apart(part.column("bits_a"), part.column("bits_b"), sizes, similarity)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
     near = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9
     return pairs.join(sides[0], "a").join(sides[1], "b").where(near).mapInArrow(run, "a bigint, b bigint")
@@ -222,15 +249,26 @@ def _by_simhash(known: DataFrame, texts: Texts, similarity: float) -> DataFrame:
     return texts.similar(pairs, similarity)
 
 
+def _enough(n: str, place: str, m: str, at: str, similarity: float) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` whose first common shingle has these places can be similar enough.
+
+    They have no more in common than what either holds from there on.  A
+    shingle that is not the first may rule out a similar pair, the first never does.
+    """
+    common = F.least(F.col(n) - F.col(place), F.col(m) - F.col(at))
+    return common >= F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-6
+
+
 def _links(held: DataFrame, texts: Texts, found: DataFrame, similarity: float) -> DataFrame | None:
     """``(node, root)`` of all nodes linked by pairs that reach the similarity, of which ``found`` are known.
 
-    Texts that share a key are first compared with one text of the largest
+    Texts that share a key are first compared with a few texts of the largest
     group linked so far, while that links anything; then all pairs that are
     still in different groups are compared.  So a key of many near copies
-    costs no square of them, and no pair is left out.
+    costs no square of them, and no pair is left out.  A key whose texts are
+    one group is done with, so each turn has fewer keys than the one before.
     """
-    keys = held.select("node", "n", F.explode("marks").alias("mark"))
+    keys = held.select("node", "n", F.explode(F.arrays_zip("marks", "places")).alias("x")).select("node", "n", F.col("x.marks").alias("mark"), F.col("x.places").alias("place"))
     real = keys.groupBy("mark").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("mark")
     keys = written(keys.join(real, "mark"))
     edges = stored(found)
@@ -240,21 +278,23 @@ def _links(held: DataFrame, texts: Texts, found: DataFrame, similarity: float) -
         if roots is None:
             members = keys.withColumn("root", F.col("node"))
         else:
-            members = keys.join(roots, "node", "left").select("mark", "node", "n", F.coalesce("root", "node").alias("root"))
-        pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
-        groups = members.groupBy("mark", "root").agg(F.count(F.lit(1)).alias("c"), F.min(pick).alias("pick"))
-        main = groups.groupBy("mark").agg(F.max(F.struct("c", "root", "pick")).alias("m"), F.sum("c").alias("g"), F.count(F.lit(1)).alias("k"))
-        main = stored(main.where("k > 1").select("mark", "g", F.col("m.c").alias("c"), F.col("m.root").alias("main"), F.col("m.pick.node").alias("other"), F.col("m.pick.n").alias("m")))
+            members = keys.join(roots, "node", "left").select("mark", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+        groups = members.groupBy("mark", "root").agg(F.count(F.lit(1)).alias("c"))
+        main = groups.groupBy("mark").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("g"), F.count(F.lit(1)).alias("k"))
+        main = stored(main.where("k > 1").select("mark", "g", F.col("m.c").alias("c"), F.col("m.root").alias("main")))
         open_ = main.agg(F.sum((F.col("g") - F.col("c")) * F.col("g"))).first()[0] or 0
         if not open_:
             break
-        rest = members.join(main, "mark").where(F.col("root") != F.col("main"))
+        members = written(members.join(main.select("mark", "c", "main"), "mark"))
+        keys = members.select("mark", "node", "n", "place")
         last = open_ <= AT_ONCE * total or (turn > 0 and not linked)
-        if last:
-            others = members.join(main.select("mark"), "mark").select("mark", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("apart"))
-            rest = rest.drop("other", "m").join(others, "mark").where(F.col("root") != F.col("apart"))
-        near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9
-        pairs = rest.where(near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        others = members.select("mark", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("apart"), "main", "c")
+        if not last:
+            # A hash of the node alone, so keys that share texts pick the same.
+            drawn = F.pmod(F.xxhash64("other", F.lit(turn)), F.lit(1 << 20))
+            others = others.where((F.col("apart") == F.col("main")) & (drawn * F.col("c") < PICKS << 20))
+        rest = members.where(F.col("root") != F.col("main")).drop("main", "c").join(others.drop("main", "c"), "mark").where(F.col("root") != F.col("apart"))
+        pairs = rest.where(_enough("n", "place", "m", "at", similarity)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         new = stored(texts.similar(_perhaps(pairs, held, similarity), similarity))
         linked = new.count()
         edges = edges.union(new)
@@ -279,18 +319,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     columns play no part.
     """
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(_nodes(narrow, width))
-    known = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark")))
+    read = written(_read(narrow, width, _order(narrow, width), similarity))
+    known = written(read.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("mark").alias("mark")))
     texts = Texts(narrow, known.select("node", "low"), width)
     found = _by_simhash(known, texts, similarity)
-    order = _order(narrow, rows.count(), width)
-    several = _listed(narrow, width, order, similarity).groupBy("mark").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = BitFilter(several.where("low < high"), "mark")
-    roots = _links(written(_held(narrow, order, shared, width, similarity)), texts, found, similarity)
+    roots = _links(written(_held(read)), texts, found, similarity)
     if roots is None:
         named = known.select("node", F.col("low").alias("component_id"))
     else:
         joined = known.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
         lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
         named = joined.join(lowest, "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", "component_id")
+    return read.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

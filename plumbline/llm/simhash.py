@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.durable import stored
-from plumbline.llm.batches import raw_texts, slices
+from plumbline.llm.batches import joined, raw_texts, single_blanks, slices
 from plumbline.llm.union import Forest, components
 
 #: Distinct fingerprints that one shard of the tree should hold.
@@ -20,10 +20,91 @@ SHARD = 1 << 16
 #: Distinct fingerprints, at most, from which vantage points and radii are chosen.
 SAMPLE = 1 << 15
 #: Residents of a node below which all its pairs are compared.
-LEAF = 2048
+LEAF = 256
 _BLOCK = 1 << 22
 
 
+#: Bytes of text whose shingles are hashed at once, and shingles of one length at a time.
+HASH_BYTES = 1 << 20
+_LANES = 1 << 14
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _mixed(total: np.ndarray | np.uint64, lane: np.ndarray) -> np.ndarray:
+    return _turned(total + lane * _P2, 31) * _P1
+
+
+def xxh64(whole: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """``xxhash.xxh64`` of many pieces of an array of bytes, those of a length together."""
+    out, seed_ = np.empty(len(starts), dtype=np.uint64), np.uint64(seed)
+    order = np.argsort(lengths, kind="stable")
+    sizes, firsts = np.unique(lengths[order], return_index=True)
+    # Eight and four bytes from any place on.
+    padded = np.concatenate([whole, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(whole) + 1, np.dtype("<u8"), padded.data, 0, (1,))
+    four = np.ndarray(len(whole) + 1, np.dtype("<u4"), padded.data, 0, (1,))
+    with np.errstate(over="ignore"):
+        for n, first, end in zip(sizes.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(order)]):
+            for k in range(first, end, _LANES):
+                rows = order[k : min(end, k + _LANES)]
+                at = starts[rows]
+                if n >= 32:
+                    sums = [seed_ + _P1 + _P2, seed_ + _P2, seed_, seed_ - _P1]
+                    for p in range(0, n - 31, 32):
+                        sums = [_mixed(x, eight[at + (p + 8 * i)]) for i, x in enumerate(sums)]
+                    h = sum(_turned(x, b) for x, b in zip(sums, (1, 7, 12, 18)))
+                    for x in sums:
+                        h = (h ^ _mixed(np.uint64(0), x)) * _P1 + _P4
+                else:
+                    h = np.full(len(at), seed_ + _P5)
+                h, p = h + np.uint64(n), n // 32 * 32
+                for p in range(p, n - 7, 8):
+                    h = _turned(h ^ _mixed(np.uint64(0), eight[at + p]), 27) * _P1 + _P4
+                p = n // 8 * 8
+                if p + 4 <= n:
+                    h = _turned(h ^ (four[at + p].astype(np.uint64) * _P1), 23) * _P2 + _P3
+                for p in range(n // 4 * 4, n):
+                    h = _turned(h ^ (whole[at + p].astype(np.uint64) * _P5), 11) * _P1
+                h = (h ^ (h >> np.uint64(33))) * _P2
+                h = (h ^ (h >> np.uint64(29))) * _P3
+                out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def all_shingles(texts: list[bytes], width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """``shingles`` of each text, those of many texts hashed at once."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > HASH_BYTES:
+            yield from _together(texts[start:k], width, seed)
+            start, size = k, 0
+        size += len(text)
+    yield from _together(texts[start:], width, seed)
+
+
+def _together(texts: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
+    if not texts:
+        return
+    # A text is followed by a blank, so a blank ends each word; an empty text is a blank alone.
+    whole, starts = joined([single_blanks(t.lower()) for t in texts])
+    ends = np.flatnonzero(whole == 32)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    first = np.searchsorted(ends, starts)
+    words = np.where(np.diff(starts) > 1, np.diff(first), 0)
+    counts = np.where(words > 0, np.maximum(1, words - width + 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(first[:-1] - bounds[:-1], counts) + np.arange(bounds[-1])
+    last = at + np.repeat(np.minimum(width, words) - 1, counts)
+    hashes = xxh64(whole, begins[at], ends[last] - begins[at], seed)
+    yield from (hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+
+
 def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     """Hashes of all word shingles, repeats included; a text of fewer words is one shingle, none without words."""
     words = text.lower().split()
@@ -55,7 +136,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        marks = np.array([fingerprint(t, width, seed) for t in raw_texts(part.column("text"))], dtype=np.uint64)
+        marks = np.array([majority(x) for x in all_shingles(raw_texts(part.column("text")), width, seed)], dtype=np.uint64)
         yield pa.record_batch([part.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "mark"])
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.durable import stored
 
 
+#: Edges of a task, about, where there are fewer than the partitions would hold.
+TASK_EDGES = 1 << 16
+
+
 class Forest:
     """Union of array positions; pairs inside one set are dropped by vector operations."""
 
@@ -42,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` ``(a, b)``: the smallest node reachable.
 
     Large and small stars alternate until nothing changes; each round is stored,
-    so that the plan stays short and a lost executor costs one round only.
+    so that the plan stays short and a lost executor costs one round only.  Few
+    edges stay in few tasks, whose shuffles leave few files.
     Nodes are of one orderable type and not null.
     """
     flat = (
@@ -51,15 +56,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     current = stored(flat)
     mark = _mark(current)
+    tasks = 1 + mark[0] // TASK_EDGES  # the rounds make no more edges than there are
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
+        current = current.coalesce(tasks)
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b")).coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least, "a").where(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        current = stored(small.union(least.select("a", F.col("_m").alias("b"))).distinct())
+        current = stored(small.union(least.select("a", F.col("_m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks))
         last, mark = mark, _mark(current)
         if mark == last:
             break

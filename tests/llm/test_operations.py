@@ -618,6 +618,51 @@ def test_parities_never_rule_out_a_similar_pair():
             assert not (similar and apart) and (apart or size < 100 or changed < 0.2)
 
 
+def test_shingles_hashed_together_equal_those_of_each_text():
+    draw = random.Random(8)
+    texts = [bytes(draw.choice(b"ab \t\nZ\xc3\x85\x1c") for _ in range(draw.randint(0, 30))) for _ in range(300)]
+    texts += [b"x" * n + b" Y " + b"z" * (n // 3) for n in range(140)] + [b"", b" ", b"word " * 4000]
+    for width in (1, 3, 5):
+        words = [t.lower().split() for t in texts]
+        grams = [[b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))] if w else [] for w in words]
+        assert [x.tolist() for x in simhash.all_shingles(texts, width)] == [[xxhash.xxh64_intdigest(g, 42) for g in own] for own in grams]
+    assert list(simhash.all_shingles([], 3)) == []
+
+
+def test_near_copies_make_the_shingles_of_all_texts_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(near_copies, "_read", lambda docs, *rest, f=near_copies._read: read.append(docs) or f(docs, *rest))
+    rows = [(k, f"{'same words ' * 8}{k % 5} and some more of them") for k in range(20)]
+    assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == jaccard_components(rows)
+    assert len(read) == 1 and not hasattr(near_copies, "_nodes")
+
+
+def test_a_shingle_counts_as_rare_by_its_texts_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 16)
+    words = [f"w{k}" for k in range(2000)]
+    draw = random.Random(4)
+    rows = [(k, " ".join([*draw.choices(words, k=20), *["one shared passage of words"] * (k % 10 == 0)])) for k in range(4000)]
+    order = near_copies._order(frame(spark, rows), 5)
+    # 400 of the texts; a sample of 16 would hold one or two of them.
+    assert xxhash.xxh64_intdigest(b"one shared passage of words", 42) in order.marks.tolist()
+
+
+@pytest.mark.parametrize("at_once", [1 << 40, 0])
+def test_near_copies_of_a_large_group_settle_in_few_turns(spark, monkeypatch, at_once):
+    turns = []
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
+    monkeypatch.setattr(near_copies, "_perhaps", lambda *x, f=near_copies._perhaps: turns.append(1) or f(*x))
+    draw, words = random.Random(3), [f"{a}{b}" for a in "bcdfgklm" for b in "aeiou"]
+    base, rows = [draw.choice(words) for _ in range(100)], []
+    for k in range(120):
+        text = list(base)
+        for _ in range(1 + k % 4):
+            text[draw.randrange(100)] = draw.choice(words)
+        rows.append((k, " ".join(text)))
+    assert sorted(map(tuple, near_copies.near_copies(frame(spark, rows)).collect())) == jaccard_components(rows)
+    assert len(turns) <= 4
+
+
 def test_single_blanks_equal_splitting_and_joining():
     draw = random.Random(3)
     for _ in range(300):
